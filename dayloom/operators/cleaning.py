@@ -125,8 +125,8 @@ def date_measures(df: DataFrame, a: str, b: str, week_rule: str = "us") -> DataF
         **distances,
         "complete_months": dates.complete_span(x, y, "MM"),
         "complete_years": dates.complete_span(x, y, "yyyy"),
-        "order": dates.compare(x, y),
-        "order_by_month": dates.compare(x, y, "yyyy-MM"),
+        "compared": dates.compare(x, y),
+        "compared_month": dates.compare(x, y, "yyyy-MM"),
         "month_first": dates.month_start(x),
         "month_last": dates.month_end(x),
         "plus_month": dates.shift(x, 1, "MM"),

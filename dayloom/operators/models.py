@@ -12,10 +12,11 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayloom.operators.lags import lag_names
+from dayloom.session import path_exists
 
 SEED = 1234
 
@@ -106,18 +107,13 @@ def rmse_by_key(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
 
 # --- storage -------------------------------------------------------------------
 
-def model_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def save_model(model: Model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
 def fit_if_absent(spark: SparkSession, path: str, loader: type, fit: Callable[[], Model]) -> Model:
     """Load a stored model, or fit and store it."""
-    if not model_exists(spark, path):
+    if not path_exists(spark, f"{path}/metadata"):
         save_model(fit(), path)
     return loader.load(path)
 
@@ -189,10 +185,13 @@ def ridge_per_key(
     return sums.mapInPandas(solve, f"{key_schema}, weights array<double>, intercept double, n bigint")
 
 
-def trend_per_key(df: DataFrame, keys: Sequence[str], metric: str, date: str = "Date") -> DataFrame:
+def trend_per_key(
+    df: DataFrame, keys: Sequence[str], metric: str, date: str = "Date", extra: Sequence[Column] = ()
+) -> DataFrame:
     """Least-squares line of a metric over the day number, per key.
 
-    ``sd`` is the population standard deviation of the residuals.
+    ``sd`` is the population standard deviation of the residuals; ``extra`` adds
+    aggregates of the same groups.
     """
     x, y = F.unix_date(F.col(date)).cast("double"), F.col(metric).cast("double")
     return (
@@ -206,6 +205,7 @@ def trend_per_key(df: DataFrame, keys: Sequence[str], metric: str, date: str = "
             F.count(F.lit(1)).alias("n"),
             F.min(date).alias("first_day"),
             F.max(date).alias("last_day"),
+            *extra,
         )
         .withColumn("sd", F.sqrt(F.greatest(F.col("_syy") - F.col("slope") * F.col("_sxy"), F.lit(0.0)) / F.col("n")))
         .drop("_syy", "_sxy")

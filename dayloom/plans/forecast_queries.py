@@ -1 +1,267 @@
-"""To be filled."""
+"""Queries of the recursive, seasonal and trend forecasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dayloom.functions import dates
+from dayloom.operators import calendar, features, forecast, joins, lags, models, panel
+from dayloom.plans.catalogue import query
+from dayloom.plans.model_queries import HORIZON, stored_training_rows
+from dayloom.plans.views import PANEL_METRICS, country_panel, events_daily, with_views
+from dayloom.plans.views import panel as panel_view
+from dayloom.session import materialise
+
+_EVENTS = ["event_type"]
+
+
+def _state_sql(metric: str, horizon: int, source: str = "events_daily", key: str = "event_type") -> str:
+    days = ", ".join(
+        f"""CAST(coalesce(sum("{metric}") FILTER (WHERE "Date" = last - {h}), 0) AS DOUBLE)""" for h in range(horizon)
+    )
+    return f"""
+    seen AS (SELECT *, (SELECT max("Date") FROM {source}) AS last FROM {source}),
+    start AS (SELECT "{key}", last, [{days}] AS state FROM seen GROUP BY "{key}", last
+              HAVING count(*) FILTER (WHERE "Date" = last) > 0)"""
+
+
+def _roll_sql(metric: str, horizon: int, periods: int, source: str = "events_daily", key: str = "event_type",
+              score: str = "{mean}") -> str:
+    mean = f"list_sum(state[1:{horizon}]) / {horizon}.0"
+    return f"""{_state_sql(metric, horizon, source, key)},
+    roll AS (SELECT "{key}", last, 0 AS step, state FROM start
+             UNION ALL SELECT "{key}", last, step + 1,
+                list_prepend({score.format(mean=mean)}, state)[1:{horizon}] FROM roll WHERE step < {periods})"""
+
+
+@query("history_state", with_views("events_daily", f"""
+    WITH {_state_sql("n", 5)}
+    SELECT event_type, last AS last_day, array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) FOR x IN state], ',') AS state
+    FROM start"""))
+def history_state(spark, folder):
+    state = forecast.history_state(events_daily(spark, folder), _EVENTS, "n", 5)
+    listed = F.transform("state", lambda x: x.cast("bigint").cast("string"))
+    return state.withColumn("state", F.concat_ws(",", listed))
+
+
+@query("recursive_forecast", with_views("events_daily", f"""
+    WITH RECURSIVE {_roll_sql("n", 7, 30)}
+    SELECT event_type, last + step AS "Date", round(state[1], 6) AS n FROM roll WHERE step > 0"""))
+def recursive_forecast(spark, folder):
+    ahead = forecast.recursive_forecast(events_daily(spark, folder), _EVENTS, "n", 7, 30)
+    return ahead.withColumn("n", F.round("n", 6))
+
+
+@query("recursive_forecast_rounded", with_views("country_panel", f"""
+    WITH RECURSIVE {_roll_sql("Confirmed", 20, 14, "country_panel", "Country",
+                              "CAST(floor({mean} + 0.5) AS DOUBLE)")}
+    SELECT "Country", last + step AS "Date", state[1] AS "Confirmed" FROM roll WHERE step > 0"""))
+def recursive_forecast_rounded(spark, folder):
+    return forecast.recursive_forecast(
+        country_panel(spark, folder), ["Country"], "Confirmed", 20, 14, round_feedback=True
+    )
+
+
+@query("recursive_forecast_per_key")
+def recursive_forecast_per_key(spark, folder):
+    daily = materialise(events_daily(spark, folder), "daily")
+    weights = models.ridge_per_key(lags.lag_features(daily, _EVENTS, "n", 7, fill=0), _EVENTS, "n", 7, penalty=1e-3)
+    return forecast.recursive_forecast(
+        daily, _EVENTS, "n", 7, 30, forecast.weighted_lags(), parameters=weights.drop("n")
+    )
+
+
+@query("recursive_forecast_gbt")
+def recursive_forecast_gbt(spark, folder):
+    rows = stored_training_rows(spark, folder)
+    fitted = models.gbt(maxIter=5, maxDepth=4).fit(rows)
+    # The states carry the country index, the first feature of the model.
+    history = rows.select("Country", "CountryIndex", "Date", F.col("label").alias("Confirmed"))
+    return forecast.recursive_forecast(
+        history, ["Country", "CountryIndex"], "Confirmed", HORIZON, 12, fitted, codes=["CountryIndex"], store_every=5
+    )
+
+
+_WINDOW_SQL = """,
+    both_parts AS (
+        SELECT event_type, "Date", CAST(n AS DOUBLE) AS n, false AS is_forecast FROM seen {past}
+        UNION ALL SELECT event_type, last + step, state[1], true FROM roll WHERE step > 0)
+    SELECT event_type, "Date", round(sum(n) OVER (PARTITION BY event_type ORDER BY "Date"), 6) AS n, is_forecast
+    FROM both_parts"""
+
+
+@query("forecast_metric", with_views("events_daily", f"""
+    WITH RECURSIVE {_roll_sql("n", 7, 10)}{_WINDOW_SQL.format(past='WHERE "Date" >= last - 10')}"""))
+def forecast_metric(spark, folder):
+    totals = forecast.forecast_metric(events_daily(spark, folder), _EVENTS, "n", 7, 10)
+    return totals.withColumn("n", F.round("n", 6))
+
+
+@query("forecast_metric_full", with_views("events_daily", f"""
+    WITH RECURSIVE {_roll_sql("n", 7, 10)}{_WINDOW_SQL.format(past="")}"""))
+def forecast_metric_full(spark, folder):
+    totals = forecast.forecast_metric(events_daily(spark, folder), _EVENTS, "n", 7, 10, history="full")
+    return totals.withColumn("n", F.round("n", 6))
+
+
+@query("submission_join", with_views("events_daily", f"""
+    WITH RECURSIVE {_roll_sql("n", 7, 10)},
+    both_parts AS (
+        SELECT event_type, "Date", CAST(n AS DOUBLE) AS n FROM seen WHERE "Date" >= last - 10
+        UNION ALL SELECT event_type, last + step, state[1] FROM roll WHERE step > 0),
+    totals AS (SELECT event_type, "Date", sum(n) OVER (PARTITION BY event_type ORDER BY "Date") AS n FROM both_parts),
+    request AS (SELECT event_type, CAST(unnest(generate_series(CAST(min("Date") AS TIMESTAMP),
+        CAST(max("Date") + 12 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS "Date" FROM events_daily GROUP BY event_type)
+    SELECT event_type || '_' || CAST("Date" AS VARCHAR) AS "ForecastId", round(n, 6) AS n
+    FROM request LEFT JOIN totals USING (event_type, "Date")"""))
+def submission_join(spark, folder):
+    daily = events_daily(spark, folder)
+    request = calendar.extend_calendar(daily, _EVENTS, 12).withColumn(
+        "ForecastId", F.concat_ws("_", "event_type", F.col("Date").cast("string"))
+    )
+    totals = forecast.forecast_metric(daily, _EVENTS, "n", 7, 10)
+    filled = joins.fill_request(request, totals, ["event_type", "Date"], ["n"])
+    return filled.select("ForecastId", F.round("n", 6).alias("n"))
+
+
+@query("backfill_missing", with_views("events_daily", f"""
+    WITH RECURSIVE older AS (SELECT * FROM events_daily WHERE "Date" <= DATE '2024-01-16'),
+    newer AS (SELECT * FROM events_daily WHERE "Date" >= DATE '2024-01-16' AND event_type NOT IN ('click', 'error')),
+    absent AS (SELECT * FROM older WHERE event_type NOT IN (SELECT event_type FROM newer)),
+    gap AS (SELECT CAST((SELECT max("Date") FROM newer) - (SELECT max("Date") FROM older) AS BIGINT) AS days),
+    {_state_sql("n", 7, "absent")},
+    roll AS (SELECT event_type, last, 0 AS step, state FROM start
+             UNION ALL SELECT event_type, last, step + 1, list_prepend(list_sum(state[1:7]) / 7.0, state)[1:7] FROM roll
+             WHERE step < (SELECT days FROM gap))
+    SELECT event_type, "Date", CAST(n AS DOUBLE) AS n FROM older
+    UNION SELECT event_type, "Date", CAST(n AS DOUBLE) FROM newer
+    UNION SELECT event_type, last + step, round(state[1], 6) FROM roll WHERE step > 0"""))
+def backfill_missing(spark, folder):
+    daily = events_daily(spark, folder)
+    older = daily.where("Date <= DATE'2024-01-16'")
+    newer = daily.where("Date >= DATE'2024-01-16' AND event_type NOT IN ('click', 'error')")
+    filled = forecast.backfill_missing(older, newer, _EVENTS, _EVENTS, ["n"], 7)
+    return filled.withColumn("n", F.round("n", 6))
+
+
+@query("shifted_forecast", with_views("country_panel", """
+    WITH recent AS (SELECT * FROM country_panel WHERE "Date" >= (SELECT max("Date") FROM country_panel) - 30),
+    frame AS (SELECT * FROM country_panel
+              UNION ALL SELECT "Country", "Date" + 30, "Confirmed", "Deaths", "Recovered" FROM recent),
+    fit AS (SELECT "Country", regr_slope("Confirmed", date_diff('day', DATE '1970-01-01', "Date")) AS s,
+                   regr_intercept("Confirmed", date_diff('day', DATE '1970-01-01', "Date")) AS i
+            FROM country_panel GROUP BY "Country")
+    SELECT "Country", "Date", "Confirmed", round(day("Date") / CAST(1.3 AS DOUBLE) + 30 * month("Date"), 6) AS "DateInt",
+           round(i + s * date_diff('day', DATE '1970-01-01', "Date"), 4) AS "Predicted"
+    FROM frame JOIN fit USING ("Country")"""))
+def shifted_forecast(spark, folder):
+    known = country_panel(spark, folder)
+    frame = calendar.future_by_shift(known, 30)
+    fits = models.trend_per_key(known, ["Country"], "Confirmed").select("Country", "slope", "intercept")
+    scored = frame.join(fits, "Country")
+    return scored.select(
+        "Country", "Date", "Confirmed",
+        F.round(dates.month_scaled_day(F.col("Date")), 6).alias("DateInt"),
+        F.round(F.col("intercept") + F.col("slope") * F.unix_date("Date"), 4).alias("Predicted"),
+    )
+
+
+@query("shifted_forecast_scored")
+def shifted_forecast_scored(spark, folder):
+    # The shifted frame with lags over both halves, scored by a model of index + lags.
+    rows = stored_training_rows(spark, folder)
+    fitted = models.forest(numTrees=5, maxDepth=5).fit(rows)
+    known = rows.select("Country", "CountryIndex", "Date", F.col("label").alias("Confirmed"))
+    frame = calendar.future_by_shift(known, HORIZON, by=HORIZON - 1)
+    lagged = lags.lag_features(
+        panel.sum_panel(frame, ["Country", "CountryIndex"], ["Confirmed"]), ["Country", "CountryIndex"], "Confirmed",
+        HORIZON, fill=0,
+    )
+    scored = fitted.transform(features.assemble_lags(lagged, ["CountryIndex"], "Confirmed", HORIZON))
+    return scored.select("Country", "Date", "Confirmed", F.col("prediction").alias("Predicted_Confirmed"))
+
+
+# --- trend forecasts -----------------------------------------------------------------------
+
+_DAY = """date_diff('day', DATE '1970-01-01', "Date")"""
+
+
+def _trend_sql(key: str, metric: str, source: str, periods: int) -> str:
+    return f"""
+    fit AS (SELECT {key}, regr_slope({metric}, {_DAY}) AS s, regr_intercept({metric}, {_DAY}) AS i,
+                   sqrt(greatest(var_pop({metric}) - regr_slope({metric}, {_DAY}) * covar_pop({metric}, {_DAY}), 0)) AS sd,
+                   max("Date") AS b FROM {source} GROUP BY {key}),
+    days AS (SELECT {key}, s, i, sd, "Date" AS ds FROM {source} JOIN fit USING ({key})
+             UNION ALL SELECT {key}, s, i, sd, b + CAST(unnest(range(1, {periods} + 1)) AS INTEGER) FROM fit),
+    fitted AS (SELECT {key}, ds, i + s * date_diff('day', DATE '1970-01-01', ds) AS yhat, sd FROM days)"""
+
+
+@query("trend_forecast", with_views("country_panel", f"""
+    WITH {_trend_sql('"Country"', '"Confirmed"', "country_panel", 30)}
+    SELECT "Country", ds, round(yhat, 4) AS yhat, round(yhat - 1.2816 * sd, 4) AS yhat_lower,
+           round(yhat + 1.2816 * sd, 4) AS yhat_upper FROM fitted"""))
+def trend_forecast(spark, folder):
+    fitted = forecast.trend_forecast(country_panel(spark, folder), ["Country"], "Confirmed", 30)
+    return fitted.withColumns({c: F.round(c, 4) for c in ("yhat", "yhat_lower", "yhat_upper")})
+
+
+@query("insample_fit", with_views("country_panel", f"""
+    WITH {_trend_sql('"Country"', '"Confirmed"', "country_panel", 0)}
+    SELECT f."Country", ds, round(yhat, 4) AS yhat, CAST("Confirmed" AS DOUBLE) AS y
+    FROM fitted f JOIN country_panel p ON f."Country" = p."Country" AND ds = "Date" """))
+def insample_fit(spark, folder):
+    fitted = forecast.insample_fit(country_panel(spark, folder), ["Country"], "Confirmed")
+    return fitted.select("Country", "ds", F.round("yhat", 4).alias("yhat"), "y")
+
+
+_WORLD = """
+    world AS (SELECT "Date", CAST(sum("Confirmed") AS BIGINT) AS "Confirmed", CAST(sum("Deaths") AS BIGINT) AS "Deaths",
+                     CAST(sum("Recovered") AS BIGINT) AS "Recovered" FROM panel GROUP BY "Date")"""
+
+
+def _world(spark, folder):
+    return panel.sum_panel(panel_view(spark, folder), [], PANEL_METRICS)
+
+
+@query("forecast_vs_actual", with_views("panel", f"""
+    WITH {_WORLD}, keyed AS (SELECT 'world' AS k, * FROM world),
+    {_trend_sql("k", '"Confirmed"', "keyed", 30)}
+    SELECT ds, round(yhat, 4) AS yhat, "Confirmed" FROM fitted LEFT JOIN world ON ds = "Date" """))
+def forecast_vs_actual(spark, folder):
+    world = _world(spark, folder)
+    fitted = forecast.trend_forecast(world, [], "Confirmed", 30)
+    actual = world.select(F.col("Date").alias("ds"), "Confirmed")
+    return joins.with_actuals(fitted.select("ds", F.round("yhat", 4).alias("yhat")), actual)
+
+
+def _bands_sql(metric: str) -> str:
+    return (
+        f"""max(round(yhat, 4)) FILTER (WHERE metric = '{metric}') AS "{metric}_yhat",
+            max(round(yhat - 1.2816 * sd, 4)) FILTER (WHERE metric = '{metric}') AS "{metric}_yhat_lower",
+            max(round(yhat + 1.2816 * sd, 4)) FILTER (WHERE metric = '{metric}') AS "{metric}_yhat_upper" """
+    )
+
+
+@query("forecast_table", with_views("panel", f"""
+    WITH {_WORLD}, long AS (
+        SELECT "Date", 'Confirmed' AS metric, "Confirmed" AS value FROM world
+        UNION ALL SELECT "Date", 'Deaths', "Deaths" FROM world UNION ALL SELECT "Date", 'Recovered', "Recovered" FROM world),
+    {_trend_sql("metric", "value", "long", 30)},
+    wide AS (SELECT ds, {", ".join(_bands_sql(m) for m in PANEL_METRICS)} FROM fitted GROUP BY ds)
+    SELECT wide.*, "Confirmed", "Deaths", "Recovered" FROM wide LEFT JOIN world ON ds = "Date" """))
+def forecast_table(spark, folder):
+    table = forecast.forecast_table(_world(spark, folder), PANEL_METRICS, 30)
+    return table.withColumns({c: F.round(c, 4) for c in table.columns if "_yhat" in c})
+
+
+@query("additive_forecast")
+def additive_forecast(spark, folder):
+    world = _world(spark, folder)
+    return forecast.forecast_table(world, PANEL_METRICS, 30, forecaster=forecast.additive_forecast)
+
+
+@query("additive_insample_fit")
+def additive_insample_fit(spark, folder):
+    return forecast.insample_fit(
+        country_panel(spark, folder), ["Country"], "Confirmed", forecaster=forecast.additive_forecast
+    )

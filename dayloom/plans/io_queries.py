@@ -1 +1,303 @@
-"""To be filled."""
+"""Queries of the scans, sinks, incremental load and upsert: written to the scratch folder and read back."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from dayloom.functions import dates
+from dayloom.operators import columns
+from dayloom.plans.catalogue import query
+from dayloom.plans.views import PANEL_METRICS, events_daily, panel, raw_payloads, table, with_views
+from dayloom.schemas import API_RECORD, DAILY_PANEL
+from dayloom.session import scratch_path
+from dayloom.sources import documents, marks, sinks, tables
+
+LOAD_MARK = dt.datetime(2024, 1, 15)
+
+# --- CSV ---------------------------------------------------------------------------
+
+
+def _panel_file(spark, folder):
+    row = panel(spark, folder)
+    return row.select("Country", "Province", "Date", dates.month_scaled_day(F.col("Date")).alias("DateInt"),
+                      *PANEL_METRICS)
+
+
+_PANEL_FILE = with_views("panel", """
+    SELECT "Country", "Province", "Date", round(day("Date") / CAST(1.3 AS DOUBLE) + 30 * month("Date"), 6) AS "DateInt",
+           "Confirmed", "Deaths", "Recovered" FROM panel""")
+_NAMES = ["Country", "Province", "Date", "DateInt", *PANEL_METRICS]
+
+
+@query("scan_csv_headerless", _PANEL_FILE)
+def scan_csv_headerless(spark, folder):
+    path = scratch_path(spark, "headerless")
+    sinks.write_csv(_panel_file(spark, folder), path)
+    read = tables.read_headerless_csv(spark, path, _NAMES, DAILY_PANEL)
+    return read.withColumn("DateInt", F.round("DateInt", 6))
+
+
+@query("scan_csv_inferred", with_views("panel", """
+    SELECT "Country", "Province", "Date", CAST("Confirmed" AS BIGINT) AS "Confirmed" FROM panel"""))
+def scan_csv_inferred(spark, folder):
+    # Three write runs in one folder, as one table with equal rows kept once.
+    path = scratch_path(spark, "inferred")
+    rows = panel(spark, folder).select("Country", "Province", "Date", "Confirmed")
+    for mode in ("overwrite", "append", "append"):
+        sinks.write_csv(rows, path, mode)
+    read = tables.read_headerless_csv(spark, path, rows.columns, dedupe=True)
+    return columns.cast_metrics(read.withColumn("Date", F.to_date("Date")), ["Confirmed"])
+
+
+@query("scan_csv_header", """
+    SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'RAS' ELSE c_mktsegment END AS "Province_State",
+           c_nationkey AS "Country_Region", c_acctbal AS "ConfirmedCases" FROM customer""")
+def scan_csv_header(spark, folder):
+    path = scratch_path(spark, "header")
+    rows = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("Id"),
+        F.nullif("c_mktsegment", F.lit("BUILDING")).alias("Province_State"),
+        F.col("c_nationkey").alias("Country_Region"),
+        F.col("c_acctbal").alias("ConfirmedCases"),
+    )
+    sinks.write_csv(rows, path, header=True)
+    schema = "Id bigint, Province_State string, Country_Region int, ConfirmedCases double"
+    return tables.read_headered_csv(spark, path, schema, fill={"Province_State": columns.MISSING_PROVINCE})
+
+
+@query("scan_csv_sep", with_views("events_daily", """
+    SELECT event_type, "Date", n, cents FROM events_daily"""))
+def scan_csv_sep(spark, folder):
+    path = scratch_path(spark, "separated")
+    sinks.write_csv(events_daily(spark, folder), path, header=True, sep=";")
+    return tables.read_separated(spark, path, "event_type string, Date date, n bigint, cents bigint")
+
+
+@query("sink_csv_roundtrip", """
+    SELECT p_partkey, p_name, p_brand, p_retailprice, 'a,"b"' || chr(10) || p_type AS awkward FROM part""")
+def sink_csv_roundtrip(spark, folder):
+    path = scratch_path(spark, "roundtrip")
+    rows = table(spark, folder, "part").select(
+        "p_partkey", "p_name", "p_brand", "p_retailprice",
+        F.concat(F.lit('a,"b"\n'), F.col("p_type")).alias("awkward"),
+    )
+    rows.write.mode("overwrite").option("escape", '"').csv(path)
+    reader = spark.read.schema(rows.schema).option("multiLine", True).option("escape", '"')
+    return reader.csv(path)
+
+
+@query("sink_single_file", with_views("events_daily", """
+    SELECT event_type, "Date", n, cents, 1 AS files FROM events_daily"""))
+def sink_single_file(spark, folder):
+    path = scratch_path(spark, "single")
+    daily = events_daily(spark, folder)
+    sinks.write_single_file(daily, path)
+    files = tables.list_files(spark, path, "part-*.csv").agg(F.count(F.lit(1)).cast("int").alias("files"))
+    return spark.read.schema(daily.schema).csv(path).withColumn("files", files.scalar())
+
+
+@query("list_input_files", """
+    SELECT 'event_type=' || event_type AS folder, 1 AS files, true AS filled FROM events GROUP BY event_type""")
+def list_input_files(spark, folder):
+    path = scratch_path(spark, "listing")
+    events_daily(spark, folder).repartition("event_type").write.partitionBy("event_type").csv(path)
+    listed = tables.list_files(spark, path, "part-*.csv")
+    return listed.groupBy("folder").agg(
+        F.count(F.lit(1)).cast("int").alias("files"), F.min(F.col("length") > 0).alias("filled")
+    )
+
+
+# --- JSON ----------------------------------------------------------------------------
+
+_RECORDS = """
+    SELECT "Country", 'C' || split_part("Country", '_', 2) AS "CountryCode", {province} AS "Province",
+           CAST(NULL AS VARCHAR) AS "City", CAST(NULL AS VARCHAR) AS "CityCode",
+           CAST(split_part("Country", '_', 2) || '.5' AS DOUBLE) AS "Lat", CAST(NULL AS DOUBLE) AS "Lon",
+           CAST("Confirmed" AS INTEGER) AS "Confirmed", CAST("Deaths" AS INTEGER) AS "Deaths",
+           CAST("Recovered" AS INTEGER) AS "Recovered",
+           CAST("Confirmed" - "Deaths" - "Recovered" AS INTEGER) AS "Active",
+           strftime("Date", '%Y-%m-%dT00:00:00Z') AS "Date", md5("Country" || '/' || "Province") AS "LocationID"
+    FROM panel"""
+_BOTH_SHAPES = with_views("panel", _RECORDS.format(province="CAST(NULL AS VARCHAR)") + "\nUNION ALL" +
+                          _RECORDS.format(province='"Province"'))
+
+
+@query("json_array_explode", _BOTH_SHAPES)
+def json_array_explode(spark, folder):
+    return documents.explode_json_array(raw_payloads(spark, folder), "payload")
+
+
+@query("json_array_files", _BOTH_SHAPES)
+def json_array_files(spark, folder):
+    # Landed files of one JSON array per line, read by the column form.
+    path = scratch_path(spark, "landed")
+    raw_payloads(spark, folder).write.text(path)
+    landed = spark.read.text(path)
+    return documents.explode_json_array(landed, "value")
+
+
+@query("json_props_extract", """
+    SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(NULL AS VARCHAR) AS absent FROM events""")
+def json_props_extract(spark, folder):
+    return documents.extract_fields(table(spark, folder, "events"), "props", "k int, absent string", ["event_id"])
+
+
+@query("scan_documents", with_views("panel", """
+    SELECT "Country", CASE WHEN "Province" = 'BUILDING' THEN NULL ELSE "Province" END AS "Province",
+           CAST("Date" AS TIMESTAMP) AS "Date", "Confirmed" FROM panel WHERE "Confirmed" > 0"""))
+def scan_documents(spark, folder):
+    path = scratch_path(spark, "documents")
+    stored = sinks.forecast_documents(panel(spark, folder)).withColumn(
+        "Province", F.when(F.col("Province") == "BUILDING", F.lit("")).otherwise(F.col("Province"))
+    )
+    sinks.write_documents(stored, path)
+    schema = "Country string, Province string, Date string, Confirmed bigint, Deaths bigint, Recovered bigint"
+    read = documents.read_documents(
+        spark, path, schema, ["Country", "Province", "Date", "Confirmed"],
+        date_patterns={"Date": dates.DOCUMENT_PATTERN}, where=F.col("Confirmed") > 0,
+    )
+    absent = documents.read_documents(spark, f"{path}-absent", schema, read.columns)
+    return read.unionByName(absent.withColumn("Date", F.col("Date").cast("timestamp_ntz")))
+
+
+@query("scan_documents_arrays", with_views("panel", """
+    SELECT "Country", CASE WHEN "Province" = 'BUILDING' THEN 'RAS' ELSE "Province" END AS "Province",
+           CAST(sum("Confirmed") AS BIGINT) AS "Confirmed" FROM panel GROUP BY 1, 2"""))
+def scan_documents_arrays(spark, folder):
+    # Province is stored as an array, empty where it is unknown, and summed by its first element.
+    path = scratch_path(spark, "arrays")
+    province = F.when(F.col("Province") == "BUILDING", F.array().cast("array<string>")).otherwise(F.array("Province"))
+    sinks.write_documents(panel(spark, folder).withColumn("Province", province), path)
+    read = documents.read_documents(spark, path, "Country string, Province array<string>, Confirmed bigint")
+    named = read.withColumn("Province", columns.head_or_default(F.col("Province")))
+    return named.groupBy("Country", "Province").agg(F.sum("Confirmed").alias("Confirmed"))
+
+
+# --- bulk lines and documents -----------------------------------------------------------
+
+
+def _bulk_source(spark, folder):
+    row = panel(spark, folder)
+    record = columns.record_id(F.concat_ws("/", "Country", "Province"), F.col("Date").cast("string"))
+    return row.select(record.alias("_id"), "Country", "Province", F.col("Date").cast("string").alias("Date"), "Confirmed")
+
+
+@query("sink_bulk_ndjson", with_views("panel", """
+    WITH docs AS (SELECT "Country" || '/' || "Province" || '_' || CAST("Date" AS VARCHAR) AS _id,
+        '{"Country":"' || "Country" || '","Province":"' || "Province" || '","Date":"' || CAST("Date" AS VARCHAR)
+        || '","Confirmed":' || "Confirmed" || '}' AS doc FROM panel)
+    SELECT value, count(*) AS n FROM (
+        SELECT '{"index":{"_index":"panel", "_type":"_doc", "_id": "' || _id || '"}}' AS value FROM docs
+        UNION ALL SELECT doc FROM docs) GROUP BY value"""))
+def sink_bulk_ndjson(spark, folder):
+    path = scratch_path(spark, "bulk")
+    sinks.write_bulk(_bulk_source(spark, folder), path, "_id", "panel")
+    return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("nest_json_by_id", """
+    WITH docs AS (SELECT o_custkey AS _id, o_orderkey,
+        '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS doc FROM orders)
+    SELECT _id, CAST(0 AS BIGINT) AS part, '{"data":' || CASE WHEN count(*) = 1 THEN max(doc)
+           ELSE '[' || string_agg(doc, ',' ORDER BY o_orderkey) || ']' END || '}' AS json
+    FROM docs GROUP BY _id""")
+def nest_json_by_id(spark, folder):
+    rows = table(spark, folder, "orders").withColumnRenamed("o_custkey", "_id")
+    return sinks.nest_json(rows, "_id", ["o_orderkey", "o_orderstatus"], order=["o_orderkey"])
+
+
+@query("nest_json_unique", """
+    SELECT c_custkey AS _id, CAST(0 AS BIGINT) AS part,
+           '{"data":{"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}}' AS json FROM customer""")
+def nest_json_unique(spark, folder):
+    rows = table(spark, folder, "customer").withColumnRenamed("c_custkey", "_id")
+    return sinks.nest_json(rows, "_id", ["c_name", "c_mktsegment"])
+
+
+@query("sink_documents", with_views("events_daily", """
+    SELECT '{"event_type":"' || event_type || '","Date":"' || strftime("Date", '%d-%m-%Y 00:00:00') || '","n":'
+           || CASE WHEN n > 60 THEN CAST(n AS VARCHAR) ELSE 'null' END || ',"Predicted":-1}' AS value
+    FROM events_daily"""))
+def sink_documents(spark, folder):
+    path = scratch_path(spark, "sink")
+    daily = events_daily(spark, folder).select("event_type", "Date", F.when(F.col("n") > 60, F.col("n")).alias("n"))
+    sinks.write_documents(sinks.forecast_documents(daily, constants={"Predicted": -1}), path)
+    return spark.read.text(path)
+
+
+@query("push_payload", with_views("events_daily", """
+    SELECT "Date" AS ds, CAST(CASE WHEN n > 60 THEN n ELSE -1 END AS FLOAT) AS n, CAST(cents AS FLOAT) AS cents
+    FROM events_daily"""))
+def push_payload(spark, folder):
+    daily = events_daily(spark, folder).select(
+        F.col("Date").alias("ds"), F.when(F.col("n") > 60, F.col("n")).alias("n"), "cents", "event_type"
+    )
+    return sinks.push_payload(daily, ["ds", "n", "cents"]).drop("_id")
+
+
+# --- incremental load and upsert -----------------------------------------------------------
+
+
+@query("incremental_load", """
+    SELECT event_id, ts, event_type, value FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'""")
+def incremental_load(spark, folder):
+    state, target = scratch_path(spark, "mark"), scratch_path(spark, "loaded")
+    rows = table(spark, folder, "events").select("event_id", "ts", "event_type", "value")
+    marks.write_mark(spark, state, LOAD_MARK)
+    # A load, and a second one that finds nothing newer than the advanced mark.
+    for _ in range(2):
+        marks.incremental_load(rows, "ts", state, lambda fresh: fresh.write.mode("append").parquet(target))
+    return spark.read.parquet(target)
+
+
+@query("incremental_counts", """
+    SELECT count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-15 00:00:00') AS accepted,
+           count(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-15 00:00:00') AS rejected, max(ts) AS new_mark FROM events""")
+def incremental_counts(spark, folder):
+    return marks.load_counts(table(spark, folder, "events"), "ts", LOAD_MARK)
+
+
+@query("high_water_mark", "SELECT max(ts) AS mark, TIMESTAMP '2019-01-01 00:00:00' AS default_mark FROM events")
+def high_water_mark(spark, folder):
+    state = scratch_path(spark, "mark")
+    before = marks.read_mark(spark, state)
+    counts = marks.load_counts(table(spark, folder, "events"), "ts", before).first()
+    marks.write_mark(spark, state, counts["new_mark"])
+    stored = spark.read.parquet(state)
+    return stored.select("mark", F.lit(before).cast("timestamp_ntz").alias("default_mark"))
+
+
+@query("upsert_latest", """
+    WITH both_sides AS (
+        SELECT user_id, event_type, event_id, value, ts FROM events WHERE event_type <> 'error'
+        UNION ALL SELECT user_id, event_type, event_id, value + 1, ts FROM events WHERE event_type <> 'click')
+    SELECT user_id, event_type, event_id, value FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC, value DESC) AS r
+        FROM both_sides) WHERE r = 1""")
+def upsert_latest(spark, folder):
+    rows = table(spark, folder, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    old = rows.where("event_type <> 'error'")
+    new = rows.where("event_type <> 'click'").withColumn("value", F.col("value") + 1)
+    return sinks.upsert_latest(old, new, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("ingest_pipeline", with_views("panel", """
+    SELECT md5("Country" || '/' || "Province") || '_' || strftime("Date", '%Y-%m-%dT00-00-00Z') AS _id,
+           "Country", "Province", strftime("Date", '%d-%m-%Y 00:00:00') AS "Date",
+           CAST("Confirmed" AS INTEGER) AS "Confirmed"
+    FROM panel WHERE "Date" > DATE '1998-01-01'"""))
+def ingest_pipeline(spark, folder):
+    # Payload -> records -> id, dates and mark -> one row per id (the province shape is the later version).
+    records = documents.explode_json_array(raw_payloads(spark, folder), "payload", API_RECORD)
+    mapped = records.select(
+        columns.record_id(F.col("LocationID"), F.col("Date")).alias("_id"),
+        "Country", "Province", "Confirmed",
+        dates.parse_timestamp(F.col("Date"), dates.API_PATTERN).alias("DateReal"),
+    )
+    fresh = marks.newer_than(mapped, "DateReal", dt.datetime(1998, 1, 1))
+    versioned = fresh.withColumn("_version", F.col("Province").isNotNull().cast("int"))
+    latest = columns.latest_per_key(versioned, ["_id"], ["_version"])
+    return latest.select("_id", "Country", "Province",
+                         dates.format_document_date(F.col("DateReal")).alias("Date"), "Confirmed")

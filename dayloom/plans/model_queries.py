@@ -1 +1,172 @@
-"""To be filled."""
+"""Queries of features, regressors, grid search and per-key models."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import functions as F
+
+from dayloom.operators import features, joins, lags, models
+from dayloom.plans.catalogue import query
+from dayloom.plans.views import country_panel, events_daily, places, table, with_views
+from dayloom.session import materialise, scratch_path
+
+HORIZON = 7
+_KEY = ["Country"]
+
+
+def training_rows(spark, folder):
+    """Country panel with its index, seven zero-filled lags, feature vector and label."""
+    dictionary = joins.fit_dictionary(places(spark, folder), "Country", "CountryIndex")
+    encoded = joins.encode(country_panel(spark, folder), dictionary, _KEY)
+    lagged = lags.lag_features(encoded, _KEY, "Confirmed", HORIZON, fill=0)
+    rows = features.assemble_lags(lagged, ["CountryIndex"], "Confirmed", HORIZON)
+    return rows.withColumn("label", F.col("Confirmed").cast("double"))
+
+
+def stored_training_rows(spark, folder):
+    """Training reads its input once per tree level, so it reads a stored table."""
+    rows = training_rows(spark, folder).select("Country", "CountryIndex", "Date", "features", "label")
+    split = features.hash_split(rows, ["Country", "Date"])
+    return materialise(split, "training")
+
+
+def _vector_text(vector):
+    return F.concat_ws(",", F.transform(vector_to_array(vector), lambda x: x.cast("bigint").cast("string")))
+
+
+_LAG_LIST = " || ',' || ".join(
+    f"""coalesce(max("Confirmed") OVER (PARTITION BY "Country" ORDER BY "Date"
+        RANGE BETWEEN INTERVAL {h} DAYS PRECEDING AND INTERVAL {h} DAYS PRECEDING), 0)"""
+    for h in range(1, HORIZON + 1)
+)
+
+
+@query("assemble_features", with_views("country_panel", f"""
+    WITH idx AS (SELECT n_name AS "Country", row_number() OVER (ORDER BY count(*) DESC, n_name) - 1 AS i
+                 FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name)
+    SELECT "Country", "Date", i || ',' || {_LAG_LIST} AS features, CAST("Confirmed" AS DOUBLE) AS label
+    FROM country_panel JOIN idx USING ("Country")"""))
+def assemble_features(spark, folder):
+    return training_rows(spark, folder).select("Country", "Date", _vector_text("features").alias("features"), "label")
+
+
+@query("hash_split", """
+    SELECT o_orderkey, CAST('0x' || substr(md5(o_orderkey || '|1234'), 1, 8) AS BIGINT) % 1000 < 900 AS is_train
+    FROM orders""")
+def hash_split(spark, folder):
+    return features.hash_split(table(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
+@query("gbt_forecast")
+def gbt_forecast(spark, folder):
+    rows = stored_training_rows(spark, folder)
+    fitted = models.gbt(maxIter=10, maxDepth=5, maxBins=32).fit(rows.where("is_train"))
+    return fitted.transform(rows).select("Country", "Date", "label", "is_train", "prediction")
+
+
+@query("rf_forecast")
+def rf_forecast(spark, folder):
+    rows = stored_training_rows(spark, folder)
+    fitted = models.forest(numTrees=10, maxDepth=6, maxBins=32).fit(rows.where("is_train"))
+    return fitted.transform(rows).select("Country", "Date", "label", "is_train", "prediction")
+
+
+@query("glm_fit", with_views("events_daily", """
+    SELECT round(regr_slope(n, dayofyear("Date")), 4) AS slope,
+           round(regr_intercept(n, dayofyear("Date")), 4) AS intercept FROM events_daily"""))
+def glm_fit(spark, folder):
+    daily = events_daily(spark, folder).select(
+        F.dayofyear("Date").cast("double").alias("day"), F.col("n").cast("double").alias("label")
+    )
+    fitted = models.glm(family="gaussian").fit(materialise(features.assemble(daily, ["day"]), "glm"))
+    return spark.createDataFrame(
+        [(round(float(fitted.coefficients[0]), 4), round(float(fitted.intercept), 4))], "slope double, intercept double"
+    )
+
+
+@query("glm_families")
+def glm_families(spark, folder):
+    rows = stored_training_rows(spark, folder)
+    train, test = rows.where("is_train"), rows.where("NOT is_train")
+    results = []
+    for family in ("gaussian", "poisson"):
+        fitted = models.glm(family=family, regParam=0.3, maxIter=20).fit(train)
+        results.append(models.rmse_by_key(fitted.transform(test)).withColumn("family", F.lit(family)))
+    return results[0].unionByName(results[1])
+
+
+@query("cv_grid_metrics")
+def cv_grid_metrics(spark, folder):
+    rows = features.time_folds(stored_training_rows(spark, folder), 3)
+    fitted = models.cross_validate(
+        rows.where("is_train"), models.gbt(maxIter=3), {"maxDepth": [2, 4], "maxBins": [16, 32]}, fold_col="fold"
+    )
+    return models.grid_metrics(spark, fitted)
+
+
+@query("holdout_metrics")
+def holdout_metrics(spark, folder):
+    rows = stored_training_rows(spark, folder)
+    fitted = models.cross_validate(rows.where("is_train"), models.gbt(maxIter=3), {"maxDepth": [2, 4]}, folds=3)
+    return models.holdout_metrics(fitted, rows.where("NOT is_train"))
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark, folder):
+    rows = stored_training_rows(spark, folder)
+    path = scratch_path(spark, "model")
+    fitted = models.gbt(maxIter=3, maxDepth=3).fit(rows)
+    loaded = models.fit_if_absent(spark, path, GBTRegressionModel, lambda: fitted)
+    again = fitted.transform(rows).withColumnRenamed("prediction", "before").drop("features")
+    both = joins.null_safe_join(again, loaded.transform(rows).select("Country", "Date", "prediction"), ["Country", "Date"])
+    return both.groupBy("Country").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.col("before") == F.col("prediction")).alias("same")
+    )
+
+
+@query("rmse_by_key", with_views("country_panel", """
+    WITH scored AS (SELECT "Country", "Confirmed" AS label, coalesce(max("Confirmed") OVER (PARTITION BY "Country"
+        ORDER BY "Date" RANGE BETWEEN INTERVAL 1 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING), 0) AS prediction
+        FROM country_panel)
+    SELECT "Country", count(*) AS n, round(sqrt(avg((prediction - label) * (prediction - label))), 6) AS rmse
+    FROM scored GROUP BY "Country" """))
+def rmse_by_key(spark, folder):
+    # Scored by yesterday's value.
+    lagged = lags.lag_features(country_panel(spark, folder), _KEY, "Confirmed", 1, fill=0)
+    scored = lagged.select("Country", F.col("Confirmed").alias("label"), F.col("Confirmed_1").alias("prediction"))
+    return models.rmse_by_key(scored, _KEY).withColumn("rmse", F.round("rmse", 6))
+
+
+@query("per_key_trend", with_views("country_panel", """
+    SELECT "Country", round(regr_slope("Confirmed", date_diff('day', DATE '1970-01-01', "Date")), 6) AS slope,
+           round(regr_intercept("Confirmed", date_diff('day', DATE '1970-01-01', "Date")), 4) AS intercept,
+           count(*) AS n, min("Date") AS first_day, max("Date") AS last_day
+    FROM country_panel GROUP BY "Country" """))
+def per_key_trend(spark, folder):
+    fits = models.trend_per_key(country_panel(spark, folder), _KEY, "Confirmed")
+    return fits.drop("sd").withColumns({"slope": F.round("slope", 6), "intercept": F.round("intercept", 4)})
+
+
+_ONE_LAG = with_views("country_panel", """
+    WITH lagged AS (SELECT "Country", CAST("Confirmed" AS DOUBLE) AS y, CAST(coalesce(max("Confirmed") OVER
+        (PARTITION BY "Country" ORDER BY "Date" RANGE BETWEEN INTERVAL 1 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING),
+        0) AS DOUBLE) AS x FROM country_panel)
+    SELECT "Country", round(regr_slope(y, x), 6) AS weight, round(regr_intercept(y, x), 6) AS intercept, count(*) AS n
+    FROM lagged GROUP BY "Country" """)
+
+
+@query("per_key_one_lag", _ONE_LAG)
+def per_key_one_lag(spark, folder):
+    lagged = lags.lag_features(country_panel(spark, folder), _KEY, "Confirmed", 1, fill=0)
+    fits = models.ridge_per_key(lagged, _KEY, "Confirmed", 1, penalty=0.0)
+    return fits.select(
+        "Country", F.round(F.get("weights", F.lit(0)), 6).alias("weight"), F.round("intercept", 6).alias("intercept"), "n"
+    )
+
+
+@query("per_key_models")
+def per_key_models(spark, folder):
+    lagged = lags.lag_features(country_panel(spark, folder), _KEY, "Confirmed", 15, fill=0)
+    fits = models.ridge_per_key(lagged, _KEY, "Confirmed", 15)
+    return fits.select("Country", F.posexplode("weights").alias("lag", "weight"), "intercept", "n")

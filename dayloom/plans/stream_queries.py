@@ -1 +1,61 @@
-"""To be filled."""
+"""Streaming queries, run over what is there now and read back from their sinks."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from dayloom import streaming
+from dayloom.operators.features import md5_bucket
+from dayloom.plans.catalogue import query
+from dayloom.plans.views import cents, table, with_views
+from dayloom.session import scratch_path
+
+
+def _measures():
+    return {"n": F.count(F.lit(1)), "cents": F.sum(cents(F.col("value")))}
+
+
+def _events(spark, folder, **options):
+    schema = table(spark, folder, "events").schema
+    return streaming.file_stream(spark, f"{folder.rstrip('/')}/events.parquet", schema, **options)
+
+
+def _finish(stream_query):
+    stream_query.awaitTermination()
+
+
+@query("stream_daily_rollup", with_views("events_daily", "SELECT * FROM events_daily"))
+def stream_daily_rollup(spark, folder):
+    path, checkpoint = scratch_path(spark, "rollup"), scratch_path(spark, "rollup-checkpoint")
+    rolled = streaming.daily_rollup(_events(spark, folder), "ts", ["event_type"], _measures())
+    _finish(streaming.start_rollup(rolled, path, checkpoint))
+    return streaming.rollup_table(spark, path, ["event_type"])
+
+
+@query("stream_incremental", """
+    SELECT event_id, ts, event_type, value FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00'""")
+def stream_incremental(spark, folder):
+    path, checkpoint = scratch_path(spark, "increment"), scratch_path(spark, "increment-checkpoint")
+    mark = dt.datetime(2024, 1, 10)
+    # The second run finds no new files and adds nothing.
+    for _ in range(2):
+        _finish(streaming.start_incremental(_events(spark, folder), "ts", mark, path, checkpoint))
+    return spark.read.parquet(path).select("event_id", "ts", "event_type", "value")
+
+
+@query("stream_upsert", """
+    SELECT user_id, event_type, event_id, value FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)
+    WHERE r = 1""")
+def stream_upsert(spark, folder):
+    path, checkpoint = scratch_path(spark, "upsert"), scratch_path(spark, "upsert-checkpoint")
+    # Land the events as several files, so that keys recur over micro-batches.
+    landed = scratch_path(spark, "upsert-landed")
+    events = table(spark, folder, "events")
+    events.repartition(4, md5_bucket(["event_id"], 4)).write.parquet(landed)
+    keys, version = ["user_id", "event_type"], ["ts", "event_id"]
+    stream = streaming.file_stream(spark, landed, events.schema, files_per_batch=1)
+    _finish(streaming.start_upsert(stream, keys, version, path, checkpoint))
+    return streaming.read_upserted(spark, path, keys, version).select(*keys, "event_id", "value")

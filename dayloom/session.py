@@ -67,7 +67,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file, a folder or anything matching a glob is there."""
+    system, target = _file_system(spark, path)
+    found = system.globStatus(target)
+    return found is not None and len(found) > 0
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables (call when results are consumed)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    system, target = _file_system(spark, scratch_root(spark))
+    system.delete(target, True)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dayloom.functions.dates import parse_timestamp
 from dayloom.schemas import API_RECORD
+from dayloom.session import path_exists
+
+FILE_FORMATS = {"json", "parquet", "orc", "csv", "text", "avro"}
 
 
 def _struct(schema: T.StructType | str) -> T.StructType:
@@ -76,13 +78,11 @@ def read_documents(
     where it supports that. Connection settings come from the caller's options.
     """
     struct = _struct(schema)
-    reader = spark.read.format(format).schema(struct).options(**(options or {}))
-    try:
-        df = reader.load(source) if source else reader.load()
-    except AnalysisException as error:
-        if not missing_as_empty or error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if missing_as_empty and source and format in FILE_FORMATS and not path_exists(spark, source):
         df = spark.createDataFrame([], struct)
+    else:
+        reader = spark.read.format(format).schema(struct).options(**(options or {}))
+        df = reader.load(source) if source else reader.load()
     if where is not None:
         df = df.where(where)
     df = df.select(*(fields or struct.names))

@@ -4,23 +4,20 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dayloom.schemas import HIGH_WATER_MARK
+from dayloom.session import path_exists
 
 DEFAULT_MARK = dt.datetime(2019, 1, 1)
 
 
 def read_mark(spark: SparkSession, path: str, default: dt.datetime = DEFAULT_MARK) -> dt.datetime:
     """The greatest mark stored so far, or the default where none is stored."""
-    try:
-        marks = spark.read.schema(HIGH_WATER_MARK).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not path_exists(spark, path):
         return default
+    marks = spark.read.schema(HIGH_WATER_MARK).parquet(path)
     return marks.agg(F.max("mark").alias("mark")).first()["mark"] or default
 
 

@@ -45,6 +45,12 @@ def read_separated(spark: SparkSession, path: str, schema: StructType | str, sep
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Names and sizes of the files that match a glob, sorted by name; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length").orderBy("name")
+    """Folder, name and size of the files that match a glob, sorted by name; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    parts = F.split("path", "/")
+    return (
+        files.option("recursiveFileLookup", True)
+        .load(folder)
+        .select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), "length")
+        .orderBy("folder", "name")
+    )
