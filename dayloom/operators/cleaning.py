@@ -139,9 +139,9 @@ def date_measures(df: DataFrame, a: str, b: str, week_rule: str = "us") -> DataF
 
 
 def assign_sequence(df: DataFrame, name: str, order: Sequence[str], start: int = 1, step: int = 1,
-                    output: str = "sequence") -> DataFrame:
+                    output: str = "sequence", unique_order: bool = False) -> DataFrame:
     """Number the rows of each name from ``start`` by ``step`` in the given order."""
-    return number_rows(df, output, [F.col(c) for c in order], [name], start, step)
+    return number_rows(df, output, [F.col(c) for c in order], [name], start, step, unique_order)
 
 
 def null_profile(df: DataFrame) -> DataFrame:

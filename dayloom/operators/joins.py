@@ -36,7 +36,7 @@ def fit_dictionary(df: DataFrame, label: str, index: str) -> DataFrame:
     one of ``number_rows``: the labels are never gathered in one place.
     """
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    numbered = number_rows(counts, index, [F.col("n").desc(), F.col(label).asc()])
+    numbered = number_rows(counts, index, [F.col("n").desc(), F.col(label).asc()], unique_order=True)
     return materialise(numbered.select(label, F.col(index).cast("int").alias(index)), "dictionary")
 
 

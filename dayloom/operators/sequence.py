@@ -19,6 +19,7 @@ def number_rows(
     names: Sequence[str] = (),
     start: int = 0,
     step: int = 1,
+    unique_order: bool = False,
 ) -> DataFrame:
     """Number the rows of each name ``start, start + step, ...`` in the given order.
 
@@ -28,11 +29,20 @@ def number_rows(
     has in earlier partitions. A hot name spreads over many partitions; the
     window runs over at most one row per (name, partition). The positions are
     stored before they are used twice, so both uses see the same partitioning.
+
+    Unless the order is known to be unique within a name, ties are broken by the
+    place of a row in a stored copy of the input: repeatable, and different even
+    for identical rows, so that a large group of ties spreads as well.
     """
     columns = df.columns
     sort = [F.col(n).asc() for n in names] + list(order)
+    if not unique_order:
+        df = materialise(df, "sequence-input").select(
+            "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
+        )
+        sort += [F.col("_file"), F.col("_row")]
     ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    marked = materialise(ranged.withColumn("_mark", F.monotonically_increasing_id()), "sequence")
+    marked = materialise(ranged.select(*columns, F.monotonically_increasing_id().alias("_mark")), "sequence")
     marked = marked.select(
         "*",
         F.shiftright("_mark", _POSITION_BITS).alias("_part"),

@@ -324,7 +324,20 @@ def date_measures(spark, folder):
            100 + 5 * (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) AS sequence FROM orders""")
 def assign_sequence(spark, folder):
     rows = table(spark, folder, "orders").select("o_orderstatus", "o_orderkey")
-    return cleaning.assign_sequence(rows, "o_orderstatus", ["o_orderkey"], 100, 5)
+    return cleaning.assign_sequence(rows, "o_orderstatus", ["o_orderkey"], 100, 5, unique_order=True)
+
+
+@query("assign_sequence_ties", """
+    SELECT l_returnflag, min(sequence) AS first, max(sequence) AS last, count(DISTINCT sequence) AS n
+    FROM (SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_linestatus) AS sequence FROM lineitem)
+    GROUP BY 1""")
+def assign_sequence_ties(spark, folder):
+    # The order column has two values: every number is a tie broken by the row's place.
+    rows = table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus")
+    numbered = cleaning.assign_sequence(rows, "l_returnflag", ["l_linestatus"])
+    return numbered.groupBy("l_returnflag").agg(
+        F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count_distinct("sequence").alias("n")
+    )
 
 
 @query("null_profile", """

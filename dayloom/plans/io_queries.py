@@ -205,7 +205,7 @@ def sink_bulk_ndjson(spark, folder):
     FROM docs GROUP BY _id""")
 def nest_json_by_id(spark, folder):
     rows = table(spark, folder, "orders").withColumnRenamed("o_custkey", "_id")
-    return sinks.nest_json(rows, "_id", ["o_orderkey", "o_orderstatus"], order=["o_orderkey"])
+    return sinks.nest_json(rows, "_id", ["o_orderkey", "o_orderstatus"], order=["o_orderkey"], unique_order=True)
 
 
 @query("nest_json_unique", """

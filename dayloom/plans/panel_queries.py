@@ -565,3 +565,25 @@ def round_predictions(spark, folder):
     return table(spark, folder, "customer").select(
         "c_custkey", columns.round_half_up(F.col("c_acctbal") - 500).alias("rounded")
     )
+
+
+# --- flagship ----------------------------------------------------------------------------
+
+
+@query("daily_new_cases", with_views("cum_panel", """
+    WITH daily AS (
+        SELECT a."Country", a."Province", a."Date", coalesce(a."Confirmed" - b."Confirmed", 0) AS new
+        FROM cum_panel a LEFT JOIN cum_panel b ON a."Country" = b."Country" AND a."Province" = b."Province"
+         AND a."Date" = CAST(b."Date" + INTERVAL 1 DAY AS DATE))
+    SELECT *, """ + ", ".join(
+        f"""coalesce(max(new) OVER (PARTITION BY "Country", "Province" ORDER BY "Date"
+            RANGE BETWEEN INTERVAL {h} DAYS PRECEDING AND INTERVAL {h} DAYS PRECEDING), 0) AS new_{h}"""
+        for h in range(1, 8)) + """,
+        CAST(sum(new) OVER (PARTITION BY "Country", "Province" ORDER BY "Date") AS BIGINT) AS running
+    FROM daily"""))
+def daily_new_cases(spark, folder):
+    """Published totals to daily new cases with seven lags and a running total."""
+    totals = cum_panel(spark, folder).select(*PANEL_KEYS, "Date", F.col("Confirmed").alias("new"))
+    daily = panel.decumulate(totals, PANEL_KEYS, ["new"], fill=0)
+    lagged = lags.lag_features(daily, PANEL_KEYS, "new", 7, fill=0)
+    return panel.cumulate(lagged.withColumn("running", F.col("new")), PANEL_KEYS, ["running"])

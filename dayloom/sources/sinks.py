@@ -53,7 +53,7 @@ def write_bulk(df: DataFrame, path: str, record_id: str, index: str, type_name:
 
 
 def nest_json(df: DataFrame, record_id: str, columns: Sequence[str], order: Sequence[str] | None = None,
-              root: str = "data", max_rows: int = 10_000) -> DataFrame:
+              root: str = "data", max_rows: int = 10_000, unique_order: bool = False) -> DataFrame:
     """One JSON document per id: an object for one row, an array for several.
 
     Without ``order`` the ids are taken as unique and nothing is shuffled. With it,
@@ -66,7 +66,8 @@ def nest_json(df: DataFrame, record_id: str, columns: Sequence[str], order: Sequ
         json = F.concat(F.lit(f'{{"{root}":'), document, F.lit("}"))
         return df.select(record_id, F.lit(0).cast("bigint").alias("part"), json.alias("json"))
     rows = df.select(record_id, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], document.alias("_doc"))
-    numbered = number_rows(rows, "_n", [F.col(f"_o{i}") for i in range(len(order))], [record_id])
+    numbered = number_rows(rows, "_n", [F.col(f"_o{i}") for i in range(len(order))], [record_id],
+                           unique_order=unique_order)
     part = F.floor(F.col("_n") / max_rows).cast("bigint").alias("part")
     listed = F.sort_array(F.collect_list(F.struct("_n", "_doc")))
     joined = F.array_join(F.transform(listed, lambda r: r["_doc"]), ",")
