@@ -121,13 +121,13 @@ def escape_chars(text: Column, escape: str) -> Column:
 
 
 def remove_accents(text: Column) -> Column:
-    """Spell the letters U+00C0 .. U+00FF plainly; others stay."""
+    """Spell the letters U+00C0 .. U+00FF plainly; others stay (ASCII texts are not walked)."""
     single = [(a, b) for a, b in zip(ACCENTED, UNACCENTED) if len(b) == 1]
     plain = F.translate(text, "".join(a for a, _ in single), "".join(b for _, b in single))
     for a, b in zip(ACCENTED, UNACCENTED):
         if len(b) > 1:
             plain = F.replace(plain, F.lit(a), F.lit(b))
-    return plain
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(plain)
 
 
 def join_parts(separator: str, *parts: Column) -> Column:
@@ -175,9 +175,17 @@ def is_alpha(text: Column) -> Column:
 
 
 def is_sorted(text: Column) -> Column:
-    """Characters in non-decreasing order (false for null)."""
-    chars = F.split(text, "")
-    return F.coalesce(F.array_sort(chars) == chars, F.lit(False))
+    """Characters in non-decreasing order (false for null).
+
+    Most texts already break the order within their first characters; only the
+    others are split and sorted as a whole.
+    """
+
+    def in_order(part: Column) -> Column:
+        chars = F.split(part, "")
+        return F.sort_array(chars) == chars
+
+    return F.when(text.isNull() | ~in_order(F.substring(text, 1, 32)), False).otherwise(in_order(text))
 
 
 def size(text: Column) -> Column:
@@ -194,8 +202,7 @@ def occurrences(text: Column, part: str) -> Column:
     """Number of (overlapping) occurrences, 0 for null."""
     if not part:
         raise ValueError("cannot count an empty text")
-    overlaps_itself = any(part.startswith(part[i:]) for i in range(1, len(part)))
-    if overlaps_itself:
+    if _overlaps_itself(part):
         count = F.regexp_count(text, F.lit(f"(?={re.escape(part)})"))
     else:
         rest = F.length(F.replace(text, F.lit(part), F.lit("")))
@@ -203,6 +210,10 @@ def occurrences(text: Column, part: str) -> Column:
     return F.coalesce(count, F.lit(0))
 
 
+def _overlaps_itself(part: str) -> bool:
+    return any(part.startswith(part[i:]) for i in range(1, len(part)))
+
+
 def nth_position(text: Column, part: str, start: int = 1, occurrence: int = 1) -> Column:
     """Position of the n-th occurrence, 0 if there is none.
 
@@ -213,12 +224,19 @@ def nth_position(text: Column, part: str, start: int = 1, occurrence: int = 1) -
         raise ValueError("occurrence must be positive")
     searchable = F.when(F.length(text) > 1, text)
     if start < 0:
+        head = searchable
+        if start < -1:
+            last = F.greatest(F.length(searchable) + (start + 1), F.lit(0))
+            head = F.substring(searchable, F.lit(1), last)
+        if not _overlaps_itself(part):
+            rest = F.substring_index(head, part, -occurrence)
+            at = F.length(head) - F.length(rest) - len(part) + 1
+            return F.when(rest == head, F.lit(0)).when(head.isNotNull(), at)
         # Search the reversed head forwards: its first hit is the head's last one.
         # Backward hits may not overlap, so each search resumes after the last.
-        head = F.substring(searchable, F.lit(1), F.greatest(F.length(searchable) + (start + 1), F.lit(0)))
         found = _walk(F.reverse(head), part[::-1], occurrence, step=len(part))
         return F.when(found > 0, F.length(head) - found - len(part) + 2).when(found == 0, 0)
-    tail = F.substring(searchable, F.lit(max(start, 1)), F.length(searchable))
+    tail = searchable if start <= 1 else F.substring(searchable, F.lit(start), F.length(searchable))
     return _walk(tail, part, occurrence, step=1)
 
 

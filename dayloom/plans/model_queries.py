@@ -148,21 +148,17 @@ def per_key_trend(spark, folder):
     return fits.drop("sd").withColumns({"slope": F.round("slope", 6), "intercept": F.round("intercept", 4)})
 
 
-_ONE_LAG = with_views("country_panel", """
-    WITH lagged AS (SELECT "Country", CAST("Confirmed" AS DOUBLE) AS y, CAST(coalesce(max("Confirmed") OVER
-        (PARTITION BY "Country" ORDER BY "Date" RANGE BETWEEN INTERVAL 1 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING),
-        0) AS DOUBLE) AS x FROM country_panel)
-    SELECT "Country", round(regr_slope(y, x), 6) AS weight, round(regr_intercept(y, x), 6) AS intercept, count(*) AS n
-    FROM lagged GROUP BY "Country" """)
-
-
-@query("per_key_one_lag", _ONE_LAG)
+@query("per_key_one_lag", with_views("events_daily", """
+    WITH lagged AS (SELECT event_type, CAST(n AS DOUBLE) AS y, CAST(coalesce(max(n) OVER
+        (PARTITION BY event_type ORDER BY "Date" RANGE BETWEEN INTERVAL 1 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING),
+        0) AS DOUBLE) AS x FROM events_daily)
+    SELECT event_type, round(regr_slope(y, x), 6) AS weight, round(regr_intercept(y, x), 6) AS intercept, count(*) AS n
+    FROM lagged GROUP BY event_type"""))
 def per_key_one_lag(spark, folder):
-    lagged = lags.lag_features(country_panel(spark, folder), _KEY, "Confirmed", 1, fill=0)
-    fits = models.ridge_per_key(lagged, _KEY, "Confirmed", 1, penalty=0.0)
-    return fits.select(
-        "Country", F.round(F.get("weights", F.lit(0)), 6).alias("weight"), F.round("intercept", 6).alias("intercept"), "n"
-    )
+    lagged = lags.lag_features(events_daily(spark, folder), ["event_type"], "n", 1, fill=0)
+    fits = models.ridge_per_key(lagged, ["event_type"], "n", 1, penalty=0.0)
+    weight = F.round(F.get("weights", F.lit(0)), 6).alias("weight")
+    return fits.select("event_type", weight, F.round("intercept", 6).alias("intercept"), "n")
 
 
 @query("per_key_models")

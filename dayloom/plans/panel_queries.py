@@ -13,8 +13,8 @@ from dayloom.plans.views import (
     country_panel,
     cum_panel,
     events_daily,
-    places,
     table,
+    with_place,
     with_views,
 )
 from dayloom.plans.views import panel as panel_view
@@ -376,8 +376,7 @@ def null_safe_join(spark, folder):
 
 
 def _country_rows(spark, folder):
-    orders = table(spark, folder, "orders").select("o_custkey")
-    return orders.join(places(spark, folder), F.col("o_custkey") == F.col("c_custkey"))
+    return with_place(table(spark, folder, "orders").select("o_custkey"), spark, folder)
 
 
 @query("dict_encode", with_views("panel dictionary", """

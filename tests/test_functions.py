@@ -72,7 +72,15 @@ def values(spark, rows, schema, *columns):
         (lambda: text.nth_position(F.lit("banana"), "an", -3), 2),
         (lambda: text.nth_position(F.lit("banana"), "an", -1, 2), 2),
         (lambda: text.nth_position(F.lit("banana"), "an", -1, 3), 0),
+        (lambda: text.nth_position(F.lit("aaaaa"), "aa", -1, 2), 2),
+        (lambda: text.nth_position(F.lit("aaaaa"), "aa", -2, 1), 3),
+        (lambda: text.nth_position(F.lit("a b c"), " ", -1, 2), 2),
+        (lambda: text.nth_position(F.lit("a b c"), " ", -1, 3), 0),
+        (lambda: text.nth_position(F.lit(" b c"), " ", -1, 2), 1),
+        (lambda: text.nth_position(F.lit(None).cast("string"), " ", -1), None),
         (lambda: text.nth_position(F.lit("a"), "a"), None),
+        (lambda: text.is_sorted(F.lit("a" * 40 + "b")), True),
+        (lambda: text.is_sorted(F.lit("b" * 40 + "a")), False),
         (lambda: text.byte_position(F.lit("éa-b"), "-"), 4),
         (lambda: numbers.half_up(F.lit(-2.5)), -2),
         (lambda: numbers.half_up(F.lit(2.5)), 3),
