@@ -60,7 +60,11 @@ def as_day(df: DataFrame, as_of: Column | dt.date | None, date: str) -> Column:
 def filter_recent(
     df: DataFrame, days: int, date: str = "Date", as_of: Column | dt.date | None = None
 ) -> DataFrame:
-    """Rows no older than ``days`` before the reference day."""
+    """Rows no older than ``days`` before the reference day.
+
+    ``date`` may be a date or a timestamp column; of a stored one the bound reaches
+    the scan.
+    """
     return df.where(F.col(date) >= F.date_sub(as_day(df, as_of, date), days))
 
 
@@ -70,8 +74,8 @@ def filter_on_date(df: DataFrame, day: Column | dt.date | None, date: str = "Dat
 
 
 def filter_after(df: DataFrame, other: DataFrame, date: str = "Date") -> DataFrame:
-    """Rows strictly after the last day of another table."""
-    return df.where(F.col(date) > max_date(other, date))
+    """Rows on days strictly after the last day of another table."""
+    return df.where(F.col(date) >= F.date_add(max_date(other, date), 1))
 
 
 def mask_after(df: DataFrame, metric: str, cutoff: Column, date: str = "Date", inclusive: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dayloom.operators.columns import prefix_columns
 from dayloom.operators.joins import null_safe_join
-from dayloom.operators.panel import assert_unique, by_day, calendar_lag
+from dayloom.operators.panel import assert_unique, calendar_lag
 
 
 def lag_names(metric: str, horizon: int) -> list[str]:
@@ -32,10 +32,9 @@ def lag_features(
     """
     if check_unique:
         assert_unique(df, keys, date)
-    window = by_day(keys, date)
     lags = {}
     for h, name in enumerate(lag_names(metric, horizon), start=1):
-        lag = calendar_lag(metric, h, window)
+        lag = calendar_lag(metric, h, keys, date)
         lags[name] = lag if fill is None else F.coalesce(lag, F.lit(fill))
     return df.withColumns(lags)
 

@@ -65,13 +65,24 @@ def assert_unique(df: DataFrame, keys: Sequence[str], date: str = "Date") -> Dat
 # --- windows over calendar days -----------------------------------------------
 
 def by_day(keys: Sequence[str], date: str = "Date") -> WindowSpec:
-    """Per key, ordered by day number, so that range frames count calendar days."""
-    return Window.partitionBy(*keys).orderBy(F.unix_date(F.col(date)))
+    """Per key, in the order of days (a ``DateType`` column)."""
+    return Window.partitionBy(*keys).orderBy(date)
 
 
-def calendar_lag(metric: str, days: int, window: WindowSpec) -> Column:
-    """The metric exactly ``days`` calendar days earlier; null where that day is absent."""
-    return F.max(metric).over(window.rangeBetween(-days, -days))
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def calendar_lag(metric: str, days: int, keys: Sequence[str], date: str = "Date") -> Column:
+    """The metric exactly ``days`` calendar days earlier; null where that day is absent.
+
+    A range frame over the ``DateType`` column itself, not over a number made of it,
+    so that all windows of a plan share one sort. SQL text, since only there a frame
+    over dates takes whole days.
+    """
+    partition = f"PARTITION BY {', '.join(_quoted(k) for k in keys)} " if keys else ""
+    frame = f"RANGE BETWEEN {int(days)} PRECEDING AND {int(days)} PRECEDING"
+    return F.expr(f"max({_quoted(metric)}) OVER ({partition}ORDER BY {_quoted(date)} {frame})")
 
 
 def cumulate(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], date: str = "Date") -> DataFrame:
@@ -88,8 +99,7 @@ def decumulate(
     Null where the previous day is absent, or ``fill`` if given. Negative
     differences (corrections of the source) are kept.
     """
-    window = by_day(keys, date)
-    differences = {m: F.col(m) - calendar_lag(m, 1, window) for m in metrics}
+    differences = {m: F.col(m) - calendar_lag(m, 1, keys, date) for m in metrics}
     if fill is not None:
         differences = {m: F.coalesce(d, F.lit(fill)) for m, d in differences.items()}
     return df.withColumns(differences)

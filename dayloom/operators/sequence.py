@@ -55,6 +55,8 @@ def number_rows(
         F.col("_part").alias("_p"),
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
+    # Stored, so that the join is broadcast exactly when this table is small.
+    shifts = materialise(shifts, "sequence-shifts")
     same_run = F.col("_part") == F.col("_p")
     for n in names:
         same_run = same_run & F.col(n).eqNullSafe(F.col(f"_n_{n}"))

@@ -157,8 +157,7 @@ def lag_join(spark, folder):
 
 @query("lag_window", _LAG_3)
 def lag_window(spark, folder):
-    window = panel.by_day(PANEL_KEYS)
-    return panel_view(spark, folder).withColumn("Confirmed_3", panel.calendar_lag("Confirmed", 3, window))
+    return panel_view(spark, folder).withColumn("Confirmed_3", panel.calendar_lag("Confirmed", 3, PANEL_KEYS))
 
 
 @query("lag_features", _lag_sql(7, "panel", PANEL_KEYS, "Confirmed"))
@@ -251,8 +250,8 @@ def array_head_or_default(spark, folder):
     SELECT o_orderkey, CAST(o_orderdate AS DATE) AS "Date" FROM orders
     WHERE CAST(o_orderdate AS DATE) >= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - 30""")
 def filter_recent(spark, folder):
-    rows = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("Date"))
-    return columns.filter_recent(rows, 30)
+    recent = columns.filter_recent(table(spark, folder, "orders"), 30, "o_orderdate")
+    return recent.select("o_orderkey", F.col("o_orderdate").cast("date").alias("Date"))
 
 
 @query("filter_on_date", with_views("panel", """
@@ -266,11 +265,10 @@ def filter_on_date(spark, folder):
     SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS "Date" FROM lineitem
     WHERE CAST(l_shipdate AS DATE) > (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)""")
 def filter_after_max(spark, folder):
-    shipped = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("Date")
-    )
-    ordered = table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("Date"))
-    return columns.filter_after(shipped, ordered)
+    shipped = table(spark, folder, "lineitem").withColumnRenamed("l_shipdate", "stamp")
+    ordered = table(spark, folder, "orders").withColumnRenamed("o_orderdate", "stamp")
+    late = columns.filter_after(shipped, ordered, "stamp")
+    return late.select("l_orderkey", "l_linenumber", F.col("stamp").cast("date").alias("Date"))
 
 
 @query("filter_isin", with_views("panel", """

@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from dayloom import streaming
-from dayloom.operators.features import md5_bucket
 from dayloom.plans.catalogue import query
 from dayloom.plans.views import cents, table, with_views
 from dayloom.session import scratch_path
+from dayloom.sources.tables import list_files
 
 
 def _measures():
@@ -51,11 +51,12 @@ def stream_incremental(spark, folder):
     WHERE r = 1""")
 def stream_upsert(spark, folder):
     path, checkpoint = scratch_path(spark, "upsert"), scratch_path(spark, "upsert-checkpoint")
-    # Land the events as several files, so that keys recur over micro-batches.
+    # Land the events as several files, taken in about four micro-batches, so that keys recur over batches.
     landed = scratch_path(spark, "upsert-landed")
     events = table(spark, folder, "events")
-    events.repartition(4, md5_bucket(["event_id"], 4)).write.parquet(landed)
+    events.repartition("event_id").write.option("maxRecordsPerFile", max(1, events.count() // 4)).parquet(landed)
+    files = list_files(spark, landed, "part-*").count()
     keys, version = ["user_id", "event_type"], ["ts", "event_id"]
-    stream = streaming.file_stream(spark, landed, events.schema, files_per_batch=1)
+    stream = streaming.file_stream(spark, landed, events.schema, files_per_batch=-(-files // 4))
     _finish(streaming.start_upsert(stream, keys, version, path, checkpoint))
     return streaming.read_upserted(spark, path, keys, version).select(*keys, "event_id", "value")
