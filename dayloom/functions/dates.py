@@ -61,6 +61,42 @@ def fits_pattern(text: Column, pattern: str) -> Column:
     return F.coalesce(F.lower(back) == F.lower(text), F.lit(False))
 
 
+def _csv_options(pattern: str, locale: str) -> dict[str, str]:
+    # One-column CSV text is the date itself; the separator never occurs in it.
+    return {"timestampFormat": pattern, "locale": locale, "timeZone": "UTC", "sep": "\u0001"}
+
+
+def parse_localised(text: Column, pattern: str, locale: str) -> Column:
+    """Parse with month and day names of a locale such as ``fr-FR``."""
+    instant = F.from_csv(text, "v timestamp", _csv_options(pattern, locale))["v"]
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
+def format_localised(date: Column, pattern: str, locale: str) -> Column:
+    instant = from_utc_clock(date.cast("timestamp_ntz"))
+    return F.to_csv(F.struct(instant.alias("v")), _csv_options(pattern, locale))
+
+
+def format_in_zone(clock: Column, pattern: str, zone: str) -> Column:
+    """Text of a UTC clock as read in another zone."""
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), clock), pattern)
+
+
+def parse_in_zone(text: Column, pattern: str, zone: str) -> Column:
+    """UTC clock of a text written in another zone."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), parse_timestamp(text, pattern))
+
+
+def format_offset(clock: Column, offset: str = "+00:00") -> Column:
+    """Milliseconds and zone offset written out, for the clock of that offset."""
+    return F.concat(F.date_format(clock, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(offset))
+
+
+def shift_text(text: Column, pattern: str, amount: Column | int, unit: str) -> Column:
+    """Shift a date that is kept as text."""
+    return F.date_format(shift(parse_timestamp(text, pattern), amount, unit), pattern)
+
+
 def format_document_date(date: Column) -> Column:
     return F.date_format(date, DOCUMENT_PATTERN)
 

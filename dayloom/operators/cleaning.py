@@ -171,6 +171,11 @@ def pick_int(low: int, high: int, key: Sequence[str], seed: int) -> Column:
     return md5_bucket(key, high - low + 1, seed) + F.lit(low)
 
 
+def pick_real(limit: float, key: Sequence[str], seed: int) -> Column:
+    """A number from 0 up to (not including) the limit."""
+    return md5_bucket(key, 2**31 - 1, seed) / F.lit(float(2**31 - 1)) * F.lit(float(limit))
+
+
 def pick_text(length: int, key: Sequence[str], seed: int) -> Column:
     letters = [F.substring(F.lit(ALPHANUMERIC), pick_int(1, len(ALPHANUMERIC), key, seed + i), F.lit(1))
                for i in range(length)]
@@ -190,6 +195,7 @@ def synth_columns(df: DataFrame, key: Sequence[str], seed: int = 0, first_day: s
         "state_id": pick(states, key, seed + 6),
         "state": pick([STATES[s] for s in states], key, seed + 6),
         "amount": pick_int(0, 10_000, key, seed + 7),
+        "ratio": pick_real(1.0, key, seed + 9),
         "code": pick_text(8, key, seed + 100),
         "day": F.date_add(F.lit(first_day).cast("date"), pick_int(0, days - 1, key, seed + 8)),
     })

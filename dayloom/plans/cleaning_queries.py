@@ -266,6 +266,26 @@ def database_dates(spark, folder):
     )
 
 
+_FRENCH = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split()
+
+
+@query("localised_dates", f"""
+    SELECT o_orderkey, day(o_orderdate) || ' ' || list_extract({_FRENCH}, month(o_orderdate)) || ' ' || year(o_orderdate)
+           AS written, o_orderdate AS parsed, strftime(o_orderdate + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS in_zone,
+           o_orderdate - INTERVAL 2 HOUR AS from_zone, strftime(o_orderdate + INTERVAL 45 DAY, '%d-%m-%Y') AS later
+    FROM orders""")
+def localised_dates(spark, folder):
+    day, pattern = F.col("o_orderdate"), "d MMMM yyyy"
+    rows = table(spark, folder, "orders").select(
+        "o_orderkey",
+        dates.format_localised(day, pattern, "fr-FR").alias("written"),
+        dates.format_in_zone(day, dates.MARK_PATTERN, "+02:00").alias("in_zone"),
+        dates.parse_in_zone(F.date_format(day, dates.MARK_PATTERN), dates.MARK_PATTERN, "+02:00").alias("from_zone"),
+        dates.shift_text(F.date_format(day, "dd-MM-yyyy"), "dd-MM-yyyy", 45, "dd").alias("later"),
+    )
+    return rows.withColumn("parsed", dates.parse_localised(F.col("written"), pattern, "fr-FR"))
+
+
 @query("date_measures", """
     WITH base AS (
         SELECT o_orderkey, o_orderdate + to_seconds(o_orderkey % 86400) AS a,
@@ -371,8 +391,10 @@ _STATES = list(cleaning.STATES)
            {_pick_sql(cleaning.CITIES, 12)} AS city, {_pick_sql(_STATES, 13)} AS state_id,
            {_pick_sql([cleaning.STATES[s] for s in _STATES], 13)} AS state,
            CAST({_bucket_sql(10_001, 14)} AS INTEGER) AS amount,
+           round(({_bucket_sql(2**31 - 1, 16)}) / CAST({2**31 - 1} AS DOUBLE), 9) AS ratio,
            {" || ".join(f"substr('{cleaning.ALPHANUMERIC}', {_bucket_sql(62, 107 + i)} + 1, 1)" for i in range(8))} AS code,
            DATE '2000-01-01' + CAST({_bucket_sql(3650, 15)} AS INTEGER) AS day
     FROM customer""")
 def synth_table(spark, folder):
-    return cleaning.synth_columns(table(spark, folder, "customer").select("c_custkey"), ["c_custkey"], seed=7)
+    made = cleaning.synth_columns(table(spark, folder, "customer").select("c_custkey"), ["c_custkey"], seed=7)
+    return made.withColumn("ratio", F.round("ratio", 9))

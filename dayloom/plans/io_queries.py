@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from dayloom.functions import dates
-from dayloom.operators import columns
+from dayloom.operators import columns, joins
 from dayloom.plans.catalogue import query
-from dayloom.plans.views import PANEL_METRICS, events_daily, panel, raw_payloads, table, with_views
-from dayloom.schemas import API_RECORD, DAILY_PANEL
+from dayloom.plans.views import PANEL_METRICS, events_daily, panel, raw_payloads, table, with_place, with_views
+from dayloom.schemas import API_RECORD, DAILY_PANEL, LABEL_DICTIONARY
 from dayloom.session import scratch_path
 from dayloom.sources import documents, marks, sinks, tables
 
@@ -67,6 +67,16 @@ def scan_csv_header(spark, folder):
     return tables.read_headered_csv(spark, path, schema, fill={"Province_State": columns.MISSING_PROVINCE})
 
 
+@query("dictionary_table", with_views("dictionary", """
+    SELECT "Country", CAST("CountryIndex" AS INTEGER) AS "CountryIndex" FROM dictionary"""))
+def dictionary_table(spark, folder):
+    # Fitted once, written as CSV, read back as the fixed dictionary of later jobs.
+    path = scratch_path(spark, "dictionary")
+    rows = with_place(table(spark, folder, "orders").select("o_custkey"), spark, folder)
+    sinks.write_csv(joins.fit_dictionary(rows, "Country", "CountryIndex"), path)
+    return tables.read_headerless_csv(spark, path, ["Country", "CountryIndex"], LABEL_DICTIONARY)
+
+
 @query("scan_csv_sep", with_views("events_daily", """
     SELECT event_type, "Date", n, cents FROM events_daily"""))
 def scan_csv_sep(spark, folder):

@@ -169,6 +169,20 @@ def test_dates(spark, column, expected):
     assert value(spark, column()) == expected
 
 
+def test_localised_text_ignores_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        written = dates.format_localised(ntz("2020-08-05 01:02:03"), "d MMMM yyyy HH:mm", "fr-FR")
+        assert value(spark, written) == "5 août 2020 01:02"
+        parsed = dates.parse_localised(F.lit("5 août 2020 01:02"), "d MMMM yyyy HH:mm", "fr-FR")
+        assert value(spark, parsed) == dt.datetime(2020, 8, 5, 1, 2)
+        assert value(spark, dates.parse_localised(F.lit("5 August 2020 01:02"), "d MMMM yyyy HH:mm", "fr-FR")) is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert value(spark, dates.format_offset(ntz("2020-08-05 01:02:03"), "+01:00")) == "2020-08-05 01:02:03.000+01:00"
+
+
 def test_utc_day_ignores_session_zone(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:
