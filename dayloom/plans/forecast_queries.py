@@ -265,3 +265,32 @@ def additive_insample_fit(spark, folder):
     return forecast.insample_fit(
         country_panel(spark, folder), ["Country"], "Confirmed", forecaster=forecast.additive_forecast
     )
+
+
+@query("additive_contract", with_views("panel", f"""
+    WITH {_WORLD}, days AS (
+        SELECT "Date" AS ds, true AS known FROM world
+        UNION ALL SELECT (SELECT max("Date") FROM world) + CAST(unnest(range(1, 31)) AS INTEGER), false)
+    SELECT ds, known, true AS ordered FROM days"""))
+def additive_contract(spark, folder):
+    fitted = forecast.additive_forecast(_world(spark, folder), [], "Confirmed", 30)
+    last = _world(spark, folder).agg(F.max("Date")).scalar()
+    ordered = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return fitted.select("ds", (F.col("ds") <= last).alias("known"), ordered.alias("ordered"))
+
+
+@query("recursive_gbt_contract", with_views("country_panel", """
+    SELECT "Country", "Date" + CAST(unnest(range(1, 13)) AS INTEGER) AS "Date", true AS scored
+    FROM country_panel WHERE "Date" = (SELECT max("Date") FROM country_panel)"""))
+def recursive_gbt_contract(spark, folder):
+    ahead = recursive_forecast_gbt(spark, folder)
+    return ahead.select("Country", "Date", F.col("Confirmed").isNotNull().alias("scored"))
+
+
+@query("shifted_scored_contract", with_views("country_panel", """
+    SELECT DISTINCT "Country", "Date", true AS scored FROM (
+        SELECT "Country", "Date" FROM country_panel UNION ALL SELECT "Country", "Date" + 6 FROM country_panel
+        WHERE "Date" >= (SELECT max("Date") FROM country_panel) - 7)"""))
+def shifted_scored_contract(spark, folder):
+    scored = shifted_forecast_scored(spark, folder)
+    return scored.select("Country", "Date", F.col("Predicted_Confirmed").isNotNull().alias("scored"))

@@ -112,7 +112,46 @@ def holdout_metrics(spark, folder):
     return models.holdout_metrics(fitted, rows.where("NOT is_train"))
 
 
-@query("model_roundtrip")
+def _quality(scored):
+    """Rows, label total, and whether held-out errors are smaller than those of yesterday's value."""
+    test = scored.where("NOT is_train")
+    yesterday = F.get(vector_to_array("features"), F.lit(1))
+    errors = test.agg(
+        F.avg((F.col("prediction") - F.col("label")) ** 2).alias("model"),
+        F.avg((yesterday - F.col("label")) ** 2).alias("naive"),
+    )
+    better = errors.select(F.col("model") < F.col("naive"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("label_sum"), F.count_if(F.col("prediction").isNull()).alias("unscored")
+    ).withColumn("better_than_naive", better.scalar())
+
+
+_QUALITY = with_views("country_panel", """
+    SELECT count(*) AS n, CAST(sum("Confirmed") AS DOUBLE) AS label_sum, CAST(0 AS BIGINT) AS unscored,
+           true AS better_than_naive FROM country_panel""")
+
+
+@query("gbt_quality", _QUALITY)
+def gbt_quality(spark, folder):
+    rows = stored_training_rows(spark, folder)
+    return _quality(models.gbt(maxIter=10, maxDepth=3).fit(rows.where("is_train")).transform(rows))
+
+
+@query("rf_quality", _QUALITY)
+def rf_quality(spark, folder):
+    rows = stored_training_rows(spark, folder)
+    return _quality(models.forest(numTrees=20, maxDepth=4).fit(rows.where("is_train")).transform(rows))
+
+
+@query("cv_grid_points", """
+    SELECT * FROM (VALUES (0, 'maxBins=16, maxDepth=2', true), (1, 'maxBins=32, maxDepth=2', true),
+        (2, 'maxBins=16, maxDepth=4', true), (3, 'maxBins=32, maxDepth=4', true)) AS t(point, params, scored)""")
+def cv_grid_points(spark, folder):
+    return cv_grid_metrics(spark, folder).select("point", "params", (F.col("rmse") > 0).alias("scored"))
+
+
+@query("model_roundtrip", with_views("country_panel", """
+    SELECT "Country", count(*) AS n, true AS same FROM country_panel GROUP BY "Country" """))
 def model_roundtrip(spark, folder):
     rows = stored_training_rows(spark, folder)
     path = scratch_path(spark, "model")

@@ -96,6 +96,17 @@ def test_weights_per_key_predict_a_line(spark):
     assert [round(got["down", on(15 + i)], 6) for i in range(3)] == [35, 34, 33]
 
 
+def test_weights_equal_least_squares(series):
+    df, rows = series
+    fits = {r["k"]: r for r in models.ridge_per_key(lags.lag_features(df, ["k"], "n", 3, fill=0), ["k"], "n", 3, 0.0).collect()}
+    for k in "ab":
+        table = {d: v for x, d, v in rows if x == k}
+        x = [[1.0] + [table.get(d - dt.timedelta(h), 0) for h in (1, 2, 3)] for d in table]
+        want = np.linalg.lstsq(np.array(x), np.array(list(table.values()), float), rcond=None)[0]
+        assert np.allclose([fits[k]["intercept"], *fits[k]["weights"]], want)
+        assert fits[k]["n"] == len(table)
+
+
 def test_totals_from_window_and_from_all_history(series):
     df, rows = series
     ahead = brute(rows, 5, 3)
