@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) holds the tables, BENCH_CPUS (default 8)
-sets the local cores. Each query runs once to warm up and then BENCH_RUNS times (default 2);
+sets the local cores. Each query runs once to warm up and then BENCH_RUNS times (default 1);
 the best time counts. Results go to the no-op sink, so every row is produced.
 """
 
@@ -43,7 +43,7 @@ def extra(spark, folder):
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = build_session(
         "dayloom-bench", master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
         spark__driver__memory="12g",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dayloom.operators.columns import as_day, unpivot_metrics
 from dayloom.operators.features import check_feature_size, state_vector
+from dayloom.operators.joins import join_targets
 from dayloom.operators.models import trend_per_key
 from dayloom.operators.panel import cumulate, days_between
 from dayloom.session import materialise
@@ -158,6 +159,51 @@ def forecast_metric(
     return cumulate(both, keys, [metric], date)
 
 
+def _is_closed_form(scorers: Mapping[str, Scorer | Model | None]) -> bool:
+    """Whether one column builder (or the default) serves every target."""
+    distinct = set(scorers.values())
+    return len(distinct) <= 1 and not any(isinstance(s, Model) for s in distinct)
+
+
+def forecast_targets(
+    df: DataFrame,
+    keys: Sequence[str],
+    metrics: Sequence[str],
+    horizon: int,
+    periods: int,
+    scorers: Mapping[str, Scorer | Model | None] | None = None,
+    codes: Sequence[str] = (),
+    date: str = "Date",
+    totals: str | None = None,
+    **options,
+) -> DataFrame:
+    """Forecasts of several metrics next to each other: keys, date, metrics.
+
+    With one closed-form scorer the metrics become rows and share one plan; with a
+    model per metric they are forecast one by one and joined. ``totals="window"``
+    or ``"full"`` gives history and forecast as running totals (``forecast_metric``).
+    """
+    scorers = {m: (scorers or {}).get(m) for m in metrics}
+
+    def run(rows: DataFrame, by: Sequence[str], metric: str, scorer) -> DataFrame:
+        extra = {"codes": codes} if isinstance(scorer, Model) else {}
+        if totals is None:
+            return recursive_forecast(rows, by, metric, horizon, periods, scorer, date=date, **extra, **options)
+        return forecast_metric(
+            rows, by, metric, horizon, periods, totals, date, scorer=scorer, **extra, **options
+        ).drop("is_forecast")
+
+    if _is_closed_form(scorers):
+        doubles = df.select(*keys, date, *[F.col(m).cast("double").alias(m) for m in metrics])
+        long = unpivot_metrics(doubles, [*keys, date], metrics)
+        ahead = run(long, [*keys, "metric"], "value", scorers[metrics[0]])
+        return join_targets(ahead, [*keys, date], metrics).select(*keys, date, *metrics)
+    joined = run(df, keys, metrics[0], scorers[metrics[0]])
+    for m in metrics[1:]:
+        joined = joined.join(run(df, keys, m, scorers[m]), [*keys, date])
+    return joined.select(*keys, date, *metrics)
+
+
 def backfill_missing(
     older: DataFrame,
     newer: DataFrame,
@@ -166,6 +212,8 @@ def backfill_missing(
     metrics: Sequence[str],
     horizon: int,
     date: str = "Date",
+    scorers: Mapping[str, Scorer | Model | None] | None = None,
+    codes: Sequence[str] = (),
     **options,
 ) -> DataFrame:
     """Both sources, plus forecasts for the entities that the newer one lacks.
@@ -181,12 +229,7 @@ def backfill_missing(
     if gap is not None and gap > 0:
         absent = past.join(newer.select(*entity).distinct(), list(entity), "left_anti")
         last = as_day(older, None, date)
-        ahead = [
-            recursive_forecast(absent, keys, m, horizon, gap, date=date, as_of=last, **options) for m in metrics
-        ]
-        filled = ahead[0]
-        for other in ahead[1:]:
-            filled = filled.join(other, [*keys, date])
+        filled = forecast_targets(absent, keys, metrics, horizon, gap, scorers, codes, date, as_of=last, **options)
         union = union.unionByName(filled.select(*columns))
     return union.distinct()
 

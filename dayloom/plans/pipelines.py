@@ -126,7 +126,7 @@ def contest_panel(training: DataFrame) -> DataFrame:
 
 def contest_input(
     training: DataFrame, newer: DataFrame, request: DataFrame, dictionary: DataFrame,
-    spellings: Mapping[str, str], horizon: int = 40, scorer=None,
+    spellings: Mapping[str, str], horizon: int = 40, scorers: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """Training panel joined with a newer source, entities absent there forecast, encoded."""
     base = materialise(contest_panel(training), "contest")
@@ -138,27 +138,21 @@ def contest_input(
     def coded(df: DataFrame) -> DataFrame:
         return joins.encode(df, dictionary, ENTITY).select(*CODES, "Date", *TARGETS)
 
+    known = materialise(coded(base), "contest-known")
     return forecast.backfill_missing(
-        coded(base), coded(fresh), CODES, CODES, TARGETS, horizon, scorer=scorer,
-        **({"codes": CODES} if isinstance(scorer, Model) else {}),
+        known, materialise(coded(fresh), "contest-fresh"), CODES, CODES, TARGETS, horizon, scorers=scorers, codes=CODES
     )
 
 
 def contest_submission(
-    encoded: DataFrame, dictionary: DataFrame, request: DataFrame, scorers: Mapping[str, object],
+    encoded: DataFrame, dictionary: DataFrame, request: DataFrame, scorers: Mapping[str, object] | None = None,
     horizon: int = 40, periods: int = 30, history: str = "window",
 ) -> DataFrame:
     """Cumulated forecasts of every target, decoded and joined to the request table."""
     stored = materialise(encoded, "encoded")
-    per_target = []
-    for target in TARGETS:
-        scorer = scorers.get(target)
-        options = {"codes": CODES} if isinstance(scorer, Model) else {}
-        totals = forecast.forecast_metric(
-            stored.select(*CODES, "Date", target), CODES, target, horizon, periods, history, scorer=scorer, **options
-        )
-        per_target.append(totals.drop("is_forecast"))
-    both = per_target[0].join(per_target[1], [*CODES, "Date"])
+    both = forecast.forecast_targets(
+        stored, CODES, TARGETS, horizon, periods, scorers, codes=CODES, totals=history
+    )
     decoded = joins.decode(both, dictionary, CODES).select(*ENTITY, "Date", *TARGETS)
     asked = columns.fill_subset(request, {"Province_State": columns.MISSING_PROVINCE})
     return joins.fill_request(asked, decoded, [*ENTITY, "Date"], TARGETS).select("ForecastId", *TARGETS)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dayloom import schemas
-from dayloom.operators import features, forecast, joins, models
+from dayloom.operators import features, forecast, joins, lags, models
 from dayloom.plans import pipelines
 from dayloom.sources import marks
 
@@ -91,13 +91,23 @@ def test_contest_input_and_submission(spark):
     assert len(got) == 2 * 18
     assert got[0.0, on(0)] == (0.0, 0.0) and got[0.0, on(17)] == (2.0, 1.0) and got[1.0, on(17)] == (5.0, 1.0)
     submitted = {r["ForecastId"]: r for r in pipelines.contest_submission(
-        encoded, dictionary, request, {}, horizon=5, periods=6, history="full").collect()}
+        encoded, dictionary, request, horizon=5, periods=6, history="full").collect()}
     assert len(submitted) == 48
     assert submitted[23]["ConfirmedCases"] == 2.0 * 23 and submitted[123]["ConfirmedCases"] == 5.0 * 23
     assert submitted[223]["ConfirmedCases"] is None
     window = {r["ForecastId"]: r for r in pipelines.contest_submission(
-        encoded, dictionary, request, {}, horizon=5, periods=6).collect()}
+        encoded, dictionary, request, horizon=5, periods=6).collect()}
     assert window[23]["ConfirmedCases"] == 2.0 * (7 + 6)
+    # A model per target gives the same as the mean of lags when it has learnt a constant.
+    fitted = {}
+    for target, metric in zip(pipelines.TARGETS, ("ConfirmedCases", "Fatalities")):
+        ready = features.assemble_lags(lags.lag_features(
+            encoded, pipelines.CODES, metric, 5, fill=0), pipelines.CODES, metric, 5)
+        fitted[target] = models.forest(numTrees=1, maxDepth=1).fit(
+            ready.where("Country_RegionIndex = 0 AND Date > DATE'2020-03-08'").withColumn("label", F.col(metric)))
+    by_model = {r["ForecastId"]: r for r in pipelines.contest_submission(
+        encoded, dictionary, request, fitted, horizon=5, periods=6).collect()}
+    assert by_model[23]["ConfirmedCases"] == 2.0 * (7 + 6) and by_model[23]["Fatalities"] == 7 + 6
 
 
 def test_world_forecast_and_push(spark, tmp_path):
