@@ -145,18 +145,23 @@ def forecast_metric(
     """History and forecast of a daily metric as running totals.
 
     ``history="window"`` starts the totals max(H, P) days before the last known
-    day; ``"full"`` starts them at the first day. Output: keys, date, metric
-    (running total), ``is_forecast``.
+    day; ``"full"`` starts them at the first day; ``"opening"`` gives the days of the
+    window with the totals of the full history. Output: keys, date, metric (running
+    total), ``is_forecast``.
     """
+    if history not in ("window", "full", "opening"):
+        raise ValueError(f"unknown history: {history}")
     last = as_day(df, as_of, date)
     ahead = recursive_forecast(df, keys, metric, horizon, periods, date=date, as_of=as_of, **options)
     past = df.select(*keys, date, F.col(metric).cast("double").alias(metric))
+    in_window = F.col(date) >= F.date_sub(last, max(horizon, periods))
     if history == "window":
-        past = past.where(F.col(date) >= F.date_sub(last, max(horizon, periods)))
+        past = past.where(in_window)
     both = past.withColumn("is_forecast", F.lit(False)).unionByName(
         ahead.withColumn("is_forecast", F.lit(True))
     )
-    return cumulate(both, keys, [metric], date)
+    totals = cumulate(both, keys, [metric], date)
+    return totals.where(in_window) if history == "opening" else totals
 
 
 def _is_closed_form(scorers: Mapping[str, Scorer | Model | None]) -> bool:
@@ -180,8 +185,8 @@ def forecast_targets(
     """Forecasts of several metrics next to each other: keys, date, metrics.
 
     With one closed-form scorer the metrics become rows and share one plan; with a
-    model per metric they are forecast one by one and joined. ``totals="window"``
-    or ``"full"`` gives history and forecast as running totals (``forecast_metric``).
+    model per metric they are forecast one by one and joined. ``totals``
+    (``"window"``, ``"full"``, ``"opening"``) gives history and forecast as running totals (``forecast_metric``).
     """
     scorers = {m: (scorers or {}).get(m) for m in metrics}
 

@@ -104,6 +104,14 @@ def forecast_metric_full(spark, folder):
     return totals.withColumn("n", F.round("n", 6))
 
 
+@query("forecast_metric_opening", with_views("events_daily", f"""
+    WITH RECURSIVE {_roll_sql("n", 7, 10)}{_WINDOW_SQL.format(past="")}
+    QUALIFY "Date" >= (SELECT max(last) FROM start) - 10"""))
+def forecast_metric_opening(spark, folder):
+    totals = forecast.forecast_metric(events_daily(spark, folder), _EVENTS, "n", 7, 10, history="opening")
+    return totals.withColumn("n", F.round("n", 6))
+
+
 @query("submission_join", with_views("events_daily", f"""
     WITH RECURSIVE {_roll_sql("n", 7, 10)},
     both_parts AS (

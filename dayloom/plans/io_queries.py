@@ -176,11 +176,16 @@ def scan_documents(spark, folder):
     SELECT "Country", CASE WHEN "Province" = 'BUILDING' THEN 'RAS' ELSE "Province" END AS "Province",
            CAST(sum("Confirmed") AS BIGINT) AS "Confirmed" FROM panel GROUP BY 1, 2"""))
 def scan_documents_arrays(spark, folder):
-    # Province is stored as an array, empty where it is unknown, and summed by its first element.
+    # Province is stored as an array (empty where unknown), for some countries as a single value.
     path = scratch_path(spark, "arrays")
+    rows = panel(spark, folder)
+    is_single = F.col("Country").endswith("1")
     province = F.when(F.col("Province") == "BUILDING", F.array().cast("array<string>")).otherwise(F.array("Province"))
-    sinks.write_documents(panel(spark, folder).withColumn("Province", province), path)
-    read = documents.read_documents(spark, path, "Country string, Province array<string>, Confirmed bigint")
+    sinks.write_documents(rows.where(~is_single).withColumn("Province", province), path)
+    single = F.when(F.col("Province") != "BUILDING", F.col("Province"))
+    sinks.write_documents(rows.where(is_single).withColumn("Province", single), path)
+    schema = "Country string, Province array<string>, Confirmed bigint"
+    read = documents.read_documents(spark, path, schema, array_fields=["Province"])
     named = read.withColumn("Province", columns.head_or_default(F.col("Province")))
     return named.groupBy("Country", "Province").agg(F.sum("Confirmed").alias("Confirmed"))
 

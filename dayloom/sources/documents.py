@@ -29,6 +29,14 @@ def _typed(column: Column, to: T.DataType) -> Column:
     return filled if isinstance(to, T.StringType) else filled.try_cast(to)
 
 
+def _as_array(column: Column) -> Column:
+    """Text of a JSON array, or of a single value, as an array."""
+    listed = F.from_json(column, "array<string>")
+    return F.when(column.startswith("["), listed).when(column != "", F.array(column)).when(
+        column == "", F.array().cast("array<string>")
+    )
+
+
 def explode_json_array(
     df: DataFrame, payload: str, schema: T.StructType | str = API_RECORD, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -69,15 +77,21 @@ def read_documents(
     empty_as_null: bool = True,
     date_patterns: Mapping[str, str] | None = None,
     where: Column | None = None,
+    array_fields: Sequence[str] = (),
 ) -> DataFrame:
     """Documents of any Spark data source, narrowed to some fields.
 
     A store that does not exist reads as an empty table, empty texts as null.
-    Fields typed as arrays in ``schema`` read as arrays. ``date_patterns`` parses
-    single fields by a pattern of their own; ``where`` is pushed to the source
-    where it supports that. Connection settings come from the caller's options.
+    ``array_fields`` read as arrays of text even where a JSON document holds a
+    single value. ``date_patterns`` parses single fields by a pattern of their own;
+    ``where`` is pushed to the source where it supports that. Connection settings
+    come from the caller's options.
     """
     struct = _struct(schema)
+    if format == "json":
+        struct = T.StructType([
+            T.StructField(f.name, T.StringType() if f.name in array_fields else f.dataType) for f in struct
+        ])
     if missing_as_empty and source and format in FILE_FORMATS and not path_exists(spark, source):
         df = spark.createDataFrame([], struct)
     else:
@@ -86,6 +100,8 @@ def read_documents(
     if where is not None:
         df = df.where(where)
     df = df.select(*(fields or struct.names))
+    mixed = [f.name for f in df.schema if f.name in array_fields and isinstance(f.dataType, T.StringType)]
+    df = df.withColumns({c: _as_array(F.col(c)) for c in mixed})
     if empty_as_null:
         texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
         df = df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in texts})

@@ -31,6 +31,14 @@ def test_missing_store_is_empty(spark, tmp_path):
     assert documents.read_documents(spark, f"{tmp_path}/none", "a string, b int").count() == 0
 
 
+def test_array_fields_take_single_values(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    lines = ['{"a":["x","y"]}', '{"a":"z"}', '{"a":[]}', '{"a":""}', '{"b":1}']
+    (tmp_path / "docs" / "1.json").write_text("\n".join(lines))
+    got = documents.read_documents(spark, f"{tmp_path}/docs", "a array<string>, b int", array_fields=["a"])
+    assert [r["a"] for r in got.collect()] == [["x", "y"], ["z"], [], [], None]
+
+
 def test_headerless_folder_with_repeated_runs(spark, tmp_path):
     df = spark.createDataFrame([("Korea, South", "", 1), ("A", "b", 2)], "c string, p string, n int")
     for mode in ("overwrite", "append", "append"):
