@@ -1,7 +1,9 @@
 """Date parsing, formatting, features and calendar arithmetic.
 
 Timestamps inside the package are ``TIMESTAMP_NTZ``: calendar days then do not
-depend on the session's time zone.
+depend on the session's time zone. Pattern parsing and formatting do pass through
+that zone, so run sessions in UTC (the package default) or another zone without
+clock changes.
 """
 
 from __future__ import annotations
