@@ -178,13 +178,13 @@ def rmse_by_key(spark, folder):
 
 
 @query("per_key_trend", with_views("country_panel", """
-    SELECT "Country", round(regr_slope("Confirmed", date_diff('day', DATE '1970-01-01', "Date")), 6) AS slope,
+    SELECT "Country", round(regr_slope("Confirmed", date_diff('day', DATE '1970-01-01', "Date")), 10) AS slope,
            round(regr_intercept("Confirmed", date_diff('day', DATE '1970-01-01', "Date")), 4) AS intercept,
            count(*) AS n, min("Date") AS first_day, max("Date") AS last_day
     FROM country_panel GROUP BY "Country" """))
 def per_key_trend(spark, folder):
     fits = models.trend_per_key(country_panel(spark, folder), _KEY, "Confirmed")
-    return fits.drop("sd").withColumns({"slope": F.round("slope", 6), "intercept": F.round("intercept", 4)})
+    return fits.drop("sd").withColumns({"slope": F.round("slope", 10), "intercept": F.round("intercept", 4)})
 
 
 @query("per_key_one_lag", with_views("events_daily", """
