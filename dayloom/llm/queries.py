@@ -6,14 +6,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import benchmarks, ngrams, packing, pii, quality
+from dayloom.llm import (
+    benchmarks,
+    fingerprints,
+    ngrams,
+    packing,
+    pages,
+    pii,
+    quality,
+    secrets,
+    sharding,
+    token_counts,
+)
 from dayloom.llm.common import read
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(read(spark, sf_dir, "pages"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(read(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
@@ -25,6 +44,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read(spark, sf_dir, "documents"), sharding.uniform_tree(40), sharding.uniform_tree(41))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                              public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.jaccard_groups(read(spark, sf_dir, "documents"), n=3, percent=90).select(
         "doc_id", F.col("n_grams").alias("n_shingles"), "component_id", "n_links")
@@ -34,5 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmarks.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_quality, op5_packing, op9_jaccard_join, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (
+    op1_main_text, op2_pii, op3_secrets, op4_quality, op5_packing, op6_sharding, op7_token_counts, op8_fingerprints,
+    op9_jaccard_join, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
