@@ -427,11 +427,26 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Keep the rows whose doc_id is the smallest of their group; rows of an empty set all stay.
+    """Keep one row of each group, one with the smallest doc_id; rows of an empty set and rows without a doc_id all stay.
 
-    Rows without a doc_id stay. Where rows repeat a kept doc_id, one of them stays.
+    Where doc_ids repeat, rows are told apart by their class as well, so a row goes only if its own
+    text has a copy.
     """
-    groups = jaccard_groups(docs, n, percent)
-    lost = groups.filter("class is not null and doc_id is not null and component_id < doc_id").select("doc_id")
-    kept = docs.join(lost.distinct(), "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "kept")
+    groups = scratch.store(jaccard_groups(docs, n, percent).select("doc_id", "class", "component_id"), "groups")
+    lost = groups.filter("class is not null and doc_id is not null and component_id < doc_id").select("doc_id", "class")
+    repeated = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    if not repeated.limit(1).count():
+        return docs.join(lost.select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    def start():
+        def work(c):
+            return c | {"class_of_": [class_key(gram_set(t, n)) for t in c["text"]]}
+        return work
+
+    ddl = ", ".join([*(f"`{c}` {kind}" for c, kind in docs.dtypes), "class_of_ bigint"])
+    classed = map_columns(docs, start, ddl)
+    left = classed.join(lost.distinct().withColumnRenamed("class", "class_of_"), ["doc_id", "class_of_"], "left_anti")
+    alone = F.col("doc_id").isNull() | F.col("class_of_").isNull()
+    firsts = left.filter(~alone).dropDuplicates(["doc_id", "class_of_"])
+    return firsts.unionByName(left.filter(alone)).select(*[F.col(f"`{c}`") for c in docs.columns])

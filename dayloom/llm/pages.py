@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 Pages of a host share a template. Every page becomes a tree of its block elements in which
-repeated siblings fold into one node. Per host the most frequent tree is the pivot; the
+repeated paragraphs, list items and cells fold into one node, as do long rows of like containers. Per host the most frequent tree is the pivot; the
 host's other trees are aligned to it by simple tree matching, and every pivot node collects
 from all pages how many have it, how much text stands in it and whether that text is the
 same everywhere. Nodes that vary are slots, constant ones template. The wrapper of the host
@@ -32,6 +32,7 @@ from dayloom.llm.common import map_columns
 
 SALTS = 16
 AGREE = 3
+REPEATS = 8
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<[!?][^>]*>",
@@ -168,7 +169,9 @@ def parse(page: str) -> tuple[Node, list[tuple[int, str]]]:
         if tag in FOLDED:
             node = next((c for c in siblings if c.label == label), None)
         else:
-            node = siblings[-1] if siblings and siblings[-1].label == label else None
+            # Containers in a row keep their places up to REPEATS of them; what follows folds into the last.
+            alike = all(c.label == label for c in siblings[-REPEATS:]) and len(siblings) >= REPEATS
+            node = siblings[-1] if alike else None
         if node is None:
             node = Node(label, noise, nodes)
             nodes += 1

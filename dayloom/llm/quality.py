@@ -160,18 +160,27 @@ def _measure(df: DataFrame, good: bytes, bad: bytes, keep: list[str]) -> DataFra
     return map_columns(df.select(*keep, "text"), start, ddl)
 
 
+def _judge(model: QualityModel):
+    """Scores of a list of texts."""
+    tools = _compressor(model.good), _compressor(model.bad), _compressor(b"")
+    centre, scale, weights = map(np.array, (model.centre, model.scale, model.weights))
+
+    def judge(texts: list[str | None]) -> np.ndarray:
+        x = np.array([_features(*tools, t or "") for t in texts])
+        return 1 / (1 + np.exp(-np.clip(_expand((x - centre) / scale) @ weights + model.bias, -30, 30)))
+    return judge
+
+
 def score(df: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """All columns of ``df`` plus score (0 to 1) and predicted (1 where the score reaches the threshold)."""
     kept = [n for n in df.columns if n not in ("score", "predicted")]
     plain = df.select(*kept)
 
     def start():
-        tools = _compressor(model.good), _compressor(model.bad), _compressor(b"")
-        centre, scale, weights = map(np.array, (model.centre, model.scale, model.weights))
+        judge = _judge(model)
 
         def work(c):
-            x = np.array([_features(*tools, t or "") for t in c["text"]])
-            s = 1 / (1 + np.exp(-np.clip(_expand((x - centre) / scale) @ weights + model.bias, -30, 30)))
+            s = judge(c["text"])
             return c | {"score": s.tolist(), "predicted": [int(v >= threshold) for v in s]}
         return work
 
@@ -181,5 +190,14 @@ def score(df: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFra
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their own columns."""
-    kept = score(docs, fit(docs, labels), threshold).filter("predicted = 1")
-    return kept.select(*[F.col(f"`{n}`") for n in docs.columns])
+    model = fit(docs, labels)
+
+    def start():
+        judge = _judge(model)
+
+        def work(c):
+            kept = [i for i, v in enumerate(judge(c["text"])) if v >= threshold]
+            return {n: [values[i] for i in kept] for n, values in c.items()}
+        return work
+
+    return map_columns(docs, start, ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes))
