@@ -39,7 +39,7 @@ def epoch() -> Column:
 def spark_pattern(database_pattern: str) -> str:
     """Rewrite a database-style pattern (``YYYY-MM-DD HH24:MI``) for Spark."""
     if re.search(r"W", database_pattern):
-        raise ValueError("week tokens have no Spark pattern; use calendar_part(..., 'WEEK_OF_YEAR')")
+        raise ValueError("week tokens cannot be parsed; to_database_text writes them")
     return _TOKEN.sub(lambda m: DATABASE_TOKENS[m.group()], database_pattern)
 
 
@@ -115,7 +115,13 @@ def from_database_text(text: Column, pattern: str | None = None) -> Column:
 def to_database_text(date: Column, pattern: str | None = None) -> Column:
     if pattern == EPOCH_MILLIS:
         return span(date, epoch(), "SSS").cast("string")
-    return F.date_format(date, spark_pattern(pattern or DEFAULT_DATABASE_PATTERN))
+    pattern = pattern or DEFAULT_DATABASE_PATTERN
+    parts = {"WW": "WEEK_OF_YEAR", "W": "WEEK_OF_MONTH"}
+    pieces = [
+        calendar_part(date, parts[p]).cast("string") if p in parts else F.date_format(date, spark_pattern(p))
+        for p in re.split(r"(WW?)", pattern) if p
+    ]
+    return F.when(date.isNotNull(), F.concat(*pieces))
 
 
 def from_utc_clock(clock: Column) -> Column:

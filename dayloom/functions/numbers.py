@@ -18,7 +18,12 @@ def real(text: Column) -> Column:
 
 def whole(text: Column) -> Column:
     """Decimal digits with an optional sign, in the range of an int."""
-    return F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("bigint").try_cast("int"))
+    return whole_long(text).try_cast("int")
+
+
+def whole_long(text: Column) -> Column:
+    """Decimal digits with an optional sign, in the range of a bigint (for keys)."""
+    return F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("bigint"))
 
 
 def is_digits(text: Column) -> Column:
@@ -46,16 +51,29 @@ def implied_decimal(text: Column, picture: str) -> Column:
     return (text.try_cast("decimal(38,18)") / F.lit(10**places).cast("decimal(20,0)")).cast("decimal(38,18)")
 
 
+def wrap32(number: Column) -> Column:
+    """The low 32 bits as a signed int, as 32-bit arithmetic gives them; never fails on larger numbers."""
+    low = number.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
+    return (low - F.when(low > INT_MAX, F.lit(2**32)).otherwise(F.lit(0))).cast("int")
+
+
 def to_hex(number: Column) -> Column:
-    """Lower-case hexadecimal of a 32-bit integer, two's complement if negative."""
-    return F.lower(F.hex(number.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))))
+    """Lower-case hexadecimal, two's complement if negative: of 32 bits within the range of an int, else of 64."""
+    wide = number.cast("bigint")
+    narrow = wide.between(INT_MIN, INT_MAX)
+    return F.lower(F.hex(F.when(narrow, wide.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(wide)))
 
 
 def from_hex(text: Column) -> Column:
     """Hexadecimal text (optional sign) to int; null beyond the range of an int."""
+    return from_hex_long(text).try_cast("int")
+
+
+def from_hex_long(text: Column) -> Column:
+    """Hexadecimal text (optional sign, up to 15 digits) to bigint (for keys); null beyond that."""
     digits = F.ltrim(text, F.lit("+-"))
     size = F.when(text.rlike(r"\A[+-]?[0-9a-fA-F]{1,15}\z"), F.conv(digits, 16, 10).try_cast("bigint"))
-    return F.when(text.startswith("-"), -size).otherwise(size).try_cast("int")
+    return F.when(text.startswith("-"), -size).otherwise(size)
 
 
 def digit_char(number: Column) -> Column:
@@ -104,13 +122,13 @@ MEASURES = {
     "tanh": F.tanh,
     "half_up": half_up,
     "hex": to_hex,
-    "bitnot": lambda x: F.bitwise_not(x.cast("int")),
+    "bitnot": lambda x: F.bitwise_not(x.cast("bigint")),
 }
 
 PAIR_MEASURES = {
     "quotient": quotient,
     "remainder": remainder,
-    "bitand": lambda a, b: a.cast("int").bitwiseAND(b.cast("int")),
-    "bitor": lambda a, b: a.cast("int").bitwiseOR(b.cast("int")),
-    "bitxor": lambda a, b: a.cast("int").bitwiseXOR(b.cast("int")),
+    "bitand": lambda a, b: a.cast("bigint").bitwiseAND(b.cast("bigint")),
+    "bitor": lambda a, b: a.cast("bigint").bitwiseOR(b.cast("bigint")),
+    "bitxor": lambda a, b: a.cast("bigint").bitwiseXOR(b.cast("bigint")),
 }

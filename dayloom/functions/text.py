@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 BLANKS = "".join(chr(code) for code in range(0x21))
 
 # Plain spelling of the letters U+00C0 .. U+00FF, in code-point order.
-ACCENTED = "".join(chr(code) for code in range(0xC0, 0x100))
-UNACCENTED = (
-    "A A A A A A AE C E E E E I I I I "
-    "D N O O O O O * 0 U U U U Y _ B "
-    "a a a a a a ae c e e e e i i i i "
-    "d n o o o o o / 0 u u u u y _ y"
-).split()
+PLAIN_SPELLING = {
+    "À": "A", "Á": "A", "Â": "A", "Ã": "A", "Ä": "A", "Å": "A", "Æ": "AE", "Ç": "C",
+    "È": "E", "É": "E", "Ê": "E", "Ë": "E", "Ì": "I", "Í": "I", "Î": "I", "Ï": "I",
+    "Ð": "D", "Ñ": "N", "Ò": "O", "Ó": "O", "Ô": "O", "Õ": "O", "Ö": "O", "×": "*",
+    "Ø": "0", "Ù": "U", "Ú": "U", "Û": "U", "Ü": "U", "Ý": "Y", "Þ": "_", "ß": "B",
+    "à": "a", "á": "a", "â": "a", "ã": "a", "ä": "a", "å": "a", "æ": "ae", "ç": "c",
+    "è": "e", "é": "e", "ê": "e", "ë": "e", "ì": "i", "í": "i", "î": "i", "ï": "i",
+    "ð": "d", "ñ": "n", "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ö": "o", "÷": "/",
+    "ø": "0", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ý": "y", "þ": "_", "ÿ": "y",
+}
+ACCENTED = "".join(PLAIN_SPELLING)
+UNACCENTED = list(PLAIN_SPELLING.values())
 
 # The five characters with a named XML entity.
 XML_ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", "'": "&apos;", '"': "&quot;"}

@@ -65,11 +65,12 @@ def clean_numbers(
 ) -> DataFrame:
     """Parse text numbers and derive measures.
 
-    ``parse``: output -> (column, kind), kind ``real``, ``int``, ``hex`` or a picture
+    ``parse``: output -> (column, kind), kind ``real``, ``int``, ``long``, ``hex``, ``hex_long`` or a picture
     with an implied point (``9V99``); a boolean ``<output>_rejected`` marks text that is
     no such number. ``measures``: output -> (name, column[, column]).
     """
-    parsers = {"real": numbers.real, "int": numbers.whole, "hex": numbers.from_hex}
+    parsers = {"real": numbers.real, "int": numbers.whole, "long": numbers.whole_long, "hex": numbers.from_hex,
+               "hex_long": numbers.from_hex_long}
     out = df
     for name, (column, kind) in (parse or {}).items():
         source = F.col(column)

@@ -103,8 +103,8 @@ def unpivot_metrics(
 
 
 def round_half_up(number: Column) -> Column:
-    """Prediction to int: halves go up, also for negative numbers."""
-    return F.floor(number + F.lit(0.5)).cast("int")
+    """Prediction to a whole number (bigint): halves go up, also for negative numbers."""
+    return F.floor(number + F.lit(0.5)).cast("bigint")
 
 
 def latest_per_key(
@@ -113,8 +113,8 @@ def latest_per_key(
     """The row with the greatest ``order`` tuple per key.
 
     An aggregate rather than a ranked window: partial maxima are taken before
-    the shuffle, so a key that holds a large share of the rows costs no more
-    than any other.
+    the shuffle, so a key that holds a large share of the rows sends one row per task. The
+    price is a sort on either side of the shuffle (the maximum of a struct is not hashed).
     """
     rest = [c for c in (columns or df.columns) if c not in keys]
     best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_best")

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping, Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from dayloom.operators.columns import as_day, unpivot_metrics
 from dayloom.operators.features import check_feature_size, state_vector
-from dayloom.operators.joins import join_targets
+from dayloom.operators.joins import join_targets, null_safe_join
 from dayloom.operators.models import trend_per_key
 from dayloom.operators.panel import cumulate, days_between
 from dayloom.session import materialise
@@ -43,25 +46,28 @@ def history_state(
     horizon: int,
     date: str = "Date",
     as_of: Column | dt.date | None = None,
+    cover: str = "last_day",
 ) -> DataFrame:
     """Per key the last H daily values, newest first, 0 where a day is absent.
 
-    Keys are those present on the last known day. One aggregate with one partial
-    sum per day: the buffer of a key has H numbers whatever its number of rows.
-    Output: keys, ``last_day``, ``state`` array<double>.
+    ``cover="last_day"`` takes the keys present on the last known day, ``"all"`` every key seen up to
+    it. One aggregate with one partial sum per day: the buffer of a key has H numbers whatever its
+    number of rows. Output: keys, ``last_day``, ``state`` array<double>.
     """
+    if cover not in ("last_day", "all"):
+        raise ValueError(f"unknown cover: {cover}")
     last = as_day(df, as_of, date)
-    recent = (
-        df.where((F.col(date) > F.date_sub(last, horizon)) & (F.col(date) <= last))
-        .withColumn("_age", F.datediff(last, F.col(date)))
-    )
+    known = F.col(date) <= last
+    if cover == "last_day":
+        known = known & (F.col(date) > F.date_sub(last, horizon))
+    recent = df.where(known).withColumn("_age", F.datediff(last, F.col(date)))
     value = F.col(metric).cast("double")
     days = [F.coalesce(F.sum(F.when(F.col("_age") == h, value)), F.lit(0.0)) for h in range(horizon)]
     return (
         recent.groupBy(*keys)
-        .agg(F.min("_age").alias("_newest"), F.max(date).alias("last_day"), F.array(*days).alias("state"))
-        .where("_newest = 0")
-        .select(*keys, "last_day", "state")
+        .agg(F.min("_age").alias("_newest"), F.max(date).alias("_last"), F.array(*days).alias("state"))
+        .where("_newest = 0" if cover == "last_day" else "true")
+        .select(*keys, F.date_add("_last", F.col("_newest")).alias("last_day"), "state")
     )
 
 
@@ -109,6 +115,7 @@ def recursive_forecast(
     as_of: Column | dt.date | None = None,
     round_feedback: bool = False,
     store_every: int = 10,
+    cover: str = "last_day",
 ) -> DataFrame:
     """Forecast day after day, feeding each prediction back as the next day's lag 1.
 
@@ -117,9 +124,9 @@ def recursive_forecast(
     joins per-key columns (such as ``weights``) to the state. The only shuffle is
     the one that builds the state. Output: keys, date, metric.
     """
-    states = history_state(df, keys, metric, horizon, date, as_of)
+    states = history_state(df, keys, metric, horizon, date, as_of, cover)
     if parameters is not None:
-        states = states.join(parameters, list(keys))
+        states = null_safe_join(states, parameters, list(keys))
     if isinstance(scorer, Model):
         rolled = _roll_with_model(states, codes, horizon, periods, scorer, round_feedback, store_every)
     else:
@@ -205,7 +212,7 @@ def forecast_targets(
         return join_targets(ahead, [*keys, date], metrics).select(*keys, date, *metrics)
     joined = run(df, keys, metrics[0], scorers[metrics[0]])
     for m in metrics[1:]:
-        joined = joined.join(run(df, keys, m, scorers[m]), [*keys, date])
+        joined = null_safe_join(joined, run(df, keys, m, scorers[m]), [*keys, date])
     return joined.select(*keys, date, *metrics)
 
 
@@ -232,7 +239,7 @@ def backfill_missing(
     union = past.unionByName(fresh)
     gap = days_between(newer, older, date).first()["days"]
     if gap is not None and gap > 0:
-        absent = past.join(newer.select(*entity).distinct(), list(entity), "left_anti")
+        absent = null_safe_join(past, newer.select(*entity).distinct(), list(entity), "left_anti")
         last = as_day(older, None, date)
         filled = forecast_targets(absent, keys, metrics, horizon, gap, scorers, codes, date, as_of=last, **options)
         union = union.unionByName(filled.select(*columns))
@@ -272,7 +279,7 @@ def insample_fit(df: DataFrame, keys: Sequence[str], metric: str, date: str = "D
     """Fitted values of every entity next to its actuals (``y``)."""
     fitted = forecaster(df, keys, metric, periods, date)
     actual = df.select(*keys, F.col(date).alias("ds"), F.col(metric).cast("double").alias("y"))
-    return fitted.join(actual, [*keys, "ds"], "left" if periods else "inner")
+    return null_safe_join(fitted, actual, [*keys, "ds"], "left" if periods else "inner")
 
 
 def forecast_table(df: DataFrame, metrics: Sequence[str], periods: int, date: str = "Date",
@@ -292,57 +299,104 @@ def forecast_table(df: DataFrame, metrics: Sequence[str], periods: int, date: st
 
 # --- additive trend and season ---------------------------------------------------
 
-def _design(days: np.ndarray, first: int, span: int, knots: int) -> np.ndarray:
-    """Columns: level, slope, slope changes over the first 80 % of the span, seasons."""
-    t = (days - first) / max(span, 1)
-    columns = [np.ones_like(t), t]
-    if span >= 4 * knots:
-        columns += [np.clip(t - k, 0, None) for k in np.linspace(0, 0.8, knots + 2)[1:-1]]
-    seasons = ([(7.0, 3)] if span >= 14 else []) + ([(365.25, 10)] if span >= 730 else [])
-    for length, order in seasons:
+def design(day: Column, first: Column, last: Column, knots: int, weekly: int, yearly: int) -> list[Column]:
+    """Inputs of a day: level, slope, slope changes over the first 80 % of the span, seasons."""
+    t = (day - first) / F.greatest(last - first, F.lit(1.0))
+    columns = [F.lit(1.0), t]
+    columns += [F.greatest(t - F.lit(float(0.8 * k / (knots + 1))), F.lit(0.0)) for k in range(1, knots + 1)]
+    for length, order in ((7.0, weekly), (365.25, yearly)):
+        for n in range(1, order + 1):
+            angle = day * F.lit(2 * math.pi * n / length)
+            columns += [F.sin(angle), F.cos(angle)]
+    return columns
+
+
+def _design_matrix(day: np.ndarray, first: float, last: float, knots: int, weekly: int, yearly: int) -> np.ndarray:
+    """``design`` over an array of days."""
+    t = (day - first) / max(last - first, 1.0)
+    columns = [np.ones_like(t), t] + [np.maximum(t - 0.8 * k / (knots + 1), 0.0) for k in range(1, knots + 1)]
+    for length, order in ((7.0, weekly), (365.25, yearly)):
         for n in range(1, order + 1):
-            angle = 2 * np.pi * n * days / length
+            angle = day * (2 * math.pi * n / length)
             columns += [np.sin(angle), np.cos(angle)]
     return np.column_stack(columns)
 
 
+def additive_fit(
+    df: DataFrame, keys: Sequence[str], metric: str, date: str = "Date", knots: int = 5, weekly: int = 3,
+    yearly: int = 10, penalty: float = 1e-2,
+) -> DataFrame:
+    """Weights of the additive model per series: keys, ``_first``, ``_last``, ``_days``, ``weights``, ``sd``.
+
+    One shuffle by key and no group function: the rows of a partition stream through in key order, and a
+    series, which has one row per day, adds up its normal equations and is solved when its last row has passed.
+    ``penalty`` damps all inputs but level and slope, terms that a short series cannot carry among them.
+    """
+    keys = list(keys)
+    by = Window.partitionBy(*keys)
+    known = df.where(F.col(metric).isNotNull()).select(
+        *keys, F.unix_date(F.col(date)).cast("double").alias("_day"), F.col(metric).cast("double").alias("_y"))
+    known = known.withColumns({"_first": F.min("_day").over(by), "_last": F.max("_day").over(by)})
+    if keys:
+        known = known.sortWithinPartitions(*keys)
+    schema = T.StructType([df.schema[k] for k in keys] + T.StructType.fromDDL(
+        "_first double, _last double, _days array<double>, weights array<double>, sd double").fields)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        open_key: tuple | None = None
+        days: list[float] = []
+        values: list[float] = []
+        span = (0.0, 0.0)
+
+        def fitted() -> list:
+            day, y = np.array(days), np.array(values)
+            x = _design_matrix(day, *span, knots, weekly, yearly)
+            ridge = np.diag([1e-9, 1e-9] + [penalty] * (x.shape[1] - 2))
+            w = np.linalg.lstsq(x.T @ x + ridge, x.T @ y, rcond=None)[0]
+            return [*open_key, *span, list(dict.fromkeys(days)), w.tolist(), float(np.std(y - x @ w))]
+
+        def table(rows: list[list]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [[] for _ in arrow]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for batch in batches:
+            done = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns):
+                key, (day, y, first, last) = row[:-4], row[-4:]
+                if key != open_key:
+                    if days:
+                        done.append(fitted())
+                    open_key, days, values, span = key, [], [], (first, last)
+                days.append(day)
+                values.append(y)
+            yield table(done)
+        if days:
+            yield table([fitted()])
+
+    return known.mapInArrow(solve, schema)
+
+
 def additive_forecast(
     df: DataFrame, keys: Sequence[str], metric: str, periods: int, date: str = "Date",
-    knots: int = 5, penalty: float = 1e-2,
+    knots: int = 5, penalty: float = 1e-2, weekly: int = 3, yearly: int = 10,
 ) -> DataFrame:
-    """Piecewise-linear trend plus weekly (and yearly) season per series, with an 80 % band.
+    """Piecewise-linear trend plus weekly and yearly season per series, with an 80 % band.
 
-    A series has one row per day, so the group handed to Python is bounded by
-    the calendar. Output: keys, ``ds``, ``yhat``, ``yhat_lower``, ``yhat_upper``
-    over the known days and ``periods`` days ahead.
+    ``knots``, ``weekly`` and ``yearly`` (orders of the seasons) set the model, whatever the length of a
+    series. Output: keys, ``ds``, ``yhat``, ``yhat_lower``, ``yhat_upper`` over the known days and ``periods``
+    days ahead, scored by a column expression.
     """
-    keys = list(keys)
-    series = df.select(*keys, F.unix_date(F.col(date)).alias("_day"), F.col(metric).cast("double").alias("_y"))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        known = group.dropna(subset=["_y"]).sort_values("_day")
-        days, y = known["_day"].to_numpy(float), known["_y"].to_numpy(float)
-        if not len(days):
-            return pd.DataFrame({k: [] for k in [*keys, "_day", "yhat", "_sd"]})
-        first, span = int(days[0]), int(days[-1] - days[0])
-        x = _design(days, first, span, knots)
-        ridge = penalty * np.eye(x.shape[1])
-        ridge[:2, :2] = 1e-9 * np.eye(2)
-        weights = np.linalg.lstsq(x.T @ x + ridge, x.T @ y, rcond=None)[0]
-        sd = float(np.std(y - x @ weights))
-        ahead = np.concatenate([days, days[-1] + np.arange(1, periods + 1)])
-        out = pd.DataFrame({"_day": ahead.astype(int), "yhat": _design(ahead, first, span, knots) @ weights})
-        out["_sd"] = sd
-        for k in keys:
-            out[k] = group[k].iloc[0]
-        return out
-
-    key_schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
-    fitted = series.groupBy(*keys).applyInPandas(fit, f"{key_schema}_day int, yhat double, _sd double")
+    fits = additive_fit(df, keys, metric, date, knots, weekly, yearly, penalty)
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(periods)), lambda i: F.col("_last") + i) if periods > 0 else (
+        F.array().cast("array<double>"))
+    days = fits.select(*keys, "_first", "_last", "weights", "sd", F.explode(F.concat("_days", ahead)).alias("_day"))
+    inputs = F.array(*design(F.col("_day"), F.col("_first"), F.col("_last"), knots, weekly, yearly))
+    yhat = F.aggregate(F.zip_with(inputs, "weights", lambda a, w: a * w), F.lit(0.0), lambda total, v: total + v)
+    fitted = days.select(*keys, F.date_from_unix_date(F.col("_day").cast("int")).alias("ds"), yhat.alias("yhat"), "sd")
     return fitted.select(
-        *keys,
-        F.date_from_unix_date("_day").alias("ds"),
-        "yhat",
-        (F.col("yhat") - F.lit(BAND_80) * F.col("_sd")).alias("yhat_lower"),
-        (F.col("yhat") + F.lit(BAND_80) * F.col("_sd")).alias("yhat_upper"),
+        *keys, "ds", "yhat",
+        (F.col("yhat") - F.lit(BAND_80) * F.col("sd")).alias("yhat_lower"),
+        (F.col("yhat") + F.lit(BAND_80) * F.col("sd")).alias("yhat_upper"),
     )

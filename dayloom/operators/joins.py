@@ -10,34 +10,35 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.operators.columns import prefix_columns
 from dayloom.operators.sequence import number_rows
 from dayloom.session import materialise
 
-# Entries up to which a mapping given as a Python dict is broadcast.
-MAX_BROADCAST_MAPPING = 100_000
-
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join where null keys match each other; the right copies of the keys are dropped."""
+    if not keys:
+        return left.join(right, how=how)
     other = prefix_columns(right.select(*keys), "_r_")
     renamed = right.withColumnsRenamed(dict(zip(keys, other.columns)))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, other.columns)])
     return left.join(renamed, on, how).drop(*other.columns)
 
 
-def fit_dictionary(df: DataFrame, label: str, index: str) -> DataFrame:
-    """Index labels from 0, most frequent first, ties by label.
+def fit_dictionary(df: DataFrame, label: str, index: str, weight: Column | None = None) -> DataFrame:
+    """Index labels from 0 (bigint), most frequent first, ties by label.
 
     Counts are partial before the shuffle, and the numbering is the distributed
-    one of ``number_rows``: the labels are never gathered in one place.
+    one of ``number_rows``: the labels are never gathered in one place. ``weight`` is
+    the number of rows that a row stands for, where they were counted before.
     """
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    many = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(many.alias("n"))
     numbered = number_rows(counts, index, [F.col("n").desc(), F.col(label).asc()], unique_order=True)
-    return materialise(numbered.select(label, F.col(index).cast("int").alias(index)), "dictionary")
+    return materialise(numbered.select(label, F.col(index).cast("bigint").alias(index)), "dictionary")
 
 
 def encode(df: DataFrame, dictionary: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -58,13 +59,12 @@ def distinct_pairs(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def mapping_table(df: DataFrame, mapping: Mapping, key: str, value: str) -> DataFrame:
-    """A Python dict as a two-column table (broadcast while it is small)."""
+    """A Python dict as a two-column table; its size is known, so Catalyst decides how to join it."""
     spark = df.sparkSession
     key_type = df.schema[key].dataType.simpleString()
     sample = next(v for v in mapping.values() if v is not None)
     value_type = {bool: "boolean", int: "bigint", float: "double"}.get(type(sample), "string")
-    table = spark.createDataFrame(list(mapping.items()), f"`{key}` {key_type}, `{value}` {value_type}")
-    return F.broadcast(table) if len(mapping) <= MAX_BROADCAST_MAPPING else table
+    return spark.createDataFrame(list(mapping.items()), f"`{key}` {key_type}, `{value}` {value_type}")
 
 
 def harmonise(df: DataFrame, label: str, mapping: Mapping[str, str]) -> DataFrame:

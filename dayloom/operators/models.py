@@ -41,8 +41,9 @@ def forest(**params) -> RandomForestRegressor:
 
 
 def glm(**params) -> GeneralizedLinearRegression:
-    """Generalised linear model with identity link."""
-    return GeneralizedLinearRegression(**{"link": "identity", **params})
+    """Generalised linear model, with identity link unless told otherwise (None: the family's own)."""
+    chosen = {"link": "identity", **params}
+    return GeneralizedLinearRegression(**{k: v for k, v in chosen.items() if v is not None})
 
 
 def param_grid(estimator: Estimator, grid: Mapping[str, Iterable]) -> list[dict]:
@@ -166,23 +167,44 @@ def ridge_per_key(
         F.array(*[F.sum(x * label) for x in inputs]).alias("xy"),
     )
 
+    sums = sums.withColumn("n", F.get("xx", F.lit(0)).cast("bigint"))
+    scaled = [0.0] + [penalty] * horizon
+    solved = solve_normal_equations(sums.withColumn("yy", F.lit(0.0)), scaled, by_count=True)
+    split = F.slice("weights", 2, horizon).alias("weights"), F.get("weights", F.lit(0)).alias("intercept")
+    return solved.select(*keys, *split, "n")
+
+
+def solve_normal_equations(sums: DataFrame, ridge: Sequence[float], by_count: bool = False) -> DataFrame:
+    """Add ``weights`` and ``sd`` to rows that hold the sums of a least-squares fit.
+
+    ``xx`` is the upper triangle of the inputs' products row by row, ``xy`` the products with the label, ``yy``
+    the label's squares, ``n`` the rows. ``ridge`` is added to the diagonal, times n with ``by_count``. ``sd`` is
+    the population standard deviation of the residuals.
+    """
+    size = len(ridge)
+    upper = [(i, j) for i in range(size) for j in range(i, size)]
+    kept = [f for f in sums.schema if f.name not in ("xx", "xy", "yy")]
+
     def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for batch in batches:
-            solved = []
-            for xx, xy in zip(batch["xx"], batch["xy"]):
+            out = batch[[f.name for f in kept]].copy()
+            weights, spread = [], []
+            for xx, xy, yy, n in zip(batch["xx"], batch["xy"], batch["yy"], batch["n"]):
                 matrix = np.zeros((size, size))
                 for (i, j), v in zip(upper, xx):
                     matrix[i, j] = matrix[j, i] = v
-                ridge = np.diag([0.0] + [penalty * max(matrix[0, 0], 1.0)] * horizon)
-                solved.append(np.linalg.lstsq(matrix + ridge, np.asarray(xy, float), rcond=None)[0])
-            out = batch[list(keys)].copy()
-            out["weights"] = [s[1:] for s in solved]
-            out["intercept"] = [s[0] for s in solved]
-            out["n"] = [int(xx[0]) for xx in batch["xx"]]
+                damped = matrix + np.diag(np.array(ridge) * (max(n, 1.0) if by_count else 1.0))
+                label = np.asarray(xy, float)
+                w = np.linalg.lstsq(damped, label, rcond=None)[0]
+                weights.append(w)
+                squares = max(float(yy) - 2 * w @ label + w @ matrix @ w, 0.0) / max(n, 1)
+                mean = (label[0] - matrix[0] @ w) / max(n, 1)
+                spread.append(float(np.sqrt(max(squares - mean * mean, 0.0))))
+            out["weights"], out["sd"] = weights, spread
             yield out
 
-    key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return sums.mapInPandas(solve, f"{key_schema}, weights array<double>, intercept double, n bigint")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return sums.mapInPandas(solve, f"{ddl}, weights array<double>, sd double")
 
 
 def trend_per_key(

@@ -144,9 +144,9 @@ def decode_lookup(spark, folder):
 @query("clean_numbers", """
     SELECT o_orderkey,
            CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice END AS price, o_orderkey % 10 = 0 AS price_rejected,
-           CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_custkey AS INTEGER) END AS cust,
+           CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS cust,
            o_orderkey % 7 = 0 AS cust_rejected,
-           CAST(o_orderkey AS INTEGER) AS hexed, false AS hexed_rejected,
+           o_orderkey AS hexed, false AS hexed_rejected,
            o_orderkey / 100.0 AS implied, false AS implied_rejected,
            CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS digits_only,
            CASE WHEN o_orderkey % 10 = 0 OR o_orderkey % 7 = 0 THEN NULL
@@ -163,7 +163,7 @@ def clean_numbers(spark, folder):
         key.cast("string").alias("t_key"),
     )
     parsed = cleaning.clean_numbers(rows, {
-        "price": ("t_price", "real"), "cust": ("t_cust", "int"), "hexed": ("t_hex", "hex"),
+        "price": ("t_price", "real"), "cust": ("t_cust", "long"), "hexed": ("t_hex", "hex_long"),
         "implied": ("t_key", "9(8)V99"),
     })
     return parsed.select(
@@ -178,12 +178,12 @@ def clean_numbers(spark, folder):
     SELECT l_orderkey, l_linenumber, l_partkey,
            CAST(trunc(l_extendedprice / l_quantity) AS INTEGER) AS whole_price,
            round(l_extendedprice % l_quantity, 6) AS rest,
-           CAST(l_orderkey AS INTEGER) & CAST(l_partkey AS INTEGER) AS bits_and,
-           CAST(l_orderkey AS INTEGER) | CAST(l_partkey AS INTEGER) AS bits_or,
-           xor(CAST(l_orderkey AS INTEGER), CAST(l_partkey AS INTEGER)) AS bits_xor,
-           -1 - CAST(l_orderkey AS INTEGER) AS bits_not,
+           l_orderkey & l_partkey AS bits_and,
+           l_orderkey | l_partkey AS bits_or,
+           xor(l_orderkey, l_partkey) AS bits_xor,
+           -1 - l_orderkey AS bits_not,
            CAST(floor(l_extendedprice + 0.5) AS BIGINT) AS nearest,
-           printf('%x', CAST(l_orderkey AS INTEGER)) AS hexed,
+           printf('%x', l_orderkey) AS hexed,
            round(exp(l_discount), 6) AS e, round(ln(l_quantity), 6) AS l, round(sqrt(l_extendedprice), 6) AS r,
            round(sin(l_quantity), 6) AS s, round(cos(l_quantity), 6) AS c, round(tan(l_discount), 6) AS t,
            round(asin(l_discount), 6) AS asn, round(acos(l_discount), 6) AS acs, round(atan(l_quantity), 6) AS atn,
@@ -250,7 +250,10 @@ def date_rejects(spark, folder):
 @query("database_dates", """
     SELECT event_id, strftime(ts, '%Y-%m-') || day(ts) || strftime(ts, ' %H:%M:%S') AS written,
            date_trunc('second', ts) AS parsed, CAST(epoch_us(ts) // 1000 AS VARCHAR) AS millis,
-           date_trunc('milliseconds', ts) AS from_millis
+           date_trunc('milliseconds', ts) AS from_millis,
+           year(ts) || ' w' || CASE WHEN date_trunc('day', ts) + to_days(CAST(6 - dayofweek(ts) AS INTEGER))
+               >= make_date(year(ts) + 1, 1, 1) THEN 1 ELSE
+               (dayofyear(ts) + (dayofweek(date_trunc('year', ts)))  - 1) // 7 + 1 END AS week
     FROM events""")
 def database_dates(spark, folder):
     pattern, ts = "YYYY-MM-DD HH24:MI:SS", F.col("ts")
@@ -258,6 +261,7 @@ def database_dates(spark, folder):
         "event_id",
         dates.to_database_text(ts, pattern).alias("written"),
         dates.to_database_text(ts, dates.EPOCH_MILLIS).alias("millis"),
+        F.regexp_replace(dates.to_database_text(ts, "YYYY-WW"), "-", " w").alias("week"),
     )
     return rows.select(
         "*",

@@ -15,6 +15,16 @@ from dayloom.session import materialise
 _EVENTS = ["event_type"]
 
 
+def stored_days(spark, folder):
+    """The daily event panel, stored: history, last day and forecast read it instead of the events."""
+    return materialise(events_daily(spark, folder), "daily")
+
+
+def stored_countries(spark, folder):
+    return materialise(country_panel(spark, folder), "daily")
+
+
+
 def _state_sql(metric: str, horizon: int, source: str = "events_daily", key: str = "event_type") -> str:
     days = ", ".join(
         f"""CAST(coalesce(sum("{metric}") FILTER (WHERE "Date" = last - {h}), 0) AS DOUBLE)""" for h in range(horizon)
@@ -39,7 +49,7 @@ def _roll_sql(metric: str, horizon: int, periods: int, source: str = "events_dai
     SELECT event_type, last AS last_day, array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) FOR x IN state], ',') AS state
     FROM start"""))
 def history_state(spark, folder):
-    state = forecast.history_state(events_daily(spark, folder), _EVENTS, "n", 5)
+    state = forecast.history_state(stored_days(spark, folder), _EVENTS, "n", 5)
     listed = F.transform("state", lambda x: x.cast("bigint").cast("string"))
     return state.withColumn("state", F.concat_ws(",", listed))
 
@@ -48,7 +58,7 @@ def history_state(spark, folder):
     WITH RECURSIVE {_roll_sql("n", 7, 30)}
     SELECT event_type, last + step AS "Date", round(state[1], 6) AS n FROM roll WHERE step > 0"""))
 def recursive_forecast(spark, folder):
-    ahead = forecast.recursive_forecast(events_daily(spark, folder), _EVENTS, "n", 7, 30)
+    ahead = forecast.recursive_forecast(stored_days(spark, folder), _EVENTS, "n", 7, 30)
     return ahead.withColumn("n", F.round("n", 6))
 
 
@@ -58,13 +68,44 @@ def recursive_forecast(spark, folder):
     SELECT "Country", last + step AS "Date", state[1] AS "Confirmed" FROM roll WHERE step > 0"""))
 def recursive_forecast_rounded(spark, folder):
     return forecast.recursive_forecast(
-        country_panel(spark, folder), ["Country"], "Confirmed", 20, 14, round_feedback=True
+        stored_countries(spark, folder), ["Country"], "Confirmed", 20, 14, round_feedback=True
     )
 
 
+@query("recursive_forecast_all_keys", with_views("country_panel", f"""
+    WITH RECURSIVE {_state_sql("Confirmed", 20, "country_panel", "Country").replace("HAVING", "HAVING true OR")},
+    roll AS (SELECT "Country", last, 0 AS step, state FROM start
+             UNION ALL SELECT "Country", last, step + 1,
+                list_prepend(CAST(floor(list_sum(state[1:20]) / 20.0 + 0.5) AS DOUBLE), state)[1:20] FROM roll WHERE step < 14)
+    SELECT "Country", last + step AS "Date", state[1] AS "Confirmed" FROM roll WHERE step > 0"""))
+def recursive_forecast_all_keys(spark, folder):
+    # Every country ever seen, not only those with rows on the last day.
+    return forecast.recursive_forecast(
+        stored_countries(spark, folder), ["Country"], "Confirmed", 20, 14, round_feedback=True, cover="all"
+    )
+
+
+@query("recursive_forecast_nullkey", with_views("country_panel", f"""
+    WITH RECURSIVE keyed AS (SELECT CASE WHEN "Country" = 'NATION_0' THEN NULL ELSE "Country" END AS "Country",
+                                    "Date", "Confirmed" FROM country_panel),
+    {_state_sql("Confirmed", 7, "keyed", "Country").replace("HAVING", "HAVING true OR")},
+    scale AS (SELECT "Country", avg("Confirmed") AS w FROM keyed GROUP BY "Country"),
+    roll AS (SELECT s."Country", last, 0 AS step, state, w FROM start s JOIN scale c ON s."Country" IS NOT DISTINCT FROM c."Country"
+             UNION ALL SELECT "Country", last, step + 1, list_prepend(w + state[1] * 0.5, state)[1:7], w FROM roll WHERE step < 5)
+    SELECT "Country", last + step AS "Date", round(state[1], 6) AS "Confirmed" FROM roll WHERE step > 0"""))
+def recursive_forecast_nullkey(spark, folder):
+    # Parameters of a null key reach its state.
+    days = stored_countries(spark, folder).withColumn("Country", F.nullif("Country", F.lit("NATION_0")))
+    scale = days.groupBy("Country").agg(F.avg("Confirmed").alias("w"))
+    ahead = forecast.recursive_forecast(
+        days, ["Country"], "Confirmed", 7, 5, lambda past: F.col("w") + F.get(past, F.lit(0)) * F.lit(0.5),
+        parameters=scale, cover="all")
+    return ahead.withColumn("Confirmed", F.round("Confirmed", 6))
+
+
 @query("recursive_forecast_per_key")
 def recursive_forecast_per_key(spark, folder):
-    daily = materialise(events_daily(spark, folder), "daily")
+    daily = stored_days(spark, folder)
     weights = models.ridge_per_key(lags.lag_features(daily, _EVENTS, "n", 7, fill=0), _EVENTS, "n", 7, penalty=1e-3)
     return forecast.recursive_forecast(
         daily, _EVENTS, "n", 7, 30, forecast.weighted_lags(), parameters=weights.drop("n")
@@ -74,11 +115,11 @@ def recursive_forecast_per_key(spark, folder):
 @query("recursive_forecast_gbt")
 def recursive_forecast_gbt(spark, folder):
     rows = stored_training_rows(spark, folder)
-    fitted = models.gbt(maxIter=5, maxDepth=4).fit(rows)
+    fitted = models.gbt(maxIter=10, maxDepth=10, maxBins=190).fit(rows)
     # The states carry the country index, the first feature of the model.
     history = rows.select("Country", "CountryIndex", "Date", F.col("label").alias("Confirmed"))
     return forecast.recursive_forecast(
-        history, ["Country", "CountryIndex"], "Confirmed", HORIZON, 12, fitted, codes=["CountryIndex"], store_every=5
+        history, ["Country", "CountryIndex"], "Confirmed", HORIZON, 14, fitted, codes=["CountryIndex"], store_every=7, cover="all"
     )
 
 
@@ -93,14 +134,14 @@ _WINDOW_SQL = """,
 @query("forecast_metric", with_views("events_daily", f"""
     WITH RECURSIVE {_roll_sql("n", 7, 10)}{_WINDOW_SQL.format(past='WHERE "Date" >= last - 10')}"""))
 def forecast_metric(spark, folder):
-    totals = forecast.forecast_metric(events_daily(spark, folder), _EVENTS, "n", 7, 10)
+    totals = forecast.forecast_metric(stored_days(spark, folder), _EVENTS, "n", 7, 10)
     return totals.withColumn("n", F.round("n", 6))
 
 
 @query("forecast_metric_full", with_views("events_daily", f"""
     WITH RECURSIVE {_roll_sql("n", 7, 10)}{_WINDOW_SQL.format(past="")}"""))
 def forecast_metric_full(spark, folder):
-    totals = forecast.forecast_metric(events_daily(spark, folder), _EVENTS, "n", 7, 10, history="full")
+    totals = forecast.forecast_metric(stored_days(spark, folder), _EVENTS, "n", 7, 10, history="full")
     return totals.withColumn("n", F.round("n", 6))
 
 
@@ -108,7 +149,7 @@ def forecast_metric_full(spark, folder):
     WITH RECURSIVE {_roll_sql("n", 7, 10)}{_WINDOW_SQL.format(past="")}
     QUALIFY "Date" >= (SELECT max(last) FROM start) - 10"""))
 def forecast_metric_opening(spark, folder):
-    totals = forecast.forecast_metric(events_daily(spark, folder), _EVENTS, "n", 7, 10, history="opening")
+    totals = forecast.forecast_metric(stored_days(spark, folder), _EVENTS, "n", 7, 10, history="opening")
     return totals.withColumn("n", F.round("n", 6))
 
 
@@ -123,7 +164,7 @@ def forecast_metric_opening(spark, folder):
     SELECT event_type || '_' || CAST("Date" AS VARCHAR) AS "ForecastId", round(n, 6) AS n
     FROM request LEFT JOIN totals USING (event_type, "Date")"""))
 def submission_join(spark, folder):
-    daily = events_daily(spark, folder)
+    daily = stored_days(spark, folder)
     request = calendar.extend_calendar(daily, _EVENTS, 12).withColumn(
         "ForecastId", F.concat_ws("_", "event_type", F.col("Date").cast("string"))
     )
@@ -145,7 +186,7 @@ def submission_join(spark, folder):
     UNION SELECT event_type, "Date", CAST(n AS DOUBLE) FROM newer
     UNION SELECT event_type, last + step, round(state[1], 6) FROM roll WHERE step > 0"""))
 def backfill_missing(spark, folder):
-    daily = events_daily(spark, folder)
+    daily = stored_days(spark, folder)
     older = daily.where("Date <= DATE'2024-01-16'")
     newer = daily.where("Date >= DATE'2024-01-16' AND event_type NOT IN ('click', 'error')")
     filled = forecast.backfill_missing(older, newer, _EVENTS, _EVENTS, ["n"], 7)
@@ -163,10 +204,10 @@ def backfill_missing(spark, folder):
            round(i + s * date_diff('day', DATE '1970-01-01', "Date"), 4) AS "Predicted"
     FROM frame JOIN fit USING ("Country")"""))
 def shifted_forecast(spark, folder):
-    known = country_panel(spark, folder)
+    known = stored_countries(spark, folder)
     frame = calendar.future_by_shift(known, 30)
     fits = models.trend_per_key(known, ["Country"], "Confirmed").select("Country", "slope", "intercept")
-    scored = frame.join(fits, "Country")
+    scored = joins.null_safe_join(frame, fits, ["Country"])
     return scored.select(
         "Country", "Date", "Confirmed",
         F.round(dates.month_scaled_day(F.col("Date")), 6).alias("DateInt"),
@@ -178,7 +219,7 @@ def shifted_forecast(spark, folder):
 def shifted_forecast_scored(spark, folder):
     # The shifted frame with lags over both halves, scored by a model of index + lags.
     rows = stored_training_rows(spark, folder)
-    fitted = models.forest(numTrees=5, maxDepth=5).fit(rows)
+    fitted = models.forest(numTrees=20, maxDepth=10, maxBins=250).fit(rows)
     known = rows.select("Country", "CountryIndex", "Date", F.col("label").alias("Confirmed"))
     frame = calendar.future_by_shift(known, HORIZON, by=HORIZON - 1)
     lagged = lags.lag_features(
@@ -209,7 +250,7 @@ def _trend_sql(key: str, metric: str, source: str, periods: int) -> str:
     SELECT "Country", ds, round(yhat, 4) AS yhat, round(yhat - 1.2816 * sd, 4) AS yhat_lower,
            round(yhat + 1.2816 * sd, 4) AS yhat_upper FROM fitted"""))
 def trend_forecast(spark, folder):
-    fitted = forecast.trend_forecast(country_panel(spark, folder), ["Country"], "Confirmed", 30)
+    fitted = forecast.trend_forecast(stored_countries(spark, folder), ["Country"], "Confirmed", 30)
     return fitted.withColumns({c: F.round(c, 4) for c in ("yhat", "yhat_lower", "yhat_upper")})
 
 
@@ -218,7 +259,7 @@ def trend_forecast(spark, folder):
     SELECT f."Country", ds, round(yhat, 4) AS yhat, CAST("Confirmed" AS DOUBLE) AS y
     FROM fitted f JOIN country_panel p ON f."Country" = p."Country" AND ds = "Date" """))
 def insample_fit(spark, folder):
-    fitted = forecast.insample_fit(country_panel(spark, folder), ["Country"], "Confirmed")
+    fitted = forecast.insample_fit(stored_countries(spark, folder), ["Country"], "Confirmed")
     return fitted.select("Country", "ds", F.round("yhat", 4).alias("yhat"), "y")
 
 
@@ -228,7 +269,7 @@ _WORLD = """
 
 
 def _world(spark, folder):
-    return panel.sum_panel(panel_view(spark, folder), [], PANEL_METRICS)
+    return materialise(panel.sum_panel(panel_view(spark, folder), [], PANEL_METRICS), "world")
 
 
 @query("forecast_vs_actual", with_views("panel", f"""
@@ -268,10 +309,50 @@ def additive_forecast(spark, folder):
     return forecast.forecast_table(world, PANEL_METRICS, 30, forecaster=forecast.additive_forecast)
 
 
+def _residual_check(rows, keys, inputs, ridge, weights="weights"):
+    """Per key the mean fit, and whether the residuals meet the normal equations: sum of residual times input
+    equals ridge times weight, for every input."""
+    gap = F.col("y") - F.col("yhat")
+    long = rows.select(*keys, "y", "yhat", gap.alias("gap"), F.posexplode(F.arrays_zip(
+        F.array(*inputs).alias("x"), F.col(weights).alias("w"), F.expr(ridge).alias("r"))).alias("i", "t"))
+    sums = long.groupBy(*keys, "i").agg(
+        F.avg("yhat").alias("mean"), F.avg(F.abs("y")).alias("scale"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("gap") * F.col("t.x")).alias("left"), F.first(F.col("t.w") * F.col("t.r")).alias("right"))
+    close = F.abs(F.col("left") - F.col("right")) < F.col("scale") * F.col("n") * 1e-6
+    return sums.groupBy(*keys).agg(F.round(F.max("mean") + F.lit(1e-7), 4).alias("fitted_mean"), F.min(close).alias("meets"))
+
+
+@query("additive_normal_equations", with_views("country_panel", """
+    SELECT "Country", round(avg("Confirmed") + 1e-7, 4) AS fitted_mean, true AS meets FROM country_panel GROUP BY "Country" """))
+def additive_normal_equations(spark, folder):
+    days = stored_countries(spark, folder)
+    fits = forecast.additive_fit(days, ["Country"], "Confirmed").select("Country", "_first", "_last", "weights")
+    fitted = forecast.insample_fit(days, ["Country"], "Confirmed", forecaster=forecast.additive_forecast)
+    rows = joins.null_safe_join(fitted, fits, ["Country"])
+    inputs = forecast.design(F.unix_date("ds").cast("double"), F.col("_first"), F.col("_last"), 5, 3, 10)
+    ridge = f"concat(array_repeat(1e-9D, 2), array_repeat(1e-2D, {len(inputs) - 2}))"
+    return _residual_check(rows, ["Country"], inputs, ridge)
+
+
+@query("per_key_normal_equations", with_views("country_panel", """
+    SELECT "Country", round(avg("Confirmed") + 1e-7, 4) AS fitted_mean, true AS meets FROM country_panel GROUP BY "Country" """))
+def per_key_normal_equations(spark, folder):
+    lagged = materialise(lags.lag_features(stored_countries(spark, folder), ["Country"], "Confirmed", 15, fill=0), "lagged")
+    fits = models.ridge_per_key(lagged, ["Country"], "Confirmed", 15)
+    rows = joins.null_safe_join(lagged, fits, ["Country"])
+    inputs = [F.lit(1.0), *[F.col(c).cast("double") for c in lags.lag_names("Confirmed", 15)]]
+    every = F.concat(F.array("intercept"), F.col("weights"))
+    rows = rows.withColumn("every", every).withColumns({
+        "yhat": F.aggregate(F.zip_with(F.array(*inputs), "every", lambda a, w: a * w), F.lit(0.0), lambda t, v: t + v),
+        "y": F.col("Confirmed").cast("double")})
+    ridge = "concat(array(0D), array_repeat(1e-6D * n, 15))"
+    return _residual_check(rows, ["Country"], inputs, ridge, "every")
+
+
 @query("additive_insample_fit")
 def additive_insample_fit(spark, folder):
     return forecast.insample_fit(
-        country_panel(spark, folder), ["Country"], "Confirmed", forecaster=forecast.additive_forecast
+        stored_countries(spark, folder), ["Country"], "Confirmed", forecaster=forecast.additive_forecast
     )
 
 
@@ -281,24 +362,32 @@ def additive_insample_fit(spark, folder):
         UNION ALL SELECT (SELECT max("Date") FROM world) + CAST(unnest(range(1, 31)) AS INTEGER), false)
     SELECT ds, known, true AS ordered FROM days"""))
 def additive_contract(spark, folder):
-    fitted = forecast.additive_forecast(_world(spark, folder), [], "Confirmed", 30)
-    last = _world(spark, folder).agg(F.max("Date")).scalar()
+    world = _world(spark, folder)
+    fitted = forecast.additive_forecast(world, [], "Confirmed", 30)
+    last = world.agg(F.max("Date")).scalar()
     ordered = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
     return fitted.select("ds", (F.col("ds") <= last).alias("known"), ordered.alias("ordered"))
 
 
 @query("recursive_gbt_contract", with_views("country_panel", """
-    SELECT "Country", "Date" + CAST(unnest(range(1, 13)) AS INTEGER) AS "Date", true AS scored
-    FROM country_panel WHERE "Date" = (SELECT max("Date") FROM country_panel)"""))
+    WITH bounds AS (SELECT "Country", max("Confirmed") AS top FROM country_panel GROUP BY "Country")
+    SELECT "Country", (SELECT max("Date") FROM country_panel) + CAST(unnest(range(1, 15)) AS INTEGER) AS "Date",
+           true AS scored, (SELECT max("Confirmed") FROM country_panel) AS top FROM bounds"""))
 def recursive_gbt_contract(spark, folder):
-    ahead = recursive_forecast_gbt(spark, folder)
-    return ahead.select("Country", "Date", F.col("Confirmed").isNotNull().alias("scored"))
+    # Every country, and predictions within the range of the labels (as means of labels, corrected by boosting).
+    ahead = materialise(recursive_forecast_gbt(spark, folder), "ahead")
+    top = stored_countries(spark, folder).agg(F.max("Confirmed")).scalar()
+    within = F.col("Confirmed").between(-1.0 * top, 2.0 * top)
+    return ahead.select("Country", "Date", within.alias("scored"), top.alias("top"))
 
 
 @query("shifted_scored_contract", with_views("country_panel", """
-    SELECT DISTINCT "Country", "Date", true AS scored FROM (
+    SELECT DISTINCT "Country", "Date", true AS scored, (SELECT max("Confirmed") FROM country_panel) AS top FROM (
         SELECT "Country", "Date" FROM country_panel UNION ALL SELECT "Country", "Date" + 6 FROM country_panel
         WHERE "Date" >= (SELECT max("Date") FROM country_panel) - 7)"""))
 def shifted_scored_contract(spark, folder):
-    scored = shifted_forecast_scored(spark, folder)
-    return scored.select("Country", "Date", F.col("Predicted_Confirmed").isNotNull().alias("scored"))
+    # A forest predicts means of labels: between none and the greatest.
+    scored = materialise(shifted_forecast_scored(spark, folder), "scored")
+    top = stored_countries(spark, folder).agg(F.max("Confirmed")).scalar()
+    within = F.col("Predicted_Confirmed").between(F.lit(0.0), top)
+    return scored.select("Country", "Date", within.alias("scored"), top.alias("top"))

@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 
 from dayloom.functions import dates
 from dayloom.operators import columns, joins
+from dayloom.plans import pipelines
 from dayloom.plans.catalogue import query
-from dayloom.plans.views import PANEL_METRICS, events_daily, panel, raw_payloads, table, with_place, with_views
+from dayloom.plans.views import (
+    PANEL_METRICS,
+    country_counts,
+    events_daily,
+    panel,
+    raw_payloads,
+    table,
+    with_views,
+)
 from dayloom.schemas import API_RECORD, DAILY_PANEL, LABEL_DICTIONARY
-from dayloom.session import scratch_path
+from dayloom.session import materialise, scratch_path
 from dayloom.sources import documents, marks, sinks, tables
 
 LOAD_MARK = dt.datetime(2024, 1, 15)
@@ -44,7 +53,7 @@ def scan_csv_headerless(spark, folder):
 def scan_csv_inferred(spark, folder):
     # Three write runs in one folder, as one table with equal rows kept once.
     path = scratch_path(spark, "inferred")
-    rows = panel(spark, folder).select("Country", "Province", "Date", "Confirmed")
+    rows = materialise(panel(spark, folder).select("Country", "Province", "Date", "Confirmed"), "inferred-rows")
     for mode in ("overwrite", "append", "append"):
         sinks.write_csv(rows, path, mode)
     read = tables.read_headerless_csv(spark, path, rows.columns, dedupe=True)
@@ -68,12 +77,12 @@ def scan_csv_header(spark, folder):
 
 
 @query("dictionary_table", with_views("dictionary", """
-    SELECT "Country", CAST("CountryIndex" AS INTEGER) AS "CountryIndex" FROM dictionary"""))
+    SELECT "Country", "CountryIndex" FROM dictionary"""))
 def dictionary_table(spark, folder):
     # Fitted once, written as CSV, read back as the fixed dictionary of later jobs.
     path = scratch_path(spark, "dictionary")
-    rows = with_place(table(spark, folder, "orders").select("o_custkey"), spark, folder)
-    sinks.write_csv(joins.fit_dictionary(rows, "Country", "CountryIndex"), path)
+    rows = country_counts(spark, folder)
+    sinks.write_csv(joins.fit_dictionary(rows, "Country", "CountryIndex", F.col("n")), path)
     return tables.read_headerless_csv(spark, path, ["Country", "CountryIndex"], LABEL_DICTIONARY)
 
 
@@ -98,14 +107,17 @@ def sink_csv_roundtrip(spark, folder):
     return reader.csv(path)
 
 
-@query("sink_single_file", with_views("events_daily", """
-    SELECT event_type, "Date", n, cents, 1 AS files FROM events_daily"""))
-def sink_single_file(spark, folder):
-    path = scratch_path(spark, "single")
+@query("sink_partitioned", with_views("events_daily", """
+    SELECT event_type, "Date", n, cents, true AS within FROM events_daily"""))
+def sink_partitioned(spark, folder):
+    # One folder per event type, its rows dealt to at most two files.
+    path = scratch_path(spark, "export")
     daily = events_daily(spark, folder)
-    sinks.write_single_file(daily, path)
-    files = tables.list_files(spark, path, "part-*.csv").agg(F.count(F.lit(1)).cast("int").alias("files"))
-    return spark.read.schema(daily.schema).csv(path).withColumn("files", files.scalar())
+    sinks.export_csv(daily, path, ["event_type"], files_per_value=2)
+    files = tables.list_files(spark, path, "part-*.csv").groupBy("folder").agg(F.count(F.lit(1)).alias("files"))
+    files = files.select(F.substring_index("folder", "=", -1).alias("event_type"), F.col("files").between(1, 2).alias("within"))
+    read = spark.read.schema("Date date, n bigint, cents bigint, event_type string").csv(path)
+    return read.join(files, "event_type")
 
 
 @query("list_input_files", """
@@ -212,15 +224,39 @@ def sink_bulk_ndjson(spark, folder):
     return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def read_bulk(spark, path):
+    """Records of bulk files with the action line and the document line that follows it."""
+    records = spark.read.option("lineSep", '{"index":').text(path).where("length(value) > 0")
+    lines = F.split(F.concat(F.lit('{"index":'), F.rtrim(F.col("value"), F.lit("\n"))), "\n")
+    return records.withColumns({"action": F.get(lines, F.lit(0)), "doc": F.get(lines, F.lit(1)), "lines": F.size(lines)})
+
+
+@query("sink_bulk_files", """
+    WITH daily AS (SELECT o_custkey, o_orderkey FROM orders)
+    SELECT '{"index":{"_index":"orders", "_type":"_doc", "_id": "' || o_orderkey || '"}}' AS action,
+           '{"o_custkey":' || o_custkey || '}' AS doc, true AS within FROM daily""")
+def sink_bulk_files(spark, folder):
+    # At most 100 records per file, each action line right before its own document.
+    path = scratch_path(spark, "bulk")
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    sinks.write_bulk(rows, path, "o_orderkey", "orders", records_per_file=100)
+    records = read_bulk(spark, path).withColumn("file", F.col("_metadata.file_path"))
+    sizes = records.groupBy("file").agg((F.count(F.lit(1)) <= 100).alias("within"))
+    return records.where("lines = 2").join(sizes, "file").select("action", "doc", "within")
+
+
 @query("nest_json_by_id", """
     WITH docs AS (SELECT o_custkey AS _id, o_orderkey,
+        (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 5 AS part,
         '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS doc FROM orders)
-    SELECT _id, CAST(0 AS BIGINT) AS part, '{"data":' || CASE WHEN count(*) = 1 THEN max(doc)
+    SELECT _id, part, '{"data":' || CASE WHEN count(*) = 1 THEN max(doc)
            ELSE '[' || string_agg(doc, ',' ORDER BY o_orderkey) || ']' END || '}' AS json
-    FROM docs GROUP BY _id""")
+    FROM docs GROUP BY _id, part""")
 def nest_json_by_id(spark, folder):
+    # Parts of five, so that several parts of an id occur.
     rows = table(spark, folder, "orders").withColumnRenamed("o_custkey", "_id")
-    return sinks.nest_json(rows, "_id", ["o_orderkey", "o_orderstatus"], order=["o_orderkey"], unique_order=True)
+    return sinks.nest_json(rows, "_id", ["o_orderkey", "o_orderstatus"], order=["o_orderkey"], max_rows=5,
+                           unique_order=True)
 
 
 @query("nest_json_unique", """
@@ -263,10 +299,104 @@ def incremental_load(spark, folder):
     marks.write_mark(spark, state, LOAD_MARK)
     # A load, and a second one that finds nothing newer than the advanced mark.
     for _ in range(2):
-        marks.incremental_load(rows, "ts", state, lambda fresh: fresh.write.mode("append").parquet(target))
+        marks.incremental_load(rows, "ts", state, lambda fresh, load: fresh.write.mode("append").parquet(target))
     return spark.read.parquet(target)
 
 
+@query("load_counters", """
+    SELECT 1 AS load, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-10 00:00:00') AS accepted,
+           count(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-10 00:00:00') AS rejected FROM events
+           WHERE ts <= TIMESTAMP '2024-01-20 00:00:00'
+    UNION ALL SELECT 2, count(*) FILTER (WHERE ts > (SELECT max(ts) FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00')),
+           count(*) FILTER (WHERE ts <= (SELECT max(ts) FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00'))
+           FROM events""")
+def load_counters(spark, folder):
+    # Counters of two loads, from the passes that wrote them.
+    state, target = scratch_path(spark, "mark"), scratch_path(spark, "loaded")
+    rows = table(spark, folder, "events").select("event_id", "ts")
+    marks.write_mark(spark, state, dt.datetime(2024, 1, 10))
+    found = []
+    for number, part in ((1, rows.where("ts <= timestamp_ntz'2024-01-20 00:00:00'")), (2, rows)):
+        counts = marks.incremental_load(
+            part, "ts", state, lambda fresh, load: fresh.write.mode("overwrite").parquet(f"{target}/load={load}"))
+        found.append((number, counts["accepted"], counts["rejected"]))
+    return spark.createDataFrame(found, "load int, accepted bigint, rejected bigint")
+
+
+@query("late_rows_once", """
+    SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'""")
+def late_rows_once(spark, folder):
+    # A second load that looks back five days finds the late rows only, not those already there.
+    state, target = scratch_path(spark, "mark"), scratch_path(spark, "loaded")
+    rows = table(spark, folder, "events").select("event_id", "ts")
+    in_time = rows.where("event_id % 7 != 0")
+    marks.write_mark(spark, state, LOAD_MARK)
+
+    def write(fresh, load):
+        fresh.write.mode("overwrite").parquet(f"{target}/load={load}")
+
+    marks.incremental_load(in_time, "ts", state, write)
+    loaded = materialise(spark.read.parquet(target).drop("load"), "loaded")
+    marks.incremental_load(rows, "ts", state, write, allowed_lateness="30 days", loaded=loaded, keys=["event_id"])
+    return spark.read.parquet(target).where(F.col("ts") > F.lit(LOAD_MARK).cast("timestamp_ntz")).select("event_id", "ts")
+
+
+# --- whole loads ------------------------------------------------------------------------------
+
+
+def _landed_files(rows, path):
+    """One file per country, a JSON array of its records."""
+    inner = rows.select("Country", F.substring(F.col("payload"), 2, 1 << 30).alias("p"))
+    inner = inner.select("Country", F.expr("left(p, length(p) - 1)").alias("p"))
+    files = inner.groupBy("Country").agg(F.concat(F.lit("["), F.array_join(F.collect_list("p"), ","), F.lit("]")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+@query("json_array_file_scan", _BOTH_SHAPES)
+def json_array_file_scan(spark, folder):
+    path = scratch_path(spark, "landed")
+    _landed_files(raw_payloads(spark, folder).withColumn("Country", F.get_json_object("payload", "$[0].Country")), path)
+    return documents.read_json_array_files(spark, path)
+
+
+@query("payload_rejects", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '[{"Country": "A", "Confirmed":' ELSE 'no json' END AS _corrupt
+    FROM orders WHERE o_orderkey % 4 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0)""")
+def payload_rejects(spark, folder):
+    # Cut-off arrays and plain text among good, empty and absent payloads.
+    key = F.col("o_orderkey")
+    payload = (
+        F.when(key % 4 == 0, F.when(key % 8 == 0, F.lit("")))
+        .when(key % 3 == 0, F.lit('[{"Country": "A", "Confirmed":'))
+        .when(key % 5 == 0, F.lit("no json"))
+        .otherwise(F.lit('[{"Country": "A", "Confirmed": 1}]'))
+    )
+    rows = table(spark, folder, "orders").select("o_orderkey", payload.alias("payload"))
+    return documents.json_array_rejects(rows, "payload", ["o_orderkey"])
+
+
+@query("ingest_twice", with_views("panel", """
+    WITH ids AS (SELECT md5("Country" || '/' || "Province") || '_' || strftime("Date", '%Y-%m-%dT00-00-00Z') AS _id, *
+                 FROM panel), shapes AS (SELECT *, CAST(NULL AS VARCHAR) AS p FROM ids UNION ALL SELECT *, "Province" FROM ids)
+    SELECT '{"index":{"_index":"panel", "_type":"_doc", "_id": "' || _id || '"}}' AS action, "Country", p AS "Province",
+           CAST("Confirmed" AS VARCHAR) AS "Confirmed", strftime("Date", '%d-%m-%Y 00:00:00') AS "Date",
+           CASE WHEN "Date" <= DATE '1998-01-01' THEN 1 ELSE 2 END AS load FROM shapes"""))
+def ingest_twice(spark, folder):
+    # Two loads with a mark between and a third with nothing fresh: the files of both stay.
+    landed, state, bulk = (scratch_path(spark, n) for n in ("landed", "mark", "bulk"))
+    rows = raw_payloads(spark, folder).withColumns({
+        "Country": F.get_json_object("payload", "$[0].Country"), "Date": F.get_json_object("payload", "$[0].Date")})
+    rows = materialise(rows, "payloads")
+    _landed_files(rows.where("Date < '1998-01-02'"), f"{landed}/1")
+    _landed_files(rows, f"{landed}/2")
+    for part in ("1", "2", "2"):
+        pipelines.ingest(spark, f"{landed}/{part}", state, bulk, "panel", default=dt.datetime(1990, 1, 1))
+    records = read_bulk(spark, bulk).where("lines = 2")
+    field = {n: F.get_json_object("doc", f"$.{n}").alias(n) for n in ("Country", "Province", "Confirmed", "Date")}
+    first = F.col("load") == marks.load_name(dt.datetime(1990, 1, 1))
+    return records.select("action", *field.values(), F.when(first, 1).otherwise(2).alias("load"))
+
+
 @query("incremental_counts", """
     SELECT count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-15 00:00:00') AS accepted,
            count(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-15 00:00:00') AS rejected, max(ts) AS new_mark FROM events""")

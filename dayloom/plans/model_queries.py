@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.operators import features, joins, lags, models
@@ -12,6 +15,8 @@ from dayloom.plans.views import country_panel, events_daily, places, table, with
 from dayloom.session import materialise, scratch_path
 
 HORIZON = 7
+# Two points of the fixed forest grid; the whole grid is models.FOREST_GRID.
+CV_GRID = {"maxBins": models.FOREST_GRID["maxBins"][:2], "maxDepth": models.FOREST_GRID["maxDepth"][:1]}
 _KEY = ["Country"]
 
 
@@ -61,14 +66,14 @@ def hash_split(spark, folder):
 @query("gbt_forecast")
 def gbt_forecast(spark, folder):
     rows = stored_training_rows(spark, folder)
-    fitted = models.gbt(maxIter=10, maxDepth=5, maxBins=32).fit(rows.where("is_train"))
+    fitted = models.gbt(maxIter=20, maxDepth=10, maxBins=190).fit(rows.where("is_train"))
     return fitted.transform(rows).select("Country", "Date", "label", "is_train", "prediction")
 
 
 @query("rf_forecast")
 def rf_forecast(spark, folder):
     rows = stored_training_rows(spark, folder)
-    fitted = models.forest(numTrees=10, maxDepth=6, maxBins=32).fit(rows.where("is_train"))
+    fitted = models.forest(numTrees=20, maxDepth=10, maxBins=250).fit(rows.where("is_train"))
     return fitted.transform(rows).select("Country", "Date", "label", "is_train", "prediction")
 
 
@@ -90,62 +95,85 @@ def glm_families(spark, folder):
     rows = stored_training_rows(spark, folder)
     train, test = rows.where("is_train"), rows.where("NOT is_train")
     results = []
-    for family in ("gaussian", "poisson"):
-        fitted = models.glm(family=family, regParam=0.3, maxIter=20).fit(train)
+    for family in models.GLM_GRID["family"]:
+        # The tweedie family takes its identity link as a power.
+        link = {"linkPower": 1.0, "variancePower": 0.0} if family == "tweedie" else {"link": "identity"}
+        fitted = models.glm(**{"link": None, **link}, family=family, regParam=0.3, maxIter=20).fit(train)
         results.append(models.rmse_by_key(fitted.transform(test)).withColumn("family", F.lit(family)))
-    return results[0].unionByName(results[1])
+    return reduce(DataFrame.unionByName, results)
+
+
+@query("glm_families_contract", with_views("country_panel", """
+    SELECT family, (SELECT count(*) FROM country_panel WHERE NOT (CAST('0x' || substr(md5("Country" || '|' ||
+        CAST("Date" AS VARCHAR) || '|1234'), 1, 8) AS BIGINT) % 1000 < 900)) AS n, true AS below_naive
+    FROM (VALUES ('gaussian'), ('tweedie'), ('poisson')) AS t(family)"""))
+def glm_families_contract(spark, folder):
+    naive = _naive_rmse(stored_training_rows(spark, folder)).select("naive_rmse").scalar()
+    return glm_families(spark, folder).select("family", "n", (F.col("rmse") < naive).alias("below_naive"))
 
 
 @query("cv_grid_metrics")
 def cv_grid_metrics(spark, folder):
     rows = features.time_folds(stored_training_rows(spark, folder), 3)
-    fitted = models.cross_validate(
-        rows.where("is_train"), models.gbt(maxIter=3), {"maxDepth": [2, 4], "maxBins": [16, 32]}, fold_col="fold"
-    )
+    fitted = models.cross_validate(rows.where("is_train"), models.forest(numTrees=20), CV_GRID, fold_col="fold")
     return models.grid_metrics(spark, fitted)
 
 
 @query("holdout_metrics")
 def holdout_metrics(spark, folder):
     rows = stored_training_rows(spark, folder)
-    fitted = models.cross_validate(rows.where("is_train"), models.gbt(maxIter=3), {"maxDepth": [2, 4]}, folds=3)
+    fitted = models.cross_validate(rows.where("is_train"), models.forest(numTrees=20), {"maxDepth": [10], "maxBins": [250]},
+                                   folds=3)
     return models.holdout_metrics(fitted, rows.where("NOT is_train"))
 
 
+def _naive_rmse(rows):
+    """Held-out error of taking yesterday's value, from the training rows (one row: n, naive_rmse)."""
+    yesterday = F.get(vector_to_array("features"), F.lit(1))
+    return rows.where("NOT is_train").agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((yesterday - F.col("label")) ** 2)).alias("naive_rmse"))
+
+
 def _quality(scored):
-    """Rows, label total, and whether held-out errors are smaller than those of yesterday's value."""
+    """Rows, label total, the naive held-out error, and whether the model's is smaller and its predictions vary."""
     test = scored.where("NOT is_train")
-    yesterday = F.get(vector_to_array("features"), F.lit(1))
-    errors = test.agg(
-        F.avg((F.col("prediction") - F.col("label")) ** 2).alias("model"),
-        F.avg((yesterday - F.col("label")) ** 2).alias("naive"),
-    )
-    better = errors.select(F.col("model") < F.col("naive"))
+    model = test.agg(
+        F.sqrt(F.avg((F.col("prediction") - F.col("label")) ** 2)).alias("rmse"), F.stddev_pop("prediction").alias("spread"))
+    naive = _naive_rmse(scored)
     return scored.agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("label_sum"), F.count_if(F.col("prediction").isNull()).alias("unscored")
-    ).withColumn("better_than_naive", better.scalar())
+    ).withColumns({
+        "naive_rmse": F.round(naive.select("naive_rmse").scalar(), 6),
+        "better_than_naive": model.select("rmse").scalar() < naive.select("naive_rmse").scalar(),
+        "varies": model.select("spread").scalar() > 0,
+    })
 
 
 _QUALITY = with_views("country_panel", """
+    WITH lagged AS (SELECT *, coalesce(max("Confirmed") OVER (PARTITION BY "Country" ORDER BY "Date"
+        RANGE BETWEEN INTERVAL 1 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING), 0) AS yesterday,
+        CAST('0x' || substr(md5("Country" || '|' || CAST("Date" AS VARCHAR) || '|1234'), 1, 8) AS BIGINT) % 1000 < 900 AS is_train
+        FROM country_panel)
     SELECT count(*) AS n, CAST(sum("Confirmed") AS DOUBLE) AS label_sum, CAST(0 AS BIGINT) AS unscored,
-           true AS better_than_naive FROM country_panel""")
+           round(sqrt(avg((yesterday - "Confirmed") ** 2) FILTER (WHERE NOT is_train)), 6) AS naive_rmse,
+           true AS better_than_naive, true AS varies FROM lagged""")
 
 
 @query("gbt_quality", _QUALITY)
 def gbt_quality(spark, folder):
     rows = stored_training_rows(spark, folder)
-    return _quality(models.gbt(maxIter=10, maxDepth=3).fit(rows.where("is_train")).transform(rows))
+    return _quality(models.gbt(maxIter=20, maxDepth=10, maxBins=190, stepSize=0.05).fit(rows.where("is_train")).transform(rows))
 
 
 @query("rf_quality", _QUALITY)
 def rf_quality(spark, folder):
     rows = stored_training_rows(spark, folder)
-    return _quality(models.forest(numTrees=20, maxDepth=4).fit(rows.where("is_train")).transform(rows))
+    return _quality(models.forest(numTrees=20, maxDepth=10, maxBins=250).fit(rows.where("is_train")).transform(rows))
 
 
 @query("cv_grid_points", """
-    SELECT * FROM (VALUES (0, 'maxBins=16, maxDepth=2', true), (1, 'maxBins=32, maxDepth=2', true),
-        (2, 'maxBins=16, maxDepth=4', true), (3, 'maxBins=32, maxDepth=4', true)) AS t(point, params, scored)""")
+    SELECT * FROM (VALUES (0, 'maxBins=250, maxDepth=10', true), (1, 'maxBins=300, maxDepth=10', true))
+        AS t(point, params, scored)""")
 def cv_grid_points(spark, folder):
     return cv_grid_metrics(spark, folder).select("point", "params", (F.col("rmse") > 0).alias("scored"))
 
@@ -155,7 +183,7 @@ def cv_grid_points(spark, folder):
 def model_roundtrip(spark, folder):
     rows = stored_training_rows(spark, folder)
     path = scratch_path(spark, "model")
-    fitted = models.gbt(maxIter=3, maxDepth=3).fit(rows)
+    fitted = models.gbt(maxIter=5, maxDepth=10, maxBins=190).fit(rows)
     loaded = models.fit_if_absent(spark, path, GBTRegressionModel, lambda: fitted)
     again = fitted.transform(rows).withColumnRenamed("prediction", "before").drop("features")
     both = joins.null_safe_join(again, loaded.transform(rows).select("Country", "Date", "prediction"), ["Country", "Date"])

@@ -10,14 +10,15 @@ from dayloom.plans.catalogue import query
 from dayloom.plans.views import (
     PANEL_KEYS,
     PANEL_METRICS,
+    country_counts,
     country_panel,
     cum_panel,
     events_daily,
     table,
-    with_place,
     with_views,
 )
 from dayloom.plans.views import panel as panel_view
+from dayloom.session import materialise
 
 # --- sums ------------------------------------------------------------------------
 
@@ -373,35 +374,38 @@ def null_safe_join(spark, folder):
     return joins.null_safe_join(keyed.select(*keys, "Confirmed"), keyed.select(*keys, "Deaths"), keys)
 
 
-def _country_rows(spark, folder):
-    return with_place(table(spark, folder, "orders").select("o_custkey"), spark, folder)
+def _supplier_dictionary(spark, folder):
+    """A dictionary from another table: it lacks the countries without a supplier of a large balance."""
+    nation = table(spark, folder, "nation")
+    rows = table(spark, folder, "supplier").where("s_acctbal > 5000").join(
+        nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("Country"))
+    return joins.fit_dictionary(rows, "Country", "CountryIndex")
 
 
-@query("dict_encode", with_views("panel dictionary", """
-    SELECT "Country", "Province", "Date", "Confirmed", CAST("CountryIndex" AS INTEGER) AS "CountryIndex"
-    FROM panel JOIN dictionary USING ("Country") WHERE "CountryIndex" < 20"""))
+@query("dict_encode", with_views("panel supplier_dictionary", """
+    SELECT "Country", "Province", "Date", "Confirmed", "CountryIndex"
+    FROM panel JOIN supplier_dictionary USING ("Country")"""))
 def dict_encode(spark, folder):
-    # The dictionary knows the 20 most frequent countries; rows of the others are left out.
-    dictionary = joins.fit_dictionary(_country_rows(spark, folder), "Country", "CountryIndex")
-    known = dictionary.where("CountryIndex < 20")
-    encoded = joins.encode(panel_view(spark, folder), known, ["Country"])
+    # Rows of countries that the suppliers' dictionary does not know are left out.
+    encoded = joins.encode(panel_view(spark, folder), _supplier_dictionary(spark, folder), ["Country"])
     return encoded.select("Country", "Province", "Date", "Confirmed", "CountryIndex")
 
 
-@query("dict_decode", with_views("panel dictionary", """
-    SELECT "Province", "Date", "Confirmed", CAST("CountryIndex" AS INTEGER) AS "CountryIndex",
-           CASE WHEN "CountryIndex" < 20 THEN "Country" END AS "Country"
-    FROM panel JOIN dictionary USING ("Country")"""))
+@query("dict_decode", with_views("panel dictionary supplier_dictionary", """
+    SELECT "Province", "Date", "Confirmed", d."CountryIndex", s."Country"
+    FROM panel p JOIN dictionary d ON p."Country" = d."Country"
+    LEFT JOIN supplier_dictionary s ON d."CountryIndex" = s."CountryIndex" """))
 def dict_decode(spark, folder):
-    dictionary = joins.fit_dictionary(_country_rows(spark, folder), "Country", "CountryIndex")
+    # Encoded by the orders' dictionary, decoded by the suppliers': unknown indexes keep a null label.
+    dictionary = joins.fit_dictionary(country_counts(spark, folder), "Country", "CountryIndex", F.col("n"))
     encoded = joins.encode(panel_view(spark, folder), dictionary, ["Country"]).drop("Country", "Deaths", "Recovered")
-    return joins.decode(encoded, dictionary.where("CountryIndex < 20"), ["CountryIndex"], null_safe=True)
+    return joins.decode(encoded, _supplier_dictionary(spark, folder), ["CountryIndex"], null_safe=True)
 
 
 @query("string_index", with_views("dictionary", """
-    SELECT "Country", CAST("CountryIndex" AS INTEGER) AS "CountryIndex" FROM dictionary"""))
+    SELECT "Country", "CountryIndex" FROM dictionary"""))
 def string_index(spark, folder):
-    return joins.fit_dictionary(_country_rows(spark, folder), "Country", "CountryIndex")
+    return joins.fit_dictionary(country_counts(spark, folder), "Country", "CountryIndex", F.col("n"))
 
 
 @query("restrict_to_requested", with_views("panel", """
@@ -418,11 +422,11 @@ def restrict_to_requested(spark, folder):
 
 
 @query("join_targets", with_views("panel", """
-    SELECT "Country", "Province", "Date", "Confirmed", "Deaths" FROM panel WHERE "Deaths" > 0"""))
+    SELECT "Country", "Province", "Date", "Confirmed", "Deaths", "Recovered" FROM panel"""))
 def join_targets(spark, folder):
-    long = columns.unpivot_metrics(panel_view(spark, folder), [*PANEL_KEYS, "Date"], ["Confirmed", "Deaths"])
-    present = long.where("metric = 'Confirmed' OR value > 0")
-    return joins.join_targets(present, [*PANEL_KEYS, "Date"], ["Confirmed", "Deaths"])
+    metrics = ["Confirmed", "Deaths", "Recovered"]
+    long = columns.unpivot_metrics(panel_view(spark, folder), [*PANEL_KEYS, "Date"], metrics)
+    return joins.join_targets(long, [*PANEL_KEYS, "Date"], metrics)
 
 
 # --- order, limits, unions -------------------------------------------------------------
@@ -487,7 +491,7 @@ def union_distinct(spark, folder):
     SELECT "Country", "Date" + 30, "Confirmed", "Deaths", "Recovered" FROM country_panel
     WHERE "Date" >= (SELECT max("Date") FROM country_panel) - 30"""))
 def future_shift_union(spark, folder):
-    return calendar.future_by_shift(country_panel(spark, folder), 30)
+    return calendar.future_by_shift(materialise(country_panel(spark, folder), "daily"), 30)
 
 
 @query("future_calendar", with_views("country_panel", """
@@ -557,7 +561,7 @@ def parse_custom_dates(spark, folder):
 
 
 @query("round_predictions", """
-    SELECT c_custkey, CAST(floor((c_acctbal - 500) + 0.5) AS INTEGER) AS rounded FROM customer""")
+    SELECT c_custkey, CAST(floor((c_acctbal - 500) + 0.5) AS BIGINT) AS rounded FROM customer""")
 def round_predictions(spark, folder):
     return table(spark, folder, "customer").select(
         "c_custkey", columns.round_half_up(F.col("c_acctbal") - 500).alias("rounded")

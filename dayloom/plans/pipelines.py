@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dayloom.functions import dates
 from dayloom.operators import calendar, columns, features, forecast, joins, lags, models, panel
-from dayloom.session import materialise
+from dayloom.session import delete_path, materialise
 from dayloom.sources import documents, marks, sinks
 
 COUNTERS = ["Confirmed", "Deaths", "Recovered"]
@@ -40,16 +40,24 @@ def map_records(records: DataFrame) -> DataFrame:
 
 def ingest(
     spark: SparkSession, landed: str, mark_path: str, bulk_path: str, index: str,
-    default: dt.datetime = marks.DEFAULT_MARK, records_per_file: int = 100, allowed_lateness: str | None = None,
+    default: dt.datetime = marks.DEFAULT_MARK, records_per_file: int = 100_000, allowed_lateness: str | None = None,
 ) -> dict:
-    """Landed JSON payloads past the mark to bulk-load files, then advance the mark."""
+    """Landed JSON payloads past the mark to bulk-load files, then advance the mark.
+
+    Every load writes a sub-folder of its own; one that finds nothing fresh leaves none. The result also
+    counts the payload files that hold no JSON array (``corrupt``).
+    """
     mapped = map_records(documents.read_json_array_files(spark, landed))
-    return marks.incremental_load(
+    counts = marks.incremental_load(
         mapped, "DateReal", mark_path,
-        lambda fresh: sinks.write_bulk(fresh.drop("DateReal"), bulk_path, "_id", index,
-                                       records_per_file=records_per_file),
+        lambda fresh, load: sinks.write_bulk(fresh.drop("DateReal"), bulk_path, "_id", index,
+                                             records_per_file=records_per_file, load=load),
         default, allowed_lateness,
     )
+    if not counts["accepted"]:
+        delete_path(spark, f"{bulk_path}/load={marks.load_name(counts['mark'])}")
+    rejected = documents.json_array_rejects(documents.read_payload_files(spark, landed), "payload")
+    return {**counts, "corrupt": rejected.count()}
 
 
 def build_panel(stored: DataFrame, as_text_date: str | None = dates.DOCUMENT_PATTERN, fill: float | None = None
@@ -93,13 +101,13 @@ def predict_countries(daily: DataFrame, dictionary: DataFrame, model: Model, hor
     ready = features.assemble_lags(lagged, ["CountryIndex"], "Confirmed", horizon)
     features.check_feature_size(model, 1 + horizon)
     score = columns.round_half_up(F.col("prediction")).alias("Predicted_Confirmed")
-    known = model.transform(ready).select("CountryIndex", "Date", F.col("Confirmed").cast("int").alias("Confirmed"), score)
+    known = model.transform(ready).select("CountryIndex", "Date", F.col("Confirmed").cast("bigint").alias("Confirmed"), score)
     ahead = forecast.recursive_forecast(
         encoded, ["CountryIndex"], "Confirmed", horizon, periods, model, codes=["CountryIndex"],
         round_feedback=round_feedback,
     )
     future = ahead.select(
-        "CountryIndex", "Date", F.lit(0).alias("Confirmed"),
+        "CountryIndex", "Date", F.lit(0).cast("bigint").alias("Confirmed"),
         columns.round_half_up(F.col("Confirmed")).alias("Predicted_Confirmed"),
     )
     both = known.unionByName(future)

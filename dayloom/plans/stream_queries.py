@@ -10,7 +10,6 @@ from dayloom import streaming
 from dayloom.plans.catalogue import query
 from dayloom.plans.views import cents, table, with_views
 from dayloom.session import scratch_path
-from dayloom.sources.tables import list_files
 
 
 def _measures():
@@ -31,6 +30,7 @@ def stream_daily_rollup(spark, folder):
     path, checkpoint = scratch_path(spark, "rollup"), scratch_path(spark, "rollup-checkpoint")
     rolled = streaming.daily_rollup(_events(spark, folder), "ts", ["event_type"], _measures())
     _finish(streaming.start_rollup(rolled, path, checkpoint))
+    streaming.compact(spark, path, ["Date", "event_type"])
     return streaming.rollup_table(spark, path, ["event_type"])
 
 
@@ -51,12 +51,12 @@ def stream_incremental(spark, folder):
     WHERE r = 1""")
 def stream_upsert(spark, folder):
     path, checkpoint = scratch_path(spark, "upsert"), scratch_path(spark, "upsert-checkpoint")
-    # Land the events as several files, taken in about four micro-batches, so that keys recur over batches.
+    # Land the events as several files, two to a micro-batch, so that keys recur over batches.
     landed = scratch_path(spark, "upsert-landed")
     events = table(spark, folder, "events")
-    events.repartition("event_id").write.option("maxRecordsPerFile", max(1, events.count() // 4)).parquet(landed)
-    files = list_files(spark, landed, "part-*").count()
+    events.write.option("maxRecordsPerFile", 2000).parquet(landed)
     keys, version = ["user_id", "event_type"], ["ts", "event_id"]
-    stream = streaming.file_stream(spark, landed, events.schema, files_per_batch=-(-files // 4))
+    stream = streaming.file_stream(spark, landed, events.schema, files_per_batch=2)
     _finish(streaming.start_upsert(stream, keys, version, path, checkpoint))
+    streaming.compact(spark, path, keys, version)
     return streaming.read_upserted(spark, path, keys, version).select(*keys, "event_id", "value")

@@ -20,31 +20,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def order_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders per customer and day. Taken before the joins, so that a customer with a large
-    share of the orders enters them with one row per day."""
-    status = F.col("o_orderstatus")
-    return (
-        table(spark, folder, "orders")
-        .groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("Date"))
-        .agg(
-            F.count(F.lit(1)).alias("Confirmed"),
-            F.count_if(status == "F").alias("Deaths"),
-            F.count_if(status == "O").alias("Recovered"),
-        )
-    )
+def placed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with nation and segment of the customer.
 
-
-def with_place(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """Add country and province to rows with ``o_custkey``.
-
-    One table after the other, so that each join is planned by the size of a stored
-    table: below the broadcast threshold without a shuffle, above it by hash.
+    The customer side is joined to the orders as they are: adaptive execution splits a hot
+    customer's partition, and the sums that follow are partial before their own shuffle. Below the
+    broadcast threshold the join does not shuffle at all.
     """
     customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("Province"))
+    orders = table(spark, folder, "orders").select(
+        "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("Date"))
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+
+
+def _daily(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """Counts by nation key, further keys and day; the country names join the finished sums."""
+    status = F.col("o_orderstatus")
+    sums = placed_orders(spark, folder).groupBy("c_nationkey", *keys, "Date").agg(
+        F.count(F.lit(1)).alias("Confirmed"),
+        F.count_if(status == "F").alias("Deaths"),
+        F.count_if(status == "O").alias("Recovered"),
+    )
     nation = table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("Country"))
-    placed = rows.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    return placed.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).drop("c_nationkey", "n_nationkey")
+    named = sums.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return named.select("Country", *keys, "Date", *PANEL_METRICS)
+
+
+def country_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders per country (``n``), counted per customer before any join."""
+    per_customer = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    placed = per_customer.join(places(spark, folder), F.col("o_custkey") == F.col("c_custkey"))
+    return placed.groupBy("Country").agg(F.sum("n").alias("n"))
 
 
 def places(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,13 +62,11 @@ def places(spark: SparkSession, folder: str) -> DataFrame:
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
     """Daily new counts per country and province, from orders."""
-    placed = with_place(order_counts(spark, folder), spark, folder)
-    return placed.groupBy("Country", "Province", "Date").agg(*[F.sum(m).alias(m) for m in PANEL_METRICS])
+    return _daily(spark, folder, ["Province"])
 
 
 def country_panel(spark: SparkSession, folder: str) -> DataFrame:
-    placed = with_place(order_counts(spark, folder), spark, folder)
-    return placed.groupBy("Country", "Date").agg(*[F.sum(m).alias(m) for m in PANEL_METRICS])
+    return _daily(spark, folder, [])
 
 
 def cum_panel(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,6 +136,9 @@ SQL_VIEWS = {
         SELECT n_name AS "Country", row_number() OVER (ORDER BY count(*) DESC, n_name) - 1 AS "CountryIndex"
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         GROUP BY n_name""",
+    "supplier_dictionary": """
+        SELECT n_name AS "Country", row_number() OVER (ORDER BY count(*) DESC, n_name) - 1 AS "CountryIndex"
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000 GROUP BY n_name""",
 }
 _NEEDS = {"cum_panel": ["panel"]}
 

@@ -20,7 +20,7 @@ DAILY_PANEL = (
     "Confirmed bigint, Deaths bigint, Recovered bigint"
 )
 
-LABEL_DICTIONARY = "Country string, CountryIndex int"
+LABEL_DICTIONARY = "Country string, CountryIndex bigint"
 
 PAIR_DICTIONARY = (
     "Country_Region string, Country_RegionIndex double, Province_State string, Province_StateIndex double"

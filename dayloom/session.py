@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,15 +37,10 @@ def build_session(app_name: str = "dayloom", master: str | None = None, **extra:
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables, shared by all executors.
 
-    The cluster names it in ``spark.checkpoint.dir``. A temporary folder is
-    created only for a local master, where driver and executors are one process.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder below
+    the warehouse is used, which driver and executors share as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="dayloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{base.rstrip('/')}/dayloom-{spark.sparkContext.applicationId}"
 
 
@@ -80,6 +74,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder if it is there."""
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables (call when results are consumed)."""
     system, target = _file_system(spark, scratch_root(spark))

@@ -51,11 +51,28 @@ def explode_json_array(
     return rows.select(*keep, *[_typed(F.col("_record")[f.name], f.dataType).alias(f.name) for f in fields])
 
 
+def json_array_rejects(df: DataFrame, payload: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Payloads that hold text but no JSON array of records, which ``explode_json_array`` cannot give rows for."""
+    parsed = F.from_json(F.col(payload), "array<map<string,string>>", {"mode": "PERMISSIVE"})
+    filled = F.trim(F.col(payload)) != ""
+    return df.where(filled & parsed.isNull()).select(*keep, F.col(payload).alias("_corrupt"))
+
+
+def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
+    """Landed files as one payload each: ``file``, ``payload``."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
+
+
 def read_json_array_files(spark: SparkSession, path: str, schema: T.StructType | str = API_RECORD) -> DataFrame:
-    """Landed payload files, each one JSON array, as typed rows."""
+    """Landed payload files, each one JSON array, as typed rows.
+
+    Files that hold no JSON array have no rows; ``json_array_rejects`` of ``read_payload_files`` lists them.
+    """
     fields = _struct(schema)
     raw = spark.read.option("multiLine", True).schema(_as_text(fields)).json(path)
-    return raw.select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in fields])
+    filled = F.coalesce(*[F.col(f"`{f.name}`") for f in fields]).isNotNull()
+    return raw.where(filled).select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in fields])
 
 
 def extract_fields(df: DataFrame, payload: str, schema: T.StructType | str, keep: Sequence[str] = ()) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from dayloom.operators.joins import null_safe_join
 from dayloom.schemas import HIGH_WATER_MARK
 from dayloom.session import path_exists
 
@@ -45,26 +47,48 @@ def load_counts(df: DataFrame, ts: str, mark: Column | dt.datetime) -> DataFrame
     )
 
 
+def load_name(mark: dt.datetime) -> str:
+    """Name of the load that starts at a mark: the same for a repetition, another once the mark has moved."""
+    return f"after-{mark:%Y%m%dT%H%M%S%f}"
+
+
 def incremental_load(
     df: DataFrame,
     ts: str,
     mark_path: str,
-    write,
+    write: Callable[[DataFrame, str], None],
     default: dt.datetime = DEFAULT_MARK,
     allowed_lateness: str | None = None,
+    loaded: DataFrame | None = None,
+    keys: Sequence[str] = (),
 ) -> dict:
-    """Write the rows past the mark with ``write(df)``, then advance the mark.
+    """Write the rows past the mark with ``write(rows, load)``, then advance the mark.
+
+    ``load`` names the load by the mark it starts from. A load that failed before its mark
+    was stored starts from the same mark again, so a writer that puts each load in a place
+    of its own name repeats it without doubling a row.
 
-    The mark moves only after the write returned, and is taken from the rows
-    written in that same pass. Returns the counters of the load.
+    ``allowed_lateness`` looks back behind the mark; rows found there that ``loaded`` already holds
+    (by ``keys``, null-safe) are left out. The counters come from the pass that writes: rows past the
+    (moved) limit are accepted, the rest, undated ones included, rejected.
     """
     spark = df.sparkSession
     mark = read_mark(spark, mark_path, default)
-    fresh = newer_than(df, ts, mark, allowed_lateness)
+    if allowed_lateness and loaded is not None:
+        limit = F.lit(mark).cast("timestamp_ntz")
+        old = df.where(F.col(ts) <= limit)
+        df = df.where(~F.coalesce(F.col(ts) <= limit, F.lit(False))).unionByName(
+            null_safe_join(old, loaded.select(*keys).distinct(), list(keys), "left_anti"))
+    limit = F.lit(mark).cast("timestamp_ntz")
+    if allowed_lateness:
+        limit = limit - F.expr(f"interval {allowed_lateness}")
+    newer = F.coalesce(F.col(ts) > limit, F.lit(False))
     seen = Observation()
-    write(fresh.observe(seen, F.count(F.lit(1)).alias("accepted"), F.max(ts).alias("latest")))
+    counted = df.observe(seen, F.count_if(newer).alias("accepted"), F.count_if(~newer).alias("rejected"),
+                         F.max(F.when(newer, F.col(ts))).alias("latest"))
+    write(counted.where(newer), load_name(mark))
     latest = seen.get["latest"]
     new_mark = max(mark, latest) if latest else mark
     if new_mark > mark:
         write_mark(spark, mark_path, new_mark)
-    return {"accepted": seen.get["accepted"], "mark": mark, "new_mark": new_mark}
+    return {"accepted": seen.get["accepted"], "rejected": seen.get["rejected"], "mark": mark, "new_mark": new_mark}

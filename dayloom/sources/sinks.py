@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from dayloom.functions.dates import format_document_date
 from dayloom.operators.columns import latest_per_key
 from dayloom.operators.sequence import number_rows
-from dayloom.session import materialise
 
 PUSH_FILL = -1.0
 
@@ -19,17 +18,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool =
     df.write.mode(mode).option("header", header).option("sep", sep).csv(path)
 
 
-class TooManyRows(ValueError):
-    """A single file was asked for a result that does not belong in one."""
+def export_csv(df: DataFrame, path: str, by: Sequence[str], header: bool = False, files_per_value: int = 1) -> None:
+    """A result as CSV in one folder per value of ``by``.
 
-
-def write_single_file(df: DataFrame, path: str, max_rows: int = 1_000_000, header: bool = False) -> None:
-    """A small result as one CSV part file; refused above ``max_rows``."""
-    stored = materialise(df, "export")
-    rows = stored.count()
-    if rows > max_rows:
-        raise TooManyRows(f"{rows} rows exceed the limit of {max_rows}; use write_csv")
-    write_csv(stored.coalesce(1), path, header=header)
+    Rows of a value go to ``files_per_value`` files, dealt by a hash of the whole row, so that
+    a value of any size can be spread; no task holds more than its share and no row is refused.
+    """
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_value))
+    dealt = df.repartition(*[F.col(c) for c in by], spread)
+    dealt.write.mode("overwrite").partitionBy(*by).option("header", header).csv(path)
 
 
 # --- bulk-load lines -----------------------------------------------------------
@@ -46,10 +43,15 @@ def bulk_records(df: DataFrame, record_id: str, index: str, type_name: str = "_d
 
 
 def write_bulk(df: DataFrame, path: str, record_id: str, index: str, type_name: str = "_doc",
-               records_per_file: int = 100) -> None:
-    """Bulk-load files of at most ``records_per_file`` records (two lines each)."""
+               records_per_file: int = 100_000, load: str | None = None) -> None:
+    """Bulk-load files of at most ``records_per_file`` records (two lines each).
+
+    With ``load`` the files stand in a sub-folder of that name. Only a repetition of
+    the same load overwrites it; files of other loads stay.
+    """
     lines = bulk_records(df, record_id, index, type_name)
-    lines.write.mode("overwrite").option("maxRecordsPerFile", records_per_file).text(path)
+    target = f"{path}/load={load}" if load else path
+    lines.write.mode("overwrite").option("maxRecordsPerFile", records_per_file).text(target)
 
 
 def nest_json(df: DataFrame, record_id: str, columns: Sequence[str], order: Sequence[str] | None = None,
@@ -95,11 +97,14 @@ def write_documents(df: DataFrame, target: str | None, format: str = "json",
 
 
 def push_payload(df: DataFrame, columns: Sequence[str], date: str = "ds", record_id: str | None = "_id") -> DataFrame:
-    """Project, cast the measures to float, fill with -1 and add a generated id."""
+    """Project, cast the measures to float, fill with -1 and add an id.
+
+    The id is a hash of the row's date (its key), so that a repeated task or push gives the same one.
+    """
     measures = [c for c in columns if c != date]
     out = df.select(*[F.col(c).cast("float").alias(c) if c in measures else F.col(c) for c in columns])
     out = out.na.fill(PUSH_FILL, subset=measures)
-    return out.withColumn(record_id, F.uuid()) if record_id else out
+    return out.withColumn(record_id, F.md5(F.col(date).cast("string"))) if record_id else out
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:

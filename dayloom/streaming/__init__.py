@@ -1,6 +1,7 @@
 """Structured Streaming forms of the daily roll-up, the incremental load and the upsert."""
 
 from dayloom.streaming.jobs import (
+    compact,
     daily_rollup,
     file_stream,
     read_upserted,
@@ -11,6 +12,7 @@ from dayloom.streaming.jobs import (
 )
 
 __all__ = [
+    "compact",
     "daily_rollup",
     "file_stream",
     "read_upserted",

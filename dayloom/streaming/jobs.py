@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from dayloom.functions.dates import from_utc_clock, utc_day
 from dayloom.operators.columns import latest_per_key
+from dayloom.session import delete_path
 from dayloom.sources.marks import newer_than
 
 _BATCH = "_batch"
@@ -106,3 +107,24 @@ def read_upserted(spark: SparkSession, path: str, keys: Sequence[str], version:
     stored = spark.read.parquet(path)
     columns = [c for c in stored.columns if c != _BATCH]
     return latest_per_key(stored, keys, [*version, _BATCH], columns).select(*columns)
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str] = ()) -> None:
+    """Fold the batches stored so far into one of them, so that readers do not read every batch ever written.
+
+    The newest row per key is written beside the batches and takes the place of the last one; a
+    failure before the switch leaves the batches as they were, one after it leaves older rows that lose to the
+    newer ones. Run it between batches.
+    """
+    stored = spark.read.parquet(path)
+    last = stored.agg(F.max(_BATCH)).first()[0]
+    names = [c for c in stored.columns if c != _BATCH]
+    folded = latest_per_key(stored, keys, [*version, _BATCH], names).select(*names)
+    aside = f"{path}/_compacting"
+    folded.write.mode("overwrite").parquet(aside)
+    batches = [r[0] for r in stored.select(_BATCH).distinct().collect()]
+    spark.read.schema(folded.schema).parquet(aside).write.mode("overwrite").parquet(f"{path}/{_BATCH}={last}")
+    for batch in batches:
+        if batch != last:
+            delete_path(spark, f"{path}/{_BATCH}={batch}")
+    delete_path(spark, aside)

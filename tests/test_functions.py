@@ -191,3 +191,17 @@ def test_utc_day_ignores_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert got == dt.date(2020, 7, 1)
+
+
+def test_keys_beyond_32_bits(spark):
+    from dayloom.functions import numbers
+    from dayloom.operators.columns import round_half_up
+
+    big = 3_000_000_000
+    df = spark.createDataFrame([(big, 5, "b2d05e00")], "k bigint, j bigint, h string")
+    k, j = F.col("k"), F.col("j")
+    row = df.select(
+        numbers.PAIR_MEASURES["bitand"](k, j), numbers.PAIR_MEASURES["bitor"](k, j), numbers.PAIR_MEASURES["bitxor"](k, j),
+        numbers.MEASURES["bitnot"](k), numbers.to_hex(k), numbers.from_hex_long(F.col("h")), numbers.wrap32(k),
+        round_half_up(k.cast("double")), numbers.whole_long(k.cast("string"))).first()
+    assert tuple(row) == (big & 5, big | 5, big ^ 5, ~big, "b2d05e00", big, big - 2**32, big, big)

@@ -35,6 +35,14 @@ def test_ingest_writes_new_records_and_moves_the_mark(spark, tmp_path):
     assert ids == {"loc_2020-01-02T00-00-00Z", "loc_2020-01-03T00-00-00Z"}
     assert {d["Date"] for d in documents} == {"02-01-2020 00:00:00", "03-01-2020 00:00:00"}
     assert documents[0]["Location"] == "1.5,2.5"
+    # A later load adds its own folder; one with nothing fresh adds none; broken files are counted.
+    (tmp_path / "in" / "2.json").write_text(json.dumps([record(4)]))
+    (tmp_path / "in" / "3.json").write_text('[{"Country": "A", "Da')
+    counts = pipelines.ingest(spark, f"{tmp_path}/in", mark, f"{tmp_path}/bulk", "raw")
+    assert (counts["accepted"], counts["corrupt"]) == (1, 1)
+    assert pipelines.ingest(spark, f"{tmp_path}/in", mark, f"{tmp_path}/bulk", "raw")["accepted"] == 0
+    lines = [r["value"] for r in spark.read.text(f"{tmp_path}/bulk").collect()]
+    assert len(lines) == 6 and len(list((tmp_path / "bulk").glob("load=*"))) == 2
 
 
 def test_build_panel(spark):

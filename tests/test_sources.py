@@ -51,7 +51,7 @@ def test_headerless_folder_with_repeated_runs(spark, tmp_path):
 
 def test_bulk_files_hold_100_records(spark, tmp_path):
     df = spark.range(250).select(F.concat(F.lit("r"), "id").alias("_id"), "id").coalesce(1)
-    sinks.write_bulk(df, f"{tmp_path}/bulk", "_id", "idx")
+    sinks.write_bulk(df, f"{tmp_path}/bulk", "_id", "idx", records_per_file=100)
     sizes = sorted(len(p.read_text().splitlines()) for p in (tmp_path / "bulk").glob("part-*"))
     assert sizes == [100, 200, 200]
     first = sorted((tmp_path / "bulk").glob("part-*"))[0].read_text().splitlines()
@@ -59,11 +59,23 @@ def test_bulk_files_hold_100_records(spark, tmp_path):
     assert json.loads(first[1]) == {"id": 0}
 
 
-def test_single_file_limit(spark, tmp_path):
-    sinks.write_single_file(spark.range(10).repartition(4), f"{tmp_path}/one", 10)
-    assert len(list((tmp_path / "one").glob("part-*"))) == 1
-    with pytest.raises(sinks.TooManyRows):
-        sinks.write_single_file(spark.range(11), f"{tmp_path}/two", 10)
+def test_export_spreads_a_value_and_loses_nothing(spark, tmp_path):
+    rows = spark.range(1000).select(F.lit("hot").alias("k"), "id").unionByName(spark.range(3).select(F.lit("x").alias("k"), "id"))
+    sinks.export_csv(rows, f"{tmp_path}/out", ["k"], files_per_value=8)
+    read = spark.read.schema("id bigint, k string").csv(f"{tmp_path}/out")
+    assert read.groupBy("k").count().orderBy("k").collect() == [("hot", 1000), ("x", 3)]
+    assert 1 <= len(list((tmp_path / "out" / "k=hot").glob("part-*"))) <= 8
+
+
+def test_rejected_payloads_are_listed(spark, tmp_path):
+    bad = ['[{"a": 1', "text", '{"a": 1'] 
+    df = spark.createDataFrame([(p,) for p in [*bad, "[]", "", "  ", None, '[{"Country": "A"}]']], "payload string")
+    assert {r["_corrupt"] for r in documents.json_array_rejects(df, "payload").collect()} == set(bad)
+    (tmp_path / "good.json").write_text('[{"Country": "A"},\n {"Country": "B"}]')
+    (tmp_path / "cut.json").write_text('[{"Country": "C"}, {"Coun')
+    files = documents.read_payload_files(spark, str(tmp_path))
+    assert [r["file"].rsplit("/")[-1] for r in documents.json_array_rejects(files, "payload", ["file"]).collect()] == ["cut.json"]
+    assert {r["Country"] for r in documents.read_json_array_files(spark, str(tmp_path)).collect()} >= {"A", "B"}
 
 
 def test_nested_documents_of_a_hot_id_are_split_and_whole(spark):
@@ -88,7 +100,8 @@ def test_documents_write_nulls_and_append(spark, tmp_path):
 def test_push_payload(spark):
     df = spark.createDataFrame([(dt.date(2020, 1, 2), None, 2.5)], "ds date, a double, b double")
     row = sinks.push_payload(df, ["ds", "a", "b"]).first()
-    assert (row["a"], row["b"]) == (-1.0, 2.5) and len(row["_id"]) == 36
+    assert (row["a"], row["b"]) == (-1.0, 2.5) and len(row["_id"]) == 32
+    assert row["_id"] == sinks.push_payload(df, ["ds", "a"]).first()["_id"]
 
 
 def test_upsert_latest(spark):
@@ -105,9 +118,9 @@ def test_incremental_load_advances_only_past_the_mark(spark, tmp_path):
     df = spark.createDataFrame([(i, at(i)) for i in range(1, 6)], "i int, ts timestamp_ntz")
     state, out = f"{tmp_path}/mark", f"{tmp_path}/out"
     marks.write_mark(spark, state, at(3))
-    load = dict(ts="ts", mark_path=state, write=lambda fresh: fresh.write.mode("append").parquet(out))
-    assert marks.incremental_load(df, **load) == {"accepted": 2, "mark": at(3), "new_mark": at(5)}
-    assert marks.incremental_load(df, **load) == {"accepted": 0, "mark": at(5), "new_mark": at(5)}
+    load = dict(ts="ts", mark_path=state, write=lambda fresh, load: fresh.write.mode("append").parquet(out))
+    assert marks.incremental_load(df, **load) == {"accepted": 2, "rejected": 3, "mark": at(3), "new_mark": at(5)}
+    assert marks.incremental_load(df, **load) == {"accepted": 0, "rejected": 5, "mark": at(5), "new_mark": at(5)}
     assert sorted(r["i"] for r in spark.read.parquet(out).collect()) == [4, 5]
     assert marks.read_mark(spark, f"{tmp_path}/none") == marks.DEFAULT_MARK
     assert marks.newer_than(df, "ts", at(5), "2 days").count() == 2

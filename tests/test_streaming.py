@@ -74,3 +74,16 @@ def test_upsert_keeps_the_latest_for_any_split(spark, records, tmp_path, files):
     got = {r["k"]: r["id"] for r in streaming.read_upserted(spark, f"{tmp_path}/out", ["k"], ["ts", "id"]).collect()}
     want = {k: max((r for r in records if r[1] == k), key=lambda r: (r[2], r[0]))[0] for k in "abc"}
     assert got == want
+
+
+def test_compaction_keeps_the_result_and_one_batch(spark, records, tmp_path):
+    for i in range(4):
+        land(spark, records[i::4], f"{tmp_path}/in")
+    for part in range(2):
+        stream = streaming.file_stream(spark, f"{tmp_path}/in", SCHEMA, files_per_batch=1)
+        streaming.start_upsert(stream, ["k"], ["ts", "id"], f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+        before = sorted(map(tuple, streaming.read_upserted(spark, f"{tmp_path}/out", ["k"], ["ts", "id"]).collect()))
+        streaming.compact(spark, f"{tmp_path}/out", ["k"], ["ts", "id"])
+        after = sorted(map(tuple, streaming.read_upserted(spark, f"{tmp_path}/out", ["k"], ["ts", "id"]).collect()))
+        assert before == after and len(list((tmp_path / "out").glob("_batch=*"))) == 1
+        land(spark, records[:50], f"{tmp_path}/in")
