@@ -39,6 +39,7 @@ def load_all() -> dict[str, Query]:
         cleaning_queries,
         forecast_queries,
         io_queries,
+        job_queries,
         model_queries,
         panel_queries,
         stream_queries,
