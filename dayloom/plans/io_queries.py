@@ -168,7 +168,7 @@ def json_props_extract(spark, folder):
 
 @query("scan_documents", with_views("panel", """
     SELECT "Country", CASE WHEN "Province" = 'BUILDING' THEN NULL ELSE "Province" END AS "Province",
-           CAST("Date" AS TIMESTAMP) AS "Date", "Confirmed" FROM panel WHERE "Confirmed" > 0"""))
+           CAST("Date" AS TIMESTAMP) AS "Date", "Confirmed" FROM panel WHERE "Confirmed" > 1"""))
 def scan_documents(spark, folder):
     path = scratch_path(spark, "documents")
     stored = sinks.forecast_documents(panel(spark, folder)).withColumn(
@@ -178,7 +178,7 @@ def scan_documents(spark, folder):
     schema = "Country string, Province string, Date string, Confirmed bigint, Deaths bigint, Recovered bigint"
     read = documents.read_documents(
         spark, path, schema, ["Country", "Province", "Date", "Confirmed"],
-        date_patterns={"Date": dates.DOCUMENT_PATTERN}, where=F.col("Confirmed") > 0,
+        date_patterns={"Date": dates.DOCUMENT_PATTERN}, where=F.col("Confirmed") > 1,
     )
     absent = documents.read_documents(spark, f"{path}-absent", schema, read.columns)
     return read.unionByName(absent.withColumn("Date", F.col("Date").cast("timestamp_ntz")))

@@ -191,10 +191,10 @@ def lag_features_by_join(spark, folder):
 
 @query("prefix_rename", """
     SELECT o_orderkey AS "N_o_orderkey", o_custkey AS "N_o_custkey", o_orderstatus AS "N_o_orderstatus",
-           o_orderpriority AS "N_o_orderpriority" FROM orders""")
+           o_totalprice AS "N_o_totalprice", o_orderdate AS "N_o_orderdate", o_orderpriority AS "N_o_orderpriority"
+    FROM orders""")
 def prefix_rename(spark, folder):
-    orders = table(spark, folder, "orders")
-    return columns.prefix_columns(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return columns.prefix_columns(table(spark, folder, "orders"))
 
 
 @query("select_by_prefix", """
