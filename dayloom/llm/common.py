@@ -47,8 +47,15 @@ def struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+def slices(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes, so that what is made of it in Python stays small."""
+    rows = max(1, int(size * batch.num_rows / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_columns(df: DataFrame, start: Callable[[], Callable[[Columns], Columns]], ddl: str) -> DataFrame:
-    """Apply a function of column lists to every Arrow batch.
+    """Apply a function of column lists to every Arrow batch, a few megabytes at a time.
 
     ``start`` runs once per task and returns the function, so that tables it needs are
     built once; the function may return any number of rows.
@@ -61,8 +68,8 @@ def map_columns(df: DataFrame, start: Callable[[], Callable[[Columns], Columns]]
         for batch in batches:
             if work is None:
                 work = start()
-            if batch.num_rows:
-                out = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+            for part in slices(batch):
+                out = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 arrays = [pa.array(out[f.name], type=f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from dayloom.llm.common import Scratch, map_columns, struct
+from dayloom.llm.common import Scratch, map_columns, slices, struct
 
 SKETCH_BITS = 20
 SKETCH_ROWS = 2
@@ -46,7 +46,8 @@ SKETCH_PARTS = 16
 SHARED = 3
 BLOCK_GRAMS = 200_000
 CLASS_UNIT = 64
-WORD_CACHE = 600_000
+WORD_CACHE = 250_000
+COUNT_AT_ONCE = 500_000
 PRIMES = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],
     dtype=np.uint64,
@@ -106,23 +107,33 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         counts = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64)
+        waiting: list[np.ndarray] = []
+        held = 0
         seen = False
-        for batch in batches:
+
+        def count() -> None:
+            for row in range(SKETCH_ROWS):
+                np.add.at(counts[row], _slots(np.concatenate(waiting), row), 1)
+            waiting.clear()
+
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sizes, classes, waiting = [], [], []
+            sizes, classes = [], []
             for text in texts:
                 grams = gram_set(text, n)
                 sizes.append(len(grams))
                 classes.append(class_key(grams))
                 waiting.append(grams)
-            together = np.concatenate(waiting) if waiting else np.empty(0, np.uint64)
-            seen = seen or len(together) > 0
-            for row in range(SKETCH_ROWS):
-                counts[row] += np.bincount(_slots(together, row), minlength=1 << SKETCH_BITS)
+                held += len(grams)
+                if held >= COUNT_AT_ONCE:
+                    count()
+                    seen, held = True, 0
             k = len(ids)
             cols = [ids, sizes, classes, [None] * k, [None] * k]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
-        if seen:
+        if held:
+            count()
+        if seen or held:
             parts = counts.reshape(SKETCH_PARTS, -1)
             packed = [zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in parts]
             k = SKETCH_PARTS
