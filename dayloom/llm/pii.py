@@ -1,6 +1,7 @@
 """Personal data, plain and disguised, at source positions.
 
-Base identifiers are matched in the text as it stands. For disguised ones a transducer
+Base identifiers are matched in the text as it stands; where a phone and a card stand side by side and their joint match
+fails, each is found by its usual spelling. For disguised ones a transducer
 rewrites look-alike letters, invisible characters, spelled digits and at/dot disguises,
 keeping for each rewritten piece the source span it came from; the same matchers run on the
 rewritten text, and what they find is mapped back to source characters.
@@ -30,6 +31,10 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# A phone and a card as they are usually written, for where a longer match fails.
+WRITTEN_PHONE = re.compile(
+    r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])")
+WRITTEN_CARD = re.compile(r"(?<![0-9])(?:[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{14,19})(?![0-9])")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGIT = re.compile("[0-9]")
 NOT_DIGIT = re.compile("[^0-9]+")
@@ -175,6 +180,27 @@ def _phrases(text: str) -> Rewritten:
     return out
 
 
+def run_together_spans(text: str, plain: list[Span]) -> list[Span]:
+    """Phones and cards in matches that fail as a whole because two identifiers stand side by side."""
+    found = []
+    for kind, whole, inner, low, high in (("phone", PHONE, WRITTEN_PHONE, 10, 15), ("card", CARD, WRITTEN_CARD, 14, 19)):
+        known = {(s, e) for k, s, e in plain if k == kind}
+        for m in whole.finditer(text):
+            if m.end() - m.start() < low or m.span() in known:
+                continue
+            for part in inner.finditer(text, m.start(), m.end()):
+                digits = NOT_DIGIT.sub("", part.group())
+                if low <= len(digits) <= high and (kind == "phone" or _luhn(digits)):
+                    found.append((kind, *part.span()))
+    return found
+
+
+def added_spans(text: str, plain: list[Span]) -> list[Span]:
+    """What the method finds beyond the base spans."""
+    together = run_together_spans(text, plain) if DIGIT.search(text) else []
+    return together + disguised_spans(text, [*plain, *together])
+
+
 def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     """Identifiers that appear only after rewriting, at source positions; none lies within a base span of its kind."""
     odd = not text.isascii() and ODD.search(text) is not None
@@ -218,7 +244,7 @@ def find_spans(df: DataFrame) -> DataFrame:
             base, every = [], []
             for text in c["text"]:
                 plain = plain_spans(text or "")
-                added = disguised_spans(text, plain) if text else []
+                added = added_spans(text, plain) if text else []
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in plain])
                 every.append([{"kind": k, "start": s, "end": e} for k, s, e in in_order(plain + added)])
             return {n: c[n] for n, _ in kept} | {"base_spans": base, "all_spans": every}
@@ -235,7 +261,7 @@ def digest(docs: DataFrame) -> DataFrame:
             out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")}
             for text in c["text"]:
                 plain = plain_spans(text or "")
-                added = disguised_spans(text, plain) if text else []
+                added = added_spans(text, plain) if text else []
                 for kind in KINDS:
                     out[f"n_{kind}"].append(sum(s[0] == kind for s in plain))
                 out["base_sha256"].append(hashlib.sha256(joined(plain).encode()).hexdigest())
@@ -252,7 +278,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def masked(text: str) -> str:
     """The text with every identifier replaced by its kind in angle brackets; overlapping ones count as one."""
     plain = plain_spans(text)
-    spans = in_order(plain + disguised_spans(text, plain))
+    spans = in_order(plain + added_spans(text, plain))
     if not spans:
         return text
     out, at = [], 0

@@ -13,7 +13,7 @@ def edge_docs(spark):
         (3, None, "en", "s", None, 2.0), (4, "", "en", "s", 0, 2.0), (5, "   ", "en", "s", 3, 2.0),
         (None, "no id at all here", "en", "s", 5, 2.0), (6, "one", "en", "s", 3, 2.0),
         (7, LONG, "en", "s", len(LONG), 2.0), (9, LONG, "en", "s", len(LONG), 2.0),
-        (8, "mail a.b@c.de 10.0.0.1 +1 (415) 555-1234 4111 1111 1111 1111 é𝒳", "en", "s", 9, 2.0),
+        (8, "mail a.b@c.de 10.0.0.1 or +1 (415) 555-1234 or 4111 1111 1111 1111 é𝒳", "en", "s", 9, 2.0),
         (8, "another text under the same id", "en", "s", 9, 2.0),
     ]
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, score double")

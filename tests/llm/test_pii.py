@@ -52,6 +52,15 @@ def test_plain_prose_is_left_alone(text):
     assert pii.disguised_spans(text, pii.plain_spans(text)) == [] and pii.masked(text) == text
 
 
+def test_identifiers_side_by_side_are_found_as_well():
+    text = "call +1 (269) 555-3296 4524132264652876 and 4111-1111-1111-1111 4111111111111111 12 34"
+    plain = pii.plain_spans(text)
+    assert plain == [] and [(k, text[s:e]) for k, s, e in pii.in_order(pii.added_spans(text, plain))] == [
+        ("phone", "+1 (269) 555-3296")] + [("card", c) for c in ("4524132264652876", "4111-1111-1111-1111", "4111111111111111")
+                                           if pii._luhn(c.replace("-", ""))]
+    assert pii.masked(text).startswith("call <phone> ") and pii.masked(text).endswith("<card> <card> 12 34")
+
+
 def test_digest_and_mask(edge_docs, no_docs):
     rows = {(r["doc_id"], r["spans"]): r for r in pii.digest(edge_docs).collect()}
     text = next(r["text"] for r in edge_docs.collect() if (r["text"] or "").startswith("mail"))
@@ -63,5 +72,5 @@ def test_digest_and_mask(edge_docs, no_docs):
     masked = pii.mask(edge_docs)
     assert masked.columns == edge_docs.columns and masked.count() == edge_docs.count()
     out = [r for r in masked.collect() if (r["text"] or "").startswith("mail")][0]
-    assert out["text"] == "mail <email> <ip> <phone> <card> é𝒳" and out["n_chars"] == len(out["text"])
+    assert out["text"] == "mail <email> <ip> or <phone> or <card> é𝒳" and out["n_chars"] == len(out["text"])
     assert pii.digest(no_docs).count() == pii.mask(no_docs).count() == 0
