@@ -14,6 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from dayloom.session import scratch_root
 
 Columns = dict[str, list]
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT_BATCH = "67108864b"
+BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,18 @@ def slices(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[pa.RecordBatc
         yield batch.slice(at, rows)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` with Arrow batches of at most BATCH_BYTES, unless the session sets a size of its own.
+
+    Batches are held outside the JVM's heap on both sides of the worker, so their size, 64 MB by
+    default, counts several times over for every core of an executor.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, DEFAULT_BATCH) == DEFAULT_BATCH:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def map_columns(df: DataFrame, start: Callable[[], Callable[[Columns], Columns]], ddl: str) -> DataFrame:
     """Apply a function of column lists to every Arrow batch, a few megabytes at a time.
 
@@ -73,7 +88,7 @@ def map_columns(df: DataFrame, start: Callable[[], Callable[[Columns], Columns]]
                 arrays = [pa.array(out[f.name], type=f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def with_run(df: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import struct
+from dayloom.llm.common import map_arrow, struct
 
 WIDTH = 5
 FRACTION = 8
@@ -188,4 +188,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(),
                                                       pa.float64(), pa.float64()))], names=names)
 
-    return _in_order(docs).mapInArrow(work, schema)
+    return map_arrow(_in_order(docs), work, schema)

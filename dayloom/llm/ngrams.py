@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from dayloom.llm.common import Scratch, map_columns, slices, struct
+from dayloom.llm.common import Scratch, map_arrow, map_columns, slices, struct
 
 SKETCH_BITS = 20
 SKETCH_ROWS = 2
@@ -140,7 +140,7 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
             cols = [[None] * k, [None] * k, [None] * k, list(range(k)), packed]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema)
 
 
 def _sketch(stored: DataFrame) -> np.ndarray:
@@ -158,10 +158,10 @@ def _sketch(stored: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()),
                                               "counts": pa.array([packed], pa.binary())})
 
-    ddl = "part int, counts binary"
+    ddl = struct("part int, counts binary")
     # Two levels of partial sums, so that one task adds up only a share of the tasks' arrays.
     spread = blobs.repartition(SKETCH_PARTS, "part", F.pmod(F.xxhash64("counts"), F.lit(4)))
-    rows = spread.mapInArrow(add, ddl).repartition(SKETCH_PARTS, "part").mapInArrow(add, ddl).collect()
+    rows = map_arrow(map_arrow(spread, add, ddl).repartition(SKETCH_PARTS, "part"), add, ddl).collect()
     out = np.zeros((SKETCH_PARTS, (SKETCH_ROWS << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in rows:
         out[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
@@ -368,7 +368,7 @@ def _long_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()),
                                           "b": pa.array([y for _, y in out], pa.int64())})
 
-    return dealt.mapInArrow(run, ddl)
+    return map_arrow(dealt, run, struct(ddl))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from dayloom.llm.common import Scratch, ranked, struct
+from dayloom.llm.common import Scratch, map_arrow, ranked, struct
 from dayloom.llm.tokens import word_tokens
 
 Run = tuple[int, int, int, int, int]
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> D
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(work, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), work, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:

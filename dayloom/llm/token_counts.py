@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import struct
+from dayloom.llm.common import map_arrow, struct
 from dayloom.llm.tokens import token_counter
 
 
@@ -34,4 +34,4 @@ def count(docs: DataFrame, tokenizer: str, ranks: str, limit: int = 512) -> Data
             ], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return narrow.mapInArrow(work, struct("doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"))
+    return map_arrow(narrow, work, struct("doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"))
