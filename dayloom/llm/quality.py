@@ -36,6 +36,8 @@ class QualityModel:
     bad: bytes
     centre: tuple[float, ...]
     scale: tuple[float, ...]
+    low: tuple[float, ...]
+    high: tuple[float, ...]
     weights: tuple[float, ...]
     bias: float
 
@@ -96,9 +98,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
-def _expand(z: np.ndarray) -> np.ndarray:
-    """Standardised features and the squares of all of them, held within six deviations."""
-    z = np.clip(z, -6, 6)
+def _expand(z: np.ndarray, low, high) -> np.ndarray:
+    """Standardised features and their squares, held within the range that was calibrated.
+
+    A text that is part of a dictionary compresses better than any calibrated one; it counts as the range's end.
+    """
+    z = np.clip(z, low, high)
     return np.hstack([z, z * z])
 
 
@@ -139,12 +144,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500, sample_bloc
     rows = _measure(sampled.filter("role_ = 2"), good, bad, ["good_"]).collect()
     scratch.drop("sampled")
     if not rows:
-        return QualityModel(good, bad, (0.0,) * N_FEATURES, (1.0,) * N_FEATURES, (0.0,) * (2 * N_FEATURES), 0.0)
+        none, one = (0.0,) * N_FEATURES, (1.0,) * N_FEATURES
+        return QualityModel(good, bad, none, one, none, none, none * 2, 0.0)
     x = np.array([r["f_"] for r in rows])
     y = np.array([float(r["good_"]) for r in rows])
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights, bias = _logistic(_expand((x - centre) / scale), y)
-    return QualityModel(good, bad, tuple(centre), tuple(scale), tuple(weights), bias)
+    z = (x - centre) / scale
+    low, high = z.min(axis=0), z.max(axis=0)
+    weights, bias = _logistic(_expand(z, low, high), y)
+    return QualityModel(good, bad, *map(tuple, (centre, scale, low, high, weights)), bias)
 
 
 def _measure(df: DataFrame, good: bytes, bad: bytes, keep: list[str]) -> DataFrame:
@@ -163,11 +171,11 @@ def _measure(df: DataFrame, good: bytes, bad: bytes, keep: list[str]) -> DataFra
 def _judge(model: QualityModel):
     """Scores of a list of texts."""
     tools = _compressor(model.good), _compressor(model.bad), _compressor(b"")
-    centre, scale, weights = map(np.array, (model.centre, model.scale, model.weights))
+    centre, scale, low, high, weights = map(np.array, (model.centre, model.scale, model.low, model.high, model.weights))
 
     def judge(texts: list[str | None]) -> np.ndarray:
         x = np.array([_features(*tools, t or "") for t in texts])
-        return 1 / (1 + np.exp(-np.clip(_expand((x - centre) / scale) @ weights + model.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_expand((x - centre) / scale, low, high) @ weights + model.bias, -30, 30)))
     return judge
 
 
