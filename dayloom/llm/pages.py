@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
 Pages of a host share a template. Every page becomes a tree of its block elements in which
-repeated paragraphs, list items and cells fold into one node, as do long rows of like containers. Per host the most frequent tree is the pivot; the
+repeated paragraphs, list items and cells fold into one node, as do long rows of like containers;
+what the markup marks as noise folds apart from the rest. Per host the most frequent tree is the pivot; the
 host's other trees are aligned to it by simple tree matching, and every pivot node collects
 from all pages how many have it, how much text stands in it and whether that text is the
 same everywhere. Nodes that vary are slots, constant ones template. The wrapper of the host
@@ -59,18 +60,20 @@ NOISE_NAMES = frozenset(
     "toolbar skip".split())
 NOISE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar".split())
 CONTENT_TAGS = frozenset(("article", "main"))
+# Noise by class or id names only, and noise by the element, its role or because it is not shown.
+NAMED, SURE = 1, 2
 
 
 class Node:
     __slots__ = ("label", "noise", "children", "number")
 
-    def __init__(self, label: str, noise: bool, number: int):
+    def __init__(self, label: str, noise: int, number: int):
         self.label, self.noise, self.children, self.number = label, noise, [], number
 
 
-def _described(tag: str, attrs: str, in_article: bool) -> tuple[str, bool]:
-    """Label of an element and whether its markup calls it something other than content."""
-    noise = tag in NOISE_TAGS or (tag == "header" and not in_article)
+def _described(tag: str, attrs: str, in_article: bool) -> tuple[str, int]:
+    """Label of an element and whether its markup calls it something other than content (0, NAMED or SURE)."""
+    noise = SURE if tag in NOISE_TAGS or (tag == "header" and not in_article) else 0
     label = tag
     if attrs and "=" in attrs or "hidden" in attrs:
         names = []
@@ -80,28 +83,77 @@ def _described(tag: str, attrs: str, in_article: bool) -> tuple[str, bool]:
                 words = [w.lower() for w in NAME.findall(value)]
                 if key == "class":
                     names += words
-                noise = noise or any(w in NOISE_NAMES for w in words)
+                noise = noise or (NAMED if any(w in NOISE_NAMES for w in words) else 0)
             elif key == "role":
                 names.append(value.lower())
-                noise = noise or value.lower() in NOISE_ROLES
+                noise = SURE if value.lower() in NOISE_ROLES else noise
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                noise = True
+                noise = SURE
             elif key == "style" and "display:none" in value.replace(" ", "").lower():
-                noise = True
+                noise = SURE
         if names:
             label = f"{tag}.{'.'.join(sorted(set(names)))}"
-    return label, noise and tag not in ("html", "body") and tag not in CONTENT_TAGS
+    return label, 0 if tag in ("html", "body") or tag in CONTENT_TAGS else noise
+
+
+def _uncover(root: Node, blocks: list[tuple[int, str]]) -> None:
+    """Take NAMED noise off the wrappers of the content elements.
+
+    A wrapper of a main element is never noise by its names, and of an article not where no other
+    article stands free of such noise. Wrappers go from the outside in, so that related articles
+    and comments beside an article stay noise, as do articles named so below a main element with
+    text of its own.
+    """
+    own: dict[int, int] = {}
+    for n, text in blocks:
+        own[n] = own.get(n, 0) + len(text)
+
+    def chars(node: Node) -> int:
+        return own.get(node.number, 0) + sum(chars(c) for c in node.children if not c.noise)
+
+    while True:
+        mains, articles, free_main, free_article = [], [], 0, False
+        todo: list[tuple[Node, Node | None]] = [(root, None)]
+        while todo:
+            node, cover = todo.pop()
+            if node.noise == SURE:
+                continue
+            tag, *names = node.label.split(".")
+            if node.noise and cover is None:
+                cover = node
+            if tag == "main":
+                if cover is None:
+                    free_main = max(free_main, chars(node))
+                else:
+                    mains.append(cover)
+            elif tag == "article":
+                if cover is None:
+                    free_article = True
+                else:
+                    articles.append((cover, any(w in NOISE_NAMES for w in names), chars(node)))
+                continue
+            todo += [(c, cover) for c in node.children]
+        wrappers = mains
+        if not free_article and not mains:
+            plain = [a for a in articles if not a[1]] or ([] if free_main else articles)
+            if sum(a[2] for a in plain) >= free_main:
+                wrappers = [a[0] for a in plain]
+        if not wrappers:
+            return
+        for node in wrappers:
+            node.noise = 0
 
 
 def parse(page: str) -> tuple[Node, list[tuple[int, str]]]:
     """Folded tree of block elements and the page's blocks in order, each with its node number."""
-    root = Node("#", False, 0)
+    root = Node("#", 0, 0)
     nodes = 1
     stack: list[tuple[str, Node | None]] = [("#", root)]
     blocks: list[tuple[int, str]] = []
     run: list[str] = []
     current = root
     articles = 0
+    marked, content = False, False
 
     def flush() -> None:
         if run:
@@ -167,28 +219,30 @@ def parse(page: str) -> tuple[Node, list[tuple[int, str]]]:
         label, noise = _described(tag, m.group("attrs"), articles > 0)
         siblings = current.children
         if tag in FOLDED:
-            node = next((c for c in siblings if c.label == label), None)
+            node = next((c for c in siblings if c.label == label and c.noise == noise), None)
         else:
             # Containers in a row keep their places up to REPEATS of them; what follows folds into the last.
-            alike = all(c.label == label for c in siblings[-REPEATS:]) and len(siblings) >= REPEATS
+            alike = len(siblings) >= REPEATS and all(c.label == label and c.noise == noise for c in siblings[-REPEATS:])
             node = siblings[-1] if alike else None
         if node is None:
             node = Node(label, noise, nodes)
             nodes += 1
             siblings.append(node)
-        node.noise = node.noise or noise
+        marked, content = marked or noise == NAMED, content or tag in CONTENT_TAGS
         stack.append((tag, node))
         articles += tag in CONTENT_TAGS
         current = node
     if at < len(page):
         run.append(page[at:])
     flush()
+    if marked and content:
+        _uncover(root, blocks)
     return root, blocks
 
 
 def encode_tree(node: Node) -> list:
     """The tree as nested lists [label, noise, number, children], for storing."""
-    return [node.label, int(node.noise), node.number, [encode_tree(c) for c in node.children]]
+    return [node.label, int(node.noise > 0), node.number, [encode_tree(c) for c in node.children]]
 
 
 def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
@@ -202,7 +256,7 @@ def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     for i in range(1, len(x) + 1):
         for j in range(1, len(y) + 1):
             top = max(best[i - 1][j], best[i][j - 1], key=lambda v: v[0])
-            if x[i - 1][0] == y[j - 1][0]:
+            if x[i - 1][:2] == y[j - 1][:2]:
                 size, pairs = match(x[i - 1], y[j - 1])
                 if best[i - 1][j - 1][0] + size > top[0]:
                     top = (best[i - 1][j - 1][0] + size, best[i - 1][j - 1][1] + pairs)

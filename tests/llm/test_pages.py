@@ -65,3 +65,22 @@ def test_tree_matching():
         "<body><nav>n</nav><div><h1>t</h1><p>x</p></div><section><p>y</p></section></body>"))
     size, pairs = pages.match(a, b)
     assert size == 6 and len(pairs) == 6
+
+
+def test_marked_elements_fold_apart(spark):
+    body = ("<article><p>One<p hidden>no<p>Two<h2>A</h2><h2 id=search>no</h2><h3 id=related>no</h3><h3>B</h3>"
+            "<ul><li>x<li style='display: none'>no<li>y</ul></article>")
+    assert texts(spark, [page(body)]) == {0: "One\nTwo\nA\nB\nx\ny"}
+    rows = "".join(f"<div{' hidden' if k == 11 else ''}>{k}</div>" for k in range(14))
+    assert texts(spark, [page(f"<article>{rows}</article>")])[0].split() == [str(k) for k in range(14) if k != 11]
+
+
+def test_named_wrappers_do_not_cover_the_content(spark):
+    body = ("<div class='layout-with-sidebar'><article><p>Text</p><div class='ad'>Buy</div></article>"
+            "<div class='related'><article>Card</article></div><div class='sidebar'>Side</div></div>")
+    assert texts(spark, [page(body)]) == {0: "Text"}
+    assert texts(spark, [page("<div id='page-nav-top'><main><p>Text</p></main></div>")]) == {0: "Text"}
+    assert texts(spark, [page("<main><div class='has-sidebar'><article><p>Text</p></article></div></main>")]) == {0: "Text"}
+    body = "<main><p>The post</p><div class='comments'><article class='comment'>A longer comment</article></div></main>"
+    assert texts(spark, [page(body)]) == {0: "The post"}
+    assert texts(spark, [page("<div hidden class='menu'><article>No</article></div><article>Yes</article>")]) == {0: "Yes"}
