@@ -9,9 +9,11 @@ same everywhere. Nodes that vary are slots, constant ones template. The wrapper
 names the content node: the article or main element where the host has one, else the
 narrowest node that holds most of the varying text. Each page is then aligned to the wrapper
 and gives the blocks below its content node, without menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments. Inside an article element every other block is
-content; constant blocks are dropped as template only where no such element marks the
-content and three or more pages of the host agree.
+notices, adverts, forms and reader comments. Texts vote one by one as well, as a folded node mixes
+constant with varying ones: a text that stands at the same place (labels from the content element,
+else from the root, down) on half of the host's pages, three at least, is template, inside articles too.
+Where such texts make up more than half of a page's article, the pages are copies of each other
+and the article stays whole.
 
 A host with any share of the pages is no bottleneck: its statistics are sums, and pages meet
 the wrapper in salted parts of a host. Null or empty html gives an empty text; a null url
@@ -29,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import map_columns
+from dayloom.llm.common import Scratch, map_columns
 
 SALTS = 16
 AGREE = 3
+SHARE = 0.5
 REPEATS = 8
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
@@ -282,6 +285,15 @@ def _walk(tree: list, parent: int | None = None, noise: bool = False):
         yield from _walk(child, tree[2], noise)
 
 
+def text_keys(rows: list, blocks: list[tuple[int, str]]) -> list[int | None]:
+    """Key of each block's text and place; None for noise. ``rows`` is the walked tree of the page."""
+    path: dict[int, str | None] = {}
+    for n, label, parent, noise in rows:
+        top = parent is None or label.split(".")[0] in CONTENT_TAGS
+        path[n] = None if noise else label if top else f"{path[parent]}/{label}"
+    return [None if path[n] is None else xxhash.xxh3_64_intdigest(f"{path[n]}\n{text}") - (1 << 63) for n, text in blocks]
+
+
 def wrapper_of(tree: list, votes: dict[int, tuple[int, bool, int]], pages: int) -> tuple[list[int], list[int]]:
     """Content nodes and template nodes of a pivot tree.
 
@@ -293,7 +305,7 @@ def wrapper_of(tree: list, votes: dict[int, tuple[int, bool, int]], pages: int)
     articles = [n for n, label, _, noise in rows if label.split(".")[0] == "article" and not noise]
     if named:
         return articles or named, []
-    constant = {n for n, (count, same, _) in votes.items() if same and count == pages and pages >= AGREE}
+    constant = {n for n, (count, same, _) in votes.items() if same and count >= max(AGREE, SHARE * pages)}
     own = {n: (0 if noise or n in constant else votes.get(n, (0, False, 0))[2]) for n, _, _, noise in rows}
     below = dict(own)
     for n, _, parent, _ in reversed(rows):
@@ -312,8 +324,9 @@ def wrapper_of(tree: list, votes: dict[int, tuple[int, bool, int]], pages: int)
     return [at], sorted(constant)
 
 
-def extract(page: str | None, pivot: list | None, content: list[int], template: list[int]) -> str:
-    """Text of a page under its host's wrapper."""
+def extract(page: str | None, pivot: list | None, content: list[int], template: list[int],
+            constant: frozenset[int] = frozenset()) -> str:
+    """Text of a page under its host's wrapper; ``constant`` has the keys of the host's template texts."""
     if not page:
         return ""
     root, blocks = parse(page)
@@ -331,7 +344,13 @@ def extract(page: str | None, pivot: list | None, content: list[int], template:
         inside = n in roots or kept.get(parent, False)
         kept[n] = inside and not noise and pairs.get(n) not in dropped
     # A node is inside by its parent even where the parent itself is template text only.
-    return "\n".join(text for n, text in blocks if kept.get(n, False))
+    inside = [(text, key in constant) for (n, text), key in zip(blocks, text_keys(rows, blocks) if constant else blocks)
+              if kept.get(n, False)]
+    shared = sum(len(text) for text, same in inside if same)
+    labels = {n: label.split(".")[0] for n, label, _, _ in rows}
+    if 2 * shared > sum(len(text) for text, _ in inside) and any(labels[n] in CONTENT_TAGS for n in roots):
+        return "\n".join(text for text, _ in inside)
+    return "\n".join(text for text, same in inside if not same)
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -376,7 +395,7 @@ def _observed(pages: DataFrame) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """The wrapper of every host: host_, pivot (a tree as text), content and template node numbers."""
+    """The wrapper of every host: host_, pivot (a tree as text), its pages, content and template node numbers."""
     stats = _observed(_with_host(pages)).groupBy("host_", "tree", "node").agg(
         *[F.sum(n).alias(n) for n in ("pages", "with_text", "chars")], F.min("low").alias("low"), F.max("high").alias("high"))
     sizes = stats.filter("node = -1").groupBy("host_").agg(
@@ -419,31 +438,57 @@ def induce(pages: DataFrame) -> DataFrame:
                 a, b = wrapper_of(json.loads(pivot), found, pages_)
                 content.append(a)
                 template.append(b)
-            return {"host_": c["host_"], "pivot": c["pivot"], "content": content, "template": template}
+            return {k: c[k] for k in ("host_", "pivot", "all_pages")} | {"content": content, "template": template}
+        return work
+
+    return map_columns(hosts, decide, "host_ string, pivot string, all_pages bigint, content array<int>, template array<int>")
+
+
+def constant_texts(pages: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Template texts of every host that has some: host_ and their keys. ``sizes`` has host_ and all_pages.
+
+    Votes are counts by key. A host's list is as long as two pages at most, as each text stands on half of its pages.
+    """
+    def start():
+        def work(c):
+            seen: dict[tuple[int, int], int] = {}
+            for host, page in zip(c["at_"], c["html"]):
+                if page:
+                    root, blocks = parse(page)
+                    for key in {*text_keys(list(_walk(encode_tree(root))), blocks)} - {None}:
+                        seen[host, key] = seen.get((host, key), 0) + 1
+            return {"at_": [h for h, _ in seen], "key": [k for _, k in seen], "n": list(seen.values())}
         return work
 
-    return map_columns(hosts, decide, "host_ string, pivot string, content array<int>, template array<int>")
+    hosted = _with_host(pages).select(F.xxhash64("host_").alias("at_"), "html")
+    votes = map_columns(hosted, start, "at_ bigint, key bigint, n int").groupBy("at_", "key").agg(F.sum("n").alias("n"))
+    large = sizes.filter(F.col("all_pages") >= AGREE).withColumn("at_", F.xxhash64("host_"))
+    agreed = votes.filter(F.col("n") >= AGREE).join(large, "at_").filter(F.col("n") >= SHARE * F.col("all_pages"))
+    return agreed.groupBy("host_").agg(F.collect_list("key").alias("constant"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
     hosted = _with_host(pages).select(
         "page_id", "url", "html", "host_", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int").alias("salt_"))
-    wrappers = induce(pages).withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    induced = Scratch(pages.sparkSession, "pages").store(induce(pages), "wrappers")
+    wrappers = induced.join(constant_texts(pages, induced.select("host_", "all_pages")), "host_", "left").withColumn(
+        "salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = hosted.join(wrappers, ["host_", "salt_"], "left").select(
-        F.col("page_id").cast("bigint").alias("page_id"), "url", "html", "pivot", "content", "template")
+        F.col("page_id").cast("bigint").alias("page_id"), "url", "html", "pivot", "content", "template", "constant")
 
     def start():
         trees: dict[str, list] = {}
 
         def work(c):
             texts = []
-            for page, pivot, content, template in zip(c["html"], c["pivot"], c["content"], c["template"]):
+            for page, pivot, content, template, constant in zip(*(c[k] for k in (
+                    "html", "pivot", "content", "template", "constant"))):
                 if pivot is not None and pivot not in trees:
                     if len(trees) > 1000:
                         trees.clear()
                     trees[pivot] = json.loads(pivot)
-                texts.append(extract(page, trees.get(pivot), content or [], template or []))
+                texts.append(extract(page, trees.get(pivot), content or [], template or [], frozenset(constant or ())))
             return {"page_id": c["page_id"], "url": c["url"], "text": texts, "n_chars": [len(t) for t in texts]}
         return work
 

@@ -84,3 +84,22 @@ def test_named_wrappers_do_not_cover_the_content(spark):
     body = "<main><p>The post</p><div class='comments'><article class='comment'>A longer comment</article></div></main>"
     assert texts(spark, [page(body)]) == {0: "The post"}
     assert texts(spark, [page("<div hidden class='menu'><article>No</article></div><article>Yes</article>")]) == {0: "Yes"}
+
+
+def test_votes_decide_inside_articles(spark):
+    note = "<p>Support our work with a gift</p>"
+    own = [f"Story number {k} has a text of its own, long enough to be told" for k in range(5)]
+    rows = [page(f"<article><p>{t}</p>{note if k else ''}</article>", k=k) for k, t in enumerate(own)]
+    # Two pages of another host do not agree on anything.
+    rows += [page(f"<article><p>{own[k]}</p>{note}</article>", "b.example", 10 + k) for k in range(2)]
+    got = texts(spark, rows)
+    assert [got[k] for k in range(5)] == own
+    assert got[10] == own[0] + "\nSupport our work with a gift"
+    # Without an article: a constant paragraph between varying ones, missing on one page.
+    rows = [page(f"<div><p>{t}</p>{note if k else ''}<p>{t[::-1]}</p></div>", k=k) for k, t in enumerate(own)]
+    assert [texts(spark, rows)[k] for k in range(5)] == [f"{t}\n{t[::-1]}" for t in own]
+
+
+def test_near_copies_keep_their_article(spark):
+    rows = [page(f"<article><p>{'The same long text on every page. ' * 5}</p><p>Copy {k}</p></article>", k=k) for k in range(4)]
+    assert all(len(t) > 100 for t in texts(spark, rows).values())
