@@ -45,6 +45,8 @@ SKETCH_ROWS = 2
 SKETCH_PARTS = 16
 SHARED = 3
 BLOCK_GRAMS = 200_000
+BLOCK_MEMBERS = 2_000
+STRIP = 256
 CLASS_UNIT = 64
 WORD_CACHE = 250_000
 COUNT_AT_ONCE = 500_000
@@ -264,7 +266,7 @@ def forest(keys: np.ndarray, sets: list[np.ndarray], percent: int, first: int) -
     or all pairs where ``first`` is 0.
 
     Overlaps of all members are counted together: the incidence of members and grams is
-    multiplied with itself, over blocks of grams.
+    multiplied with itself, over blocks of grams, and links are read off row by row.
     """
     k = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -282,25 +284,19 @@ def forest(keys: np.ndarray, sets: list[np.ndarray], percent: int, first: int) -
         block = np.zeros((k, width), np.float32)
         block[owner[lo:hi], column[lo:hi] - low] = 1
         overlap += block @ block.T
-    linked = 100 * overlap >= percent * (sizes[:, None] + sizes[None, :] - overlap)
-    rows, cols = np.nonzero(np.triu(linked, 1))
-    if first:
-        across = (rows < first) & (cols >= first)
-        rows, cols = rows[across], cols[across]
-    parent = list(range(k))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    part = np.arange(k)
     out = []
-    for i, j in zip(rows.tolist(), cols.tolist()):
-        p, q = root(i), root(j)
-        if p != q:
-            parent[q] = p
-            out.append((int(keys[i]), int(keys[j])))
+    for low in range(0, first or k, STRIP):
+        strip = overlap[low:min(low + STRIP, first or k)].astype(np.int64)
+        linked = 100 * strip >= percent * (sizes[low:low + len(strip), None] + sizes[None, :] - strip)
+        for i, row in enumerate(linked, low):
+            begin = first or i + 1
+            others = begin + np.flatnonzero(row[begin:] & (part[begin:] != part[i]))
+            if len(others):
+                # One link to each part that is still apart; all of them become the part of i.
+                met, at = np.unique(part[others], return_index=True)
+                out += [(int(keys[i]), int(keys[j])) for j in others[at]]
+                part[np.isin(part, met)] = part[i]
     return out
 
 
@@ -308,12 +304,14 @@ def _long_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compare the members of every long list, block against block.
 
     Members of a list are divided by set size into ranges of one quotient percent / 100; partners
-    lie in the same range or the next. A range is cut into blocks of about BLOCK_GRAMS grams.
+    lie in the same range or the next. A range is cut into blocks of about BLOCK_GRAMS grams and
+    BLOCK_MEMBERS members, whichever gives more blocks, so that neither the sets nor the matrix of a task grow.
     """
     step = math.log(100 / percent) if percent < 100 else 1e-9
     sized = members.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(1e-9)))
     blocks = sized.groupBy("gram", "range").agg(
-        F.ceil(F.sum("n") / F.lit(BLOCK_GRAMS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("count"))
+        F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK_GRAMS), F.count(F.lit(1)) / F.lit(BLOCK_MEMBERS))).cast("int").alias(
+            "blocks"), F.count(F.lit(1)).alias("count"))
     # Every member of range g goes to the pairs (g, g) and, if range g + 1 or g - 1 has members, to those too.
     upper = blocks.select("gram", (F.col("range") - 1).alias("range"), F.col("blocks").alias("above"))
     lower = blocks.select("gram", (F.col("range") + 1).alias("range"), F.col("blocks").alias("below"))

@@ -114,3 +114,50 @@ def test_no_pair_of_a_common_gram_is_joined_per_row(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = ngrams.jaccard_groups(frame, 3, 90)
     assert got.filter(F.col("component_id") != F.col("doc_id")).count() == 0
+
+
+def test_many_short_texts_stay_in_bounded_blocks(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    most = 400
+    inner = ngrams.forest
+
+    def bounded(keys, sets, percent, first):
+        # Two blocks, and what chance adds to them.
+        assert len(sets) <= most
+        seen.add(1)
+        return inner(keys, sets, percent, first)
+
+    monkeypatch.setattr(ngrams, "BLOCK_MEMBERS", 100)
+    monkeypatch.setattr(ngrams, "forest", bounded)
+    rng = random.Random(9)
+    rows = [(i, f"all of us share {rng.choice('abc')} w{rng.randrange(40)} x{rng.randrange(40)} this line ends") for i in range(1500)]
+    agreed(spark, rows, 3, 40)
+    assert seen.value > 1
+
+
+def test_forest_joins_the_parts_of_all_pairs():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, 12).astype(np.uint64)) for _ in range(700)]
+    for first, percent in ((0, 45), (300, 45), (0, 60), (650, 60)):
+        def parts(links):
+            part = list(range(len(sets)))
+
+            def root(i):
+                while part[i] != i:
+                    i = part[i]
+                return i
+            for a, b in links:
+                part[root(a)] = root(b)
+            groups = {}
+            for i in range(len(sets)):
+                groups.setdefault(root(i), []).append(i)
+            return sorted(groups.values())
+        pairs = [(i, j) for i in range(first or len(sets)) for j in range(first or i + 1, len(sets))]
+        linked = []
+        for i, j in pairs:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                linked.append((i, j))
+        found = ngrams.forest(np.arange(len(sets)), sets, percent, first)
+        assert set(found) <= set(linked) and parts(found) == parts(linked)
+        assert len(found) == len(sets) - len(parts(linked))
