@@ -27,14 +27,14 @@ KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-# Parts that say little alone. Bounded repetitions keep the search linear in the text.
+# Parts that say little alone. Values run to their end; possessive repetitions keep the search linear in the text.
 IDENTIFIER = ("\\b(?i:user(?:_?name)?|login|client_?id|account_?id|access_?key(?:_?id)?)[\"']?\\x20{0,4}[:=]\\x20{0,4}[\"']?"
-              "[A-Za-z0-9._@-]{3,64}")
+              "[A-Za-z0-9._@-]{3,}+")
 SECRET = ("\\b(?i:pass|pwd|pin|key|client_?secret|secret_?key|private_?key|auth|credential)[\"']?\\x20{0,4}[:=]\\x20{0,4}"
-          "[\"']?[A-Za-z0-9+/_.=!@#$%^&*-]{4,128}")
+          "[\"']?[A-Za-z0-9+/_.=!@#$%^&*-]{4,}+")
 SHORT_ASSIGN_MAX = 12
-ENDPOINT = ("\\b(?:[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.-]{3,128}(?::[0-9]{1,5})?"
-            "|(?i:host|server|endpoint|database_?url)[\"']?\\x20{0,4}[:=]\\x20{0,4}[\"']?[A-Za-z0-9-]{1,63}(?:\\.[A-Za-z0-9-]{1,63}){0,8}"
+ENDPOINT = ("\\b(?:[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.-]{3,}+(?::[0-9]{1,5})?"
+            "|(?i:host|server|endpoint|database_?url)[\"']?\\x20{0,4}[:=]\\x20{0,4}[\"']?[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)*+"
             "(?::[0-9]{1,5})?)")
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:bigint>>"
 BLOCK = 1024

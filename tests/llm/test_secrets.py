@@ -56,3 +56,16 @@ def test_main_path_runs_no_python(spark, edge_docs):
     plan = frame._jdf.queryExecution().executedPlan().toString() + secrets.parts(
         edge_docs.repartition(2))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_weak_values_end_where_they_end(spark):
+    long = "aZ9" * 134
+    hosts = ".".join(["part"] * 40)
+    rows = [(1, f"login=root auth: {long}; x"), (2, f"user={long} pwd=toor1"), (3, f"db://{hosts}:5432 pwd=toor1"),
+            (4, f"host={hosts}:5432/x pwd=toor1")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(frame).collect()}
+    assert got[1] == f"identifier:0:10,secret:11:{17 + len(long)}"
+    assert got[2].startswith(f"identifier:0:{5 + len(long)},")
+    assert got[3].startswith(f"endpoint:0:{10 + len(hosts)},")
+    assert got[4].startswith(f"endpoint:0:{10 + len(hosts)},")
