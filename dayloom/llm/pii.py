@@ -58,17 +58,19 @@ ODD = re.compile("[\u00ad\u00b2\u00b3\u00b7\u00b9\u0370-\u03ff\u0400-\u052f\u200
 _WORDS = "|".join(DIGIT_WORDS)
 _WORD_RUN = rf"(?<![A-Za-z0-9])(?:plus[\s-]+)?(?:{_WORDS})(?:[\s-]+(?:{_WORDS}|[0-9]))+(?![A-Za-z0-9])"
 # One spelled digit alone counts beside a spelled dot.
-_LONE_WORD = rf"(?<![A-Za-z0-9])(?:{_WORDS})(?=\s+(?:dot|point)\s)|(?<=\b(?:dot)\s)(?:{_WORDS})(?![A-Za-z0-9])"
-_AT = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
-_DOT = r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*"
-_PLAIN_AT = rf"\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+|{_DOT})[a-z0-9])"
+_LONE_WORD = rf"(?<![A-Za-z0-9])(?:{_WORDS})(?=\s+(?:dot|point)\s)|(?:(?<=\bdot\s)|(?<=\bpoint\s))(?:{_WORDS})(?![A-Za-z0-9])"
+# White space is matched from its start only, which keeps the search linear.
+_AT = r"(?<!\s)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
+_DOT = r"(?<!\s)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*"
+_PLAIN_AT = rf"(?<!\s)\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+|{_DOT})[a-z0-9])"
 _PLAIN_DOT = r"(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9])"
 _DIGIT_DOT = rf"(?<=[a-z0-9])\s+(?:dot|point)\s+(?=(?:{_WORDS}|[0-9]))"
 REWRITE = re.compile(
     rf"(?P<run>{_WORD_RUN}|{_LONE_WORD})|(?P<at>{_AT}|{_PLAIN_AT})|(?P<dot>{_DOT}|{_DIGIT_DOT}|{_PLAIN_DOT})", re.IGNORECASE)
 _RUN_WORD = re.compile(rf"plus|{_WORDS}|[0-9]", re.IGNORECASE)
-BRACKETED = re.compile(r"[\[({<]\s{0,8}(?:at|dot|@|\.)\s{0,8}[\])}>]", re.IGNORECASE)
-SPELLED = re.compile(rf"\b(?:{_WORDS})[\s-]+(?:{_WORDS})\b", re.IGNORECASE)
+# The gate before REWRITE: each of its alternatives needs one of these, "dot" or "point".
+BRACKETED = re.compile(r"[\[({<]\s*+(?:at|dot|@|\.)\s*+[\])}>]", re.IGNORECASE)
+SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{_WORDS})[\s-]++(?:{_WORDS}|[0-9])", re.IGNORECASE)
 
 
 def _luhn(digits: str) -> bool:
@@ -205,10 +207,7 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     """Identifiers that appear only after rewriting, at source positions; none lies within a base span of its kind."""
     odd = not text.isascii() and ODD.search(text) is not None
     low = text.lower()
-    phrase = odd or "dot" in low or BRACKETED.search(text) is not None or (
-        sum(low.count(w) for w in ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine")) > 2
-        and SPELLED.search(text) is not None)
-    if not odd and not phrase:
+    if not (odd or "dot" in low or "point" in low or BRACKETED.search(text) or SPELLED.search(text)):
         return []
     first = _characters(text) if odd else None
     inner = first.text() if first else text

@@ -74,3 +74,22 @@ def test_digest_and_mask(edge_docs, no_docs):
     out = [r for r in masked.collect() if (r["text"] or "").startswith("mail")][0]
     assert out["text"] == "mail <email> <ip> or <phone> or <card> é𝒳" and out["n_chars"] == len(out["text"])
     assert pii.digest(no_docs).count() == pii.mask(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("192 point 168 point 0 point 1", "ip"), ("10 point zero point oh point one", "ip"),
+    ("plus one one one oh one one one oh one one", "phone"), ("call plus four one 5 5 5 5 1 2 3 4 now", "phone"),
+    ("me [" + " " * 20 + "at ] b.example", "email"),
+])
+def test_the_gate_lets_all_disguises_through(text, kind):
+    spans = pii.added_spans(text, pii.plain_spans(text))
+    assert [k for k, _, _ in spans] == [kind]
+    assert f"<{kind}>" in pii.masked(text)
+
+
+def test_white_space_is_scanned_once():
+    import time
+    text = "a point" + " " * 200_000 + "b"
+    began = time.perf_counter()
+    assert pii.masked(text) == text
+    assert time.perf_counter() - began < 20
