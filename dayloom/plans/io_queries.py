@@ -285,7 +285,8 @@ def push_payload(spark, folder):
     daily = events_daily(spark, folder).select(
         F.col("Date").alias("ds"), F.when(F.col("n") > 60, F.col("n")).alias("n"), "cents", "event_type"
     )
-    return sinks.push_payload(daily, ["ds", "n", "cents"]).drop("_id")
+    # As a sink keyed by the id has them: ids that collide would lose rows.
+    return sinks.push_payload(daily, ["ds", "n", "cents"], keys=["event_type"]).dropDuplicates(["_id"]).drop("_id")
 
 
 # --- incremental load and upsert -----------------------------------------------------------

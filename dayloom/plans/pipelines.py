@@ -175,7 +175,7 @@ def world_forecast(grouped: DataFrame, periods: int = 30,
 
 
 def push_forecast(table: DataFrame, target: str | None, format: str = "json",
-                  options: Mapping[str, str] | None = None) -> None:
-    """Send a wide forecast table to a document sink, missing values as -1, ids generated."""
-    payload = sinks.push_payload(table, table.columns)
+                  options: Mapping[str, str] | None = None, keys: Sequence[str] = ()) -> None:
+    """Send a wide forecast table to a document sink, missing values as -1, ids generated from ``keys`` and date."""
+    payload = sinks.push_payload(table, table.columns, keys=keys)
     sinks.write_documents(payload, target, format, options)

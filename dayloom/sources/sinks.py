@@ -96,15 +96,20 @@ def write_documents(df: DataFrame, target: str | None, format: str = "json",
     writer.save(target) if target else writer.save()
 
 
-def push_payload(df: DataFrame, columns: Sequence[str], date: str = "ds", record_id: str | None = "_id") -> DataFrame:
+def push_payload(df: DataFrame, columns: Sequence[str], date: str = "ds", record_id: str | None = "_id",
+                 keys: Sequence[str] = ()) -> DataFrame:
     """Project, cast the measures to float, fill with -1 and add an id.
 
-    The id is a hash of the row's date (its key), so that a repeated task or push gives the same one.
+    The id is a hash of the row's date and ``keys`` (its whole key), so that a repeated task or push gives the same
+    one and rows of several series on a day have ids of their own. Keys need not be among ``columns``.
     """
-    measures = [c for c in columns if c != date]
-    out = df.select(*[F.col(c).cast("float").alias(c) if c in measures else F.col(c) for c in columns])
-    out = out.na.fill(PUSH_FILL, subset=measures)
-    return out.withColumn(record_id, F.md5(F.col(date).cast("string"))) if record_id else out
+    measures = [c for c in columns if c != date and c not in keys]
+    whole = F.col(date).cast("string")
+    if keys:
+        whole = F.to_json(F.array(*[F.col(k).cast("string") for k in keys], whole), {"ignoreNullFields": "false"})
+    made = [F.md5(whole).alias(record_id)] if record_id else []
+    out = df.select(*[F.col(c).cast("float").alias(c) if c in measures else F.col(c) for c in columns], *made)
+    return out.na.fill(PUSH_FILL, subset=measures)
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dayloom.functions import dates
 from dayloom.operators.sequence import number_rows
+from dayloom.plans import pipelines
 from dayloom.session import materialise
 from dayloom.sources import documents, marks, sinks, tables
 
@@ -104,6 +105,17 @@ def test_push_payload(spark):
     assert row["_id"] == sinks.push_payload(df, ["ds", "a"]).first()["_id"]
 
 
+def test_push_payload_ids_of_several_series(spark, tmp_path):
+    day = dt.date(2020, 1, 2)
+    df = spark.createDataFrame([(day, "a", "b", 1.0), (day, "a,b", "", 2.0), (day, None, "b", 3.0), (day, "", "b", None)],
+                               "ds date, k string, l string, n double")
+    pushed = sinks.push_payload(df, ["ds", "k", "n"], keys=["k", "l"])
+    assert pushed.select("_id").distinct().count() == 4 and dict(pushed.dtypes)["k"] == "string"
+    assert sorted(r["n"] for r in pushed.collect()) == [-1.0, 1.0, 2.0, 3.0]
+    pipelines.push_forecast(df, f"{tmp_path}/pushed", keys=["k", "l"])
+    assert spark.read.json(f"{tmp_path}/pushed").select("_id").distinct().count() == 4
+
+
 def test_upsert_latest(spark):
     old = spark.createDataFrame([("a", 1, "old"), ("b", 3, "old"), ("c", 1, "old")], "_id string, v int, x string")
     new = spark.createDataFrame([("a", 1, "new"), ("b", 2, "new"), ("d", 1, "new"), ("d", 2, "newer")], old.schema)
