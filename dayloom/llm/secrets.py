@@ -5,12 +5,13 @@ from cutting the text at the pattern: the lengths of what lies between and of th
 themselves add up to positions in code points.
 
 Base spans stand on their own. The method links parts of one credential: access identifiers
-(user or key names), secrets (values too weak to report by themselves) and endpoints
+(user or key names), secrets (values too weak to report by themselves, base assignments and base
+hex values that are not part of an identifier or endpoint) and endpoints
 (addresses with a host). The lines around an identifier or endpoint, up to ``reach`` characters on
 either side, are its scope. Overlapping scopes of a text merge into one, so each part lies in
 at most one merged scope; an interval join of parts with merged scopes, on shared blocks of
-positions, finds them. A weak secret is reported only if its scope also holds an identifier
-or an endpoint; then the parts of the scope are reported with it.
+positions, finds them. Weak parts are reported only if their scope holds both a secret and an
+identifier or an endpoint; what the base reports is not added again.
 
 Nulls and empty texts have no spans. Rows are told apart by a number given when the parts
 are stored, so repeated doc_ids and rows stay separate. An empty table gives an empty result.
@@ -107,7 +108,7 @@ def linked(stored: DataFrame, reach: int = 200) -> DataFrame:
     ``stored`` holds row_, base and weak. Only rows with a weak part take part.
     """
     some = stored.filter(F.size("weak") > 0)
-    single = some.select("row_", F.explode(F.array_union("weak", F.filter("base", lambda s: s["kind"] == "access"))).alias("p"))
+    single = some.select("row_", F.explode(F.array_union("weak", "base")).alias("p"))
     single = single.select("row_", "p.kind", "p.start", "p.end")
     anchors = single.filter(F.col("kind").isin("identifier", "endpoint", "access")).select(
         "row_", F.greatest(F.col("start") - reach, F.lit(0)).alias("low"), (F.col("end") + reach).alias("high"))
@@ -120,11 +121,16 @@ def linked(stored: DataFrame, reach: int = 200) -> DataFrame:
     # Interval join: a scope stands in every block of positions it covers, a part in the block of its start.
     block = F.lit(BLOCK)
     covered = scopes.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block))))
-    placed = single.withColumn("block", F.floor(F.col("start") / block))
+    # A hex value within an identifier or endpoint is no secret beside it.
+    earlier = Window.partitionBy("row_").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    around = F.max(F.when(F.col("kind").isin("identifier", "endpoint"), F.col("end"))).over(earlier)
+    own = single.withColumn("around", around).filter((F.col("kind") != "hex") | F.col("around").isNull() | (
+        F.col("around") < F.col("end"))).drop("around")
+    placed = own.withColumn("block", F.floor(F.col("start") / block))
     inside = placed.join(covered, ["row_", "block"]).filter("start >= low and start <= high")
     scope = Window.partitionBy("row_", "scope")
-    has_secret = F.max((F.col("kind") == "secret").cast("int")).over(scope) == 1
-    complete = inside.withColumn("whole", has_secret).filter("whole and kind != 'access'")
+    has_secret = F.max(F.col("kind").isin("secret", "assign", "hex").cast("int")).over(scope) == 1
+    complete = inside.withColumn("whole", has_secret).filter("whole and kind not in ('access', 'assign', 'hex')")
     return complete.groupBy("row_").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
 
 
