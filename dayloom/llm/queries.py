@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dayloom.llm import (
     benchmarks,
+    centroids,
     fingerprints,
     ngrams,
     packing,
@@ -66,9 +67,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmarks.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_main_text, op2_pii, op3_secrets, op4_quality, op5_packing, op6_sharding, op7_token_counts, op8_fingerprints,
-    op9_jaccard_join, op10_decontamination)}
+    op9_jaccard_join, op10_decontamination, op11_centroids)}
 #: The article of the given pages, whose markup is known: blocks are headings and paragraphs.
 OP1_SQL = r"""
     WITH inside AS (SELECT page_id, url, regexp_extract(html, '<article>(.*?)(</article>|<footer>|$)', 1, 's') AS a FROM pages),
@@ -93,6 +98,29 @@ OP9_SQL = r"""
     least AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
     SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least USING (doc_id)"""
 
+_ROUND = """
+    d{i} AS MATERIALIZED (SELECT v.row, v.x, c.cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))
+        AS d FROM kept v CROSS JOIN c{i} c),
+    a{i} AS MATERIALIZED (SELECT row, any_value(x) AS x, min(d) AS d, arg_min(cluster, (d, cluster)) AS cluster FROM d{i} GROUP BY row)"""
+_UPDATE = """
+    m{i} AS (SELECT cluster, list(CAST(floor(s / n) AS BIGINT) ORDER BY place) AS x FROM (
+        SELECT cluster, place, CAST(sum(v) AS HUGEINT) - (CAST(sum(v) AS HUGEINT) % count(*) + count(*)) % count(*) AS s, count(*) AS n
+        FROM (SELECT cluster, unnest(x) AS v, unnest(range(64)) AS place FROM a{i}) GROUP BY cluster, place) GROUP BY cluster),
+    c{j} AS MATERIALIZED (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (cluster)),"""
+#: Ten rounds spelled out; a sum is made divisible before it is divided, so that the floor is exact.
+OP11_SQL = """
+    WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding,
+        lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS cluster, x FROM (
+        SELECT sha256('3:' || vec_id) AS h, x FROM kept WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT 8)),""" + ",".join(
+    _ROUND.format(i=i) + "," + _UPDATE.format(i=i, j=i + 1).rstrip(",") for i in range(10)) + "," + _ROUND.format(i=10) + """
+    SELECT vec_id, a.cluster, CAST(a.d AS BIGINT) AS distance,
+        CAST(sum(a.d) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(c.x, ',')) AS centroid_sha256
+    FROM a10 a JOIN kept USING (row) JOIN c10 c ON a.cluster = c.cluster"""
+
 #: The other operators rest on hashes, tokenizers, fits or alignments that SQL does not have; tests/llm holds them
 #: against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_main_text": OP1_SQL, "op9_jaccard_join": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_main_text": OP1_SQL, "op9_jaccard_join": OP9_SQL,
+                              "op11_centroids": OP11_SQL}
