@@ -18,6 +18,7 @@ from dayloom.llm import (
     secrets,
     sharding,
     token_counts,
+    whitening,
 )
 from dayloom.llm.common import read
 
@@ -71,9 +72,13 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(read(spark, sf_dir, "embeddings"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_main_text, op2_pii, op3_secrets, op4_quality, op5_packing, op6_sharding, op7_token_counts, op8_fingerprints,
-    op9_jaccard_join, op10_decontamination, op11_centroids)}
+    op9_jaccard_join, op10_decontamination, op11_centroids, op12_whitening)}
 #: The article of the given pages, whose markup is known: blocks are headings and paragraphs.
 OP1_SQL = r"""
     WITH inside AS (SELECT page_id, url, regexp_extract(html, '<article>(.*?)(</article>|<footer>|$)', 1, 's') AS a FROM pages),

@@ -14,7 +14,7 @@ ONE_ROW_EACH = {"op1_main_text": "pages"} | dict.fromkeys(
 
 def test_all_and_the_pipeline_are_registered():
     names = set(entry_points.queries())
-    assert {f"op{n}_" for n in range(1, 12)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 13)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= names
 
 
