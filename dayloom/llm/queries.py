@@ -10,6 +10,7 @@ from dayloom.llm import (
     benchmarks,
     centroids,
     fingerprints,
+    minhash,
     ngrams,
     packing,
     pages,
@@ -76,9 +77,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copy_groups(read(spark, sf_dir, "documents"), n=5, percent=85)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_main_text, op2_pii, op3_secrets, op4_quality, op5_packing, op6_sharding, op7_token_counts, op8_fingerprints,
-    op9_jaccard_join, op10_decontamination, op11_centroids, op12_whitening)}
+    op9_jaccard_join, op10_decontamination, op11_centroids, op12_whitening, op13_minhash)}
 #: The article of the given pages, whose markup is known: blocks are headings and paragraphs.
 OP1_SQL = r"""
     WITH inside AS (SELECT page_id, url, regexp_extract(html, '<article>(.*?)(</article>|<footer>|$)', 1, 's') AS a FROM pages),
@@ -89,19 +94,21 @@ OP1_SQL = r"""
     SELECT page_id, url, array_to_string(b, chr(10)) AS text, CAST(length(array_to_string(b, chr(10))) AS BIGINT) AS n_chars
     FROM blocks"""
 
-OP9_SQL = r"""
+_GROUPS_SQL = r"""
     WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
-    sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE
-        list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+    sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE
+        list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) END AS s
         FROM words),
     grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
     links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
-              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
     reached AS (SELECT doc_id AS a, doc_id AS b FROM documents
                 UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
     least AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
-    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least USING (doc_id)"""
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id{more} FROM sets JOIN least USING (doc_id)"""
+OP9_SQL = _GROUPS_SQL.format(n=3, percent=90, more="")
+OP13_SQL = _GROUPS_SQL.format(n=5, percent=85, more=", doc_id = component_id AS kept")
 
 _ROUND = """
     d{i} AS MATERIALIZED (SELECT v.row, v.x, c.cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))
@@ -128,4 +135,4 @@ OP11_SQL = """
 #: The other operators rest on hashes, tokenizers, fits or alignments that SQL does not have; tests/llm holds them
 #: against brute force.
 ORACLE_SQL: dict[str, str] = {"op1_main_text": OP1_SQL, "op9_jaccard_join": OP9_SQL,
-                              "op11_centroids": OP11_SQL}
+                              "op11_centroids": OP11_SQL, "op13_minhash": OP13_SQL}

@@ -8,13 +8,13 @@ from dayloom.llm import queries
 
 FOLDER = "/root/testdata/sf0.001"
 ONE_ROW_EACH = {"op1_main_text": "pages"} | dict.fromkeys(
-    ("op2_pii", "op3_secrets", "op4_quality", "op6_sharding", "op7_token_counts", "op8_fingerprints", "op9_jaccard_join"),
+    ("op2_pii", "op3_secrets", "op4_quality", "op6_sharding", "op7_token_counts", "op8_fingerprints", "op9_jaccard_join", "op13_minhash"),
     "documents")
 
 
 def test_all_and_the_pipeline_are_registered():
     names = set(entry_points.queries())
-    assert {f"op{n}_" for n in range(1, 13)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= names
 
 
