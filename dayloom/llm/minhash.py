@@ -1,20 +1,23 @@
 """Near copies by MinHash signatures and a multi-index Hamming join, confirmed on full sets.
 
-A text is the set of its distinct word n-grams. Its signature has ``POSITIONS`` symbols of 16 bits, one per
-hash function: that of the smallest gram. Two texts of similarity s differ in a symbol with chance 1 - s, so
-those that link differ in ``errors(percent)`` symbols at most, but for a chance below 10^-6 a pair at the very
-threshold. All pairs of signatures up to that distance are found, whatever their number:
+A text is the set of its distinct word n-grams. Its signature has ``INDEXED`` symbols of 16 bits and ``FURTHER``
+symbols of 8 bits, one per hash function: that of the smallest gram. Two texts of similarity s differ in a symbol
+with chance 1 - s, so those that link differ in ``errors`` symbols at most, but for a chance below 10^-6 for a pair at
+the very threshold. All pairs of signatures up to that distance in the indexed symbols are found, whatever their number:
 
-* *Chunks.* The signature is cut into ``errors // 2 + 1`` chunks. By the pigeonhole principle one of them
+* *Chunks.* The indexed symbols are cut into ``errors // 2 + 1`` chunks. By the pigeonhole principle one of them
   differs in one symbol at most. Every chunk is posted under all keys that one error allows: the chunk
-  with each of its symbols masked in turn. Two signatures within the distance share a key.
-* *Stars.* In each bucket (key) texts are compared with the bucket's first or last text in a seeded order,
-  one comparison per text and round. Confirmed links join texts into parts; a bucket that lies in one part
-  has nothing left to find, so a group of n near copies costs about n comparisons and not n^2.
-* *Rest.* In buckets that still hold several parts, all pairs from different parts are compared by signature:
-  within buckets of up to ``SMALL`` rows as a join, in larger ones cell against cell in bounded tasks, cells of one
-  part never against each other. Pairs within the distance are confirmed, first the closest of any two
-  parts, then all that stand between parts still apart.
+  with each of its symbols masked in turn. Two signatures within the distance share a key; of the buckets that
+  they share, the first one reports them.
+* *Stars.* In each bucket (key) texts are compared with the bucket's first and last text, one comparison per text.
+  Confirmed links join texts into parts; a bucket that lies in one part has nothing left to find, so a group of n
+  copies costs about n comparisons and not n^2.
+* *Nearest.* In buckets that still hold several parts, signatures are compared in the tasks, all symbols of them; each text
+  names the nearest one of another part, which is confirmed, and parts grow together. This is done twice.
+* *Rest.* What is still within the distance, in different parts, is confirmed pair by pair.
+
+Buckets of up to ``SMALL`` rows are compared as a join, larger ones cell against cell in bounded tasks, cells of one
+part never against each other.
 
 Nothing is capped or sampled: the result is the connected components of all links between signatures within the
 distance. Equal sets are one class and are compared once. Nulls and texts without words have an empty set and link
@@ -38,33 +41,36 @@ from pyspark.sql import functions as F
 from dayloom.llm.common import Scratch, map_arrow, map_columns, struct
 from dayloom.llm.ngrams import PRIMES, _mix, class_key, components, gram_set
 
-POSITIONS = 64
+INDEXED = 64
+FURTHER = 192
+POSITIONS = INDEXED + FURTHER
 #: Share of pairs at the very threshold that signatures may miss.
 LOST = 1e-6
 GRAMS_AT_ONCE = 1 << 16
-STARS = 2
+NEAREST = 2
 SMALL = 16
-CELL = 1024
+CELL = 512
 STRIP = 64
 FAN = 256
 _RNG = np.random.default_rng(13)
 FACTORS = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
-#: Orders in which the stars of each round are chosen.
-SEEDS = [0, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F]
 
 
-def errors(percent: int, lost: float = LOST) -> int:
-    """Symbols in which texts of this similarity differ at most, but for a chance below ``lost``."""
+def errors(percent: int, symbols: int, lost: float = LOST) -> int:
+    """In how many of so many symbols texts of this similarity differ at most, but for a chance below ``lost``."""
     miss = 1 - percent / 100
-    tail, most = 0.0, POSITIONS
-    while most > 1 and (tail := tail + math.comb(POSITIONS, most) * miss**most * (1 - miss) ** (POSITIONS - most)) < lost:
+    tail, most = 0.0, symbols
+    while most > 1 and (tail := tail + math.comb(symbols, most) * miss**most * (1 - miss) ** (symbols - most)) < lost:
         most -= 1
     return most
 
 
+SIGNATURE = np.dtype([("index", np.uint16, INDEXED), ("further", np.uint8, FURTHER)])
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of POSITIONS symbols per set; sets must not be empty."""
+    """One SIGNATURE per set; sets must not be empty."""
     lengths = np.array([len(s) for s in sets], np.int64)
     least = np.empty((len(sets), POSITIONS), np.uint64)
     ends = np.cumsum(lengths)
@@ -79,7 +85,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             starts = ends[first:last] - lengths[first:last] - (ends[first - 1] if first else 0)
             least[first:last] = _least(np.concatenate(block), starts)
         first = last
-    return _mix(least).astype(np.uint16)
+    mixed = _mix(least)
+    out = np.empty(len(sets), SIGNATURE)
+    out["index"], out["further"] = mixed[:, :INDEXED].astype(np.uint16), mixed[:, INDEXED:].astype(np.uint8)
+    return out
 
 
 def _least(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -95,13 +104,13 @@ def _least(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def chunk_bounds(distance: int) -> list[tuple[int, int]]:
     """Chunks of which one has one error at most where all have ``distance`` together."""
     chunks = distance // 2 + 1
-    cuts = [POSITIONS * i // chunks for i in range(chunks + 1)]
+    cuts = [INDEXED * i // chunks for i in range(chunks + 1)]
     return list(zip(cuts, cuts[1:]))
 
 
 def keys_of(symbols: np.ndarray, distance: int) -> np.ndarray:
-    """POSITIONS keys per signature: every chunk with each one of its symbols masked."""
-    out = np.empty((len(symbols), POSITIONS), np.uint64)
+    """INDEXED keys per row of indexed symbols: every chunk with each one of its symbols masked."""
+    out = np.empty((len(symbols), INDEXED), np.uint64)
     for low, high in chunk_bounds(distance):
         for masked in range(low, high):
             h = np.full(len(symbols), masked + 1, np.uint64)
@@ -112,9 +121,21 @@ def keys_of(symbols: np.ndarray, distance: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def first_shared(differ: np.ndarray, distance: int) -> np.ndarray:
+    """The place of the first key that two signatures share, by where their indexed symbols differ; -1 for none."""
+    bounds = chunk_bounds(distance)
+    wrong = np.add.reduceat(differ, [low for low, _ in bounds], axis=1, dtype=np.int32)
+    chunk = (wrong <= 1).argmax(axis=1)
+    rows = np.arange(len(differ))
+    low = np.array([low for low, _ in bounds])[chunk]
+    after = (np.arange(INDEXED) >= low[:, None]) & differ
+    count = wrong[rows, chunk]
+    return np.where(count > 1, -1, np.where(count == 0, low, after.argmax(axis=1)))
+
+
 def _symbols(column: pa.Array) -> np.ndarray:
     """Signatures of a binary column without nulls."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
+    return np.frombuffer(b"".join(column.to_pylist()), SIGNATURE)
 
 
 def _described(docs: DataFrame, n: int) -> DataFrame:
@@ -137,14 +158,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _postings(classes: DataFrame, distance: int) -> DataFrame:
-    """(key, class): every class under the keys of its signature."""
+    """(key, place, class): every class under the keys of its signature."""
     def run(batches):
         for batch in batches:
-            keys = keys_of(_symbols(batch.column(1)), distance)
+            keys = keys_of(_symbols(batch.column(1))["index"], distance)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), POSITIONS))], ["key", "class"])
+                [pa.array(keys.ravel()), pa.array(np.tile(np.arange(INDEXED, dtype=np.int32), len(keys))),
+                 pa.array(np.repeat(batch.column(0).to_numpy(), INDEXED))], ["key", "place", "class"])
 
-    return map_arrow(classes.select("class", "sig"), run, struct("key bigint, class bigint"))
+    return map_arrow(classes.select("class", "sig"), run, struct("key bigint, place int, class bigint"))
 
 
 def _reach(a: Column, b: Column, percent: int) -> Column:
@@ -152,17 +174,23 @@ def _reach(a: Column, b: Column, percent: int) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def _near(pairs: DataFrame, classes: DataFrame, distance: int, percent: int) -> DataFrame:
-    """(a, b, d): pairs whose sizes fit and whose signatures differ in d <= distance symbols."""
+def _apart_by(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many symbols signatures differ."""
+    return ((x["index"] != y["index"]).sum(axis=1) + (x["further"] != y["further"]).sum(axis=1)).astype(np.int32)
+
+
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, d): pairs whose sizes fit and whose signatures differ in d symbols, few enough to link."""
     left = classes.select(F.col("class").alias("a"), F.col("size").alias("na"), F.col("sig").alias("sa"))
     right = classes.select(F.col("class").alias("b"), F.col("size").alias("nb"), F.col("sig").alias("sb"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").filter(_reach(F.col("na"), F.col("nb"), percent))
+    most = errors(percent, POSITIONS)
 
     def run(batches):
         for batch in batches:
-            apart = (_symbols(batch.column(2)) != _symbols(batch.column(3))).sum(axis=1).astype(np.int32)
+            apart = _apart_by(_symbols(batch.column(2)), _symbols(batch.column(3)))
             found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart)], ["a", "b", "d"])
-            yield found.filter(pa.array(apart <= distance))
+            yield found.filter(pa.array(apart <= most))
 
     return map_arrow(joined.select("a", "b", "sa", "sb"), run, struct("a bigint, b bigint, d int"))
 
@@ -199,25 +227,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return map_arrow(dealt, run, struct("a bigint, b bigint"))
 
 
-def _star_pairs(live: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """For rows (key, class, part): (class, rep) for the first and last class of every bucket of several parts, and
-    the keys of those buckets."""
-    order = F.col("class").bitwiseXOR(F.lit(seed))
-    buckets = live.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(order).alias("r1"),
-                                      F.max(order).alias("r2")).filter("low != high")
-    buckets = buckets.select("key", F.col("r1").bitwiseXOR(F.lit(seed)).alias("r1"),
-                             F.col("r2").bitwiseXOR(F.lit(seed)).alias("r2"))
-    return live.join(buckets, "key"), buckets
-
-
 def _parted(live: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Rows with the part that their class is in by now."""
-    live = live.select("key", "class")
+    """Rows (key, place, class) with the part that their class is in by now."""
     if parts is None:
         return live.withColumn("part", F.col("class"))
     return live.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
 
 
+def _buckets(rows: DataFrame) -> DataFrame:
+    """Buckets of several parts: (key, c, r1, r2), with the count of their rows, their first and their last class."""
+    return rows.groupBy("key").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("c"), F.min("class").alias("r1"),
+        F.max("class").alias("r2")).filter("low != high").drop("low", "high")
+
+
 def _apart(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
     """Pairs (a, b, ...) whose ends are in different parts, as (…, pa, pb)."""
     if parts is None:
@@ -228,11 +251,11 @@ def _apart(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
     return pairs.filter("pa != pb")
 
 
-def _cells(live: DataFrame, classes: DataFrame, distance: int, percent: int) -> DataFrame:
-    """(a, b, d): all pairs of different parts within the distance in large buckets, cell against cell.
+def _cells(live: DataFrame, classes: DataFrame, distance: int, percent: int, nearest: bool) -> DataFrame:
+    """(a, b, d): pairs of different parts near enough to link, in large buckets, cell against cell.
 
     A part with many rows in a bucket has cells of its own, the others share cells; a row travels to
-    every cell of its bucket but those of its own part.
+    every cell of its bucket but those of its own part. With ``nearest`` every row names its nearest one only.
     """
     sized = live.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
     own = F.col("c") >= CELL // 2
@@ -242,22 +265,23 @@ def _cells(live: DataFrame, classes: DataFrame, distance: int, percent: int) ->
         F.when(own, F.ceil(F.col("c") / F.lit(CELL))).otherwise(F.col("pools")).cast("int").alias("cells"))
     rows = live.join(plan, ["key", "part"]).withColumn("cell", F.pmod(
         F.when(F.col("owner").isNull(), F.xxhash64("part")).otherwise(F.xxhash64("class")), F.col("cells")).cast("int"))
-    there = rows.select("key", "owner", "cell").distinct().select("key", F.struct(
-        F.coalesce("owner", F.lit(0)).alias("owner"), F.col("owner").isNotNull().alias("own"), "cell").alias("other"))
     mine = F.struct(F.coalesce("owner", F.lit(0)).alias("owner"), F.col("owner").isNotNull().alias("own"), F.col("cell"))
-    spread = rows.withColumn("mine", mine).join(there, "key").filter(
+    rows = rows.withColumn("mine", mine)
+    there = rows.select("key", F.col("mine").alias("other")).distinct()
+    spread = rows.join(there, "key").filter(
         ~(F.col("mine.own") & F.col("other.own") & (F.col("mine.owner") == F.col("other.owner"))))
     task = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    carried = spread.select(task.alias("task"), (F.col("mine") > F.col("other")).alias("second"), "part", "class").join(
-        classes.select("class", "size", "sig"), "class").select("task", "second", "part", "class", "size", "sig")
+    columns = ["task", "place", "second", "part", "class", "size", "sig"]
+    carried = spread.select(task.alias("task"), "place", (F.col("mine") > F.col("other")).alias("second"), "part",
+                            "class").join(classes.select("class", "size", "sig"), "class").select(*columns)
     dealt = carried.repartition("task").sortWithinPartitions("task", "second")
 
     def run(batches):
         task, held = None, []
 
         def found() -> pa.RecordBatch:
-            a, b, d = compared(held, distance, percent)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "d"])
+            out = compared(held, distance, percent, nearest)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "d"])
 
         for batch in batches:
             tasks = batch.column(0).to_numpy()
@@ -267,21 +291,25 @@ def _cells(live: DataFrame, classes: DataFrame, distance: int, percent: int) ->
                     yield found()
                     held = []
                 task = tasks[low]
-                run_ = batch.slice(low, high - low)
-                held.append((*(run_.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)), _symbols(run_.column(5))))
+                part = batch.slice(low, high - low)
+                held.append((*(part.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)), _symbols(part.column(6))))
         if held:
             yield found()
 
     return map_arrow(dealt, run, struct("a bigint, b bigint, d int"))
 
 
-def compared(held: list[tuple], distance: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of different parts within the distance: first against second rows, or all where there is one kind."""
-    second, part, cls, size = (np.concatenate([h[i] for h in held]) for i in range(4))
-    sig = np.concatenate([h[4] for h in held])
+def compared(held: list[tuple], distance: int, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different parts near enough to link: first against second rows, or all where there is one kind.
+
+    Only pairs whose first shared key is that of this bucket. With ``nearest``, one pair per row at most.
+    """
+    place, second, part, cls, size, sig = (np.concatenate([h[i] for h in held]) for i in range(6))
+    most = errors(percent, POSITIONS)
     cut = int((~second.astype(bool)).sum())
-    rows, columns = (range(cut), np.arange(cut, len(cls))) if 0 < cut < len(cls) else (range(len(cls)), np.arange(len(cls)))
-    once = len(columns) == len(cls)
+    once = cut in (0, len(cls))
+    rows = range(len(cls)) if once else range(cut)
+    columns = np.arange(0 if once else cut, len(cls))
     out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
     for low in range(0, len(rows), STRIP):
         strip = np.arange(low, min(low + STRIP, len(rows)))
@@ -290,23 +318,28 @@ def compared(held: list[tuple], distance: int, percent: int) -> tuple[np.ndarray
         if once:
             keep &= strip[:, None] < columns
         i, j = np.nonzero(keep)
-        for at in range(0, len(i), 1 << 16):
-            x, y = strip[i[at:at + (1 << 16)]], columns[j[at:at + (1 << 16)]]
-            apart = (sig[x] != sig[y]).sum(axis=1).astype(np.int32)
-            near = apart <= distance
-            out.append((cls[x[near]], cls[y[near]], apart[near]))
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
-
-
-def _ordered(pairs: DataFrame, *more: str) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *more).distinct()
+        for at in range(0, len(i), 1 << 15):
+            x, y = strip[i[at:at + (1 << 15)]], columns[j[at:at + (1 << 15)]]
+            differ = sig["index"][x] != sig["index"][y]
+            near = differ.sum(axis=1) <= distance
+            x, y, differ = x[near], y[near], differ[near]
+            apart = _apart_by(sig[x], sig[y])
+            near = (apart <= most) & (first_shared(differ, distance) == place[0])
+            out.append((x[near], y[near], apart[near]))
+    a, b, d = (np.concatenate([o[i] for o in out]) for i in range(3))
+    if nearest and len(a):
+        ends, other, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+        order = np.lexsort((other, far, ends))
+        first = order[np.unique(ends[order], return_index=True)[1]]
+        a, b, d = ends[first], other[first], far[first]
+    return cls[a], cls[b], d
 
 
 def near_copy_groups(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept (doc_id = component_id)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    distance = errors(percent)
+    distance = errors(percent, INDEXED)
     rows = scratch.store(_described(docs, n), "rows")
     # The signature follows from the class, so it is a key of the group and not a value to pick.
     classes = scratch.store(rows.filter("class is not null").groupBy("class", "size", "sig").agg(
@@ -314,50 +347,44 @@ def near_copy_groups(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFram
     links, parts, turn = None, None, 0
 
     def linked(pairs: DataFrame) -> None:
-        """Confirm pairs, add the links that hold, and find the parts anew."""
+        """Confirm pairs, and find the parts anew from the links that hold."""
         nonlocal links, parts, turn
         new = scratch.store(confirmed(pairs, texts, n, percent), f"links-{turn}")
         if new.limit(1).count():
             # Within a part one link to its root stands for all.
             links = new if parts is None else new.unionByName(parts.select(F.col("class").alias("a"), F.col("part").alias("b")))
-            found = components(links, Scratch(spark, "minhash-parts")).select(F.col("node").alias("class"), F.col("root").alias("part"))
+            found = components(links, Scratch(spark, "minhash-parts")).select(
+                F.col("node").alias("class"), F.col("root").alias("part"))
             parts = scratch.store(found, f"parts-{turn}")
         turn += 1
 
-    live, buckets = _star_pairs(_parted(_postings(classes, distance), None), SEEDS[0])
-    live = scratch.store(live, "live-0")
+    posted = _parted(_postings(classes, distance), None)
+    live = scratch.store(posted.join(_buckets(posted), "key").drop("part"), "live")
     wanted = live.select("class").distinct().join(classes.select("class", "row_key"), "class")
     texts = scratch.store(_keyed(docs).select("row_key", "text").join(wanted, "row_key").dropDuplicates(["class"]).select(
         "class", "text"), "texts")
-    for star in range(STARS):
-        if star:
-            live = scratch.store(_star_pairs(_parted(live, parts), SEEDS[star])[0], f"live-{star}")
-            scratch.drop(f"live-{star - 1}")
-        reps = live.select("class", F.col("r1").alias("rep")).unionByName(live.select("class", F.col("r2").alias("rep")))
-        met = reps.filter("class != rep").groupBy("class", "rep").agg(F.count(F.lit(1)).alias("c"))
-        between = _apart(met.select(F.col("rep").alias("a"), F.col("class").alias("b"), "c"), parts)
-        # The star that a class meets in most buckets is its nearest, as far as buckets tell; ties go to the smaller one.
-        most = between.groupBy("b").agg(F.max("c").alias("c"))
-        best = between.join(most, ["b", "c"]).groupBy("b").agg(F.min("a").alias("a"))
-        linked(_near(best, classes, distance, percent))
-    last = _parted(live, parts)
-    several = last.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"),
-                                      F.count(F.lit(1)).alias("c")).filter("low != high").select("key", "c")
-    rest = scratch.store(last.join(several, "key"), "rest")
-    scratch.drop(f"live-{STARS - 1}")
-    few = rest.filter(F.col("c") <= SMALL).select("key", "class", "part")
-    met = few.select("key", F.col("class").alias("a"), F.col("part").alias("pa")).join(
-        few.select("key", F.col("class").alias("b"), F.col("part").alias("pb")), "key").filter("a < b and pa != pb")
-    found = _near(met.select("a", "b").distinct(), classes, distance, percent).unionByName(
-        _ordered(_cells(rest.filter(F.col("c") > SMALL).select("key", "class", "part"), classes, distance, percent), "d"))
-    open_ = scratch.store(found.distinct(), "open")
-    scratch.drop("rest")
-    apart = _apart(open_, parts)
-    sides = apart.select("a", "b", "d", F.least("pa", "pb").alias("p1"), F.greatest("pa", "pb").alias("p2"))
-    closest = sides.groupBy("p1", "p2").agg(F.min("d").alias("d"))
-    linked(sides.join(closest, ["p1", "p2", "d"]).groupBy("p1", "p2").agg(F.min(F.struct("a", "b")).alias("ab")).select("ab.*"))
-    linked(_apart(open_, parts).select("a", "b"))
-    scratch.drop("texts", "open")
+    reps = live.select("class", F.col("r1").alias("rep")).unionByName(live.select("class", F.col("r2").alias("rep")))
+    met = reps.filter("class != rep").groupBy("class", "rep").agg(F.count(F.lit(1)).alias("c"))
+    # The star that a class meets in most buckets is its nearest, as far as buckets tell.
+    best = met.groupBy("class").agg(F.max_by("rep", "c").alias("a")).select("a", F.col("class").alias("b"))
+    linked(_near(best, classes, percent))
+    known = _parted(live.select("key", "place", "class", "c"), parts)
+    rest = scratch.store(known.join(_buckets(known).select("key"), "key").drop("part"), "rest")
+    scratch.drop("live")
+    few, many = rest.filter(F.col("c") <= SMALL), rest.filter(F.col("c") > SMALL).select("key", "place", "class")
+    small = _parted(few.select("key", "class"), parts)
+    met = small.select("key", F.col("class").alias("a"), F.col("part").alias("pa")).join(
+        small.select("key", F.col("class").alias("b"), F.col("part").alias("pb")), "key").filter("a < b and pa != pb")
+    near = scratch.store(_near(met.select("a", "b").distinct(), classes, percent), "near")
+    for turn_left in range(NEAREST, -1, -1):
+        large = _parted(many, parts)
+        large = large.join(_buckets(large).select("key"), "key")
+        open_ = _apart(near, parts).select("a", "b", "d").unionByName(_cells(large, classes, distance, percent, turn_left > 0))
+        if turn_left:
+            ends = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+            open_ = ends.groupBy("a").agg(F.min_by("b", "d").alias("b"))
+        linked(open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    scratch.drop("texts", "rest", "near")
     rooted = classes.select("class", "lowest")
     rooted = rooted.withColumn("part", F.col("class")) if parts is None else rooted.join(parts, "class", "left").withColumn(
         "part", F.coalesce("part", "class"))

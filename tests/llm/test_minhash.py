@@ -46,18 +46,20 @@ def test_large_buckets_equal_brute_force(spark, monkeypatch):
     agreed(spark, rows)
 
 
-def test_without_stars_the_rest_is_whole(spark, monkeypatch):
-    """The join and the cells alone find every link too."""
+@pytest.mark.parametrize("small", [0, 16, 10**6])
+def test_the_rest_alone_is_whole(spark, monkeypatch, small):
+    """The join and the cells find every link without stars and nearest ones."""
     real = minhash.confirmed
     calls = []
 
-    def no_stars(pairs, texts, n, percent):
+    def last_only(pairs, texts, n, percent):
         calls.append(1)
-        return real(pairs.limit(0) if len(calls) <= minhash.STARS else pairs, texts, n, percent)
+        return real(pairs.limit(0) if len(calls) <= minhash.NEAREST + 1 else pairs, texts, n, percent)
 
-    monkeypatch.setattr(minhash, "confirmed", no_stars)
+    monkeypatch.setattr(minhash, "confirmed", last_only)
+    monkeypatch.setattr(minhash, "SMALL", small)
     agreed(spark, near_copies(14, 8, 30))
-    assert len(calls) == minhash.STARS + 2
+    assert len(calls) == minhash.NEAREST + 2
 
 
 def test_edge_rows(spark, edge_docs, no_docs):
@@ -89,21 +91,23 @@ def test_given_documents(spark, documents):
 def test_pairs_within_the_distance_share_a_key(distance):
     rng = np.random.default_rng(distance)
     for _ in range(60):
-        a = rng.integers(0, 1 << 16, minhash.POSITIONS).astype(np.uint16)
+        a = rng.integers(0, 1 << 16, minhash.INDEXED).astype(np.uint16)
         b = a.copy()
         # Errors dealt as evenly over the chunks as can be are the hardest to index.
         places = [p for step in range(64) for low, high in minhash.chunk_bounds(distance)
                   for p in range(low, high) if p - low == step]
         b[places[:distance] if rng.random() < 0.5 else rng.permutation(64)[:distance]] ^= 1
         keys = minhash.keys_of(np.stack([a, b]), distance)
-        assert set(keys[0]) & set(keys[1])
+        shared = np.flatnonzero(keys[0] == keys[1])
+        assert len(shared) and minhash.first_shared((a != b)[None], distance)[0] in shared
 
 
 def test_the_distance_loses_less_than_one_pair_in_a_million():
     for percent in (70, 80, 85, 90, 95):
-        miss, most = 1 - percent / 100, minhash.errors(percent)
-        lost = sum(math.comb(64, k) * miss**k * (1 - miss) ** (64 - k) for k in range(most + 1, 65))
-        assert lost < 1e-6, (percent, most, lost)
+        for n in (64, 256):
+            miss, most = 1 - percent / 100, minhash.errors(percent, n)
+            lost = sum(math.comb(n, k) * miss**k * (1 - miss) ** (n - k) for k in range(most + 1, n + 1))
+            assert lost < 1e-6, (percent, n, most, lost)
 
 
 def test_signatures_estimate_similarity_and_do_not_depend_on_blocks(monkeypatch):
@@ -113,8 +117,8 @@ def test_signatures_estimate_similarity_and_do_not_depend_on_blocks(monkeypatch)
     whole = minhash.signatures(sets)
     monkeypatch.setattr(minhash, "GRAMS_AT_ONCE", 700)
     assert (minhash.signatures(sets) == whole).all()
-    assert abs((whole[0] == whole[1]).mean() - 4000 / 6000) < 0.2
-    assert not (whole[0] == whole[2]).all()
+    apart = minhash._apart_by(whole[[0, 0]], whole[[1, 2]]) / minhash.POSITIONS
+    assert abs(apart[0] - 2000 / 6000) < 0.1 and apart[1] > 0.9
 
 
 def test_a_group_of_copies_costs_no_pairs(spark, monkeypatch):
