@@ -13,7 +13,7 @@ the very threshold. All pairs of signatures up to that distance in the indexed s
   Confirmed links join texts into parts; a bucket that lies in one part has nothing left to find, so a group of n
   copies costs about n comparisons and not n^2.
 * *Nearest.* In buckets that still hold several parts, signatures are compared in the tasks, all symbols of them; each text
-  names the nearest one of another part, which is confirmed, and parts grow together. This is done twice.
+  names the nearest one of another part, which is confirmed, and parts grow together.
 * *Rest.* What is still within the distance, in different parts, is confirmed pair by pair.
 
 Buckets of up to ``SMALL`` rows are compared as a join, larger ones cell against cell in bounded tasks, cells of one
@@ -42,12 +42,12 @@ from dayloom.llm.common import Scratch, map_arrow, map_columns, struct
 from dayloom.llm.ngrams import PRIMES, _mix, class_key, components, gram_set
 
 INDEXED = 64
-FURTHER = 192
+FURTHER = 448
 POSITIONS = INDEXED + FURTHER
 #: Share of pairs at the very threshold that signatures may miss.
 LOST = 1e-6
 GRAMS_AT_ONCE = 1 << 16
-NEAREST = 2
+NEAREST = 1
 SMALL = 16
 CELL = 512
 STRIP = 64
@@ -378,7 +378,7 @@ def near_copy_groups(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFram
     near = scratch.store(_near(met.select("a", "b").distinct(), classes, percent), "near")
     for turn_left in range(NEAREST, -1, -1):
         large = _parted(many, parts)
-        large = large.join(_buckets(large).select("key"), "key")
+        large = scratch.store(large.join(_buckets(large).select("key"), "key"), f"large-{turn}")
         open_ = _apart(near, parts).select("a", "b", "d").unionByName(_cells(large, classes, distance, percent, turn_left > 0))
         if turn_left:
             ends = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
