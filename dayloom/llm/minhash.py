@@ -49,7 +49,7 @@ LOST = 1e-6
 GRAMS_AT_ONCE = 1 << 16
 NEAREST = 1
 SMALL = 16
-CELL = 512
+CELL = 2048
 STRIP = 64
 FAN = 256
 _RNG = np.random.default_rng(13)
