@@ -342,6 +342,63 @@ def late_rows_once(spark, folder):
     return spark.read.parquet(target).where(F.col("ts") > F.lit(LOAD_MARK).cast("timestamp_ntz")).select("event_id", "ts")
 
 
+@query("late_loads_kept", """
+    SELECT '{"index":{"_index":"events", "_type":"_doc", "_id": "' || event_id || '"}}' AS action,
+           '{"event_type":"' || event_type || '"}' AS doc,
+           CASE WHEN event_id % 7 = 0 THEN 3 WHEN ts <= TIMESTAMP '2024-01-10 00:00:00' THEN 1 ELSE 2 END AS load
+    FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00'""")
+def late_loads_kept(spark, folder):
+    # Two loads, one of late rows only (the mark stays where it is), one of nothing: the lines of all stay.
+    state, bulk = scratch_path(spark, "mark"), scratch_path(spark, "bulk")
+    rows = table(spark, folder, "events").select(F.col("event_id").cast("string").alias("_id"), "event_id", "ts", "event_type")
+    rows = rows.where("ts <= timestamp_ntz'2024-01-20 00:00:00'")
+    in_time = rows.where("event_id % 7 != 0")
+
+    def write(fresh, load):
+        sinks.write_bulk(fresh.select("_id", "event_type"), bulk, "_id", "events", load=load)
+
+    for part in (in_time.where("ts <= timestamp_ntz'2024-01-10 00:00:00'"), in_time, rows, rows.limit(0)):
+        loaded = sinks.bulk_ids(spark, bulk, marks.finished(spark, state))
+        marks.incremental_load(part, "ts", state, write, allowed_lateness="30 days", loaded=loaded, keys=["_id"])
+    number = F.substring("load", 2, 9).cast("int").alias("load")
+    return read_bulk(spark, bulk).where("lines = 2").select("action", "doc", number)
+
+
+@query("load_routes", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'corrupt' WHEN o_orderkey % 5 = 0 THEN 'undated'
+           WHEN o_orderdate > DATE '1995-06-30' THEN 'accepted' ELSE 'late' END AS route,
+           count(*) OVER (PARTITION BY CASE WHEN o_orderkey % 7 = 0 THEN 'corrupt' WHEN o_orderkey % 5 = 0 THEN 'undated'
+           WHEN o_orderdate > DATE '1995-06-30' THEN 'accepted' ELSE 'late' END) AS counted FROM orders""")
+def load_routes(spark, folder):
+    # Payloads of one element each: records, dateless ones, and elements that are no record, in one pass.
+    key = F.col("o_orderkey")
+    date = F.when(key % 5 == 0, F.lit("some day")).otherwise(F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit("T00:00:00Z")))
+    payload = F.when(key % 7 == 0, F.when(key % 2 == 0, F.lit("[3]")).otherwise(F.lit('[{"Date":'))).otherwise(
+        F.to_json(F.array(F.struct(date.alias("Date")))))
+    landed = table(spark, folder, "orders").select("o_orderkey", payload.alias("payload"))
+    parsed = documents.parse_json_array(landed, "payload", "Date string", ["o_orderkey"])
+    parsed = parsed.withColumn("DateReal", dates.parse_timestamp(F.col("Date"), dates.API_PATTERN))
+    state, target = scratch_path(spark, "mark"), scratch_path(spark, "routes")
+    found = marks.routed_load(parsed, "DateReal", state, target, default=dt.datetime(1995, 6, 30), corrupt="_corrupt")
+    counted = spark.createDataFrame([(r, found[r]) for r in ("accepted", "late", "undated", "corrupt")], "route string, counted bigint")
+    return marks.routed(spark, state, target).join(counted, "route").select("o_orderkey", "route", "counted")
+
+
+@query("json_element_rejects", """
+    SELECT o_orderkey, CASE o_orderkey % 8 WHEN 1 THEN '3' WHEN 2 THEN 'null' WHEN 3 THEN '{"Country":"A"}'
+           WHEN 4 THEN '[{"Country":"A"}] more' WHEN 5 THEN '[{"Country":"A"},{"Cou' END AS rejected,
+           CASE WHEN o_orderkey % 8 = 6 THEN 'A' END AS country FROM orders WHERE o_orderkey % 8 <> 0""")
+def json_element_rejects(spark, folder):
+    # Every element is a record or a reject, in one parse: [{..}], [3], [null], a lone object, text after the array, a cut one.
+    key = F.col("o_orderkey") % 8
+    payload = F.when(key == 0, F.lit(" ")).when(key == 1, F.lit('[3]')).when(key == 2, F.lit("[null]")).when(
+        key == 3, F.lit('{"Country":"A"}')).when(key == 4, F.lit('[{"Country":"A"}] more')).when(
+        key == 5, F.lit('[{"Country":"A"},{"Cou')).when(key == 6, F.lit('[{"Country":"A"}]')).otherwise(F.lit('[{"Other":1}]'))
+    rows = table(spark, folder, "orders").select("o_orderkey", payload.alias("payload"))
+    parsed = documents.parse_json_array(rows, "payload", "Country string", ["o_orderkey"])
+    return parsed.select("o_orderkey", F.col("_corrupt").alias("rejected"), F.col("Country").alias("country"))
+
+
 # --- whole loads ------------------------------------------------------------------------------
 
 
@@ -394,7 +451,7 @@ def ingest_twice(spark, folder):
         pipelines.ingest(spark, f"{landed}/{part}", state, bulk, "panel", default=dt.datetime(1990, 1, 1))
     records = read_bulk(spark, bulk).where("lines = 2")
     field = {n: F.get_json_object("doc", f"$.{n}").alias(n) for n in ("Country", "Province", "Confirmed", "Date")}
-    first = F.col("load") == marks.load_name(dt.datetime(1990, 1, 1))
+    first = F.col("load") == marks.load_name(1)
     return records.select("action", *field.values(), F.when(first, 1).otherwise(2).alias("load"))
 
 

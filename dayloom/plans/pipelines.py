@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.ml import Model
 from pyspark.ml.tuning import CrossValidatorModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dayloom.functions import dates
@@ -44,20 +44,23 @@ def ingest(
 ) -> dict:
     """Landed JSON payloads past the mark to bulk-load files, then advance the mark.
 
-    Every load writes a sub-folder of its own; one that finds nothing fresh leaves none. The result also
-    counts the payload files that hold no JSON array (``corrupt``).
+    Every load writes a sub-folder of its own, named by its number in the journal at ``mark_path``; one that finds nothing
+    fresh leaves none. ``allowed_lateness`` looks back behind the mark for records whose ids no finished load has
+    written. The result also counts what is no record (``corrupt``), in the pass that writes.
     """
-    mapped = map_records(documents.read_json_array_files(spark, landed))
+    parsed = documents.parse_json_array_files(spark, landed)
+    seen = Observation()
+    parsed = parsed.observe(seen, F.count("_corrupt").alias("corrupt")).where("_corrupt is null")
+    loaded = sinks.bulk_ids(spark, bulk_path, marks.finished(spark, mark_path)) if allowed_lateness else None
     counts = marks.incremental_load(
-        mapped, "DateReal", mark_path,
+        map_records(parsed), "DateReal", mark_path,
         lambda fresh, load: sinks.write_bulk(fresh.drop("DateReal"), bulk_path, "_id", index,
                                              records_per_file=records_per_file, load=load),
-        default, allowed_lateness,
+        default, allowed_lateness, loaded, ["_id"], inputs=landed,
     )
     if not counts["accepted"]:
-        delete_path(spark, f"{bulk_path}/load={marks.load_name(counts['mark'])}")
-    rejected = documents.json_array_rejects(documents.read_payload_files(spark, landed), "payload")
-    return {**counts, "corrupt": rejected.count()}
+        delete_path(spark, f"{bulk_path}/load={counts['load']}")
+    return {**counts, "corrupt": seen.get["corrupt"]}
 
 
 def build_panel(stored: DataFrame, as_text_date: str | None = dates.DOCUMENT_PATTERN, fill: float | None = None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dayloom import streaming
 from dayloom.plans.catalogue import query
 from dayloom.plans.views import cents, table, with_views
-from dayloom.session import scratch_path
+from dayloom.session import delete_path, list_folder, scratch_path
 
 
 def _measures():
@@ -34,6 +34,24 @@ def stream_daily_rollup(spark, folder):
     return streaming.rollup_table(spark, path, ["event_type"])
 
 
+def _restarted(spark, checkpoint):
+    """The checkpoint as after a failure before the last commit: a restart repeats the last batch."""
+    commits = [int(n) for n in list_folder(spark, f"{checkpoint}/commits") if n.isdigit()]
+    delete_path(spark, f"{checkpoint}/commits/{max(commits)}")
+
+
+@query("stream_rollup_replayed", with_views("events_daily", "SELECT * FROM events_daily"))
+def stream_rollup_replayed(spark, folder):
+    # Compacted, then the last batch comes again: nothing is lost or doubled.
+    path, checkpoint = scratch_path(spark, "rollup"), scratch_path(spark, "rollup-checkpoint")
+    rolled = streaming.daily_rollup(_events(spark, folder), "ts", ["event_type"], _measures())
+    _finish(streaming.start_rollup(rolled, path, checkpoint))
+    streaming.compact(spark, path, ["Date", "event_type"])
+    _restarted(spark, checkpoint)
+    _finish(streaming.start_rollup(rolled, path, checkpoint))
+    return streaming.rollup_table(spark, path, ["event_type"])
+
+
 @query("stream_incremental", """
     SELECT event_id, ts, event_type, value FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00'""")
 def stream_incremental(spark, folder):
@@ -45,10 +63,13 @@ def stream_incremental(spark, folder):
     return spark.read.parquet(path).select("event_id", "ts", "event_type", "value")
 
 
-@query("stream_upsert", """
+_LATEST = """
     SELECT user_id, event_type, event_id, value FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)
-    WHERE r = 1""")
+    WHERE r = 1"""
+
+
+@query("stream_upsert", _LATEST)
 def stream_upsert(spark, folder):
     path, checkpoint = scratch_path(spark, "upsert"), scratch_path(spark, "upsert-checkpoint")
     # Land the events as several files, two to a micro-batch, so that keys recur over batches.
@@ -60,3 +81,22 @@ def stream_upsert(spark, folder):
     _finish(streaming.start_upsert(stream, keys, version, path, checkpoint))
     streaming.compact(spark, path, keys, version)
     return streaming.read_upserted(spark, path, keys, version).select(*keys, "event_id", "value")
+
+
+@query("stream_upsert_replayed", _LATEST)
+def stream_upsert_replayed(spark, folder):
+    # Four files in four batches: two, a compaction, the second batch again, the others, another compaction, the last again.
+    path, checkpoint = scratch_path(spark, "upsert"), scratch_path(spark, "upsert-checkpoint")
+    landed = scratch_path(spark, "upsert-landed")
+    events = table(spark, folder, "events")
+    keys, version = ["user_id", "event_type"], ["ts", "event_id"]
+    for half in (0, 1):
+        part = events.where(F.col("event_id") % 2 == half).repartition(2, "event_id")
+        part.write.mode("append").parquet(landed)
+        for repeated in (False, True):
+            if repeated:
+                streaming.compact(spark, path, keys, version)
+                _restarted(spark, checkpoint)
+            stream = streaming.file_stream(spark, landed, events.schema, files_per_batch=1)
+            _finish(streaming.start_upsert(stream, keys, version, path, checkpoint))
+    return streaming.read_upserted(spark, path, keys, version).select(*keys, "event_id", "value")

@@ -50,3 +50,8 @@ WORLD_FORECAST = (
 )
 
 HIGH_WATER_MARK = "mark timestamp_ntz"
+
+#: One row per mark, start or end of a load; ``mark`` is set where the row moves it.
+LOAD_JOURNAL = (
+    "mark timestamp_ntz, load bigint, state string, begins timestamp_ntz, accepted bigint, rejected bigint, inputs string"
+)

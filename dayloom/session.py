@@ -74,6 +74,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none where it is absent."""
+    system, target = _file_system(spark, path)
+    return [entry.getPath().getName() for entry in system.listStatus(target)] if system.exists(target) else []
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder if it is there."""
     system, target = _file_system(spark, path)

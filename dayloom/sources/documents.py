@@ -37,25 +37,45 @@ def _as_array(column: Column) -> Column:
     )
 
 
-def explode_json_array(
+def parse_json_array(
     df: DataFrame, payload: str, schema: T.StructType | str = API_RECORD, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per element of the JSON array in ``payload``, one column per field.
+    """One row per element of the JSON array in ``payload``: ``keep``, one column per field, and ``_corrupt``.
+
+    ``_corrupt`` is null for a record. An element that is no object (null, a number, a text, an array) is a row of
+    its own with its text there and no fields; so is a payload that holds text but no whole JSON array (cut off, a lone
+    object, text after the closing bracket). Null and blank payloads give no row.
 
-    Fields are read as text and then cast, so numbers may arrive quoted; an
-    absent field, an empty text and text of the wrong type give null.
+    Fields are read as text and then cast, so numbers may arrive quoted; an absent field, an empty text and text
+    of the wrong type give null.
     """
     fields = _struct(schema)
-    elements = F.from_json(F.col(payload), T.ArrayType(_as_text(fields)))
-    rows = df.select(*keep, F.explode(elements).alias("_record"))
-    return rows.select(*keep, *[_typed(F.col("_record")[f.name], f.dataType).alias(f.name) for f in fields])
+    text = F.regexp_replace(F.col(payload), r"^\s+|\s+$", "")
+    listed = F.from_json(text, "array<string>")
+    whole = text.startswith("[") & text.endswith("]") & listed.isNotNull()
+    each = "array<struct<element:string,corrupt:string>>"
+    elements = F.when(whole, F.transform(listed, lambda e: F.struct(
+        F.when(e.startswith("{"), e).alias("element"),
+        F.when(e.isNull(), F.lit("null")).when(~e.startswith("{"), e).alias("corrupt"))).cast(each))
+    elements = elements.when(text != "", F.array(F.struct(
+        F.lit(None).cast("string").alias("element"), F.col(payload).alias("corrupt"))).cast(each))
+    rows = df.select(*keep, F.explode(elements).alias("_e"))
+    record = F.from_json(F.col("_e.element"), _as_text(fields))
+    rows = rows.select(*keep, record.alias("_record"), F.col("_e.corrupt").alias("_corrupt"))
+    typed = [_typed(F.col("_record")[f.name], f.dataType).alias(f.name) for f in fields]
+    return rows.select(*keep, *typed, "_corrupt")
+
+
+def explode_json_array(
+    df: DataFrame, payload: str, schema: T.StructType | str = API_RECORD, keep: Sequence[str] = ()
+) -> DataFrame:
+    """The records of ``parse_json_array``, without the rejects."""
+    return parse_json_array(df, payload, schema, keep).where("_corrupt is null").drop("_corrupt")
 
 
 def json_array_rejects(df: DataFrame, payload: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Payloads that hold text but no JSON array of records, which ``explode_json_array`` cannot give rows for."""
-    parsed = F.from_json(F.col(payload), "array<map<string,string>>", {"mode": "PERMISSIVE"})
-    filled = F.trim(F.col(payload)) != ""
-    return df.where(filled & parsed.isNull()).select(*keep, F.col(payload).alias("_corrupt"))
+    """The rejects of ``parse_json_array``: ``keep`` and the text that is no record."""
+    return parse_json_array(df, payload, "_none string", keep).where("_corrupt is not null").drop("_none")
 
 
 def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
@@ -64,15 +84,14 @@ def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
 
 
-def read_json_array_files(spark: SparkSession, path: str, schema: T.StructType | str = API_RECORD) -> DataFrame:
-    """Landed payload files, each one JSON array, as typed rows.
+def parse_json_array_files(spark: SparkSession, path: str, schema: T.StructType | str = API_RECORD) -> DataFrame:
+    """``parse_json_array`` of landed files: ``file``, the fields and ``_corrupt``. A file is one task's work, 2 GB at most."""
+    return parse_json_array(read_payload_files(spark, path), "payload", schema, ["file"])
 
-    Files that hold no JSON array have no rows; ``json_array_rejects`` of ``read_payload_files`` lists them.
-    """
-    fields = _struct(schema)
-    raw = spark.read.option("multiLine", True).schema(_as_text(fields)).json(path)
-    filled = F.coalesce(*[F.col(f"`{f.name}`") for f in fields]).isNotNull()
-    return raw.where(filled).select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in fields])
+
+def read_json_array_files(spark: SparkSession, path: str, schema: T.StructType | str = API_RECORD) -> DataFrame:
+    """Landed payload files, each one JSON array, as typed rows; the rejects are left out."""
+    return parse_json_array_files(spark, path, schema).where("_corrupt is null").drop("file", "_corrupt")
 
 
 def extract_fields(df: DataFrame, payload: str, schema: T.StructType | str, keep: Sequence[str] = ()) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayloom.functions.dates import format_document_date
 from dayloom.operators.columns import latest_per_key
 from dayloom.operators.sequence import number_rows
+from dayloom.session import path_exists
 
 PUSH_FILL = -1.0
 
@@ -54,6 +55,15 @@ def write_bulk(df: DataFrame, path: str, record_id: str, index: str, type_name:
     lines.write.mode("overwrite").option("maxRecordsPerFile", records_per_file).text(target)
 
 
+def bulk_ids(spark: SparkSession, path: str, loads: Sequence[str], record_id: str = "_id") -> DataFrame:
+    """Ids of the records in the bulk files of some loads, read from their action lines."""
+    there = [p for p in (f"{path}/load={n}" for n in loads) if path_exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], f"{record_id} string")
+    found = F.regexp_extract("value", r'^\{"index":\{"_index":".*", "_type":".*", "_id": "(.*)"\}\}$', 1)
+    return spark.read.text(there).select(found.alias(record_id)).where(F.col(record_id) != "")
+
+
 def nest_json(df: DataFrame, record_id: str, columns: Sequence[str], order: Sequence[str] | None = None,
               root: str = "data", max_rows: int = 10_000, unique_order: bool = False) -> DataFrame:
     """One JSON document per id: an object for one row, an array for several.

@@ -4,7 +4,9 @@ from dayloom.streaming.jobs import (
     compact,
     daily_rollup,
     file_stream,
+    read_store,
     read_upserted,
+    remove_folded,
     rollup_table,
     start_incremental,
     start_rollup,
@@ -15,7 +17,9 @@ __all__ = [
     "compact",
     "daily_rollup",
     "file_stream",
+    "read_store",
     "read_upserted",
+    "remove_folded",
     "rollup_table",
     "start_incremental",
     "start_rollup",

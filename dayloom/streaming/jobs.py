@@ -1,8 +1,10 @@
 """Continuous jobs over a folder of arriving files (or any streaming source).
 
-Sinks are parquet folders with one sub-folder per micro-batch, overwritten when a
-batch is repeated after a failure. Readers take the newest row per key, so no
-batch rewrites what earlier ones stored.
+A store is a folder of one sub-folder per micro-batch, overwritten when a batch is repeated after a
+failure, and of bases: ``compact`` folds a base and the batches up to some number into a new base,
+which counts once its marker is there. Readers take the newest marked base and only the batches
+after it, and of those the newest row per key. A batch that is repeated after it went into a base
+writes its folder again and changes nothing.
 """
 
 from __future__ import annotations
@@ -17,10 +19,13 @@ from pyspark.sql.types import StructType
 
 from dayloom.functions.dates import from_utc_clock, utc_day
 from dayloom.operators.columns import latest_per_key
-from dayloom.session import delete_path
+from dayloom.session import delete_path, list_folder, path_exists
 from dayloom.sources.marks import newer_than
 
 _BATCH = "_batch"
+_BASE = "_base"
+#: Written by the committer after the last file of a write.
+_MARKER = "_SUCCESS"
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, format: str = "parquet",
@@ -67,7 +72,7 @@ def start_rollup(rolled: DataFrame, path: str, checkpoint: str, **trigger) -> St
 
 def rollup_table(spark: SparkSession, path: str, keys: Sequence[str], date: str = "Date") -> DataFrame:
     """The roll-up as of the last batch: the newest update of each key and day."""
-    stored = spark.read.parquet(path)
+    stored = read_store(spark, path)
     return latest_per_key(stored, [date, *keys], [_BATCH], [c for c in stored.columns if c != _BATCH])
 
 
@@ -104,27 +109,68 @@ def start_upsert(stream: DataFrame, keys: Sequence[str], version: Sequence[str],
 
 def read_upserted(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
     """One row per key over all batches: the greatest version, the later batch on a tie."""
-    stored = spark.read.parquet(path)
+    stored = read_store(spark, path)
     columns = [c for c in stored.columns if c != _BATCH]
     return latest_per_key(stored, keys, [*version, _BATCH], columns).select(*columns)
 
 
-def compact(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str] = ()) -> None:
-    """Fold the batches stored so far into one of them, so that readers do not read every batch ever written.
+# --- stores -------------------------------------------------------------------------------------
 
-    The newest row per key is written beside the batches and takes the place of the last one; a
-    failure before the switch leaves the batches as they were, one after it leaves older rows that lose to the
-    newer ones. Run it between batches.
+
+def _numbers(spark: SparkSession, path: str, kind: str, marked: bool = False) -> list[int]:
+    """Numbers of the sub-folders of a kind, rising; with ``marked`` of the whole ones only."""
+    found = [int(name.partition("=")[2]) for name in list_folder(spark, path)
+             if name.startswith(f"{kind}=") and name.partition("=")[2].isdigit()]
+    return sorted(n for n in found if not marked or path_exists(spark, f"{path}/{kind}={n}/{_MARKER}"))
+
+
+def _parts(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """The newest whole base, named by the last batch in it, and the batches after it."""
+    bases = _numbers(spark, path, _BASE, marked=True)
+    base = bases[-1] if bases else None
+    return base, [n for n in _numbers(spark, path, _BATCH) if base is None or n > base]
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """What a store holds by now, with ``_batch``: rows of a base have the number of the last batch in it."""
+    base, batches = _parts(spark, path)
+    if base is None and not batches:
+        raise FileNotFoundError(f"nothing is stored in {path}")
+    rows = None
+    if batches:
+        rows = spark.read.option("basePath", path).parquet(*[f"{path}/{_BATCH}={n}" for n in batches])
+        rows = rows.withColumn(_BATCH, F.col(_BATCH).cast("bigint"))
+    if base is not None:
+        folded = spark.read.parquet(f"{path}/{_BASE}={base}").withColumn(_BATCH, F.lit(base).cast("bigint"))
+        rows = folded if rows is None else folded.unionByName(rows)
+    return rows
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str] = (), upto: int | None = None) -> None:
+    """Fold the newest base and the batches after it (up to number ``upto``) into a new base, then delete what it replaces.
+
+    The newest row per key is written beside all else. Until its marker stands readers see the old base
+    and its batches, from then on the new base, so a failure at any point loses and doubles nothing; what
+    it leaves over is deleted by the next run. Batches that arrive or are repeated meanwhile stay or are ignored.
+    Run one compaction of a store at a time. The newest batch folded may be one that the stream repeats after a restart:
+    it is in the base already, and its folder no longer counts.
     """
-    stored = spark.read.parquet(path)
-    last = stored.agg(F.max(_BATCH)).first()[0]
-    names = [c for c in stored.columns if c != _BATCH]
-    folded = latest_per_key(stored, keys, [*version, _BATCH], names).select(*names)
-    aside = f"{path}/_compacting"
-    folded.write.mode("overwrite").parquet(aside)
-    batches = [r[0] for r in stored.select(_BATCH).distinct().collect()]
-    spark.read.schema(folded.schema).parquet(aside).write.mode("overwrite").parquet(f"{path}/{_BATCH}={last}")
-    for batch in batches:
-        if batch != last:
-            delete_path(spark, f"{path}/{_BATCH}={batch}")
-    delete_path(spark, aside)
+    base, batches = _parts(spark, path)
+    batches = [n for n in batches if upto is None or n <= upto]
+    if batches:
+        stored = read_store(spark, path).where(F.col(_BATCH) <= batches[-1])
+        names = [c for c in stored.columns if c != _BATCH]
+        folded = latest_per_key(stored, keys, [*version, _BATCH], names).select(*names)
+        folded.write.mode("overwrite").parquet(f"{path}/{_BASE}={batches[-1]}")
+    remove_folded(spark, path)
+
+
+def remove_folded(spark: SparkSession, path: str) -> None:
+    """Delete batches and bases that the newest whole base replaces, and bases that were never whole."""
+    base, _ = _parts(spark, path)
+    for n in _numbers(spark, path, _BATCH):
+        if base is not None and n <= base:
+            delete_path(spark, f"{path}/{_BATCH}={n}")
+    for n in _numbers(spark, path, _BASE):
+        if n != base:
+            delete_path(spark, f"{path}/{_BASE}={n}")

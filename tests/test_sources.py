@@ -131,8 +131,10 @@ def test_incremental_load_advances_only_past_the_mark(spark, tmp_path):
     state, out = f"{tmp_path}/mark", f"{tmp_path}/out"
     marks.write_mark(spark, state, at(3))
     load = dict(ts="ts", mark_path=state, write=lambda fresh, load: fresh.write.mode("append").parquet(out))
-    assert marks.incremental_load(df, **load) == {"accepted": 2, "rejected": 3, "mark": at(3), "new_mark": at(5)}
-    assert marks.incremental_load(df, **load) == {"accepted": 0, "rejected": 5, "mark": at(5), "new_mark": at(5)}
+    assert marks.incremental_load(df, **load) == {
+        "load": "n000000001", "accepted": 2, "rejected": 3, "mark": at(3), "new_mark": at(5)}
+    assert marks.incremental_load(df, **load) == {
+        "load": "n000000002", "accepted": 0, "rejected": 5, "mark": at(5), "new_mark": at(5)}
     assert sorted(r["i"] for r in spark.read.parquet(out).collect()) == [4, 5]
     assert marks.read_mark(spark, f"{tmp_path}/none") == marks.DEFAULT_MARK
     assert marks.newer_than(df, "ts", at(5), "2 days").count() == 2
@@ -159,3 +161,81 @@ def test_parse_counts(spark):
     df = spark.createDataFrame([("22-01-2020 03:04:05",), ("2020",), (None,)], "d string")
     got = [r[0] for r in df.select(dates.parse_timestamp(F.col("d"), dates.DOCUMENT_PATTERN)).collect()]
     assert got == [dt.datetime(2020, 1, 22, 3, 4, 5), None, None]
+
+
+def stamped(spark, *days):
+    return spark.createDataFrame([(d, dt.datetime(2020, 1, d)) for d in days], "id int, ts timestamp_ntz")
+
+
+def test_a_failed_load_is_repeated_in_its_place(spark, tmp_path):
+    state, target = f"{tmp_path}/mark", f"{tmp_path}/out"
+
+    def write(fresh, load):
+        fresh.write.mode("overwrite").parquet(f"{target}/load={load}")
+
+    def broken(fresh, load):
+        write(fresh, load)
+        raise OSError("no space left")
+
+    marks.incremental_load(stamped(spark, 1, 2), "ts", state, write)
+    with pytest.raises(OSError):
+        marks.incremental_load(stamped(spark, 1, 2, 3), "ts", state, broken)
+    assert marks.finished(spark, state) == ["n000000001"]
+    # More has landed since; the repetition takes it all, from the mark of the load that failed.
+    counts = marks.incremental_load(stamped(spark, 1, 2, 3, 4), "ts", state, write)
+    assert counts["load"] == "n000000002" and counts["accepted"] == 2
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [1, 2, 3, 4]
+    assert marks.finished(spark, state) == ["n000000001", "n000000002"]
+    assert marks.incremental_load(stamped(spark, 4), "ts", state, write)["load"] == "n000000003"
+
+
+def test_late_loads_have_places_of_their_own(spark, tmp_path):
+    """The mark stands still for two loads: neither takes the other's place."""
+    state, target = f"{tmp_path}/mark", f"{tmp_path}/out"
+
+    def write(fresh, load):
+        fresh.write.mode("overwrite").parquet(f"{target}/load={load}")
+
+    seen = []
+    for part in ((9,), (9, 10), (8, 9, 10), ()):
+        loaded = spark.read.schema("id int, ts timestamp_ntz").parquet(target) if seen else None
+        marks.incremental_load(stamped(spark, *part) if part else stamped(spark, 1).limit(0), "ts", state, write,
+                               allowed_lateness="30 days", loaded=loaded, keys=["id"])
+        seen.append(spark.read.schema("id int").parquet(target).count())
+    assert seen == [1, 2, 3, 3]
+
+
+def test_routes_of_a_load(spark, tmp_path):
+    at = dt.datetime
+    rows = [(1, at(2020, 1, 5), None), (2, at(2020, 1, 1), None), (3, None, None), (4, None, "[3]"), (5, at(2020, 1, 9), "x")]
+    df = spark.createDataFrame(rows, "id int, ts timestamp_ntz, bad string")
+    state, target = f"{tmp_path}/mark", f"{tmp_path}/out"
+    got = marks.routed_load(df, "ts", state, target, default=at(2020, 1, 2), corrupt="bad")
+    assert got == {"load": "n000000001", "mark": at(2020, 1, 2), "new_mark": at(2020, 1, 5), "accepted": 1, "late": 1,
+                   "undated": 1, "corrupt": 2}
+    assert {(r["id"], r["route"]) for r in marks.routed(spark, state, target).collect()} == {
+        (1, "accepted"), (2, "late"), (3, "undated"), (4, "corrupt"), (5, "corrupt")}
+    assert [r["id"] for r in marks.routed(spark, state, target, "late").collect()] == [2]
+    again = marks.routed_load(df.limit(0), "ts", state, target, corrupt="bad")
+    assert again["accepted"] == 0 and again["new_mark"] == at(2020, 1, 5)
+    assert marks.routed(spark, state, target).count() == 5
+    assert marks.routed(spark, f"{tmp_path}/none", target) is None
+
+
+PAYLOADS = ['[{"Country":"A"},3]', '{"Country":"A"}', "[null]", '[{"Other":1}]', '[{"Country":"A"}] more', '[{"Country":"A"},{"Cou',
+            "  ", '\n[ {"Country":"B"} , {"Country":"C"} ]\n']
+
+
+def test_column_and_file_form_agree(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, text in enumerate(PAYLOADS):
+        (tmp_path / "in" / f"{i}.json").write_text(text)
+    rows = spark.createDataFrame(list(enumerate(PAYLOADS)), "i int, payload string")
+    columns = lambda df: sorted(((r["Country"], r["_corrupt"]) for r in df.collect()), key=str)
+    by_column = columns(documents.parse_json_array(rows, "payload", "Country string"))
+    by_file = columns(documents.parse_json_array_files(spark, f"{tmp_path}/in", "Country string"))
+    assert by_column == by_file == sorted([
+        ("A", None), (None, "3"), (None, PAYLOADS[1]), (None, "null"), (None, None), (None, PAYLOADS[4]), (None, PAYLOADS[5]),
+        ("B", None), ("C", None)], key=str)
+    assert documents.read_json_array_files(spark, f"{tmp_path}/in", "Country string").count() == 4
+    assert documents.json_array_rejects(rows, "payload", ["i"]).count() == 5

@@ -85,5 +85,73 @@ def test_compaction_keeps_the_result_and_one_batch(spark, records, tmp_path):
         before = sorted(map(tuple, streaming.read_upserted(spark, f"{tmp_path}/out", ["k"], ["ts", "id"]).collect()))
         streaming.compact(spark, f"{tmp_path}/out", ["k"], ["ts", "id"])
         after = sorted(map(tuple, streaming.read_upserted(spark, f"{tmp_path}/out", ["k"], ["ts", "id"]).collect()))
-        assert before == after and len(list((tmp_path / "out").glob("_batch=*"))) == 1
+        assert before == after and not list((tmp_path / "out").glob("_batch=*"))
+        assert len(list((tmp_path / "out").glob("_base=*"))) == 1
         land(spark, records[:50], f"{tmp_path}/in")
+
+
+def stored(spark, path):
+    return sorted(map(tuple, streaming.read_upserted(spark, path, ["k"], ["ts", "id"]).collect()))
+
+
+def test_a_batch_repeated_after_compaction_loses_nothing(spark, records, tmp_path):
+    for i in range(3):
+        land(spark, records[i::3], f"{tmp_path}/in")
+    path, checkpoint = f"{tmp_path}/out", tmp_path / "cp"
+    run = lambda: streaming.start_upsert(
+        streaming.file_stream(spark, f"{tmp_path}/in", SCHEMA, files_per_batch=1), ["id"], ["ts"], path, str(checkpoint)
+    ).awaitTermination()
+    run()
+    streaming.compact(spark, path, ["id"], ["ts"])
+    last = max(int(p.name) for p in (checkpoint / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (checkpoint / "commits" / name).unlink()
+    run()
+    assert (tmp_path / "out" / f"_batch={last}").exists()
+    assert streaming.read_upserted(spark, path, ["id"], ["ts"]).count() == len(records)
+    land(spark, [(1000, "z", dt.datetime(2021, 1, 1), 1)], f"{tmp_path}/in")
+    run()
+    assert streaming.read_upserted(spark, path, ["id"], ["ts"]).count() == len(records) + 1
+    streaming.compact(spark, path, ["id"], ["ts"])
+    assert streaming.read_upserted(spark, path, ["id"], ["ts"]).count() == len(records) + 1
+
+
+@pytest.mark.parametrize("stop", ["write", "marker", "delete"])
+def test_compaction_stopped_between_steps(spark, records, tmp_path, monkeypatch, stop):
+    """Stopped before the base is whole, before its marker, or before the old batches go: the same rows, and the next run mends."""
+    path = f"{tmp_path}/out"
+    for i in range(3):
+        spark.createDataFrame(records[i::3], SCHEMA).write.parquet(f"{path}/_batch={i}")
+    whole = stored(spark, path)
+    if stop == "delete":
+        monkeypatch.setattr(streaming.jobs, "remove_folded", lambda *a: None)
+        streaming.compact(spark, path, ["k"], ["ts", "id"])
+        monkeypatch.undo()
+        assert len(list((tmp_path / "out").glob("_batch=*"))) == 3
+    else:
+        half = spark.createDataFrame(records[:5], SCHEMA)
+        half.write.parquet(f"{path}/_base=2")
+        (tmp_path / "out" / "_base=2" / "_SUCCESS").unlink()
+        if stop == "write":
+            for f in (tmp_path / "out" / "_base=2").glob("*.parquet"):
+                f.unlink()
+    assert stored(spark, path) == whole
+    spark.createDataFrame([(999, "a", dt.datetime(2022, 1, 1), 1)], SCHEMA).write.parquet(f"{path}/_batch=3")
+    newest = stored(spark, path)
+    assert newest != whole
+    streaming.compact(spark, path, ["k"], ["ts", "id"])
+    assert stored(spark, path) == newest
+    assert [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_ba")] == ["_base=3"]
+
+
+def test_compaction_up_to_a_batch_and_an_empty_store(spark, records, tmp_path):
+    path = f"{tmp_path}/out"
+    with pytest.raises(FileNotFoundError):
+        streaming.read_store(spark, path)
+    streaming.compact(spark, path, ["k"])
+    for i in range(4):
+        spark.createDataFrame(records[i::4], SCHEMA).write.parquet(f"{path}/_batch={i}")
+    whole = stored(spark, path)
+    streaming.compact(spark, path, ["k"], ["ts", "id"], upto=1)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["_base=1", "_batch=2", "_batch=3"]
+    assert stored(spark, path) == whole
