@@ -11,15 +11,19 @@ verified by an alignment confined to the band.
 The items are the stated query set. They are read in blocks of ``items_per_block``, each
 held against every text, so the set may grow without growing what a task holds.
 
-An item whose bound is not positive gets a smaller edit budget, down to none; one shorter
-than q is looked up as it is. Nulls, empty texts and items without letters or digits match
-nothing. Rows that repeat are searched one by one; repeated items are all reported. Each
-(text, item) gives its best region for every band group, least edits first, leftmost on ties.
+The bound holds from one shared q-gram on; only an item whose bound is not positive (shorter than q * (e + 1) letters
+and digits) gets a smaller edit budget, down to none. An item shorter than q is too little to be searched inside
+of words: it matches where its words stand whole and in order in the source, with anything but letters and digits
+between them, at every such place; ``matches`` reports that, but it is no ground to drop a document
+(``drop_contaminated`` leaves short items out), since a word or two of an item stand in harmless texts too.
+Nulls, empty texts and items without letters or digits match nothing. Rows that repeat are searched one by one;
+repeated items are all reported. Each (text, item) gives its best region for every band group, least edits first,
+leftmost on ties.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -69,6 +73,7 @@ class Item:
     codes: np.ndarray
     edits: int
     least: int
+    words: tuple[bytes, ...] = ()
 
 
 @dataclass
@@ -82,6 +87,35 @@ class Index:
     filter: np.ndarray
 
 
+def _words(text: str) -> tuple[bytes, ...]:
+    """Runs of letters and digits, lower-cased."""
+    codes = _codes(text)
+    return tuple(codes[low:high].tobytes() for low, high in _runs(codes > 0))
+
+
+def _runs(there: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of true values start and end."""
+    edge = np.diff(np.concatenate([[False], there, [False]]).astype(np.int8))
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
+
+
+def _short_places(items: list[Item], text: str) -> list[tuple[int, int, int]]:
+    """(item key, start, end) of every place where the words of a short item stand whole and in order."""
+    codes = _codes(text)
+    runs = _runs(codes > 0)
+    words = [codes[low:high].tobytes() if high - low < Q else b"" for low, high in runs]
+    first: dict[bytes, list[Item]] = {}
+    for item in items:
+        first.setdefault(item.words[0], []).append(item)
+    out = []
+    for i, word in enumerate(words):
+        for item in first.get(word, ()):
+            n = len(item.words)
+            if tuple(words[i:i + n]) == item.words:
+                out.append((item.key, runs[i][0], runs[i + n - 1][1]))
+    return out
+
+
 def build_index(rows: list[tuple[int, str]], rate: float = RATE) -> Index:
     items, short, grams, owner, place = [], [], [], [], []
     for key, text in rows:
@@ -91,10 +125,10 @@ def build_index(rows: list[tuple[int, str]], rate: float = RATE) -> Index:
         if not m:
             continue
         if m < Q:
-            short.append(Item(key, codes, 0, 0))
+            short.append(Item(key, codes, 0, 0, words=_words(text or "")))
             continue
         edits = int(m * rate)
-        while edits and m - Q + 1 - Q * edits < 4:
+        while edits and m - Q + 1 - Q * edits < 1:
             edits -= 1
         h = _grams(codes)
         grams.append(h)
@@ -233,18 +267,9 @@ def _scan(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]
                 for number, edits, start, end in _regions(index, own, near[lo:hi] - base, slot[lo:hi]):
                     if end > start:
                         out.append((at + t, index.items[number].key, int(source[start]), int(source[end - 1]) + 1, edits))
-        for item in index.short:
-            word = item.codes.astype("<u4").tobytes()
-            for t in range(stop - at):
-                base = int(edges[t - 1]) if t else 0
-                own = small[base:edges[t]]
-                raw, found = own.astype("<u4").tobytes(), -1
-                while (found := raw.find(word, found + 1)) >= 0 and found % 4:
-                    pass
-                if found >= 0:
-                    source = kept[base:edges[t]] - (int(ends[t - 1]) if t else 0)
-                    first = found // 4
-                    out.append((at + t, item.key, int(source[first]), int(source[first + len(item.codes) - 1]) + 1, 0))
+        if index.short:
+            for t in range(at, stop):
+                out += [(t, key, start, end, 0) for key, start, end in _short_places(index.short, texts[t])]
         at = stop
     return out
 
@@ -281,14 +306,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, items_per
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
                       items_per_block: int = 5000) -> DataFrame:
-    """The rows of ``docs`` whose text repeats no item."""
+    """The rows of ``docs`` whose text repeats no item of Q letters and digits or more."""
     out = docs
     for rows in _item_blocks(benchmark, items_per_block):
         def start(rows=rows):
-            index = build_index(rows, rate)
+            long = replace(build_index(rows, rate), short=[])
 
             def work(c):
-                hit = {f[0] for f in _scan(index, [t or "" for t in c["text"]])}
+                hit = {f[0] for f in _scan(long, [t or "" for t in c["text"]])}
                 return {k: [x for i, x in enumerate(v) if i not in hit] for k, v in c.items()}
             return work
 

@@ -82,3 +82,34 @@ def test_short_items(spark, edge_docs, no_docs, short):
     assert benchmarks.drop_contaminated(edge_docs, bench).count() == edge_docs.count()
     assert benchmarks.matches(no_docs, bench).count() == 0
     assert benchmarks.matches(edge_docs, bench.limit(0)).count() == 0
+
+
+def test_short_items_stand_as_whole_words(spark):
+    """Items of a word or two are reported at all their places, and drop no prose."""
+    texts = ["I said yes yesterday; YES!", "a banana and eyes", "yes-terday, no: yes\nno", "nothing here"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "yes"), (2, "a"), (3, "No. Yes")], "item_id bigint, text string")
+    got = sorted(tuple(r) for r in benchmarks.matches(frame, bench).collect())
+    assert [(d, i, texts[d][s:e], edits) for d, i, s, e, edits in got] == [
+        (0, 1, "yes", 0), (0, 1, "YES", 0), (1, 2, "a", 0), (2, 1, "yes", 0), (2, 1, "yes", 0), (2, 3, "no: yes", 0)]
+    assert benchmarks.drop_contaminated(frame, bench).count() == len(texts)
+
+
+def test_items_take_the_whole_budget_of_the_lemma(spark):
+    """40 letters at a tenth: four edits where the bound leaves a gram, none lost to a wider margin."""
+    rng = random.Random(6)
+    items = [(n, "".join(map(chr, letters(rng, n)))) for n in (8, 15, 16, 17, 24, 32, 39, 40, 41, 47, 48, 60)]
+    index = {i.key: i for i in benchmarks.build_index(items).items}
+    assert index[40].edits == 4 and index[40].least == 1 and index[16].edits == 1
+    docs, expected = [], set()
+    for n, item in items:
+        for edits in range(0, n // 10 + 2):
+            own = list(item)
+            for place in sorted(rng.sample(range(n), edits)):
+                own[place] = "0"
+            text = "".join(map(chr, letters(rng, 30))) + "".join(own) + "".join(map(chr, letters(rng, 30)))
+            docs.append((len(docs), text))
+            expected |= {(docs[-1][0], k) for k, other in items if distance(other, text) <= index[k].edits}
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in benchmarks.matches(frame, bench).collect()} == expected
