@@ -29,7 +29,7 @@ def test_one_row_each(spark, name):
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_equal_to_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "embeddings", "pages"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     found = connection.execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in found.description]
