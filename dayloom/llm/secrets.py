@@ -2,7 +2,7 @@
 
 All of it is column expressions, joins and aggregates. The places of a pattern's matches come
 from cutting the text at the pattern: the lengths of what lies between and of the matches
-themselves add up to positions in code points.
+themselves add up to positions in code points, by running sums over arrays, in n log n steps for n matches.
 
 Base spans stand on their own. The method links parts of one credential: access identifiers
 (user or key names), secrets (values too weak to report by themselves, base assignments and base
@@ -29,46 +29,52 @@ ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 # Parts that say little alone. Values run to their end; possessive repetitions keep the search linear in the text.
-IDENTIFIER = ("\\b(?i:user(?:_?name)?|login|client_?id|account_?id|access_?key(?:_?id)?)[\"']?\\x20{0,4}[:=]\\x20{0,4}[\"']?"
+IDENTIFIER = ("\\b(?i:user(?:_?name)?|login|client_?id|account_?id|access_?key(?:_?id)?)[\"']?\\x20*+[:=]\\x20*+[\"']?"
               "[A-Za-z0-9._@-]{3,}+")
-SECRET = ("\\b(?i:pass|pwd|pin|key|client_?secret|secret_?key|private_?key|auth|credential)[\"']?\\x20{0,4}[:=]\\x20{0,4}"
+SECRET = ("\\b(?i:pass|pwd|pin|key|client_?secret|secret_?key|private_?key|auth|credential)[\"']?\\x20*+[:=]\\x20*+"
           "[\"']?[A-Za-z0-9+/_.=!@#$%^&*-]{4,}+")
 SHORT_ASSIGN_MAX = 12
 ENDPOINT = ("\\b(?:[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.-]{3,}+(?::[0-9]{1,5})?"
-            "|(?i:host|server|endpoint|database_?url)[\"']?\\x20{0,4}[:=]\\x20{0,4}[\"']?[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)*+"
+            "|(?i:host|server|endpoint|database_?url)[\"']?\\x20*+[:=]\\x20*+[\"']?[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)*+"
             "(?::[0-9]{1,5})?)")
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:bigint>>"
 BLOCK = 1024
 
 
+def _running_sums(numbers: Column) -> Column:
+    """Sums up to each entry of an array: entries 1, 2, 4, ... places before are added, so n entries take n log n steps."""
+    shifts = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(numbers))
+
+    def add(sums: Column, shift: Column) -> Column:
+        return F.transform(sums, lambda x, i: x + F.when(i >= shift, F.get(sums, i - shift)).otherwise(F.lit(0)))
+
+    return F.aggregate(shifts, numbers, add)
+
+
 def _positions(df: DataFrame, name: str, pattern: str, kind: str, group: str | None = None,
                needs: Column | None = None) -> DataFrame:
     """Add column ``name``: the matches of ``pattern`` in text as an array of spans.
 
-    Start of match i: lengths of the gaps up to i and of the matches before it. ``needs`` is a
-    cheap condition without which a text cannot have a match.
+    End of match i: lengths of the gaps and matches up to i. ``needs`` is a cheap condition without
+    which a text cannot have a match.
     """
-    hits, gaps = f"{name}_m", f"{name}_g"
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    df = df.withColumn(hits, found if needs is None else F.when(needs, found).otherwise(F.array().cast("array<string>")))
-    some = F.size(hits) > 0
-    lengths = F.transform(hits, lambda m: F.length(m).cast("bigint"))
-    df = df.withColumn(gaps, F.when(some, F.transform(F.split("text", pattern, -1), lambda g: F.length(g).cast("bigint"))))
-    df = df.withColumn(hits, F.when(some, F.struct(
-        lengths.alias("length"),
-        F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda g: F.length(g).cast("bigint"))
-        .alias("value") if group else lengths.alias("value"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
+    hits, steps, ends = f"{name}_m", f"{name}_g", f"{name}_e"
 
-    def add(state: Column, i: Column) -> Column:
-        low = state["at"] + F.element_at(gaps, i)
-        high = low + F.element_at(F.col(f"{hits}.length"), i)
-        span = F.struct(F.lit(kind).alias("kind"), low.alias("start"), high.alias("end"),
-                        F.element_at(F.col(f"{hits}.value"), i).alias("value"))
-        return F.struct(high.alias("at"), F.concat(state["spans"], F.array(span)).cast(SPAN).alias("spans"))
+    def lengths(strings: Column) -> Column:
+        return F.transform(strings, lambda m: F.length(m).cast("bigint"))
 
-    spans = F.aggregate(F.sequence(F.lit(1), F.size(f"{hits}.length")), zero, add, lambda s: s["spans"])
-    return df.withColumn(name, F.when(F.col(hits).isNotNull(), spans).otherwise(F.array().cast(SPAN))).drop(hits, gaps)
+    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    df = df.withColumn(hits, lengths(
+        found if needs is None else F.when(needs, found).otherwise(F.array().cast("array<string>"))))
+    some = F.size(hits) > 0
+    gaps = F.slice(lengths(F.split("text", pattern, -1)), F.lit(1), F.size(hits))
+    df = df.withColumn(steps, F.when(some, F.zip_with(gaps, hits, lambda g, m: g + m)))
+    df = df.withColumn(ends, F.when(some, _running_sums(F.col(steps))))
+    values = lengths(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))) if group else F.col(hits)
+    sized = F.zip_with(hits, values, lambda m, v: F.struct(m.alias("length"), v.alias("value")))
+    spans = F.zip_with(ends, sized, lambda e, m: F.struct(
+        F.lit(kind).alias("kind"), (e - m["length"]).alias("start"), e.alias("end"), m["value"].alias("value")))
+    return df.withColumn(name, F.when(some, spans).otherwise(F.array()).cast(SPAN)).drop(hits, steps, ends)
 
 
 def parts(docs: DataFrame) -> DataFrame:
@@ -95,7 +101,7 @@ def _order(kind: Column) -> Column:
 def _sorted(spans: Column) -> Column:
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("s"), _order(s["kind"]).alias("o"), s["end"].alias("e"),
                                                   s["kind"].alias("k")))
-    return F.array_distinct(F.array_sort(keyed))
+    return F.array_sort(keyed)
 
 
 def _text(sorted_spans: Column) -> Column:
@@ -108,7 +114,7 @@ def linked(stored: DataFrame, reach: int = 200) -> DataFrame:
     ``stored`` holds row_, base and weak. Only rows with a weak part take part.
     """
     some = stored.filter(F.size("weak") > 0)
-    single = some.select("row_", F.explode(F.array_union("weak", "base")).alias("p"))
+    single = some.select("row_", F.explode(F.concat("weak", "base")).alias("p"))
     single = single.select("row_", "p.kind", "p.start", "p.end")
     anchors = single.filter(F.col("kind").isin("identifier", "endpoint", "access")).select(
         "row_", F.greatest(F.col("start") - reach, F.lit(0)).alias("low"), (F.col("end") + reach).alias("high"))

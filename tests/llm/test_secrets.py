@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 from dayloom.llm import secrets
@@ -82,3 +83,19 @@ def test_strong_secrets_complete_weak_parts(spark):
         1: ("identifier:0:10,assign:11:34,endpoint:35:54", 1, 2), 2: ("identifier:0:10,hex:11:28", 0, 1),
         3: ("assign:611:634", 1, 0), 4: ("hex:5:22", 0, 0), 5: ("assign:0:23", 1, 0),
         6: ("access:0:20,assign:21:44", 1, 0)}
+
+
+def test_many_matches_in_one_text(spark):
+    n = 100_000
+    text = "0123456789abcdef01 " * n
+    began = time.monotonic()
+    row = secrets.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_hex"] == n and row["n_added"] == 0
+    assert row["spans"].startswith("hex:0:18,hex:19:37,") and row["spans"].endswith(f",hex:{19 * n - 19}:{19 * n - 1}")
+    assert time.monotonic() - began < 60
+
+
+def test_wide_signs_and_equal_spans_count_once(spark):
+    text = "user" + " " * 30 + "= admin pass" + " " * 30 + ": abcd"
+    row = secrets.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_added"] == 2 and row["spans"].split(",") == sorted(set(row["spans"].split(",")), key=lambda s: int(s.split(":")[1]))
