@@ -25,7 +25,7 @@ from dayloom.llm.common import read
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.main_text(read(spark, sf_dir, "pages"))
+    return pages.main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
+import json
+import random
 import re
+import time
 from collections import Counter
 from html import unescape
 
@@ -67,6 +70,82 @@ def test_tree_matching():
     assert size == 6 and len(pairs) == 6
 
 
+def brute_match(a, b):
+    """Size of the largest match, by the recursive definition."""
+    below = [[[c for c, p in enumerate(t[2]) if p == n] for n in range(len(t[0]))] for t in (a, b)]
+
+    def size(x, y):
+        if (a[0][x], a[1][x]) != (b[0][y], b[1][y]):
+            return 0
+        xs, ys = below[0][x], below[1][y]
+        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, c in enumerate(xs, 1):
+            for j, d in enumerate(ys, 1):
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + size(c, d))
+        return best[-1][-1] + 1
+
+    return size(0, 0)
+
+
+def test_tree_matching_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        trees = []
+        for _ in range(2):
+            n = rng.randint(1, 14)
+            trees.append([["#"] + [rng.choice("ab") for _ in range(n)], [0] * (n + 1), [-1] + [rng.randint(0, k) for k in range(n)]])
+        size, pairs = pages.match(*trees)
+        assert size == brute_match(*trees) == len(pairs) == len(dict(pairs)) == len({y for _, y in pairs})
+        up = dict(pairs)
+        for x, y in pairs:
+            assert trees[0][0][x] == trees[1][0][y]
+            assert x == 0 or up[trees[0][2][x]] == trees[1][2][y]
+
+
+def test_deep_nesting_and_open_tags_are_linear(spark):
+    deep = "<div>" * 10_000 + "in the depth"
+    other = "<div>" * 9_000 + "<p>less deep</p><section>x</section>"
+    began = time.monotonic()
+    got = texts(spark, [page(deep, k=0), page(deep + "er", k=1), page(other, k=2), page("<p>end" + "<a " * 3_000_000, k=3),
+                        page("<p><button>" + "<div>" * 20_000 + "y", "c.example", 4), page("<a '><a \"" * 100_000 + "z", "c.example", 5),
+                        page("<p>x" + "<!" * 500_000, "c.example", 6)])
+    assert got[0] == "in the depth" and got[3] == "end" and got[4] == "" and got[6] == "x"
+    assert time.monotonic() - began < 60
+
+
+def test_open_quotes_end_with_the_tag(spark):
+    assert texts(spark, [page('<article><p title="a>Hello</p></article>')]) == {0: "Hello"}
+
+
+def test_aligned_votes_decide(spark, monkeypatch):
+    """Without an article: constant nodes around the story go, though pages differ in what stands before it."""
+    own = [f"Story number {k} has a text of its own, long enough to be told {k}" for k in range(6)]
+    promo = "<article><h2>Join the club today</h2></article>"
+    rows = [page(f"{'<table><tr><td>Top</table>' if k % 2 else ''}<div class=box><h3>Daily page</h3></div>"
+                 f"<div class=story><h1>Title {k}</h1><p>{t}</p><p>Read us daily</p></div>", k=k) for k, t in enumerate(own)]
+    # The article is the same everywhere and the story stands beside it.
+    rows += [page(f"{promo}<div class=story><p>{t}</p></div>", "b.example", 10 + k) for k, t in enumerate(own)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: (r["text"], r["rule"]) for r in pages.main_text(frame).collect()}
+    assert [got[k] for k in range(6)] == [(f"Title {k}\n{t}", "votes") for k, t in enumerate(own)]
+    assert [got[10 + k] for k in range(6)] == [(t, "votes") for t in own]
+    # The same wrapper without alignment: everything of the page stays.
+    wrappers, _ = pages.induce(frame, pages.Scratch(spark, "pages_test"))
+    w = wrappers.filter("host_ = 'a.example'").first()
+    template = frozenset((t["node"], t["hash"]) for t in w["template"])
+    assert pages.extract(rows[1][2], json.loads(w["pivot"]), w["content"], template) == got[1]
+    monkeypatch.setattr(pages, "match", lambda a, b: (0, []))
+    text, rule = pages.extract(rows[1][2], json.loads(w["pivot"]), w["content"], template)
+    assert rule == "elements" and "Read us daily" in text and "Daily page" in text
+
+
+def test_hot_hosts_meet_the_wrapper_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(pages, "PART_PAGES", 3)
+    rows = [page(f"<div><p>Story {k} is long enough {'word ' * k}</p><p>Always the same</p></div>", k=k) for k in range(1, 21)]
+    got = texts(spark, rows)
+    assert len(got) == 20 and all(got[k] == f"Story {k} is long enough {'word ' * k}".strip() for k in got)
+
+
 def test_marked_elements_fold_apart(spark):
     body = ("<article><p>One<p hidden>no<p>Two<h2>A</h2><h2 id=search>no</h2><h3 id=related>no</h3><h3>B</h3>"
             "<ul><li>x<li style='display: none'>no<li>y</ul></article>")
