@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +107,104 @@ def rmse_by_key(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
     )
 
 
+# --- grid search from sums -----------------------------------------------------
+
+def ridge_sums(df: DataFrame, size: int, fold: str = "fold", features: str = "features", label: str = "label") -> DataFrame:
+    """Per fold the sums that a least-squares fit needs, in one pass: n, x, xx (upper triangle row by row), xy, y, yy.
+
+    Sums are partial before the shuffle, so a row per fold and task moves, whatever share of the rows a fold has.
+    """
+    x = [F.get("_x", F.lit(i)) for i in range(size)]
+    y = F.col(label).cast("double")
+    known = df.select(fold, label, vector_to_array(F.col(features)).alias("_x"))
+    return known.groupBy(fold).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(v) for v in x]).alias("x"),
+        F.array(*[F.sum(x[i] * x[j]) for i in range(size) for j in range(i, size)]).alias("xx"),
+        F.array(*[F.sum(v * y) for v in x]).alias("xy"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"))
+
+
+class _Sums:
+    """Sums of some rows as numpy arrays; they add and subtract like the rows they come from."""
+
+    def __init__(self, n, x, xx, xy, y, yy):
+        self.parts = (n, x, xx, xy, y, yy)
+
+    @classmethod
+    def of(cls, row, size: int) -> _Sums:
+        xx = np.zeros((size, size))
+        xx[np.triu_indices(size)] = row["xx"]
+        return cls(float(row["n"]), np.array(row["x"]), xx + np.triu(xx, 1).T, np.array(row["xy"]), row["y"], row["yy"])
+
+    def __add__(self, other: _Sums) -> _Sums:
+        return _Sums(*(a + b for a, b in zip(self.parts, other.parts)))
+
+    def ridge(self, penalty: float, intercept: bool) -> tuple[np.ndarray, float]:
+        """Weights and intercept of least squares whose penalty acts on inputs and label scaled to unit deviation."""
+        n, x, xx, xy, y, yy = self.parts
+        mean, level = x / n, y / n
+        spread = np.sqrt(np.maximum(np.diag(xx) / n - mean * mean, 0.0))
+        scale = np.sqrt(max(yy / n - level * level, 0.0))
+        used = spread > 0
+        if not used.any() or scale == 0:
+            return np.zeros(len(x)), float(level if intercept else 0.0)
+        left, right = xx / n, xy / n
+        if intercept:
+            left, right = left - np.outer(mean, mean), right - mean * level
+        left = left[np.ix_(used, used)] + np.diag(penalty / scale * spread[used] ** 2)
+        weights = np.zeros(len(x))
+        weights[used] = np.linalg.lstsq(left, right[used], rcond=None)[0]
+        return weights, float(level - mean @ weights) if intercept else 0.0
+
+    def rmse(self, weights: np.ndarray, intercept: float) -> float:
+        n, x, xx, xy, y, yy = self.parts
+        squares = (yy - 2 * (weights @ xy + intercept * y) + weights @ xx @ weights + 2 * intercept * (weights @ x)
+                   + n * intercept * intercept)
+        return float(np.sqrt(max(squares, 0.0) / n))
+
+
+def ridge_grid(df: DataFrame, size: int, reg_params: Iterable[float], intercepts: Iterable[bool], fold: str = "fold",
+               features: str = "features", label: str = "label") -> DataFrame:
+    """Every point of a gaussian, identity-link GLM grid under cross-validation, from one pass over the rows.
+
+    A fold's training sums are the sums of the other folds, so neither points nor folds read the rows again; the
+    optimum is that of ``glm(family="gaussian")``, whose maxIter does not matter, as the fit is closed. Only
+    one row of sums per fold reaches the driver. Output, one row per point and fold and one per point without a fold, fitted
+    on all rows: ``point``, ``reg_param``, ``fit_intercept``, ``fold``, ``n_train``, ``n_test``, ``rmse`` on
+    the fold, ``weights``, ``intercept``. Rows without a fold are left out; an empty table gives an empty result.
+    """
+    spark = df.sparkSession
+    rows = ridge_sums(df.where(F.col(fold).isNotNull()), size, fold, features, label).orderBy(fold).collect()
+    sums = {r[fold]: _Sums.of(r, size) for r in rows}
+    out = []
+    for point, (penalty, intercept) in enumerate(product(dict.fromkeys(reg_params), dict.fromkeys(intercepts))):
+        for held in ([*sums, None] if sums else []):
+            train = [s for k, s in sums.items() if held is None or k != held]
+            if not train:
+                continue
+            whole = train[0]
+            for more in train[1:]:
+                whole = whole + more
+            weights, level = whole.ridge(penalty, intercept)
+            test = sums.get(held) if held is not None else None
+            out.append((point, float(penalty), bool(intercept), held, int(whole.parts[0]), int(test.parts[0]) if test else 0,
+                        test.rmse(weights, level) if test else None, weights.tolist(), level))
+    return spark.createDataFrame(out, "point int, reg_param double, fit_intercept boolean, fold int, n_train bigint, "
+                                      "n_test bigint, rmse double, weights array<double>, intercept double")
+
+
+def best_point(grid: DataFrame) -> DataFrame:
+    """The point of least mean RMSE over its folds (ties: the first), fitted on all rows: one row of ``ridge_grid``."""
+    means = grid.where("fold IS NOT NULL").groupBy("point").agg(F.avg("rmse").alias("mean_rmse"))
+    chosen = means.agg(F.min_by("point", F.struct("mean_rmse", "point")).alias("point"), F.min("mean_rmse").alias("mean_rmse"))
+    return grid.where("fold IS NULL").join(chosen, "point")
+
+
+def score_linear(weights: Column, intercept: Column, features: str = "features") -> Column:
+    """Prediction of a linear model whose weights are an array column."""
+    terms = F.zip_with(vector_to_array(F.col(features)), weights, lambda x, w: x * w)
+    return F.aggregate(terms, intercept, lambda total, t: total + t)
+
+
 # --- storage -------------------------------------------------------------------
 
 def save_model(model: Model, path: str) -> None:

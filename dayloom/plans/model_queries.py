@@ -178,6 +178,78 @@ def cv_grid_points(spark, folder):
     return cv_grid_metrics(spark, folder).select("point", "params", (F.col("rmse") > 0).alias("scored"))
 
 
+def _glm_grid(spark, folder):
+    """Stored training rows with folds, and every gaussian point of the fixed grid."""
+    rows = materialise(features.time_folds(stored_training_rows(spark, folder), 3), "glm_grid")
+    train = rows.where("is_train")
+    grid = models.ridge_grid(train, HORIZON + 1, models.GLM_GRID["regParam"], models.GLM_GRID["fitIntercept"])
+    return rows, materialise(grid, "glm_points")
+
+
+_HELD = """CAST('0x' || substr(md5("Country" || '|' || CAST("Date" AS VARCHAR) || '|1234'), 1, 8) AS BIGINT) % 1000 >= 900"""
+_POINTS = ", ".join(f"({reg}, {str(intercept).lower()})"
+                    for reg in models.GLM_GRID["regParam"] for intercept in models.GLM_GRID["fitIntercept"])
+
+
+@query("glm_grid_closed", with_views("country_panel", f"""
+    WITH span AS (SELECT min("Date") AS a, date_diff('day', min("Date"), max("Date")) + 1 AS days FROM country_panel),
+    folds AS (SELECT CAST(floor(date_diff('day', a, "Date") * 3 / days) AS INTEGER) AS fold, count(*) AS n
+              FROM country_panel, span WHERE NOT ({_HELD}) GROUP BY 1)
+    SELECT CAST(p.reg AS DOUBLE) AS reg_param, p.fit AS fit_intercept, f.fold,
+           CAST((SELECT sum(n) FROM folds) - f.n AS BIGINT) AS n_train, f.n AS n_test,
+           true AS residuals_met, true AS rmse_met
+    FROM folds AS f, (VALUES {_POINTS}) AS p(reg, fit)"""))
+def glm_grid_closed(spark, folder):
+    """Every point and fold, held against the rows: the residual equations of the fit and the error on the fold."""
+    rows, grid = _glm_grid(spark, folder)
+    size = HORIZON + 1
+    points = grid.where("fold IS NOT NULL").withColumnRenamed("fold", "held")
+    # A row meets every point of the grid, whose number is fixed; sums are partial before the shuffle.
+    every = points.agg(F.collect_list(F.struct("point", "held", "weights", "intercept")).alias("p")).select("p").scalar()
+    met = rows.where("is_train").select("features", "label", "fold", F.explode(every).alias("p")).select("*", "p.*")
+    error = F.col("label") - models.score_linear(F.col("weights"), F.col("intercept"))
+    x = [F.get(vector_to_array("features"), F.lit(i)) for i in range(size)]
+    trained, tested = F.col("fold") != F.col("held"), F.col("fold") == F.col("held")
+
+    def mean(value):
+        return F.avg(F.when(trained, value))
+
+    spread = F.stddev_pop(F.when(trained, F.col("label")))
+    sums = met.withColumn("error", error).groupBy("point", "held").agg(
+        *[mean(v * F.col("error")).alias(f"g{i}") for i, v in enumerate(x)],
+        *[F.var_pop(F.when(trained, v)).alias(f"v{i}") for i, v in enumerate(x)],
+        *[mean(F.abs(v * F.col("label"))).alias(f"s{i}") for i, v in enumerate(x)],
+        mean(F.col("error")).alias("bias"), spread.alias("spread"),
+        F.sqrt(F.avg(F.when(tested, F.col("error") * F.col("error")))).alias("again"))
+    both = points.join(sums, ["point", "held"])
+    off = [F.abs(F.col(f"g{i}") - F.col("reg_param") / F.col("spread") * F.get("weights", F.lit(i)) * F.col(f"v{i}"))
+           <= 1e-8 * (F.col(f"s{i}") + 1) for i in range(size)]
+    centred = ~F.col("fit_intercept") | (F.abs("bias") <= 1e-8 * (F.col("spread") + 1))
+    return both.select(
+        "reg_param", "fit_intercept", F.col("held").alias("fold"), "n_train", "n_test",
+        reduce(lambda a, b: a & b, off, centred).alias("residuals_met"),
+        (F.abs(F.col("again") - F.col("rmse")) <= 1e-6 * F.col("rmse")).alias("rmse_met"))
+
+
+@query("glm_grid_best", with_views("country_panel", f"""
+    WITH lagged AS (SELECT *, coalesce(max("Confirmed") OVER (PARTITION BY "Country" ORDER BY "Date"
+        RANGE BETWEEN INTERVAL 1 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING), 0) AS yesterday FROM country_panel)
+    SELECT count(*) AS n, round(sqrt(avg((yesterday - "Confirmed") ** 2)), 6) AS naive_rmse, true AS least, true AS better_than_naive
+    FROM lagged WHERE {_HELD}"""))
+def glm_grid_best(spark, folder):
+    """Held-out error of the point that the search chose, beside taking yesterday's value."""
+    rows, grid = _glm_grid(spark, folder)
+    best = models.best_point(grid).first()  # one row: the model
+    least = grid.where("fold IS NOT NULL").groupBy("point").agg(F.avg("rmse").alias("m")).agg(F.min("m").alias("m"))
+    held = rows.where("NOT is_train")
+    scored = held.withColumn("prediction", models.score_linear(F.lit(best["weights"]), F.lit(best["intercept"])))
+    naive = _naive_rmse(rows)
+    return models.rmse_by_key(scored).select(
+        "n", F.round(naive.select("naive_rmse").scalar(), 6).alias("naive_rmse"),
+        (F.lit(best["mean_rmse"]) == least.select("m").scalar()).alias("least"),
+        (F.col("rmse") < naive.select("naive_rmse").scalar()).alias("better_than_naive"))
+
+
 @query("model_roundtrip", with_views("country_panel", """
     SELECT "Country", count(*) AS n, true AS same FROM country_panel GROUP BY "Country" """))
 def model_roundtrip(spark, folder):
