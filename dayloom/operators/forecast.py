@@ -19,6 +19,7 @@ from dayloom.operators.features import check_feature_size, state_vector
 from dayloom.operators.joins import join_targets, null_safe_join
 from dayloom.operators.models import trend_per_key
 from dayloom.operators.panel import cumulate, days_between
+from dayloom.operators.trees import compile_trees, is_tree_model
 from dayloom.session import materialise
 
 # Two-sided 80 % point of the normal distribution.
@@ -116,17 +117,22 @@ def recursive_forecast(
     round_feedback: bool = False,
     store_every: int = 10,
     cover: str = "last_day",
+    compiled: bool = True,
 ) -> DataFrame:
     """Forecast day after day, feeding each prediction back as the next day's lag 1.
 
     ``scorer`` is a column builder over the newest-first past values (default:
-    mean of lags) or a fitted Spark ML model over ``codes`` + lags. ``parameters``
+    mean of lags) or a fitted Spark ML model over ``codes`` + lags. Tree models roll as one expression over
+    their nodes; other models, and all with ``compiled=False``, by one scoring step per day. ``parameters``
     joins per-key columns (such as ``weights``) to the state. The only shuffle is
     the one that builds the state. Output: keys, date, metric.
     """
     states = history_state(df, keys, metric, horizon, date, as_of, cover)
     if parameters is not None:
         states = null_safe_join(states, parameters, list(keys))
+    if isinstance(scorer, Model) and compiled and is_tree_model(scorer):
+        check_feature_size(scorer, len(codes) + horizon)
+        scorer = compile_trees(scorer).scorer(codes)
     if isinstance(scorer, Model):
         rolled = _roll_with_model(states, codes, horizon, periods, scorer, round_feedback, store_every)
     else:

@@ -381,6 +381,25 @@ def recursive_gbt_contract(spark, folder):
     return ahead.select("Country", "Date", within.alias("scored"), top.alias("top"))
 
 
+@query("recursive_gbt_compiled", with_views("country_panel", """
+    SELECT DISTINCT "Country", (SELECT max("Date") FROM country_panel) + CAST(step AS INTEGER) AS "Date", true AS same
+    FROM country_panel, range(1, 31) AS t(step)"""))
+def recursive_gbt_compiled(spark, folder):
+    """Thirty days rolled in one expression, held against one scoring step per day."""
+    rows = stored_training_rows(spark, folder)
+    fitted = models.gbt(maxIter=5, maxDepth=5, maxBins=190).fit(rows)
+    history = rows.select("Country", "CountryIndex", "Date", F.col("label").alias("Confirmed"))
+
+    def ahead(compiled):
+        return forecast.recursive_forecast(history, ["Country", "CountryIndex"], "Confirmed", HORIZON, 30, fitted,
+                                           codes=["CountryIndex"], cover="all", compiled=compiled)
+
+    steps = ahead(False).select("Country", "Date", F.col("Confirmed").alias("step"))
+    both = joins.null_safe_join(ahead(True), steps, ["Country", "Date"], "left")
+    same = F.abs(F.col("Confirmed") - F.col("step")) <= 1e-9 * (1 + F.abs("step"))
+    return both.select("Country", "Date", F.coalesce(same, F.lit(False)).alias("same"))
+
+
 @query("shifted_scored_contract", with_views("country_panel", """
     SELECT DISTINCT "Country", "Date", true AS scored, (SELECT max("Confirmed") FROM country_panel) AS top FROM (
         SELECT "Country", "Date" FROM country_panel UNION ALL SELECT "Country", "Date" + 6 FROM country_panel

@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.operators import features, joins, lags, models
+from dayloom.operators import features, joins, lags, models, trees
 from dayloom.plans.catalogue import query
 from dayloom.plans.views import country_panel, events_daily, places, table, with_views
 from dayloom.session import materialise, scratch_path
@@ -300,6 +300,85 @@ def per_key_one_lag(spark, folder):
     return fits.select("event_type", weight, F.round("intercept", 6).alias("intercept"), "n")
 
 
+_LAGS = ", ".join(
+    f"""CAST(coalesce(max("Confirmed") OVER (PARTITION BY "Country" ORDER BY "Date"
+        RANGE BETWEEN INTERVAL {h} DAYS PRECEDING AND INTERVAL {h} DAYS PRECEDING), 0) AS DOUBLE)"""
+    for h in range(1, HORIZON + 1))
+STUMP_BINS = 16
+
+
+def _lag_arrays(spark, folder):
+    lagged = lags.lag_features(country_panel(spark, folder), _KEY, "Confirmed", HORIZON, fill=0)
+    past = F.array(*[F.col(c).cast("double") for c in lags.lag_names("Confirmed", HORIZON)])
+    rows = lagged.select("Country", "Date", past.alias("features"), F.col("Confirmed").cast("double").alias("label"))
+    return materialise(features.hash_split(rows, ["Country", "Date"]), "lag-arrays")
+
+
+@query("per_key_stump", with_views("country_panel", f"""
+    WITH rows AS (SELECT "Country", CAST("Confirmed" AS DOUBLE) AS y, [{_LAGS}] AS x FROM country_panel),
+    long AS (SELECT "Country", y, f, x[f + 1] AS v FROM rows, range({HORIZON}) AS t(f)),
+    span AS (SELECT "Country", f, min(v) AS lo, max(v) AS hi, count(*) AS nt, sum(y) AS st FROM long GROUP BY ALL),
+    cuts AS (SELECT *, lo + b * (hi - lo) / {STUMP_BINS} AS cut FROM span, range(1, {STUMP_BINS}) AS t(b)),
+    sides AS (SELECT "Country", f, cut, nt, st, count(*) AS nl, sum(y) AS sl
+              FROM cuts JOIN long USING ("Country", f) WHERE v <= cut GROUP BY ALL),
+    gains AS (SELECT *, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) AS gain FROM sides WHERE nl < nt),
+    best AS (SELECT * FROM gains WHERE gain > st * st / nt
+             QUALIFY row_number() OVER (PARTITION BY "Country" ORDER BY gain DESC, f, cut) = 1)
+    SELECT s."Country", s.nt AS n, CAST(b.f AS INTEGER) AS feature, round(b.cut, 9) AS cut, round(s.st / s.nt, 9) AS mean,
+           round(b.sl / b.nl, 9) AS left_mean, round((b.st - b.sl) / (b.nt - b.nl), 9) AS right_mean
+    FROM span AS s LEFT JOIN best AS b USING ("Country") WHERE s.f = 0"""))
+def per_key_stump(spark, folder):
+    fits = trees.boost_per_key(_lag_arrays(spark, folder), _KEY, trees=1, depth=1, bins=STUMP_BINS, cuts="width")
+    nodes = F.get("trees", F.lit(0))["n"]
+    root = F.get(nodes, F.lit(0))
+    value = [F.round(F.get(nodes, F.lit(i))["v"], 9) for i in range(3)]
+    return fits.select(
+        "Country", "n", F.when(root["l"] > 0, root["f"]).alias("feature"), F.round(F.get(root["c"], F.lit(0)), 9).alias("cut"),
+        value[0].alias("mean"), value[1].alias("left_mean"), value[2].alias("right_mean"))
+
+
+@query("per_key_trees", with_views("country_panel", f"""
+    WITH lagged AS (SELECT *, coalesce(max("Confirmed") OVER (PARTITION BY "Country" ORDER BY "Date"
+        RANGE BETWEEN INTERVAL 1 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING), 0) AS yesterday FROM country_panel)
+    SELECT "Country", count(*) AS n, count(*) FILTER (WHERE {_HELD}) AS n_held, round(sqrt(avg((yesterday - "Confirmed") ** 2)), 6) AS naive_rmse,
+           true AS better_than_naive, true AS better_than_one_tree
+    FROM lagged GROUP BY "Country" """))
+def per_key_trees(spark, folder):
+    """Boosted trees of every country, trained on its training days; errors over all its days."""
+    rows, depth = _lag_arrays(spark, folder), 2
+    fits = trees.boost_per_key(rows.where("is_train"), _KEY, trees=5, depth=depth, step=0.3).select("Country", "trees")
+    scored = joins.null_safe_join(rows, materialise(fits, "fits"), _KEY)
+    ensembles = {"prediction": F.col("trees"), "first": F.slice("trees", 1, 1)}
+    scored = scored.withColumns({n: trees.score_trees(t, F.col("features"), depth) for n, t in ensembles.items()})
+
+    def rmse(prediction):
+        return F.sqrt(F.avg((prediction - F.col("label")) ** 2))
+
+    errors = scored.groupBy("Country").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_train")).alias("n_held"),
+        rmse(F.get("features", F.lit(0))).alias("naive"), rmse(F.col("prediction")).alias("rmse"), rmse(F.col("first")).alias("one"))
+    return errors.select("Country", "n", "n_held", F.round("naive", 6).alias("naive_rmse"),
+                         (F.col("rmse") < F.col("naive")).alias("better_than_naive"),
+                         (F.col("rmse") <= F.col("one")).alias("better_than_one_tree"))
+
+
+@query("compiled_trees", with_views("country_panel", """
+    SELECT model, "Country", count(*) AS n, true AS same FROM country_panel, (VALUES ('boosted'), ('forest')) AS t(model)
+    GROUP BY ALL"""))
+def compiled_trees(spark, folder):
+    """Scores of the ensembles as one expression, held against the models' own on every row."""
+    rows = stored_training_rows(spark, folder)
+    results = []
+    for name, estimator in (("boosted", models.gbt(maxIter=5, maxDepth=6, maxBins=190)),
+                            ("forest", models.forest(numTrees=10, maxDepth=8, maxBins=250))):
+        fitted = estimator.fit(rows.where("is_train"))
+        again = trees.compile_trees(fitted).score(vector_to_array("features"))
+        same = F.abs(again - F.col("prediction")) <= 1e-9 * (1 + F.abs("prediction"))
+        results.append(fitted.transform(rows).groupBy("Country").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.coalesce(same, F.lit(False))).alias("same")).withColumn("model", F.lit(name)))
+    return reduce(DataFrame.unionByName, results)
+
+
 @query("per_key_models")
 def per_key_models(spark, folder):
     lagged = lags.lag_features(country_panel(spark, folder), _KEY, "Confirmed", 15, fill=0)
