@@ -39,7 +39,7 @@ def epoch() -> Column:
 def spark_pattern(database_pattern: str) -> str:
     """Rewrite a database-style pattern (``YYYY-MM-DD HH24:MI``) for Spark."""
     if re.search(r"W", database_pattern):
-        raise ValueError("week tokens cannot be parsed; to_database_text writes them")
+        raise ValueError("week tokens have no Spark pattern; from_week_text parses them")
     return _TOKEN.sub(lambda m: DATABASE_TOKENS[m.group()], database_pattern)
 
 
@@ -186,6 +186,72 @@ def _week_within(position: Column, weekday: Column) -> Column:
     return F.floor((position + first_weekday - 2) / 7) + 1
 
 
+def week_year(date: Column, week_rule: str = "us") -> Column:
+    """The year that the week of a date belongs to; with the week's number and the weekday it names the date."""
+    if week_rule == "iso":
+        return F.extract(F.lit("YEAROFWEEK"), date).cast("int")
+    return F.year(F.date_add(date.cast("date"), F.lit(7) - F.dayofweek(date)))
+
+
+def from_week_of_year(year: Column, week: Column, weekday: Column | int = 1, week_rule: str = "us") -> Column:
+    """The date of a weekday (Sunday is 1) in a week of a week year: the inverse of ``WEEK_OF_YEAR``.
+
+    Days of week 1 may lie in the year before, and with the rule ``"iso"`` days of the last week in the next.
+    A week that the year lacks, a weekday outside 1 to 7, a year outside 1 to 9998 and nulls give null.
+    """
+    day = weekday if isinstance(weekday, Column) else F.lit(weekday)
+    place = day if week_rule == "us" else F.pmod(day + 5, F.lit(7)) + 1
+    in_range = year.between(1, 9998) & week.between(1, 53) & day.between(1, 7)
+    # The day of January that lies in week 1 under either rule.
+    fixed = F.make_date(F.when(in_range, year), F.lit(1), F.lit(1 if week_rule == "us" else 4))
+    offset = F.dayofweek(fixed) - 1 if week_rule == "us" else F.weekday(fixed)
+    date = F.date_add(F.date_sub(fixed, offset), ((week - 1) * 7 + place - 1).cast("int"))
+    return F.when(week_year(date, week_rule) == year, date)
+
+
+def from_week_of_month(year: Column, month: Column, week: Column, weekday: Column | int) -> Column:
+    """The date of a weekday (Sunday is 1) in a week of a month (1 to 12): the inverse of ``WEEK_OF_MONTH``.
+
+    A weekday that this week of the month does not hold gives null, as do values out of range and nulls.
+    """
+    day = weekday if isinstance(weekday, Column) else F.lit(weekday)
+    in_range = year.between(1, 9998) & month.between(1, 12) & week.between(1, 6) & day.between(1, 7)
+    first = F.make_date(F.when(in_range, year), F.when(in_range, month), F.lit(1))
+    date = F.date_add(F.date_sub(first, F.dayofweek(first) - 1), ((week - 1) * 7 + day - 1).cast("int"))
+    return F.when(F.month(date) == month, date)
+
+
+# What a token of a week pattern reads. D is the weekday, Sunday is 1.
+WEEK_TOKENS = {"YYYY": r"[0-9]{4}", "MM": r"[0-9]{2}", "WW": r"[0-9]{1,2}", "W": r"[1-6]", "D": r"[1-7]"}
+
+
+def from_week_text(text: Column, pattern: str, week_rule: str = "us") -> Column:
+    """Parse a date written by week: ``YYYY`` with ``WW``, or ``YYYY``, ``MM`` and ``W``, each with or without ``D``.
+
+    ``YYYY`` beside ``WW`` is the week year. Without ``D`` the date is the first day of the week, or of the part of it that lies in
+    the month. Text that does not fit the pattern as a whole, or names a day that is not there, gives null.
+    """
+    tokens = re.findall(r"YYYY|MM|WW|W|D", pattern)
+    known = set(tokens) - {"D"}
+    if len(set(tokens)) < len(tokens) or known not in ({"YYYY", "WW"}, {"YYYY", "MM", "W"}):
+        raise ValueError(f"no week pattern: {pattern}")
+    pieces = re.split(r"(YYYY|MM|WW|W|D)", pattern)
+    expression = "^" + "".join(f"({WEEK_TOKENS[p]})" if p in WEEK_TOKENS else re.escape(p) for p in pieces) + r"\z"
+
+    def part(token: str) -> Column:
+        return F.regexp_extract(text, expression, tokens.index(token) + 1).try_cast("int")
+
+    day = part("D") if "D" in tokens else None
+    if "WW" in tokens:
+        first = 1 if week_rule == "us" else 2
+        return from_week_of_year(part("YYYY"), part("WW"), F.lit(first) if day is None else day, week_rule)
+    year, month, week = part("YYYY"), part("MM"), part("W")
+    if day is None:
+        opens = F.make_date(F.when(year.between(1, 9998), year), F.when(month.between(1, 12), month), F.lit(1))
+        day = F.when(week == 1, F.dayofweek(opens)).otherwise(1)
+    return from_week_of_month(year, month, week, day)
+
+
 _UNITS = {"dd": "DAY", "HH": "HOUR", "mm": "MINUTE", "ss": "SECOND", "SSS": "MILLISECOND"}
 
 

@@ -402,3 +402,36 @@ _STATES = list(cleaning.STATES)
 def synth_table(spark, folder):
     made = cleaning.synth_columns(table(spark, folder, "customer").select("c_custkey"), ["c_custkey"], seed=7)
     return made.withColumn("ratio", F.round("ratio", 9))
+
+
+@query("week_dates_parsed", """
+    WITH days AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders),
+    years AS (SELECT *, year(d + CAST(6 - dayofweek(d) AS INTEGER)) AS y FROM days),
+    ends AS (SELECT *, make_date(y, 1, 1) - CAST(dayofweek(make_date(y, 1, 1)) AS INTEGER) + 370 AS week_53 FROM years)
+    SELECT o_orderkey, d AS by_week, d AS by_iso_week, d AS by_month_week, d - CAST(dayofweek(d) AS INTEGER) AS week_start,
+           CASE WHEN year(week_53) = y THEN week_53 END AS last_saturday,
+           CASE WHEN dayofweek(date_trunc('month', d)) = 0 THEN CAST(date_trunc('month', d) AS DATE) END AS first_sunday,
+           true AS misfits_flagged FROM ends""")
+def week_dates_parsed(spark, folder):
+    """Dates written by week, by ISO week and by week of the month, and read back; weeks and days that are not there give null."""
+    days = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    d = F.col("d")
+    month, weekday = F.date_format(d, "yyyy-MM"), F.dayofweek(d)
+    written = days.select(
+        "o_orderkey",
+        F.format_string("%d-%02d-%d", dates.week_year(d), dates.calendar_part(d, "WEEK_OF_YEAR"), weekday).alias("us"),
+        F.format_string("%d/%02d/%d", dates.week_year(d, "iso"), dates.calendar_part(d, "WEEK_OF_YEAR", "iso"), weekday).alias("iso"),
+        F.format_string("%s %d.%d", month, dates.calendar_part(d, "WEEK_OF_MONTH"), weekday).alias("month"))
+    year = F.substring("us", 1, 4)
+    wrong = [dates.from_week_text(F.concat(year, F.lit(rest)), "YYYY-WW-D") for rest in ("-54-1", "-00-1", "-10-8", "-10-1 ", "-1x-1")]
+    flagged = F.lit(True)
+    for parsed in wrong:
+        flagged = flagged & parsed.isNull()
+    return written.select(
+        "o_orderkey", dates.from_week_text(F.col("us"), "YYYY-WW-D").alias("by_week"),
+        dates.from_week_text(F.col("iso"), "YYYY/WW/D", "iso").alias("by_iso_week"),
+        dates.from_week_text(F.col("month"), "YYYY-MM W.D").alias("by_month_week"),
+        dates.from_week_text(F.substring("us", 1, 7), "YYYY-WW").alias("week_start"),
+        dates.from_week_text(F.concat(year, F.lit("-53-7")), "YYYY-WW-D").alias("last_saturday"),
+        dates.from_week_text(F.concat(F.substring("month", 1, 7), F.lit(" 1.1")), "YYYY-MM W.D").alias("first_sunday"),
+        flagged.alias("misfits_flagged"))

@@ -52,6 +52,28 @@ def stream_rollup_replayed(spark, folder):
     return streaming.rollup_table(spark, path, ["event_type"])
 
 
+@query("stream_counters", """
+    SELECT count(*) AS n_read, count(*) FILTER (WHERE event_type <> 'click') AS n_accepted,
+           count(*) FILTER (WHERE event_type = 'click') AS n_null_key, CAST(0 AS BIGINT) AS n_late,
+           count(*) FILTER (WHERE event_type <> 'click') AS n_stored FROM events""")
+def stream_counters(spark, folder):
+    """What a roll-up read, accepted and passed over, its last batch repeated: counted once, and all accepted rows are stored."""
+    path, checkpoint, landed = (scratch_path(spark, f"counted{part}") for part in ("", "-checkpoint", "-landed"))
+    events = table(spark, folder, "events")
+    events.withColumn("event_type", F.nullif("event_type", F.lit("click"))).repartition(3, "event_id").write.parquet(landed)
+    keys = ["event_type"]
+    with streaming.counting(spark, path) as counter:
+        for repeated in (False, True):
+            if repeated:
+                _restarted(spark, checkpoint)
+            stream = streaming.observed(streaming.file_stream(spark, landed, events.schema, files_per_batch=1), "ts", keys)
+            rolled = streaming.daily_rollup(stream, "ts", keys, _measures(), lateness="10000 days")
+            counter.finish(streaming.start_rollup(rolled, path, checkpoint))
+    counted = streaming.read_counters(spark, path).agg(
+        *[F.sum(c).alias(c) for c in ("n_read", "n_accepted", "n_null_key", "n_late")])
+    return counted.withColumn("n_stored", streaming.rollup_table(spark, path, keys).agg(F.sum("n")).scalar())
+
+
 @query("stream_incremental", """
     SELECT event_id, ts, event_type, value FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00'""")
 def stream_incremental(spark, folder):

@@ -1,5 +1,6 @@
 """Structured Streaming forms of the daily roll-up, the incremental load and the upsert."""
 
+from dayloom.streaming.counters import counting, observed, read_counters
 from dayloom.streaming.jobs import (
     compact,
     daily_rollup,
@@ -15,8 +16,11 @@ from dayloom.streaming.jobs import (
 
 __all__ = [
     "compact",
+    "counting",
     "daily_rollup",
     "file_stream",
+    "observed",
+    "read_counters",
     "read_store",
     "read_upserted",
     "remove_folded",

@@ -205,3 +205,34 @@ def test_keys_beyond_32_bits(spark):
         numbers.MEASURES["bitnot"](k), numbers.to_hex(k), numbers.from_hex_long(F.col("h")), numbers.wrap32(k),
         round_half_up(k.cast("double")), numbers.whole_long(k.cast("string"))).first()
     assert tuple(row) == (big & 5, big | 5, big ^ 5, ~big, "b2d05e00", big, big - 2**32, big, big)
+
+
+def test_every_day_reads_back_from_its_week(spark):
+    # Every weekday as first of January, leap years too.
+    days = spark.sql("SELECT explode(sequence(date'1995-01-01', date'2024-12-31')) AS d")
+    d = F.col("d")
+    parts = {rule: (dates.week_year(d, rule), dates.calendar_part(d, "WEEK_OF_YEAR", rule), F.dayofweek(d)) for rule in ("us", "iso")}
+    for rule, (year, week, weekday) in parts.items():
+        assert days.where(~dates.from_week_of_year(year, week, weekday, rule).eqNullSafe(d)).isEmpty()
+    month = dates.from_week_of_month(F.year(d), F.month(d), dates.calendar_part(d, "WEEK_OF_MONTH"), F.dayofweek(d))
+    assert days.where(~month.eqNullSafe(d)).isEmpty()
+
+
+@pytest.mark.parametrize("text_value, pattern, rule, expected", [
+    ("2024-01-1", "YYYY-WW-D", "us", "2023-12-31"), ("2024-01", "YYYY-WW", "us", "2023-12-31"),
+    ("2021-53-1", "YYYY-WW-D", "us", None), ("2022-53-7", "YYYY-WW-D", "us", "2022-12-31"),
+    ("2023-53-1", "YYYY-WW-D", "us", None), ("2020-53-1", "YYYY-WW-D", "iso", "2021-01-03"),
+    ("2021-53-2", "YYYY-WW-D", "iso", None), ("2021-01", "YYYY-WW", "iso", "2021-01-04"),
+    ("2024.02/1", "YYYY.MM/W", "us", "2024-02-01"), ("2024.02/1/1", "YYYY.MM/W/D", "us", None),
+    ("2024.13/1", "YYYY.MM/W", "us", None), ("2024-10-8", "YYYY-WW-D", "us", None), ("2024-00-1", "YYYY-WW-D", "us", None),
+    ("0000-01-1", "YYYY-WW-D", "us", None), ("", "YYYY-WW", "us", None), (None, "YYYY-WW", "us", None),
+    ("2024-10\n", "YYYY-WW", "us", None)])
+def test_week_texts(spark, text_value, pattern, rule, expected):
+    got = value(spark, dates.from_week_text(F.lit(text_value).cast("string"), pattern, rule))
+    assert got == (dt.date.fromisoformat(expected) if expected else None)
+
+
+@pytest.mark.parametrize("pattern", ["YYYY", "WW", "YYYY-W", "YYYY-MM", "YYYY-MM-WW", "YYYY-WW-WW"])
+def test_week_patterns_must_name_a_week(pattern):
+    with pytest.raises(ValueError):
+        dates.from_week_text(F.lit("2024"), pattern)

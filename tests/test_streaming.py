@@ -155,3 +155,35 @@ def test_compaction_up_to_a_batch_and_an_empty_store(spark, records, tmp_path):
     streaming.compact(spark, path, ["k"], ["ts", "id"], upto=1)
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["_base=1", "_batch=2", "_batch=3"]
     assert stored(spark, path) == whole
+
+
+def test_counters_per_batch(spark, tmp_path):
+    at = dt.datetime
+    files = [
+        [(1, "a", at(2020, 1, 10, 5), 1), (2, None, at(2020, 1, 10, 5), 1), (3, "b", None, 1)],
+        [(4, "a", at(2020, 1, 20, 7), 1)],
+        [(5, "a", at(2020, 1, 2, 7), 1), (6, "b", at(2020, 1, 20, 8), 1)],
+    ]
+    path = f"{tmp_path}/out"
+    assert streaming.read_counters(spark, path).isEmpty()
+    for rows in files:
+        land(spark, rows, f"{tmp_path}/in")
+        with streaming.counting(spark, path) as counter:
+            stream = streaming.observed(streaming.file_stream(spark, f"{tmp_path}/in", SCHEMA), "ts", ["k"])
+            rolled = streaming.daily_rollup(stream, "ts", ["k"], measures())
+            counter.finish(streaming.start_rollup(rolled, path, f"{tmp_path}/cp"))
+    got = [tuple(r)[1:] for r in streaming.read_counters(spark, path).where("n_read > 0").orderBy("batch").collect()]
+    assert got == [(3, 1, 2, 0), (1, 1, 0, 0), (2, 2, 0, 1)]
+    stored = streaming.rollup_table(spark, path, ["k"])
+    assert {(str(r["Date"]), r["k"], r["n"]) for r in stored.collect()} == {
+        ("2020-01-10", "a", 1), ("2020-01-20", "a", 1), ("2020-01-20", "b", 1)}
+
+
+def test_counters_that_cannot_be_stored_are_an_error(spark, tmp_path):
+    land(spark, [(1, "a", dt.datetime(2020, 1, 10, 5), 1)], f"{tmp_path}/in")
+    (tmp_path / "file").write_text("no folder")
+    with streaming.counting(spark, f"{tmp_path}/file/below") as counter:
+        stream = streaming.observed(streaming.file_stream(spark, f"{tmp_path}/in", SCHEMA), "ts", ["k"])
+        rolled = streaming.daily_rollup(stream, "ts", ["k"], measures())
+        with pytest.raises(RuntimeError):
+            counter.finish(streaming.start_rollup(rolled, f"{tmp_path}/out", f"{tmp_path}/cp"))
