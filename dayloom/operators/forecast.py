@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame, Window
@@ -406,3 +407,112 @@ def additive_forecast(
         (F.col("yhat") - F.lit(BAND_80) * F.col("sd")).alias("yhat_lower"),
         (F.col("yhat") + F.lit(BAND_80) * F.col("sd")).alias("yhat_upper"),
     )
+
+
+# --- trend with few changes --------------------------------------------------------
+
+
+def _lasso(square: np.ndarray, right: np.ndarray, free: np.ndarray, limit: float, rounds: int = 20000) -> np.ndarray:
+    """Least w'Sw/2 - r'w + limit * sum|w| over the inputs that are not ``free``, by coordinate descent.
+
+    The free inputs are eliminated first. Once signs settle, the inputs in use are solved for exactly; that
+    solution is taken where it keeps the signs and leaves the gradient of the others within the limit.
+    """
+    held = ~free
+    inverse = np.linalg.pinv(square[np.ix_(free, free)], hermitian=True)
+    across = square[np.ix_(held, free)]
+    s = square[np.ix_(held, held)] - across @ inverse @ across.T
+    r = right[held] - across @ inverse @ right[free]
+    usable = np.diag(s) > 1e-12 * np.maximum(np.diag(square)[held], 1e-300)
+    w = np.zeros(len(r))
+    for done in range(1, rounds + 1):
+        before = w.copy()
+        for j in np.flatnonzero(usable):
+            pull = r[j] - s[j] @ w + s[j, j] * w[j]
+            w[j] = np.sign(pull) * max(abs(pull) - limit, 0.0) / s[j, j]
+        if done % 20 == 0 or np.array_equal(w, before):
+            used = w != 0
+            exact = np.zeros(len(r))
+            if used.any():
+                exact[used] = np.linalg.lstsq(s[np.ix_(used, used)], r[used] - limit * np.sign(w[used]), rcond=None)[0]
+            rest = np.abs(r - s @ exact)[usable & ~used]
+            if np.array_equal(np.sign(exact), np.sign(w)) and (rest <= limit * (1 + 1e-9)).all():
+                w = exact
+                break
+    weights = np.zeros(len(right))
+    weights[held] = w
+    weights[free] = inverse @ (right[free] - across.T @ w)
+    return weights
+
+
+def sparse_trend_fit(df: DataFrame, keys: Sequence[str], metric: str, date: str = "Date", knots: int = 8, weekly: int = 2,
+                     yearly: int = 1, penalty: float = 0.01) -> DataFrame:
+    """Additive model whose slope changes carry an L1 penalty, so that most are 0; per series, for every key at once.
+
+    The normal equations are summed by Spark, partially before the shuffle; one row of sums per key reaches the
+    solver, however long a series is. The weights minimise the mean squared error / 2 plus ``limit`` x the sum of the absolute
+    slope changes, ``limit`` being ``penalty`` standard deviations of the series. Level, slope and seasons are free.
+    Rows without a value are left out; a constant series gets its level. Output: keys, ``_first``, ``_last``, ``n``,
+    ``weights`` in the order of ``design``, ``sd`` of the residuals, ``limit``.
+    """
+    keys, size = list(keys), 2 + knots + 2 * (weekly + yearly)
+    known = df.where(F.col(metric).isNotNull()).select(
+        *keys, F.unix_date(F.col(date)).cast("double").alias("_day"), F.col(metric).cast("double").alias("_y"))
+    span = known.groupBy(*keys).agg(F.min("_day").alias("_first"), F.max("_day").alias("_last"))
+    ends = [*keys, "_first", "_last"]
+    inputs = design(F.col("_day"), F.col("_first"), F.col("_last"), knots, weekly, yearly)
+    rows = null_safe_join(known, span, keys).select(*ends, "_y", F.array(*inputs).alias("_x"))
+    x = [F.get("_x", F.lit(i)) for i in range(size)]
+    sums = rows.groupBy(*ends).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x[i] * x[j]) for i in range(size) for j in range(i, size)]).alias("xx"),
+        F.array(*[F.sum(v * F.col("_y")) for v in x]).alias("xy"), F.sum(F.col("_y") * F.col("_y")).alias("yy")
+    ).where("_first IS NOT NULL")
+    upper = np.triu_indices(size)
+    free = np.array([not 2 <= i < 2 + knots for i in range(size)])
+
+    def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            out = batch[[*ends, "n"]].copy()
+            fits = []
+            for n, xx, xy, yy in zip(batch["n"], batch["xx"], batch["xy"], batch["yy"]):
+                square = np.zeros((size, size))
+                square[upper] = np.asarray(xx) / n
+                square += np.triu(square, 1).T
+                right = np.asarray(xy) / n
+                # The last term keeps rounding from counting as a change where the series is constant.
+                limit = penalty * math.sqrt(max(yy / n - right[0] ** 2, 0.0)) + 1e-12 * math.sqrt(yy / n)
+                w = _lasso(square, right, free, limit)
+                left = max(yy / n - 2 * w @ right + w @ square @ w, 0.0)
+                fits.append((w, math.sqrt(left), limit))
+            out["weights"], out["sd"], out["limit"] = ([f[i] for f in fits] for i in range(3))
+            yield out
+
+    kept = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return sums.mapInPandas(solve, f"{kept}{', ' if keys else ''}_first double, _last double, n bigint, "
+                                   "weights array<double>, sd double, limit double")
+
+
+def sparse_trend_forecast(df: DataFrame, keys: Sequence[str], metric: str, periods: int, date: str = "Date", knots: int = 8,
+                          weekly: int = 2, yearly: int = 1, penalty: float = 0.01) -> DataFrame:
+    """Forecast of ``sparse_trend_fit`` with an 80 % band that widens with the days ahead.
+
+    Future slope changes are taken to come as often and to be as large (on average, either sign) as those of the past, so
+    the variance of the trend grows with the third power of the days ahead. Output: keys, ``ds``, ``yhat``,
+    ``yhat_lower``, ``yhat_upper`` over the known days and ``periods`` days ahead.
+    """
+    fits = materialise(sparse_trend_fit(df, keys, metric, date, knots, weekly, yearly, penalty), "sparse-trend")
+    past = df.where(F.col(metric).isNotNull()).select(*keys, F.unix_date(F.col(date)).cast("double").alias("_day")).distinct()
+    days = null_safe_join(past, fits, keys)
+    if periods > 0:
+        ahead = F.explode(F.transform(F.sequence(F.lit(1), F.lit(periods)), lambda i: F.col("_last") + i))
+        days = days.unionByName(fits.withColumn("_day", ahead))
+    inputs = F.array(*design(F.col("_day"), F.col("_first"), F.col("_last"), knots, weekly, yearly))
+    yhat = F.aggregate(F.zip_with(inputs, "weights", lambda a, w: a * w), F.lit(0.0), lambda total, v: total + v)
+    change = F.aggregate(F.slice("weights", 3, knots), F.lit(0.0), lambda total, w: total + F.abs(w)) / F.lit(float(max(knots, 1)))
+    beyond = F.greatest(F.col("_day") - F.col("_last"), F.lit(0.0)) / F.greatest(F.col("_last") - F.col("_first"), F.lit(1.0))
+    # Changes come at the rate knots / 0.8 per span; a Laplace draw of mean size m has the variance 2 m^2.
+    spread = F.sqrt(F.col("sd") * F.col("sd") + F.lit(knots / 0.8 * 2 / 3) * change * change * F.pow(beyond, F.lit(3.0)))
+    fitted = days.select(*keys, F.date_from_unix_date(F.col("_day").cast("int")).alias("ds"), yhat.alias("yhat"),
+                         (F.lit(BAND_80) * spread).alias("_band"))
+    return fitted.select(*keys, "ds", "yhat", (F.col("yhat") - F.col("_band")).alias("yhat_lower"),
+                         (F.col("yhat") + F.col("_band")).alias("yhat_upper"))

@@ -410,3 +410,50 @@ def shifted_scored_contract(spark, folder):
     top = stored_countries(spark, folder).agg(F.max("Confirmed")).scalar()
     within = F.col("Predicted_Confirmed").between(F.lit(0.0), top)
     return scored.select("Country", "Date", within.alias("scored"), top.alias("top"))
+
+
+_TREND = {"knots": 8, "weekly": 2, "yearly": 1}
+_TREND_SIZE = 16
+
+
+@query("sparse_trend_optimal", with_views("country_panel", f"""
+    SELECT "Country", CAST(place AS INTEGER) AS place, count(*) AS n, true AS optimal
+    FROM country_panel, range({_TREND_SIZE}) AS t(place) GROUP BY ALL"""))
+def sparse_trend_optimal(spark, folder):
+    """Every weight of every country against the rows: no gradient for free inputs and one of the limit's size for slope
+    changes in use, and one within it for those that are 0."""
+    daily = stored_countries(spark, folder)
+    fits = materialise(forecast.sparse_trend_fit(daily, ["Country"], "Confirmed", **_TREND), "trend")
+    day = F.unix_date("Date").cast("double")
+    rows = joins.null_safe_join(daily, fits, ["Country"]).withColumn(
+        "x", F.array(*forecast.design(day, F.col("_first"), F.col("_last"), **_TREND)))
+    yhat = F.aggregate(F.zip_with("x", "weights", lambda a, w: a * w), F.lit(0.0), lambda total, v: total + v)
+    terms = rows.withColumn("error", F.col("Confirmed") - yhat).select(
+        "Country", "error", "weights", "limit", F.posexplode("x").alias("place", "v"))
+    sums = terms.groupBy("Country", "place").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("v") * F.col("error")).alias("g"), F.stddev_pop("error").alias("sd"),
+        F.first(F.get("weights", F.col("place"))).alias("w"), F.first("limit").alias("limit"))
+    near = 1e-7 * (1 + F.col("sd"))
+    penalised = F.col("place").between(2, 1 + _TREND["knots"])
+    wanted = F.when(penalised, F.signum("w") * F.col("limit")).otherwise(0.0)
+    slack = F.when(penalised & (F.col("w") == 0), F.col("limit")).otherwise(0.0)
+    return sums.select("Country", "place", "n", (F.abs(F.col("g") - wanted) <= slack + near).alias("optimal"))
+
+
+@query("sparse_trend_forecast", with_views("country_panel", """
+    WITH ends AS (SELECT "Country", max("Date") AS last FROM country_panel GROUP BY "Country")
+    SELECT "Country", "Date" AS ds, true AS known, true AS in_order, true AS wide_enough FROM country_panel
+    UNION ALL SELECT "Country", last + CAST(step AS INTEGER), false, true, true FROM ends, range(1, 31) AS t(step)"""))
+def sparse_trend_forecast(spark, folder):
+    """Known days and thirty ahead of every country; the band is never narrower than before the end of the known days."""
+    daily = stored_countries(spark, folder)
+    fitted = materialise(forecast.sparse_trend_forecast(daily, ["Country"], "Confirmed", 30, **_TREND), "trend-days")
+    last = daily.groupBy("Country").agg(F.max("Date").alias("last"))
+    known = F.col("ds") <= F.col("last")
+    width = F.col("yhat_upper") - F.col("yhat_lower")
+    rows = joins.null_safe_join(fitted, last, ["Country"]).withColumns({"known": known, "width": width})
+    past = rows.where("known").groupBy("Country").agg(F.max("width").alias("past"))
+    rows = joins.null_safe_join(rows, past, ["Country"])
+    ordered = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return rows.select("Country", "ds", "known", ordered.alias("in_order"),
+                       (F.col("known") | (F.col("width") >= F.col("past") - 1e-9)).alias("wide_enough"))

@@ -37,10 +37,14 @@ def build_session(app_name: str = "dayloom", master: str | None = None, **extra:
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables, shared by all executors.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder below
-    the warehouse is used, which driver and executors share as well.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local session uses a folder
+    below its warehouse; any other master is refused, as that folder may be one of the driver's machine alone.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{base.rstrip('/')}/dayloom-{spark.sparkContext.applicationId}"
 
 

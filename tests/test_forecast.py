@@ -201,3 +201,43 @@ def test_splits_and_folds(series):
 def test_grids_hold_distinct_points():
     assert len(models.param_grid(models.glm(), models.GLM_GRID)) == 90
     assert len(models.param_grid(models.forest(), models.FOREST_GRID)) == 12
+
+
+def test_sparse_trend_finds_few_changes_and_widens(spark):
+    start = dt.date(2020, 1, 1)
+    rows = [(k, start + dt.timedelta(d), 5.0 + 0.1 * d + (0.9 * max(d - 160, 0) if k == "bent" else 0.0) + 3 * math.sin(2 * math.pi * d / 7))
+            for k in ("bent", "straight") for d in range(400)]
+    rows += [(None, start + dt.timedelta(d), 4.0) for d in range(30)] + [("one", start, 2.0), ("void", start, None)]
+    frame = spark.createDataFrame(rows, "k string, Date date, v double")
+    fits = {r["k"]: r for r in forecast.sparse_trend_fit(frame, ["k"], "v", weekly=1, yearly=0, knots=7, penalty=0.01).collect()}
+    assert set(fits) == {"bent", "straight", None, "one"}
+    changes = {k: np.array(r["weights"][2:9]) for k, r in fits.items()}
+    # 160 of 399 days lie at the fourth of seven places (0.4 of the span).
+    assert changes["bent"].argmax() == 3 and (changes["bent"] == 0).sum() >= 3
+    assert np.abs(changes["straight"]).max() < 1e-6 and fits["straight"]["sd"] < 1e-3
+    assert not changes[None].any() and abs(fits["one"]["weights"][0] - 2.0) < 2.0
+    ahead = forecast.sparse_trend_forecast(frame, ["k"], "v", 60, weekly=1, yearly=0, knots=7, penalty=0.01)
+    got = {(r["k"], r["ds"]): r for r in ahead.collect()}
+    assert len(got) == 2 * 460 + 90 + 61
+    bent = [got["bent", start + dt.timedelta(d)] for d in (399, 420, 459)]
+    widths = [r["yhat_upper"] - r["yhat_lower"] for r in bent]
+    assert widths[0] < widths[1] < widths[2]
+    assert all(abs(got[None, start + dt.timedelta(d)]["yhat"] - 4.0) < 1e-6 for d in (0, 40, 80))
+    assert abs(got["one", start]["yhat"] - 2.0) < 1e-6
+    assert forecast.sparse_trend_forecast(frame.limit(0), ["k"], "v", 5).isEmpty()
+
+
+def test_lasso_meets_its_conditions():
+    rng = np.random.default_rng(1)
+    for n in (3, 30, 200):
+        x = np.column_stack([np.ones(n), *[np.maximum(np.linspace(0, 1, n) - k / 10, 0) for k in range(10)]])
+        y = np.cumsum(rng.normal(size=n))
+        free = np.array([True, True] + [False] * 9)
+        square, right = x.T @ x / n, x.T @ y / n
+        for limit in (0.0, 1e-4, 0.01, 1.0):
+            w = forecast._lasso(square, right, free, limit)
+            g = right - square @ w
+            assert np.abs(g[free]).max() < 1e-7
+            used = ~free & (w != 0)
+            assert np.abs(g[used] - limit * np.sign(w[used])).max(initial=0.0) < 1e-7
+            assert (np.abs(g[~free & (w == 0)]) <= limit + 1e-7).all()

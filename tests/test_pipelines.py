@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from dayloom import schemas
 from dayloom.operators import features, forecast, joins, lags, models
 from dayloom.plans import pipelines
+from dayloom.session import scratch_root
 from dayloom.sources import marks
 
 START = dt.date(2020, 3, 1)
@@ -127,3 +129,17 @@ def test_world_forecast_and_push(spark, tmp_path):
     pushed = spark.read.json(f"{tmp_path}/pushed")
     assert pushed.count() == 25 and pushed.where("confirmed = -1.0").count() == 5
     assert pushed.select("_id").distinct().count() == 25
+
+
+@pytest.mark.parametrize("master, folder, expected", [
+    ("local[2]", None, "/house/_scratch/dayloom-app"), ("local-cluster[1,1,1024]", "/shared/", "/shared/dayloom-app"),
+    ("spark://host:7077", "/shared", "/shared/dayloom-app"), ("spark://host:7077", None, None)])
+def test_scratch_folder_is_shared_or_refused(master, folder, expected):
+    settings = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": "/house"}
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: settings[name]),
+                           sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    if expected is None:
+        with pytest.raises(RuntimeError):
+            scratch_root(fake)
+    else:
+        assert scratch_root(fake) == expected
