@@ -91,15 +91,21 @@ _LATEST = """
     WHERE r = 1"""
 
 
+#: In how many micro-batches, at most, a table that is there already is taken in.
+_BACKLOG_BATCHES = 8
+
+
 @query("stream_upsert", _LATEST)
 def stream_upsert(spark, folder):
     path, checkpoint = scratch_path(spark, "upsert"), scratch_path(spark, "upsert-checkpoint")
-    # Land the events as several files, two to a micro-batch, so that keys recur over batches.
+    # Land the events as several files, two or more to a micro-batch, so that keys recur over batches. Files and batches
+    # grow with the table and their number does not: a batch has a price of its own, whatever it holds.
     landed = scratch_path(spark, "upsert-landed")
     events = table(spark, folder, "events")
-    events.write.option("maxRecordsPerFile", 2000).parquet(landed)
+    events.write.option("maxRecordsPerFile", max(2000, -(-events.count() // (2 * _BACKLOG_BATCHES)))).parquet(landed)
+    files = sum(name.startswith("part-") for name in list_folder(spark, landed))
     keys, version = ["user_id", "event_type"], ["ts", "event_id"]
-    stream = streaming.file_stream(spark, landed, events.schema, files_per_batch=2)
+    stream = streaming.file_stream(spark, landed, events.schema, files_per_batch=max(2, -(-files // _BACKLOG_BATCHES)))
     _finish(streaming.start_upsert(stream, keys, version, path, checkpoint))
     streaming.compact(spark, path, keys, version)
     return streaming.read_upserted(spark, path, keys, version).select(*keys, "event_id", "value")

@@ -187,3 +187,20 @@ def test_counters_that_cannot_be_stored_are_an_error(spark, tmp_path):
         rolled = streaming.daily_rollup(stream, "ts", ["k"], measures())
         with pytest.raises(RuntimeError):
             counter.finish(streaming.start_rollup(rolled, f"{tmp_path}/out", f"{tmp_path}/cp"))
+
+
+def test_upsert_query_takes_a_large_backlog_in_few_batches(spark, tmp_path, monkeypatch):
+    """The number of batches does not grow with the table, and keys still recur over several."""
+    from dayloom.plans import stream_queries
+
+    n, folder, checkpoints = 100_000, str(tmp_path), []
+    spark.range(n).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 977)").alias("ts"),
+        (F.col("id") % 50).alias("user_id"), F.lit("view").alias("event_type"), F.col("id").cast("double").alias("value"),
+    ).coalesce(2).write.parquet(f"{folder}/events.parquet")
+    real = streaming.start_upsert
+    monkeypatch.setattr(streaming, "start_upsert", lambda *a, **k: (checkpoints.append(a[4]), real(*a, **k))[1])
+    got = {r["user_id"]: r["event_id"] for r in stream_queries.stream_upsert(spark, folder).collect()}
+    assert got == {u: max(range(u, n, 50), key=lambda i: (i % 977, i)) for u in range(50)}
+    batches = [name for name in stream_queries.list_folder(spark, f"{checkpoints[0]}/commits") if name.isdigit()]
+    assert 2 <= len(batches) <= 8
