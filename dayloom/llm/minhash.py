@@ -12,12 +12,12 @@ the very threshold. All pairs of signatures up to that distance in the indexed s
 * *Stars.* In each bucket (key) texts are compared with the bucket's first and last text, one comparison per text.
   Confirmed links join texts into parts; a bucket that lies in one part has nothing left to find, so a group of n
   copies costs about n comparisons and not n^2.
-* *Nearest.* In buckets that still hold several parts, signatures are compared in the tasks, all symbols of them; each text
-  names the nearest one of another part, which is confirmed, and parts grow together.
-* *Rest.* What is still within the distance, in different parts, is confirmed pair by pair.
-
-Buckets of up to ``SMALL`` rows are compared as a join, larger ones cell against cell in bounded tasks, cells of one
-part never against each other.
+* *Nearest.* In buckets of up to ``SMALL`` rows that still hold several parts a join spells out the pairs, at most SMALL a
+  row; each text names the nearest one of another part, which is confirmed, and parts grow together. What is still within
+  the distance, in different parts, is confirmed pair by pair.
+* *Cells.* Larger buckets are compared cell against cell in bounded tasks, cells of one part never against each other.
+  Signatures, all symbols of them, and full sets meet inside the task, and only links that join parts leave it, fewer than
+  its rows: texts that are alike but do not link are never spelled out as pairs.
 
 Nothing is capped or sampled: the result is the connected components of all links between signatures within the
 distance. Equal sets are one class and are compared once. Nulls and texts without words have an empty set and link
@@ -49,7 +49,9 @@ LOST = 1e-6
 GRAMS_AT_ONCE = 1 << 16
 NEAREST = 1
 SMALL = 16
+#: Rows in a cell; a row of more than HEAVY grams counts as several.
 CELL = 2048
+HEAVY = 1024
 STRIP = 64
 FAN = 256
 _RNG = np.random.default_rng(13)
@@ -195,6 +197,12 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_arrow(joined.select("a", "b", "sa", "sb"), run, struct("a bigint, b bigint, d int"))
 
 
+def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets reach the similarity."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity.
 
@@ -218,8 +226,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                 if not second:
                     at, mine = (a, part), grams
                 elif at == (a, part):
-                    both = len(np.intersect1d(mine, grams, assume_unique=True))
-                    if 100 * both >= percent * (len(mine) + len(grams) - both):
+                    if _link(mine, grams, percent):
                         out.append((a, cls))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()),
                                               pa.array([b for _, b in out], pa.int64())], ["a", "b"])
@@ -251,19 +258,20 @@ def _apart(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
     return pairs.filter("pa != pb")
 
 
-def _cells(live: DataFrame, classes: DataFrame, distance: int, percent: int, nearest: bool) -> DataFrame:
-    """(a, b, d): pairs of different parts near enough to link, in large buckets, cell against cell.
+def _cells(live: DataFrame, members: DataFrame, distance: int, percent: int, n: int) -> DataFrame:
+    """(a, b): links that join parts, in large buckets, cell against cell; all links of a task join no others.
 
     A part with many rows in a bucket has cells of its own, the others share cells; a row travels to
-    every cell of its bucket but those of its own part. With ``nearest`` every row names its nearest one only.
+    every cell of its bucket but those of its own part. ``members`` has size, sig and text of the classes in ``live``.
     """
-    sized = live.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+    weighed = live.withColumn("weight", F.lit(1) + F.col("size") / F.lit(HEAVY))
+    sized = weighed.groupBy("key", "part").agg(F.sum("weight").alias("c"))
     own = F.col("c") >= CELL // 2
     pooled = sized.filter(~own).groupBy("key").agg(F.ceil(F.sum("c") / F.lit(CELL)).cast("int").alias("pools"))
     plan = sized.join(pooled, "key", "left").select(
         "key", "part", F.when(own, F.col("part")).alias("owner"),
         F.when(own, F.ceil(F.col("c") / F.lit(CELL))).otherwise(F.col("pools")).cast("int").alias("cells"))
-    rows = live.join(plan, ["key", "part"]).withColumn("cell", F.pmod(
+    rows = live.drop("size").join(plan, ["key", "part"]).withColumn("cell", F.pmod(
         F.when(F.col("owner").isNull(), F.xxhash64("part")).otherwise(F.xxhash64("class")), F.col("cells")).cast("int"))
     mine = F.struct(F.coalesce("owner", F.lit(0)).alias("owner"), F.col("owner").isNotNull().alias("own"), F.col("cell"))
     rows = rows.withColumn("mine", mine)
@@ -271,17 +279,18 @@ def _cells(live: DataFrame, classes: DataFrame, distance: int, percent: int, nea
     spread = rows.join(there, "key").filter(
         ~(F.col("mine.own") & F.col("other.own") & (F.col("mine.owner") == F.col("other.owner"))))
     task = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    columns = ["task", "place", "second", "part", "class", "size", "sig"]
-    carried = spread.select(task.alias("task"), "place", (F.col("mine") > F.col("other")).alias("second"), "part",
-                            "class").join(classes.select("class", "size", "sig"), "class").select(*columns)
+    # What a class is compared by is looked up once, whatever the number of its tasks.
+    tasks = spread.groupBy("class", "part").agg(F.collect_list(F.struct(
+        task.alias("task"), "place", (F.col("mine") > F.col("other")).alias("second"))).alias("tasks"))
+    carried = tasks.join(members.select("class", "size", "sig", "text"), "class").select(
+        F.inline("tasks"), "part", "class", "size", "sig", "text")
     dealt = carried.repartition("task").sortWithinPartitions("task", "second")
 
     def run(batches):
         task, held = None, []
 
         def found() -> pa.RecordBatch:
-            out = compared(held, distance, percent, nearest)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "d"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in compared(held, distance, percent, n)], ["a", "b"])
 
         for batch in batches:
             tasks = batch.column(0).to_numpy()
@@ -292,32 +301,37 @@ def _cells(live: DataFrame, classes: DataFrame, distance: int, percent: int, nea
                     held = []
                 task = tasks[low]
                 part = batch.slice(low, high - low)
-                held.append((*(part.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)), _symbols(part.column(6))))
+                held.append((*(part.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)), _symbols(part.column(6)),
+                             part.column(7).to_pylist()))
         if held:
             yield found()
 
-    return map_arrow(dealt, run, struct("a bigint, b bigint, d int"))
+    return map_arrow(dealt, run, struct("a bigint, b bigint"))
 
 
-def compared(held: list[tuple], distance: int, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of different parts near enough to link: first against second rows, or all where there is one kind.
+def compared(held: list[tuple], distance: int, percent: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between first and second rows, or among all where there is one kind: those that join parts, nearest first.
 
-    Only pairs whose first shared key is that of this bucket. With ``nearest``, one pair per row at most.
+    Signatures choose the pairs, those whose first shared key is that of this bucket; full sets confirm them.
     """
     place, second, part, cls, size, sig = (np.concatenate([h[i] for h in held]) for i in range(6))
+    texts = [t for h in held for t in h[6]]
+    sets: dict[int, np.ndarray] = {}
+    group = np.unique(part, return_inverse=True)[1]
     most = errors(percent, POSITIONS)
     cut = int((~second.astype(bool)).sum())
     once = cut in (0, len(cls))
     rows = range(len(cls)) if once else range(cut)
     columns = np.arange(0 if once else cut, len(cls))
-    out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
+    links: list[tuple[int, int]] = []
     for low in range(0, len(rows), STRIP):
         strip = np.arange(low, min(low + STRIP, len(rows)))
         small, large = np.minimum.outer(size[strip], size[columns]), np.maximum.outer(size[strip], size[columns])
-        keep = (part[strip][:, None] != part[columns]) & (100 * small >= percent * large)
+        keep = (group[strip][:, None] != group[columns]) & (100 * small >= percent * large)
         if once:
             keep &= strip[:, None] < columns
         i, j = np.nonzero(keep)
+        out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
         for at in range(0, len(i), 1 << 15):
             x, y = strip[i[at:at + (1 << 15)]], columns[j[at:at + (1 << 15)]]
             differ = sig["index"][x] != sig["index"][y]
@@ -326,13 +340,18 @@ def compared(held: list[tuple], distance: int, percent: int, nearest: bool) -> t
             apart = _apart_by(sig[x], sig[y])
             near = (apart <= most) & (first_shared(differ, distance) == place[0])
             out.append((x[near], y[near], apart[near]))
-    a, b, d = (np.concatenate([o[i] for o in out]) for i in range(3))
-    if nearest and len(a):
-        ends, other, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
-        order = np.lexsort((other, far, ends))
-        first = order[np.unique(ends[order], return_index=True)[1]]
-        a, b, d = ends[first], other[first], far[first]
-    return cls[a], cls[b], d
+        a, b, d = (np.concatenate([o[k] for o in out]) for k in range(3))
+        order = np.argsort(d, kind="stable")
+        for x, y in zip(a[order].tolist(), b[order].tolist()):
+            if group[x] != group[y]:
+                for end in (x, y):
+                    if end not in sets:
+                        sets[end] = gram_set(texts[end], n)
+                if _link(sets[x], sets[y], percent):
+                    links.append((x, y))
+                    group[group == group[y]] = group[x]
+    ends = np.array(links, np.int64).reshape(-1, 2)
+    return cls[ends[:, 0]], cls[ends[:, 1]]
 
 
 def near_copy_groups(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame:
@@ -346,10 +365,11 @@ def near_copy_groups(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFram
         F.min("row_key").alias("row_key"), F.min("doc_id").alias("lowest")), "classes")
     links, parts, turn = None, None, 0
 
-    def linked(pairs: DataFrame) -> None:
-        """Confirm pairs, and find the parts anew from the links that hold."""
+    def linked(pairs: DataFrame, more: DataFrame | None = None) -> None:
+        """Confirm pairs, and find the parts anew from the links that hold and ``more`` that are known to."""
         nonlocal links, parts, turn
-        new = scratch.store(confirmed(pairs, texts, n, percent), f"links-{turn}")
+        new = confirmed(pairs, texts, n, percent)
+        new = scratch.store(new if more is None else new.unionByName(more), f"links-{turn}")
         if new.limit(1).count():
             # Within a part one link to its root stands for all.
             links = new if parts is None else new.unionByName(parts.select(F.col("class").alias("a"), F.col("part").alias("b")))
@@ -371,20 +391,23 @@ def near_copy_groups(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFram
     known = _parted(live.select("key", "place", "class", "c"), parts)
     rest = scratch.store(known.join(_buckets(known).select("key"), "key").drop("part"), "rest")
     scratch.drop("live")
-    few, many = rest.filter(F.col("c") <= SMALL), rest.filter(F.col("c") > SMALL).select("key", "place", "class")
+    few, many = rest.filter(F.col("c") <= SMALL), rest.filter(F.col("c") > SMALL)
+    # A row per class, with its keys: at most INDEXED.
+    many = many.groupBy("class").agg(F.collect_list(F.struct("key", "place")).alias("keys"))
+    many = scratch.store(many.join(classes.select("class", "size", "sig"), "class").join(texts, "class"), "many")
     small = _parted(few.select("key", "class"), parts)
     met = small.select("key", F.col("class").alias("a"), F.col("part").alias("pa")).join(
         small.select("key", F.col("class").alias("b"), F.col("part").alias("pb")), "key").filter("a < b and pa != pb")
     near = scratch.store(_near(met.select("a", "b").distinct(), classes, percent), "near")
-    for turn_left in range(NEAREST, -1, -1):
-        large = _parted(many, parts)
-        large = scratch.store(large.join(_buckets(large).select("key"), "key"), f"large-{turn}")
-        open_ = _apart(near, parts).select("a", "b", "d").unionByName(_cells(large, classes, distance, percent, turn_left > 0))
-        if turn_left:
-            ends = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-            open_ = ends.groupBy("a").agg(F.min_by("b", "d").alias("b"))
-        linked(open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    scratch.drop("texts", "rest", "near")
+    for _ in range(NEAREST):
+        open_ = _apart(near, parts).select("a", "b", "d")
+        ends = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+        first = ends.groupBy("a").agg(F.min_by("b", "d").alias("b"))
+        linked(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    large = _parted(many.select("class", "size", "keys"), parts).select("class", "size", "part", F.inline("keys"))
+    large = scratch.store(large.join(_buckets(large).select("key"), "key"), "large")
+    linked(_apart(near, parts), _cells(large, many, distance, percent, n))
+    scratch.drop("texts", "rest", "near", "many", "large")
     rooted = classes.select("class", "lowest")
     rooted = rooted.withColumn("part", F.col("class")) if parts is None else rooted.join(parts, "class", "left").withColumn(
         "part", F.coalesce("part", "class"))

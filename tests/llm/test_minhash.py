@@ -137,5 +137,36 @@ def test_a_group_of_copies_costs_no_pairs(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0} and sum(pairs) < 1200
 
 
+def alike(count, changed, seed):
+    """Texts that each differ from one base in one word of their own for every number in ``changed``."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for i in range(count):
+        own = list(base)
+        for c in range(changed[i % len(changed)]):
+            own[rng.randrange(100)] = f"x{i}-{c}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_texts_alike_below_the_threshold_cost_no_pairs(spark, monkeypatch):
+    """150 texts of similarity 0.8: 11,175 pairs within the distance, none of which leaves a task or is confirmed by a join."""
+    rows = alike(150, [1], 16)
+    pairs, cells = [], []
+    confirmed, inside = minhash.confirmed, minhash._cells
+    monkeypatch.setattr(minhash, "confirmed", lambda p, *rest: (pairs.append(p.count()), confirmed(p, *rest))[1])
+    monkeypatch.setattr(minhash, "_cells", lambda *a: (cells.append(out := inside(*a)), pairs.append(out.count()), out)[2])
+    agreed(spark, rows)
+    assert cells and sum(pairs) < 1500
+
+
+@pytest.mark.parametrize("heavy", [10, 1024])
+def test_cells_of_long_texts_are_smaller_and_lose_nothing(spark, monkeypatch, heavy):
+    monkeypatch.setattr(minhash, "HEAVY", heavy)
+    monkeypatch.setattr(minhash, "CELL", 64)
+    agreed(spark, alike(80, [0, 1, 1, 2], 17) + [(None, None), (200, "")])
+
+
 def test_components_helper_is_shared():
     assert minhash.components is ngrams.components
